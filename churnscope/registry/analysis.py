@@ -1 +1,622 @@
-"""Registered keys (analysis)."""
+"""Keys of the data story and the statistics: profiles, segment tables,
+histograms, cohorts, sort/limit, set operations, splits, re-sampling,
+bootstrap, correlation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from churnscope.functions import scalar as S
+from churnscope.functions.asof import active_at
+from churnscope.functions.hashing import sql_hash_bits, sql_unit_hash
+from churnscope.operators import profile as P
+from churnscope.operators import sampling as R
+from churnscope.operators import segments as G
+from churnscope.operators import stats as ST
+from churnscope.plans.features import FEATURE_COLUMNS_HEAD, FEATURE_COLUMNS_TAIL
+from churnscope.registry import oracle, register
+
+ACTIVE = "(sa_start_year_month < '199803' and sa_end_year_month >= '199803')"
+YEARS = list(range(1992, 1999))
+HORIZONS = (7, 14, 21)
+
+
+
+# --------------------------------------------------------------------- profiles
+@register(
+    "value_counts_topk",
+    oracle("select sa_status_flag as value, count(*) as count from features where sa_status_flag is not null "
+           "group by sa_status_flag order by count desc, value limit 10"),
+)
+def value_counts_topk(c):
+    return P.value_counts_topk(c.features, "sa_status_flag", ascending=False, n=10)
+
+
+@register(
+    "minmax_values_topk",
+    oracle(f"select active_diff_from_as_of as value, count(*) as count from labelled where {ACTIVE} "
+           "and active_diff_from_as_of is not null group by active_diff_from_as_of order by value limit 25"),
+)
+def minmax_values_topk(c):
+    return P.minmax_values_topk(c.labelled.filter(active_at(c.d)), "active_diff_from_as_of", which="min", n=25)
+
+
+DESCRIBE_COLS = [
+    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount",
+    "total_payoff_amount", "late_payment_count", "sa_start_avg_temp", "usage_in_last_18_months",
+    "premise_days_inactive_before", "person_days_active_before", "active_diff_from_as_of",
+]
+
+
+def _describe_sql() -> str:
+    parts = []
+    for col in DESCRIBE_COLS:
+        x = f"cast({col} as double)"
+        parts.append(
+            f"select '{col}' as column_name, count({x}) as count, avg({x}) as mean, stddev_samp({x}) as std, min({x}) as min, "
+            f"quantile_cont({x}, 0.25) as q25, quantile_cont({x}, 0.5) as q50, quantile_cont({x}, 0.75) as q75, max({x}) as max "
+            "from active"
+        )
+    return " union all ".join(parts)
+
+
+@register("describe_profile", oracle(_describe_sql()))
+def describe_profile(c):
+    return P.describe_profile(c.active, DESCRIBE_COLS)
+
+
+@register(
+    "describe_categorical_by_group",
+    oracle(
+        "select sa_end_year, cast(sum(freq) as bigint) as count, count(*) as n_unique, "
+        "arg_min(sa_start_year, -freq * 100000 + cast(sa_start_year as integer)) as top, max(freq) as freq "
+        "from (select sa_end_year, sa_start_year, count(*) as freq from labelled where sa_start_year is not null "
+        "group by sa_end_year, sa_start_year) pv group by sa_end_year"
+    ),
+)
+def describe_categorical_by_group(c):
+    return P.describe_categorical_by_group(c.labelled, "sa_end_year", "sa_start_year").withColumnRenamed("unique", "n_unique")
+
+
+def _feature_columns() -> list[str]:
+    cols = list(FEATURE_COLUMNS_HEAD) + [f"stop_{y}" for y in YEARS] + [f"start_{y}" for y in YEARS]
+    for y in YEARS:
+        cols += [f"pledge_date_{y}", f"pledge_flag_{y}"]
+    cols += FEATURE_COLUMNS_TAIL
+    for who in ("premise", "person"):
+        cols += [f"{who}_prior_stop_date", f"{who}_days_inactive_before", f"{who}_days_active_before"]
+    return cols + ["active_diff_from_as_of"]
+
+
+@register(
+    "null_profile",
+    oracle(" union all ".join(f"select '{x}' as column_name, count({x}) as non_null from features" for x in _feature_columns())),
+)
+def null_profile(c):
+    return P.null_profile(c.features, _feature_columns())
+
+
+# ------------------------------------------------------------- segment tables
+@register("stops_total", oracle("select " + ", ".join(f"cast(sum(stop_{h}_days) as bigint) as stop_{h}_days" for h in HORIZONS) + " from labelled"))
+def stops_total(c):
+    return G.stops_total(c.labelled)
+
+
+def _stops_by_sql(key: str, minimum: str) -> str:
+    body = " union all ".join(
+        f"select {key}, {h} as horizon, cast(sum(stop_{h}_days) as bigint) as stops from labelled where {key} >= '{minimum}' group by {key}"
+        for h in HORIZONS
+    )
+    return f"select * from ({body}) x where stops > 0"
+
+
+@register("stops_by_start_year", oracle(_stops_by_sql("sa_start_year", "1994")))
+def stops_by_start_year(c):
+    return G.stops_by_start(c.labelled, "sa_start_year", str(c.d.year - 4))
+
+
+@register("stops_by_start_month", oracle(_stops_by_sql("sa_start_year_month", "199701")))
+def stops_by_start_month(c):
+    return G.stops_by_start(c.labelled, "sa_start_year_month", f"{c.d.year - 1}01")
+
+
+def _rate_sql(key: str) -> str:
+    return (f"select {key}, " + ", ".join(f"avg(stop_{h}_days) as rate_{h}" for h in HORIZONS)
+            + f" from labelled where {ACTIVE} group by {key}")
+
+
+def _count_sql(key: str) -> str:
+    return (f"select {key}, count(*) as active_agreements, "
+            + ", ".join(f"cast(sum(stop_{h}_days) as bigint) as stops_{h}" for h in HORIZONS)
+            + f" from labelled where {ACTIVE} group by {key}")
+
+
+@register("stop_rate_by_city", oracle(_rate_sql("city")))
+def stop_rate_by_city(c):
+    return G.stop_rate_by(c.labelled, c.d, "city")
+
+
+@register("stop_rate_by_class", oracle(_rate_sql("customer_class")))
+def stop_rate_by_class(c):
+    return G.stop_rate_by(c.labelled, c.d, "customer_class")
+
+
+@register("stop_count_by_city", oracle(_count_sql("city")))
+def stop_count_by_city(c):
+    return G.stop_count_by(c.labelled, c.d, "city")
+
+
+@register("stop_count_by_class", oracle(_count_sql("customer_class")))
+def stop_count_by_class(c):
+    return G.stop_count_by(c.labelled, c.d, "customer_class")
+
+
+def _dnp_sql(flags, share: bool) -> str:
+    sums = ", ".join(f"cast(sum(stop_{h}_days) as bigint) as s{h}" for h in HORIZONS)
+    per_flag = " union all ".join(
+        f"select '{f}' as flag_name, {f} as flag_value, {sums} from labelled where {ACTIVE} group by {f}" for f in flags
+    )
+    longs = " union all ".join(f"select flag_name, flag_value, {h} as horizon, s{h} as stops from s" for h in HORIZONS)
+    tail = ", stops / sum(stops) over (partition by flag_name, horizon) as share" if share else ""
+    return f"with s as ({per_flag}), l as ({longs}) select flag_name, flag_value, horizon, stops{tail} from l where stops > 0"
+
+
+@register("dnp_share", oracle(_dnp_sql(["dnp_started_flag"], True)))
+def dnp_share(c):
+    return G.dnp_counts(c.labelled, c.d, flags=("dnp_started_flag",))
+
+
+@register("dnp_count", oracle(_dnp_sql(["dnp_started_flag", "dnp_stopped_flag"], False)))
+def dnp_count(c):
+    return G.dnp_counts(c.labelled, c.d).drop("share")
+
+
+@register(
+    "stops_owing_counts",
+    oracle(
+        "select count(*) as stopped, count_if(arrears_payoff_amount >= 1500) as owing_1500_plus, "
+        "count_if(arrears_payoff_amount <= -100) as credit_100_plus, count_if(arrears_payoff_amount = 0) as owing_nothing, "
+        "count_if(usage_in_last_18_months >= 5000) as usage_5000_plus, count_if(usage_in_last_18_months < 10) as usage_under_10, "
+        "count_if(usage_in_last_18_months = 0) as usage_zero, count_if(active_diff_from_as_of >= 3650) as active_10y_plus, "
+        "count_if(active_diff_from_as_of >= 1825 and active_diff_from_as_of < 3650) as active_5_to_10y "
+        f"from labelled where {ACTIVE} and stop_21_days = 1"
+    ),
+)
+def stops_owing_counts(c):
+    return G.stops_owing_counts(c.labelled, c.d)
+
+
+def _bucket_sql(bucket: str, with_res: bool) -> str:
+    sel = (f"{bucket} as bucket, count(*) as active_agreements, cast(sum(stop_21_days) as bigint) as stops, "
+           "avg(stop_21_days) as stop_rate")
+    out = f"select 'all' as segment, {sel} from labelled where {ACTIVE} group by {bucket}"
+    if with_res:
+        out += (f" union all select 'HOUSEHOLD' as segment, {sel} from labelled where {ACTIVE} "
+                f"and customer_class in ('HOUSEHOLD') group by {bucket}")
+    return out
+
+
+@register("stop_by_arrears_bucket", oracle(_bucket_sql("arrears_payoff_bucket_2", True)))
+def stop_by_arrears_bucket(c):
+    lab = c.labelled
+    return G.stop_by_bucket(lab, c.d, "arrears_payoff_bucket_2").unionByName(
+        G.stop_by_bucket(lab, c.d, "arrears_payoff_bucket_2", classes=S.RESIDENTIAL)
+    )
+
+
+@register("stop_by_usage_bucket", oracle(_bucket_sql("usage_past_18_bucket", True)))
+def stop_by_usage_bucket(c):
+    lab = c.labelled
+    return G.stop_by_bucket(lab, c.d, "usage_past_18_bucket").unionByName(
+        G.stop_by_bucket(lab, c.d, "usage_past_18_bucket", classes=S.RESIDENTIAL)
+    )
+
+
+@register("stop_by_active_decile", oracle(_bucket_sql("current_days_active_bucket", False)))
+def stop_by_active_decile(c):
+    return G.stop_by_bucket(c.labelled, c.d, "current_days_active_bucket")
+
+
+@register(
+    "decile_min_boundaries",
+    oracle(f"select arrears_payoff_bucket as bucket, min(arrears_payoff_amount) as min_value, count(*) as rows "
+           f"from labelled where {ACTIVE} group by arrears_payoff_bucket"),
+)
+def decile_min_boundaries(c):
+    return G.bucket_min_boundaries(c.labelled, c.d, "arrears_payoff_bucket", "arrears_payoff_amount")
+
+
+def _hist_sql(name: str, col: str, cond: str, bins: int) -> str:
+    return (
+        f"select '{name}' as histogram, b.bin, lo + b.bin * (case when hi > lo then hi - lo else 1.0 end) / {bins} as lower, "
+        f"lo + (b.bin + 1) * (case when hi > lo then hi - lo else 1.0 end) / {bins} as upper, "
+        "b.count from (select cast(least(floor((x - lo) / (case when hi > lo then hi - lo else 1.0 end) * "
+        f"{bins}), {bins - 1}) as integer) as bin, count(*) as count from "
+        f"(select cast({col} as double) as x from labelled where {ACTIVE} and stop_21_days = 1 and {cond}) u, "
+        f"(select min(cast({col} as double)) as lo, max(cast({col} as double)) as hi from labelled "
+        f"where {ACTIVE} and stop_21_days = 1 and {cond}) m group by 1) b, "
+        f"(select min(cast({col} as double)) as lo, max(cast({col} as double)) as hi from labelled "
+        f"where {ACTIVE} and stop_21_days = 1 and {cond}) m2"
+    )
+
+
+@register(
+    "hist_equal_width",
+    oracle(
+        _hist_sql("usage", "usage_in_last_18_months", "usage_in_last_18_months < 5000", 20)
+        + " union all "
+        + _hist_sql("arrears", "arrears_payoff_amount", "arrears_payoff_amount < 1500 and arrears_payoff_amount > -100", 10)
+    ),
+)
+def hist_equal_width(c):
+    s = c.labelled.filter(active_at(c.d) & (F.col("stop_21_days") == 1))
+    usage = P.equal_width_histogram(s.filter(F.col("usage_in_last_18_months") < 5000), "usage_in_last_18_months", 20, "usage")
+    arrears = P.equal_width_histogram(
+        s.filter((F.col("arrears_payoff_amount") < 1500) & (F.col("arrears_payoff_amount") > -100)),
+        "arrears_payoff_amount", 10, "arrears",
+    )
+    return usage.unionByName(arrears)
+
+
+HIST_COLS = [
+    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount",
+    "late_payment_count", "usage_in_last_18_months", "sa_start_avg_temp", "active_diff_from_as_of",
+    "person_days_inactive_before", "premise_days_active_before",
+]
+CREDIT_RANGE = "internal_credit_rating <= 1000 and internal_credit_rating >= -1000"
+
+
+def _hist_all_sql() -> str:
+    longs = " union all ".join(
+        f"select '{x}' as column_name, cast({x} as double) as value from labelled where {ACTIVE} and {CREDIT_RANGE}"
+        for x in HIST_COLS
+    )
+    return (
+        f"with l as (select * from ({longs}) z where value is not null), "
+        "r as (select column_name, min(value) as lo, max(value) as hi from l group by column_name) "
+        "select l.column_name, cast(least(floor((value - lo) / (case when hi > lo then hi - lo else 1.0 end) * 10), 9) as integer) as bin, "
+        "count(*) as count from l join r on l.column_name = r.column_name group by 1, 2"
+    )
+
+
+@register("hist_all_numeric", oracle(_hist_all_sql()))
+def hist_all_numeric(c):
+    sub = c.labelled.filter(active_at(c.d) & F.col("internal_credit_rating").between(-1000, 1000))
+    return P.histograms_all_numeric(sub, HIST_COLS, bins=10)
+
+
+def _cohort_sql(kind: str) -> str:
+    expanded = " union all ".join(
+        f"select sa_start_year, sa_end_year, '{y}' as stop_year, stop_{y} as stopped from labelled "
+        "where sa_start_year between '1989' and '1999'" for y in YEARS
+    )
+    totals = " union all ".join(f"select '{y}' as stop_year, cast(sum(stop_{y}) as bigint) as year_stops from labelled" for y in YEARS)
+    cohorts = (
+        f"with x as ({expanded}), t as ({totals}), "
+        "g as (select stop_year, sa_start_year, avg(stopped) as stop_rate, cast(sum(stopped) as bigint) as stops, count(*) as alive "
+        "from x where sa_start_year <= stop_year and sa_end_year >= stop_year group by stop_year, sa_start_year) "
+    )
+    if kind == "rate":
+        return cohorts + "select stop_year, sa_start_year, stop_rate, stops, alive from g"
+    return cohorts + ("select g.stop_year, g.sa_start_year, g.stops, t.year_stops, g.stops / t.year_stops as stop_share "
+                      "from g left join t on g.stop_year = t.stop_year")
+
+
+@register("cohort_stop_rate", oracle(_cohort_sql("rate")))
+def cohort_stop_rate(c):
+    return G.cohort_table(c.labelled, c.d).select("stop_year", "sa_start_year", "stop_rate", "stops", "alive")
+
+
+@register("cohort_stop_share", oracle(_cohort_sql("share")))
+def cohort_stop_share(c):
+    return G.cohort_table(c.labelled, c.d).select("stop_year", "sa_start_year", "stops", "year_stops", "stop_share")
+
+
+def _per_year_sql(key: str, cond: str) -> str:
+    return (
+        f"select 'all' as segment, {key} as year, count(*) as agreements from labelled where {cond} group by {key} union all "
+        f"select 'HOUSEHOLD' as segment, {key} as year, count(*) as agreements from labelled where {cond} "
+        f"and customer_class in ('HOUSEHOLD') group by {key}"
+    )
+
+
+@register("started_per_year", oracle(_per_year_sql("sa_start_year", "sa_start_year >= '1992'")))
+def started_per_year(c):
+    lab = c.labelled
+    return G.per_year_counts(lab, c.d, "start").unionByName(G.per_year_counts(lab, c.d, "start", S.RESIDENTIAL))
+
+
+@register("stopped_per_year", oracle(_per_year_sql("sa_end_year", "sa_end_year between '1992' and '1998'")))
+def stopped_per_year(c):
+    lab = c.labelled
+    return G.per_year_counts(lab, c.d, "stop").unionByName(G.per_year_counts(lab, c.d, "stop", S.RESIDENTIAL))
+
+
+@register(
+    "avg_inactive_by_division",
+    oracle(
+        "select 'all' as variant, cis_division, sa_start_year, avg(person_days_inactive_before) as avg_days_inactive from labelled "
+        "where sa_start_year between '1989' and '1999' group by cis_division, sa_start_year union all "
+        "select 'non_negative', cis_division, sa_start_year, avg(person_days_inactive_before) from labelled "
+        "where sa_start_year between '1989' and '1999' and person_days_inactive_before >= 0 group by cis_division, sa_start_year "
+        "union all select 'has_prior', cis_division, sa_start_year, avg(person_days_inactive_before) from labelled "
+        "where person_days_inactive_before >= 0 and person_prior_stop_date is not null and sa_end_year between '1994' and '1999' "
+        "group by cis_division, sa_start_year"
+    ),
+)
+def avg_inactive_by_division(c):
+    return G.avg_inactive_by_division(c.labelled, c.d)
+
+
+@register(
+    "share_of_total",
+    oracle("select city, count(*) as rows, count(*) / (select count(*) from active)::double as share from active group by city"),
+)
+def share_of_total(c):
+    return G.share_of_total(c.active, "city")
+
+
+# ------------------------------------------------------- sort, limit, set ops
+@register("head_preview", oracle("select * from features order by sa_id, dnp_started_flag, dnp_stopped_flag limit 5"))
+def head_preview(c):
+    return c.features.orderBy("sa_id", "dnp_started_flag", "dnp_stopped_flag").limit(5)
+
+
+@register(
+    "sort_topk",
+    oracle("select sa_id, city, arrears_payoff_amount from active order by arrears_payoff_amount desc, sa_id limit 10"),
+)
+def sort_topk(c):
+    return c.active.select("sa_id", "city", "arrears_payoff_amount").orderBy(
+        F.col("arrears_payoff_amount").desc(), F.col("sa_id")
+    ).limit(10)
+
+
+@register(
+    "union_all",
+    oracle("select sa_id, label, 'stops' as part from scored where label = 1 union all "
+           "select sa_id, label, 'non_stops' as part from scored where label = 0"),
+)
+def union_all(c):
+    s = c.scored.select("sa_id", "label")
+    return s.filter(F.col("label") == 1).withColumn("part", F.lit("stops")).unionByName(
+        s.filter(F.col("label") == 0).withColumn("part", F.lit("non_stops"))
+    )
+
+
+SEGMENT_SQL = (
+    "case when customer_class in ('HOUSEHOLD') then 'residential' "
+    "when customer_class in ('BUILDING', 'FURNITURE') then 'landlord_builder' else 'other' end"
+)
+
+
+def segment_col():
+    return (
+        F.when(F.col("customer_class").isin(list(S.RESIDENTIAL)), "residential")
+        .when(F.col("customer_class").isin(list(S.LANDLORD_BUILDER)), "landlord_builder")
+        .otherwise("other")
+    )
+
+
+@register("partition_by_class", oracle(f"select sa_id, customer_class, {SEGMENT_SQL} as segment from active"))
+def partition_by_class(c):
+    return c.active.select("sa_id", "customer_class", segment_col().alias("segment"))
+
+
+# ----------------------------------------------------- split and re-sampling
+SPLIT_SQL = f"case when {sql_unit_hash('sa_id', 'split:')} < 0.4 then 1 else 0 end"
+TRAIN_SQL = f"select sa_id, label, payments from scored where {sql_unit_hash('sa_id', 'split:')} >= 0.4"
+
+
+@register("split_train_test", oracle(f"select sa_id, label, {SPLIT_SQL} as is_test from scored"))
+def split_train_test(c):
+    return R.hash_split(c.scored.select("sa_id", "label")).select("sa_id", "label", "is_test")
+
+
+def train_rows(c):
+    return R.hash_split(c.scored.select("sa_id", "label", "payments")).filter(F.col("is_test") == 0).drop("is_test")
+
+
+def _draw_sql(src: str, n_expr: str, salt: str, alias: str) -> str:
+    """Draws with replacement from CTE ``src`` (rows with idx) of size n_expr."""
+    return (
+        f"select d.range as draw, p.sa_id, p.label, p.payments from range({n_expr}) d "
+        f"join {src} p on {sql_hash_bits('d.range', salt)} % (select count(*) from {src}) = p.idx"
+    )
+
+
+def _indexed(name: str, cond: str) -> str:
+    return f"{name} as (select *, row_number() over (order by sa_id) - 1 as idx from tr where {cond})"
+
+
+@register(
+    "resample_up",
+    oracle(
+        f"with tr as ({TRAIN_SQL}), {_indexed('pos', 'label = 1')} "
+        + _draw_sql("pos", "(select count(*) from tr where label = 0)", "up:1:", "u")
+        + " union all select null as draw, sa_id, label, payments from tr where label = 0"
+    ),
+)
+def resample_up(c):
+    return R.upsample_minority(train_rows(c), "label")
+
+
+@register(
+    "resample_down_10k",
+    oracle(
+        f"with tr as ({TRAIN_SQL}), {_indexed('neg', 'label = 0')} "
+        + _draw_sql("neg", "10000", "down:0:", "n")
+        + " union all select null as draw, sa_id, label, payments from tr where label = 1"
+    ),
+)
+def resample_down_10k(c):
+    return R.downsample_majority(train_rows(c), "label", 10000)
+
+
+@register(
+    "resample_20k_40k",
+    oracle(
+        f"with tr as ({TRAIN_SQL}), {_indexed('pos', 'label = 1')}, {_indexed('neg', 'label = 0')} "
+        + _draw_sql("pos", "20000", "rs:1:", "p")
+        + " union all "
+        + _draw_sql("neg", "40000", "rs:0:", "n")
+    ),
+)
+def resample_20k_40k(c):
+    return R.resample_classes(train_rows(c), "label", {1: 20000, 0: 40000})
+
+
+SEGMENT_SIZES = {
+    "residential": {1: 20000, 0: 40000},
+    "landlord_builder": {1: 500, 0: 1000},
+    "other": {1: 1000, 0: 5000},
+}
+
+
+def _segment_sql() -> str:
+    tr = (f"select s.sa_id, s.label, s.payments, {SEGMENT_SQL} as segment from scored s join sa b on s.sa_id = b.sa_id "
+          f"where {sql_unit_hash('s.sa_id', 'split:')} >= 0.4")
+    ctes, parts = [f"tr as ({tr})"], []
+    for seg, sizes in SEGMENT_SIZES.items():
+        for label, n in sizes.items():
+            name = f"{seg}_{label}"
+            ctes.append(f"{name} as (select *, row_number() over (order by sa_id) - 1 as idx from tr "
+                        f"where segment = '{seg}' and label = {label})")
+            parts.append(
+                f"select d.range as draw, p.sa_id, p.label, p.payments, p.segment from range({n}) d join {name} p "
+                f"on {sql_hash_bits('d.range', f'seg:{seg}:{label}:')} % (select count(*) from {name}) = p.idx"
+            )
+    return "with " + ", ".join(ctes) + " " + " union all ".join(parts)
+
+
+@register("resample_by_segment", oracle(_segment_sql()))
+def resample_by_segment(c):
+    seg = c.fx.sa.select("sa_id", segment_col().alias("segment"))
+    tr = train_rows(c).join(seg, "sa_id")
+    return R.resample_by_segment(tr, "label", "segment", SEGMENT_SIZES)
+
+
+def _bootstrap_sql(reps: int = 200) -> str:
+    u = sql_unit_hash("(cast(b.sa_id as varchar) || ':' || cast(r.range as varchar))", "boot:")
+    w = " + ".join(f"cast({u} >= {t!r}::double as integer)" for t in R.poisson_thresholds())
+    cols = [f"stop_{h}_days" for h in HORIZONS]
+    sums = ", ".join(f"sum(w * {x}) as {x}" for x in cols)
+    means = ", ".join(f"{x} / sw as {x}" for x in cols)
+    parts = " union all ".join(
+        f"select '{x}' as column_name, (select avg({x}) from b) as mean, quantile_cont({x}, 0.025) as ci_low, "
+        f"quantile_cont({x}, 0.975) as ci_high from m" for x in cols
+    )
+    return (
+        f"with b as (select sa_id, {', '.join(cols)} from active), "
+        f"w as (select r.range as rep, {w} as w, b.* from b, range({reps}) r), "
+        f"s as (select rep, sum(w) as sw, {sums} from w group by rep), m as (select rep, {means} from s) {parts}"
+    )
+
+
+@register("bootstrap_mean_ci", oracle(_bootstrap_sql()))
+def bootstrap_mean_ci(c):
+    return R.bootstrap_mean_ci(c.active, [f"stop_{h}_days" for h in HORIZONS], replicates=200)
+
+
+# ------------------------------------------------------------------ statistics
+PEARSON_COLS = [
+    "payments_in_last_18_months", "bills_in_last_18_months", "pay_segs_in_last_18_months", "arrears_payoff_amount",
+    "total_payoff_amount", "internal_credit_rating", "late_payment_count", "usage_in_last_18_months",
+    "active_diff_from_as_of", "premise_days_inactive_before", "stop_21_days",
+]
+
+
+def _pairs_sql(cols: list[str], src: str) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
+    return " union all ".join(f"select '{a}' as column_a, '{b}' as column_b, corr({a}, {b}) as r from {src}" for a, b in pairs)
+
+
+@register("pearson_matrix", oracle(_pairs_sql(PEARSON_COLS, "active")))
+def pearson_matrix(c):
+    return ST.pearson_matrix(c.active, PEARSON_COLS)
+
+
+SPEARMAN_COLS = [
+    "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "internal_credit_rating",
+    "active_diff_from_as_of", "stop_21_days",
+]
+
+
+def _spearman_sql() -> str:
+    ranks = ", ".join(
+        f"rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0 as {x}" for x in SPEARMAN_COLS
+    )
+    return f"with rk as (select {ranks} from active) " + _pairs_sql(SPEARMAN_COLS, "rk")
+
+
+@register("spearman_matrix", oracle(_spearman_sql()))
+def spearman_matrix(c):
+    return ST.spearman_matrix(c.active, SPEARMAN_COLS)
+
+
+@register(
+    "pearson_ci",
+    oracle(
+        "select 'payments_in_last_18_months' as column_a, 'bills_in_last_18_months' as column_b, r, n, "
+        f"tanh(atanh(r) - {ST.Z_975!r}::double * (1.0 / sqrt(n - 3))) as ci_low, "
+        f"tanh(atanh(r) + {ST.Z_975!r}::double * (1.0 / sqrt(n - 3))) as ci_high, r * r as r_squared "
+        "from (select corr(payments_in_last_18_months, bills_in_last_18_months) as r, count(*) as n from active "
+        "where payments_in_last_18_months is not null and bills_in_last_18_months is not null) g"
+    ),
+)
+def pearson_ci(c):
+    return ST.pearson_ci(c.active, "payments_in_last_18_months", "bills_in_last_18_months")
+
+
+STD_COLS = ["payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "internal_credit_rating"]
+
+
+@register(
+    "standardize",
+    oracle(
+        f"with a as (select sa_id, {', '.join(STD_COLS)}, {SPLIT_SQL} as is_test from active), "
+        "st as (select " + ", ".join(f"avg({x}) as m_{x}, stddev_pop({x}) as s_{x}" for x in STD_COLS)
+        + " from a where is_test = 0) select sa_id, is_test, "
+        + ", ".join(f"({x} - m_{x}) / s_{x} as {x}" for x in STD_COLS) + " from a, st"
+    ),
+)
+def standardize(c):
+    a = R.hash_split(c.active.select("sa_id", *STD_COLS))
+    return ST.standardize(a.filter(F.col("is_test") == 0), a, STD_COLS).select("sa_id", "is_test", *STD_COLS)
+
+
+@register(
+    "math_scalar",
+    oracle(
+        "select city, r, atanh(r) as z, tanh(atanh(r)) as r_back, sqrt(n) as sqrt_n, round_even(r, 1) as r_1dp from "
+        "(select city, corr(payments_in_last_18_months, bills_in_last_18_months) as r, count(*) as n from active "
+        "group by city having count(*) >= 3) g"
+    ),
+)
+def math_scalar(c):
+    g = c.active.groupBy("city").agg(
+        F.corr("payments_in_last_18_months", "bills_in_last_18_months").alias("r"), F.count(F.lit(1)).alias("n")
+    ).filter(F.col("n") >= 3)
+    return g.select(
+        "city", "r", F.atanh("r").alias("z"), F.tanh(F.atanh("r")).alias("r_back"), F.sqrt("n").alias("sqrt_n"),
+        S.round_half_even("r", 1).alias("r_1dp"),
+    )
+
+
+LEAKAGE = ["sa_end_date", "sa_end_year", "sa_end_year_month", "stop_1998", "stop_7_days", "stop_14_days",
+           "most_recent_payment_date", "person_max_sa_end_date", "premise_max_sa_end_date"]
+
+
+@register("drop_columns", oracle(f"select * exclude ({', '.join(LEAKAGE)}) from active"))
+def drop_columns(c):
+    return c.active.drop(*LEAKAGE)
+
+
+@register(
+    "align_on_index",
+    oracle("select s.sa_id, b.city, b.customer_class, s.label, s.pred from scored s join sa b on s.sa_id = b.sa_id"),
+)
+def align_on_index(c):
+    return c.scored.select("sa_id", "label", "pred").join(
+        c.fx.sa.select("sa_id", "city", "customer_class"), "sa_id"
+    )

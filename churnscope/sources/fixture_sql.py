@@ -101,4 +101,7 @@ def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     if not order:
         return body.strip()
     ctes = ",\n".join(f"{n} as ({texts[n].strip()})" for n in order)
-    return f"with {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body[:5].lower() == "with ":
+        return f"with {ctes},\n{body[5:]}"
+    return f"with {ctes}\n{body}"
