@@ -23,7 +23,7 @@ def hash_split(df: DataFrame, key: str = "sa_id", test_fraction: float = 0.4, sa
     return df.withColumn("is_test", (unit_hash(key, salt) < F.lit(test_fraction)).cast("int"))
 
 
-def draw_with_replacement(df: DataFrame, n: int, key: str, salt: str) -> DataFrame:
+def draw_with_replacement(df: DataFrame, n: int, key: str | list[str], salt: str) -> DataFrame:
     """``n`` rows drawn uniformly with replacement, exactly ``n`` of them.
 
     Rows get a dense 0-based index in key order (two-phase, no single-task
@@ -32,7 +32,7 @@ def draw_with_replacement(df: DataFrame, n: int, key: str, salt: str) -> DataFra
     nothing is capped.
     """
     spark = df.sparkSession
-    indexed = dense_index(df, [key], "_idx")
+    indexed = dense_index(df, [key] if isinstance(key, str) else list(key), "_idx")
     size = indexed.count()
     if size == 0 or n <= 0:
         return indexed.limit(0).select(F.lit(0).cast("long").alias("draw"), *df.columns)
@@ -42,7 +42,9 @@ def draw_with_replacement(df: DataFrame, n: int, key: str, salt: str) -> DataFra
     return draws.join(indexed, "_idx").select("draw", *df.columns)
 
 
-def resample_classes(df: DataFrame, label: str, sizes: dict[int, int], key: str = "sa_id", salt: str = "rs:") -> DataFrame:
+def resample_classes(
+    df: DataFrame, label: str, sizes: dict[int, int], key: str | list[str] = "sa_id", salt: str = "rs:"
+) -> DataFrame:
     """Per class value, draw ``sizes[value]`` rows with replacement; stack the classes."""
     parts = []
     for value, n in sizes.items():
