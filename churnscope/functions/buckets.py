@@ -29,11 +29,13 @@ def cascade_bucket(c: str | Column, edges) -> Column:
 def exact_quantiles(df: DataFrame, c: str, probs=DECILE_PROBS, where: Column | None = None) -> list[float]:
     """Exact linear-interpolated quantiles (pandas ``quantile``), nulls skipped.
 
-    One aggregate job; only the ``len(probs)`` numbers come back to the driver.
+    Computed by an ordered distributed pass (``operators.ordered``); only the
+    ``len(probs)`` numbers come back to the driver.
     """
+    from churnscope.operators.ordered import exact_quantiles as quantiles
+
     src = df if where is None else df.filter(where)
-    row = src.agg(F.percentile(F.col(c), F.array(*[F.lit(p) for p in probs])).alias("q")).first()
-    return list(row["q"] or [])
+    return quantiles(src, [c], probs)[c]
 
 
 def decile_bucket(df: DataFrame, c: str, name: str, where: Column | None = None, floor=DECILE_FLOOR) -> DataFrame:

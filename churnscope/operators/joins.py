@@ -2,8 +2,9 @@
 
 Right sides are reduced to one row per join key before they meet the wide
 agreement row (distinct keys, aggregates), so no left join fans out and no
-``distinct`` over the wide row is needed.  Small dimensions are broadcast only
-through ``broadcast_if_small``, which checks the row count first.
+``distinct`` over the wide row is needed.  No side is broadcast by hint: AQE
+measures each shuffled side at run time and broadcasts only what is under the
+threshold, falling back to a sort-merge join (split when skewed) otherwise.
 """
 
 from __future__ import annotations
@@ -14,15 +15,6 @@ from pyspark.sql import functions as F
 from churnscope.functions.asof import in_window, lookback_bounds, season_bounds
 from churnscope.functions.scalar import yn_flag
 
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the side is proven small; otherwise a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def agreements_lookup(sa: DataFrame) -> DataFrame:
     """``sa_s``: agreement -> account (integration_id, account_id)."""
     return sa.select("sa_id", "account_id")
@@ -139,7 +131,9 @@ def weather_at(df: DataFrame, weather: DataFrame, date_col: str, prefix: str, ar
         F.col("degree_day").alias(f"_{prefix}_dd"),
         F.col("average_temperature").alias(f"_{prefix}_avg"),
     )
-    out = df.join(broadcast_if_small(w), F.to_date(F.col(date_col)) == F.col(f"_{prefix}_day"), "left")
+    # bounded by the calendar; AQE turns the join into a broadcast at run time
+    # when the measured side is under the broadcast threshold
+    out = df.join(w, F.to_date(F.col(date_col)) == F.col(f"_{prefix}_day"), "left")
     return out.select(
         *df.columns,
         F.coalesce(F.col(f"_{prefix}_dd"), F.lit(-1.0)).alias(f"{prefix}_degree_day"),

@@ -17,6 +17,7 @@ on another executor.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,11 +34,23 @@ def _partitions(df: DataFrame, n: int | None) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_sorted(df: DataFrame, order_cols: list[str], n: int | None = None) -> DataFrame:
-    """Range-partition and sort on ``order_cols``; checkpoint; tag partition ids."""
+def stable_checkpoint(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (shared folder) that computes its input only once.
+
+    Writing a checkpoint re-runs the plan unless it is persisted, so the input is
+    persisted (memory, spilling to disk) for the duration of the write.
+    """
     checkpoint_dir(df.sparkSession)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = kept.checkpoint(eager=True)
+    kept.unpersist()
+    return out
+
+
+def range_sorted(df: DataFrame, order_cols: list, n: int | None = None) -> DataFrame:
+    """Range-partition and sort on ``order_cols``; checkpoint; tag partition ids."""
     ranged = df.repartitionByRange(_partitions(df, n), *order_cols).sortWithinPartitions(*order_cols)
-    return ranged.checkpoint(eager=True).withColumn(PID, F.spark_partition_id())
+    return stable_checkpoint(ranged).withColumn(PID, F.spark_partition_id())
 
 
 def _lag_batches(key: str, values: list[str], outs: list[str]):
@@ -129,13 +142,7 @@ def running_sum(
     order for the result to be deterministic.
     """
     orders = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
-    checkpoint_dir(df.sparkSession)
-    sorted_df = (
-        df.repartitionByRange(_partitions(df, n), *orders)
-        .sortWithinPartitions(*orders)
-        .checkpoint(eager=True)
-        .withColumn(PID, F.spark_partition_id())
-    )
+    sorted_df = range_sorted(df, orders, n)
     out_types = {
         o: (T.LongType() if isinstance(sorted_df.schema[v].dataType, T.IntegralType) else T.DoubleType())
         for v, o in values.items()
@@ -158,3 +165,43 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", n: int
     counted = df.withColumn("_one", F.lit(1).cast("long"))
     out = running_sum(counted, order_cols, {"_one": name}, n)
     return out.withColumn(name, F.col(name) - 1).drop("_one")
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = None) -> dict[str, list[float]]:
+    """Exact linear-interpolated quantiles (pandas ``quantile``, DuckDB
+    ``quantile_cont``) of several columns, NULLs skipped, in one ordered pass.
+
+    A global ``percentile`` aggregate keeps every distinct value of a group in
+    one task; here the values are unpivoted, given a dense index in
+    (column, value) order by the two-phase scan, and only the order statistics
+    that the interpolation needs (two per column and probability) come back.
+    """
+    import math
+
+    rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = df.selectExpr(f"stack({len(columns)}, {rows}) as (_col, _val)").filter(F.col("_val").isNotNull())
+    counts = {r["_col"]: r["n"] for r in long.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, acc = {}, 0
+    for c in sorted(counts):
+        offsets[c] = acc
+        acc += counts[c]
+    wanted: dict[int, tuple[str, int]] = {}
+    for c, cnt in counts.items():
+        for p in probs:
+            h = (cnt - 1) * p
+            for pos in (math.floor(h), math.ceil(h)):
+                wanted[offsets[c] + pos] = (c, pos)
+    out = {c: [] for c in columns}
+    if not wanted:
+        return out
+    indexed = dense_index(long, ["_col", "_val"], "_i", n)
+    picked = {wanted[r["_i"]]: r["_val"] for r in indexed.filter(F.col("_i").isin(list(wanted))).collect()}
+    for c, cnt in counts.items():
+        vals = []
+        for p in probs:
+            h = (cnt - 1) * p
+            lo, hi = math.floor(h), math.ceil(h)
+            a, b = picked[(c, lo)], picked[(c, hi)]
+            vals.append(a if lo == hi else a + (h - lo) * (b - a))
+        out[c] = vals
+    return out

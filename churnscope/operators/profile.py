@@ -33,7 +33,13 @@ def minmax_values_topk(df: DataFrame, column: str, which: str = "max", n: int =
 
 
 def describe_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """count, mean, sample std, min, exact quartiles, max of each column, long form."""
+    """count, mean, sample std, min, exact quartiles, max of each column, long form.
+
+    Moments come from one aggregate; quartiles from one ordered pass over all
+    columns (``exact_quantiles``), not from a per-group value map.
+    """
+    from churnscope.operators.ordered import exact_quantiles
+
     aggs = []
     for c in columns:
         x = F.col(c).cast("double")
@@ -42,17 +48,28 @@ def describe_profile(df: DataFrame, columns: list[str]) -> DataFrame:
             F.avg(x).alias(f"{c}__mean"),
             F.stddev_samp(x).alias(f"{c}__std"),
             F.min(x).alias(f"{c}__min"),
-            F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"{c}__q"),
             F.max(x).alias(f"{c}__max"),
         ]
     wide = df.agg(*aggs)
-    rows = ", ".join(
-        f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__q`[0], `{c}__q`[1], `{c}__q`[2], `{c}__max`"
-        for c in columns
-    )
-    return wide.selectExpr(
-        f"stack({len(columns)}, {rows}) as (column_name, count, mean, std, min, q25, q50, q75, max)"
-    )
+    qs = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
+    parts = []
+    for c in columns:
+        q = qs.get(c) or [None, None, None]
+        parts.append(
+            wide.select(
+                F.lit(c).alias("column_name"),
+                F.col(f"{c}__count").alias("count"),
+                F.col(f"{c}__mean").alias("mean"),
+                F.col(f"{c}__std").alias("std"),
+                F.col(f"{c}__min").alias("min"),
+                *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("q25", "q50", "q75"))],
+                F.col(f"{c}__max").alias("max"),
+            )
+        )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def describe_categorical_by_group(df: DataFrame, group: str, column: str) -> DataFrame:

@@ -65,41 +65,79 @@ def base_agreements(sa: DataFrame) -> DataFrame:
 
 
 def with_flags_a(base: DataFrame, src: Sources, as_of) -> DataFrame:
-    """Turn-on/turn-off DNP flags, credit rating, premise/account DNP flags."""
-    ons = J.turn_ons(src.recdet, src.sa).select("sa_id", "dnp_started_flag").distinct()
+    """Turn-on / turn-off DNP flags (NULL -> 'N'); one row per distinct flag pair.
+
+    An agreement with turn-on rows of different flags keeps one row per
+    flag pair, as the warehouse's ``select distinct`` does.  The flag sets are
+    reduced to distinct (agreement, flag) before the join; joining them to the
+    agreements already restricts them to known agreements, so the account
+    lookup of the turn-on stage is not needed here.
+    """
+    ons = (
+        src.recdet.filter(F.col("started_flag") == "Y")
+        .select("sa_id", F.coalesce(F.col("dnp_started_flag"), F.lit("N")).alias("dnp_started_flag"))
+        .distinct()
+    )
     offs = (
-        J.turn_offs(src.recdet, src.sa)
+        src.recdet.filter(F.col("stopped_flag") == "Y")
         .select("sa_id", F.coalesce(F.col("dnp_stopped_flag"), F.lit("N")).alias("dnp_stopped_flag"))
         .distinct()
     )
-    out = (
+    return (
         base.join(ons, "sa_id", "left")
         .join(offs, "sa_id", "left")
         .withColumn("dnp_started_flag", F.coalesce(F.col("dnp_started_flag"), F.lit("N")))
         .withColumn("dnp_stopped_flag", F.coalesce(F.col("dnp_stopped_flag"), F.lit("N")))
     )
-    return out
+
+
+def with_history(row: DataFrame, as_of, skew_safe: bool = True) -> DataFrame:
+    """Agreements started before D, with the previous agreement of the same
+    premise and person (LAG of end and start date).
+
+    Runs on the narrow agreement row, before the wide joins: the ordered scans
+    checkpoint their input, and a narrow row keeps that write small.
+    """
+    d = to_date(as_of)
+    row = row.filter(F.to_date("sa_start_date") < F.lit(d))
+    # sa_id (and the two fan-out flags of an agreement with several turn-on /
+    # turn-off rows) break the ties the warehouse left undefined
+    order = ["sa_start_date", "sa_id", "dnp_started_flag", "dnp_stopped_flag"]
+    row = ordered_lag(
+        row,
+        "premise_id",
+        order,
+        {"sa_end_date": "premise_prior_stop_date", "sa_start_date": "premise_prior_start_date"},
+        skew_safe=skew_safe,
+    )
+    return ordered_lag(
+        row,
+        "person_id",
+        order,
+        {"sa_end_date": "person_prior_stop_date", "sa_start_date": "person_prior_start_date"},
+        skew_safe=skew_safe,
+    )
 
 
 def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None) -> DataFrame:
     d = to_date(as_of)
     years = years or study_years(d)
     base = base_agreements(src.sa)
+    row = with_history(with_flags_a(base, src, d), d, skew_safe)
 
-    # -- keyed by agreement ------------------------------------------------
-    row = with_flags_a(base, src, d)
+    # -- keyed by agreement: every right side is one row per sa_id ------------
     billing = agg.billing_counts(src.ft, d)
     row = row.join(billing, "sa_id", "left")
     row = row.join(J.last_payment_date(src.ft, src.pay_seg, src.pay, src.pay_event, d), "sa_id", "left")
     row = row.join(agg.late_payment_counts(src.adj, d), "sa_id", "left")
     row = row.join(agg.pledge_by_year(src.pledge, years), "sa_id", "left")
     row = row.join(agg.usage_18m(src.usage_fact, d), "sa_id", "left")
-    zero_cols = [c for c in billing.columns if c != "sa_id"] + ["late_payment_count"]
-    row = row.fillna(0, subset=[c for c in zero_cols if c.endswith("months") or c == "late_payment_count"])
-    row = row.fillna(0.0, subset=[c for c in zero_cols if c.endswith("amount")])
+    counts = [c for c in billing.columns if c.endswith("months")] + ["late_payment_count"]
+    amounts = [c for c in billing.columns if c.endswith("amount")]
+    row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)
     row = row.fillna(0, subset=[f"pledge_flag_{y}" for y in years])
 
-    # -- keyed by premise ------------------------------------------------------
+    # -- keyed by premise ---------------------------------------------------------
     row = J.existence_flag(row, J.premise_dnp_12m(src.recdet, d), "premise_id", "premise_level_12_mth_dnp_flag")
     for k in (1, 2, 3):
         row = J.existence_flag(
@@ -107,43 +145,23 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
         )
     row = row.join(agg.history_min_max(base, "premise_id", d, "premise"), "premise_id", "left")
 
-    # -- keyed by account ---------------------------------------------------------
+    # -- keyed by account ------------------------------------------------------------
     credit = src.credit.select("account_id", "internal_credit_rating").distinct()
     row = row.join(credit, "account_id", "left").withColumn(
         "internal_credit_rating", F.coalesce(F.col("internal_credit_rating"), F.lit(-1))
     )
     row = J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
 
-    # -- keyed by person ------------------------------------------------------------
+    # -- keyed by person ---------------------------------------------------------------
     row = J.existence_flag(row, J.pledge_persons_18m(src.pledge, d), "person_id", "person_rcvd_18_mths_pledge")
     row = row.join(agg.history_min_max(base, "person_id", d, "person"), "person_id", "left")
 
-    # -- weather at start and end, year one-hots ----------------------------------
+    # -- weather at start and end (one row per day), year one-hots -------------------
     row = J.weather_at(row, src.weather, "sa_start_date", "sa_start")
     row = J.weather_at(row, src.weather, "sa_end_date", "sa_end")
     row = row.select(
         "*", *year_onehot("sa_end_year", years, "stop"), *year_onehot("sa_start_year", years, "start")
     )
-
-    # -- history: started before D only, then LAG per premise and per person -------
-    row = row.filter(F.to_date("sa_start_date") < F.lit(d))
-    # sa_id (and the two fan-out flags of an agreement with several turn-on /
-    # turn-off rows) break the ties the warehouse left undefined
-    order = ["sa_start_date", "sa_id", "dnp_started_flag", "dnp_stopped_flag"]
-    row = ordered_lag(
-        row,
-        "premise_id",
-        order,
-        {"sa_end_date": "premise_prior_stop_date", "sa_start_date": "premise_prior_start_date"},
-        skew_safe=skew_safe,
-    )
-    row = ordered_lag(
-        row,
-        "person_id",
-        order,
-        {"sa_end_date": "person_prior_stop_date", "sa_start_date": "person_prior_start_date"},
-        skew_safe=skew_safe,
-    )
     return feature_view(row, d, years)
 
 

@@ -55,21 +55,30 @@ class Context:
 
     @cached_property
     def src(self):
+        """Source tables of the warehouse.  The three analog views that many
+        stages read (agreements, turn-on/off facts, financial transactions) are
+        written once to the checkpoint folder, as the warehouse reads stored
+        tables, instead of being re-derived in every branch of every plan."""
+        from churnscope.operators.ordered import stable_checkpoint
         from churnscope.plans.features import Sources
 
+        for name in ("sa", "recdet", "ft"):
+            self.fx.__dict__[name] = stable_checkpoint(getattr(self.fx, name))
         return Sources.from_fixtures(self.fx)
 
     @cached_property
     def base(self) -> DataFrame:
         from churnscope.plans.features import base_agreements
 
-        return base_agreements(self.fx.sa)
+        return base_agreements(self.src.sa)
 
     @cached_property
     def features(self) -> DataFrame:
+        """The feature table, written once (the warehouse's final stage table)."""
+        from churnscope.operators.ordered import stable_checkpoint
         from churnscope.plans.features import build_feature_table
 
-        return build_feature_table(self.src, self.d, skew_safe=self.skew_safe)
+        return stable_checkpoint(build_feature_table(self.src, self.d, skew_safe=self.skew_safe))
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -79,9 +88,10 @@ class Context:
 
     @cached_property
     def labelled(self) -> DataFrame:
+        from churnscope.operators.ordered import stable_checkpoint
         from churnscope.plans.chapters import labelled
 
-        return labelled(self.clean, self.d)
+        return stable_checkpoint(labelled(self.clean, self.d))
 
     @cached_property
     def active(self) -> DataFrame:
