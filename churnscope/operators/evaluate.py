@@ -33,7 +33,7 @@ def savings_score(df: DataFrame, label: str = "label", pred: str = "pred") -> Da
     out = [F.col(c) for c in ("tn", "fp", "fn", "tp")]
     for name, m in SAVINGS.items():
         out.append(sum(F.col(c) * F.lit(w) for c, w in m.items()).cast("bigint").alias(f"savings_{name}"))
-    out.append(((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))).alias("accuracy"))
+    out.append(F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn")).alias("accuracy"))
     return cm.select(*out)
 
 
@@ -57,9 +57,9 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
     per_class = rows[0].unionByName(rows[1])  # two rows
     avg = per_class.agg(
         F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
+        F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
+        F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
+        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
         F.sum("support").alias("n"),
     )
     macro = avg.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
@@ -68,7 +68,7 @@ def classification_report(df: DataFrame, label: str = "label", pred: str = "pred
                           F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support"))
     acc = cm.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
                     F.lit(None).cast("double").alias("recall"),
-                    ((F.col("tp") + F.col("tn")) / n).alias("f1"), n.alias("support"))
+                    F.try_divide(F.col("tp") + F.col("tn"), n).alias("f1"), n.alias("support"))
     return per_class.unionByName(macro).unionByName(weighted).unionByName(acc)
 
 
@@ -84,8 +84,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "prob") -> DataF
     cum = running_sum(per, ["threshold"], {"pos": "tp", "neg": "fp"}, ascending=False)
     return cum.select(
         "threshold",
-        (F.col("fp") / F.lit(float(tot["N"] or 0))).alias("fpr"),
-        (F.col("tp") / F.lit(float(tot["P"] or 0))).alias("tpr"),
+        F.try_divide(F.col("fp"), F.lit(float(tot["N"] or 0))).alias("fpr"),
+        F.try_divide(F.col("tp"), F.lit(float(tot["P"] or 0))).alias("tpr"),
     )
 
 
@@ -101,7 +101,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob") -> DataFra
         F.sum(F.col("n") - F.col("pos")).alias("n0"),
     )
     return r1.select(
-        ((F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0) / (F.col("n1") * F.col("n0"))).alias("auc")
+        F.try_divide(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0, F.col("n1") * F.col("n0")).alias("auc")
     )
 
 

@@ -83,9 +83,12 @@ def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", weight: str | Non
 
 
 def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: str | None = None) -> RandomForestClassifier:
+    """Random forest; deep trees train level by level, so node ids are cached
+    (checkpointed every 10 levels) and more nodes are split per data pass."""
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees,
         maxDepth=min(depth or MAX_SPARK_DEPTH, MAX_SPARK_DEPTH), featureSubsetStrategy=subset, seed=SEED,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=2048,
     )
     if weight:
         rf.setWeightCol(weight)
@@ -96,6 +99,13 @@ def linear_svc(n_rows: int, C: float = 4.0) -> LinearSVC:
     return LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (C * max(n_rows, 1)), maxIter=1000)
 
 
+def sqrt_features(n: int) -> str:
+    """sklearn's ``max_features='sqrt'`` (floor); Spark's ``sqrt`` rounds up."""
+    import math
+
+    return str(max(1, int(math.sqrt(n))))
+
+
 def fit(train: DataFrame, features: list[str], estimator):
     return Pipeline(stages=[assembler(features), estimator]).fit(train)
 

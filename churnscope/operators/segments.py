@@ -119,7 +119,7 @@ def cohort_table(lab: DataFrame, as_of) -> DataFrame:
     pairs = ", ".join(f"'{y}', `{y}`" for y in years)
     totals = totals.selectExpr(f"stack({len(years)}, {pairs}) as (stop_year, year_stops)")  # one row per year
     return cohorts.join(F.broadcast(totals), "stop_year", "left").withColumn(
-        "stop_share", F.col("stops") / F.col("year_stops")
+        "stop_share", F.try_divide(F.col("stops"), F.col("year_stops"))
     )
 
 

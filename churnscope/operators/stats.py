@@ -10,35 +10,62 @@ from pyspark.sql import functions as F
 from churnscope.operators.ordered import running_sum
 
 
+def corr(a: str, b: str):
+    """Pearson r with pairwise NULL deletion; NULL (not an error) when a column
+    is constant -- ``F.corr`` divides by a zero variance under ANSI mode."""
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
+    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+
+
+def corr_sql(a: str, b: str) -> str:
+    """DuckDB spelling of ``corr``."""
+    x = f"case when {b} is not null then cast({a} as double) end"
+    y = f"case when {a} is not null then cast({b} as double) end"
+    return f"(covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0))"
+
+
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """All pairwise Pearson r in one aggregate (pairwise NULL deletion, as pandas)."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    wide = df.agg(*[corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
     rows = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
     return wide.selectExpr(f"stack({len(pairs)}, {rows}) as (column_a, column_b, r)")
 
 
-def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Average rank (ties share the mean rank) of a column, 1-based.
+def average_ranks(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
+    """Average rank (ties share the mean rank, 1-based) of each column, one
+    ordered pass for all columns.
 
-    Ranks come from per-value counts and a two-phase running sum over the
-    distinct values, then one join back: no window over all rows.
+    The columns are unpivoted to (key, column, value); per-(column, value)
+    counts get a two-phase running sum in (column, value) order, minus the rows
+    of the preceding columns, which gives each value its rank range; ranks are
+    joined back on (column, value) and pivoted to one row per key.  No window
+    over all rows, no per-column job.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
+    rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
+    long = df.selectExpr(*[f"`{k}`" for k in key], f"stack({len(columns)}, {rows}) as (_col, _val)").filter(
+        F.col("_val").isNotNull()
+    )
+    counts = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_n"))
+    totals = {r["_col"]: r["t"] for r in counts.groupBy("_col").agg(F.sum("_n").alias("t")).collect()}
+    before, acc = {}, 0
+    for c in sorted(totals):
+        before[c], acc = acc, acc + totals[c]
+    offset = F.create_map(*[x for c, o in before.items() for x in (F.lit(c), F.lit(o))])
+    cum = running_sum(counts, ["_col", "_val"], {"_n": "_cum"})
+    ranks = cum.select(
+        "_col", "_val", (F.col("_cum") - offset[F.col("_col")] - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank")
     )
-    cum = running_sum(counts, ["_v"], {"_n": "_cum"})
-    ranks = cum.select("_v", (F.col("_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0).alias(name))
-    return df.join(ranks, df[column] == ranks["_v"], "left").drop("_v")
+    ranked = long.join(ranks, ["_col", "_val"])
+    return ranked.groupBy(*key).pivot("_col", columns).agg(F.first("_rank"))
 
 
-def spearman_matrix(df: DataFrame, columns: list[str], key: str = "sa_id") -> DataFrame:
-    """Spearman = Pearson on average ranks (columns without NULLs)."""
-    ranked = df.select(key, *columns)
-    for c in columns:
-        ranked = average_ranks(ranked, c, f"_r_{c}")
-    ranked = ranked.select(key, *[F.col(f"_r_{c}").alias(c) for c in columns])
-    return pearson_matrix(ranked, columns)
+def spearman_matrix(df: DataFrame, columns: list[str], key: list[str] | str = "sa_id") -> DataFrame:
+    """Spearman = Pearson on average ranks (columns without NULLs; ``key`` must
+    identify a row)."""
+    key = [key] if isinstance(key, str) else list(key)
+    return pearson_matrix(average_ranks(df, columns, key), columns)
 
 
 Z_975 = NormalDist().inv_cdf(0.975)
@@ -48,8 +75,8 @@ def pearson_ci(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
     """r, n, Fisher-z interval and r^2 of one pair (rows with both values)."""
     z = NormalDist().inv_cdf(1 - alpha / 2)
     both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    g = both.agg(F.corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
-    se = F.lit(1.0) / F.sqrt(F.col("n") - 3)
+    g = both.agg(corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
+    se = F.try_divide(F.lit(1.0), F.sqrt(F.col("n") - 3))
     return g.select(
         F.lit(a).alias("column_a"),
         F.lit(b).alias("column_b"),

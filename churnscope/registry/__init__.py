@@ -57,13 +57,14 @@ class Context:
     def src(self):
         """Source tables of the warehouse.  The three analog views that many
         stages read (agreements, turn-on/off facts, financial transactions) are
-        written once to the checkpoint folder, as the warehouse reads stored
-        tables, instead of being re-derived in every branch of every plan."""
-        from churnscope.operators.ordered import stable_checkpoint
+        written once as parquet tables in the shared folder, as the warehouse
+        reads stored tables, instead of being re-derived in every branch of
+        every plan."""
         from churnscope.plans.features import Sources
+        from churnscope.sources.csv_io import stage_table
 
         for name in ("sa", "recdet", "ft"):
-            self.fx.__dict__[name] = stable_checkpoint(getattr(self.fx, name))
+            self.fx.__dict__[name] = stage_table(getattr(self.fx, name), name)
         return Sources.from_fixtures(self.fx)
 
     @cached_property
@@ -75,10 +76,10 @@ class Context:
     @cached_property
     def features(self) -> DataFrame:
         """The feature table, written once (the warehouse's final stage table)."""
-        from churnscope.operators.ordered import stable_checkpoint
         from churnscope.plans.features import build_feature_table
+        from churnscope.sources.csv_io import stage_table
 
-        return stable_checkpoint(build_feature_table(self.src, self.d, skew_safe=self.skew_safe))
+        return stage_table(build_feature_table(self.src, self.d, skew_safe=self.skew_safe), "features")
 
     @cached_property
     def clean(self) -> DataFrame:
@@ -88,10 +89,10 @@ class Context:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        from churnscope.operators.ordered import stable_checkpoint
         from churnscope.plans.chapters import labelled
+        from churnscope.sources.csv_io import stage_table
 
-        return stable_checkpoint(labelled(self.clean, self.d))
+        return stage_table(labelled(self.clean, self.d), "labelled")
 
     @cached_property
     def active(self) -> DataFrame:

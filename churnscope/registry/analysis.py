@@ -298,7 +298,7 @@ def _cohort_sql(kind: str) -> str:
     )
     if kind == "rate":
         return cohorts + "select stop_year, sa_start_year, stop_rate, stops, alive from g"
-    return cohorts + ("select g.stop_year, g.sa_start_year, g.stops, t.year_stops, g.stops / t.year_stops as stop_share "
+    return cohorts + ("select g.stop_year, g.sa_start_year, g.stops, t.year_stops, g.stops / nullif(t.year_stops, 0) as stop_share "
                       "from g left join t on g.stop_year = t.stop_year")
 
 
@@ -501,7 +501,7 @@ def _bootstrap_sql(reps: int = 200) -> str:
     w = " + ".join(f"cast({u} >= {t!r}::double as integer)" for t in R.poisson_thresholds())
     cols = [f"stop_{h}_days" for h in HORIZONS]
     sums = ", ".join(f"sum(w * {x}) as {x}" for x in cols)
-    means = ", ".join(f"{x} / sw as {x}" for x in cols)
+    means = ", ".join(f"{x} / nullif(sw, 0) as {x}" for x in cols)
     parts = " union all ".join(
         f"select '{x}' as column_name, (select avg({x}) from b) as mean, quantile_cont({x}, 0.025) as ci_low, "
         f"quantile_cont({x}, 0.975) as ci_high from m" for x in cols
@@ -528,7 +528,7 @@ PEARSON_COLS = [
 
 def _pairs_sql(cols: list[str], src: str) -> str:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    return " union all ".join(f"select '{a}' as column_a, '{b}' as column_b, corr({a}, {b}) as r from {src}" for a, b in pairs)
+    return " union all ".join(f"select '{a}' as column_a, '{b}' as column_b, {ST.corr_sql(a, b)} as r from {src}" for a, b in pairs)
 
 
 @register("pearson_matrix", oracle(_pairs_sql(PEARSON_COLS, "active")))
@@ -551,16 +551,16 @@ def _spearman_sql() -> str:
 
 @register("spearman_matrix", oracle(_spearman_sql()))
 def spearman_matrix(c):
-    return ST.spearman_matrix(c.active, SPEARMAN_COLS)
+    return ST.spearman_matrix(c.active, SPEARMAN_COLS, key=["sa_id", "dnp_started_flag", "dnp_stopped_flag"])
 
 
 @register(
     "pearson_ci",
     oracle(
         "select 'payments_in_last_18_months' as column_a, 'bills_in_last_18_months' as column_b, r, n, "
-        f"tanh(atanh(r) - {ST.Z_975!r}::double * (1.0 / sqrt(n - 3))) as ci_low, "
-        f"tanh(atanh(r) + {ST.Z_975!r}::double * (1.0 / sqrt(n - 3))) as ci_high, r * r as r_squared "
-        "from (select corr(payments_in_last_18_months, bills_in_last_18_months) as r, count(*) as n from active "
+        f"tanh(atanh(r) - {ST.Z_975!r}::double * (1.0 / nullif(sqrt(n - 3), 0))) as ci_low, "
+        f"tanh(atanh(r) + {ST.Z_975!r}::double * (1.0 / nullif(sqrt(n - 3), 0))) as ci_high, r * r as r_squared "
+        f"from (select {ST.corr_sql('payments_in_last_18_months', 'bills_in_last_18_months')} as r, count(*) as n from active "
         "where payments_in_last_18_months is not null and bills_in_last_18_months is not null) g"
     ),
 )
@@ -589,13 +589,13 @@ def standardize(c):
     "math_scalar",
     oracle(
         "select city, r, atanh(r) as z, tanh(atanh(r)) as r_back, sqrt(n) as sqrt_n, round_even(r, 1) as r_1dp from "
-        "(select city, corr(payments_in_last_18_months, bills_in_last_18_months) as r, count(*) as n from active "
+        f"(select city, {ST.corr_sql('payments_in_last_18_months', 'bills_in_last_18_months')} as r, count(*) as n from active "
         "group by city having count(*) >= 3) g"
     ),
 )
 def math_scalar(c):
     g = c.active.groupBy("city").agg(
-        F.corr("payments_in_last_18_months", "bills_in_last_18_months").alias("r"), F.count(F.lit(1)).alias("n")
+        ST.corr("payments_in_last_18_months", "bills_in_last_18_months").alias("r"), F.count(F.lit(1)).alias("n")
     ).filter(F.col("n") >= 3)
     return g.select(
         "city", "r", F.atanh("r").alias("z"), F.tanh(F.atanh("r")).alias("r_back"), F.sqrt("n").alias("sqrt_n"),

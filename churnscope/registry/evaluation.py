@@ -18,7 +18,7 @@ def confusion_matrix(c):
     "savings_score",
     oracle(
         f"select tn, fp, fn, tp, cast(100 * tp - 10 * fp as bigint) as savings_report, cast(100 * tp - 10 * fn as bigint) as savings_scorer, "
-        f"(tp + tn) / (tp + tn + fp + fn) as accuracy from (select {CM} from scored) cm"
+        f"(tp + tn) / nullif(tp + tn + fp + fn, 0) as accuracy from (select {CM} from scored) cm"
     ),
 )
 def savings_score(c):
@@ -36,9 +36,9 @@ def _report_sql() -> str:
         f"with cm as (select {CM} from scored), pc as ({cls('0', 'tn', 'fn', 'fp')} union all {cls('1', 'tp', 'fp', 'fn')}) "
         "select * from pc union all "
         "select 'macro avg', avg(precision), avg(recall), avg(f1), cast(sum(support) as bigint) from pc union all "
-        "select 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), "
-        "sum(f1 * support) / sum(support), cast(sum(support) as bigint) from pc union all "
-        "select 'accuracy', null, null, (tp + tn) / (tp + tn + fp + fn), tp + tn + fp + fn from cm"
+        "select 'weighted avg', sum(precision * support) / nullif(sum(support), 0), sum(recall * support) / nullif(sum(support), 0), "
+        "sum(f1 * support) / nullif(sum(support), 0), cast(sum(support) as bigint) from pc union all "
+        "select 'accuracy', null, null, (tp + tn) / nullif(tp + tn + fp + fn, 0), tp + tn + fp + fn from cm"
     )
 
 
@@ -52,8 +52,8 @@ def classification_report(c):
     oracle(
         "with per as (select prob as threshold, sum(label) as pos, sum(1 - label) as neg from scored group by prob), "
         "tot as (select sum(label) as p, sum(1 - label) as n from scored) "
-        "select threshold, sum(neg) over (order by threshold desc rows between unbounded preceding and current row) / tot.n as fpr, "
-        "sum(pos) over (order by threshold desc rows between unbounded preceding and current row) / tot.p as tpr from per, tot"
+        "select threshold, sum(neg) over (order by threshold desc rows between unbounded preceding and current row) / nullif(tot.n, 0) as fpr, "
+        "sum(pos) over (order by threshold desc rows between unbounded preceding and current row) / nullif(tot.p, 0) as tpr from per, tot"
     ),
 )
 def roc_curve(c):
@@ -65,7 +65,7 @@ def roc_curve(c):
     oracle(
         "with per as (select prob as s, count(*) as n, sum(label) as pos from scored group by prob), "
         "cc as (select *, sum(n) over (order by s rows between unbounded preceding and current row) as cum from per) "
-        "select (sum(pos * (cum - n + (n + 1) / 2.0)) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * sum(n - pos)) as auc from cc"
+        "select (sum(pos * (cum - n + (n + 1) / 2.0)) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * sum(n - pos), 0) as auc from cc"
     ),
 )
 def roc_auc(c):

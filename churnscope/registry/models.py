@@ -122,7 +122,7 @@ def _forest_model(c, trees, depth, subset, balanced):
 
 @register("random_forest_fit")
 def random_forest_fit(c):
-    return M.predict(_forest_model(c, 1000, 35, "sqrt", False), _test(c))
+    return M.predict(_forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
 
 
 @register("rf_max_features_sweep")
@@ -159,7 +159,7 @@ def rf_by_segment(c):
 
 @register("feature_importance")
 def feature_importance(c):
-    model = _forest_model(c, 1000, 35, "sqrt", False)
+    model = _forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False)
     rows = M.feature_importance(model, MODEL_FEATURES)
     return c.spark.createDataFrame(rows, "feature string, importance double")
 
@@ -190,7 +190,7 @@ def lasso_select(c):
 @register("train_score_report")
 def train_score_report(c):
     """Split -> re-sample -> forest -> predict on the test split -> money and report."""
-    preds = M.predict(_forest_model(c, 1000, 35, "sqrt", False), _test(c))
+    preds = M.predict(_forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
     money = E.savings_score(preds)
     report = E.classification_report(preds)
     return report.withColumn("savings_report", F.lit(money.first()["savings_report"]))

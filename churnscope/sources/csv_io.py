@@ -40,6 +40,20 @@ def scan_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
-    """``create table as select``: write the stage as parquet and read it back."""
+    """``create table as select``: write the stage as parquet and read it back.
+
+    Later queries read only the columns they use and push their filters into
+    the scan; the lineage of the stage is cut (a lost executor re-reads files
+    instead of recomputing the stage).
+    """
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def stage_table(df: DataFrame, name: str) -> DataFrame:
+    """Materialize ``df`` under the session's shared checkpoint folder."""
+    import uuid
+
+    from churnscope.session import checkpoint_dir
+
+    return materialize(df, f"{checkpoint_dir(df.sparkSession).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}")
