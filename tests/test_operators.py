@@ -126,3 +126,44 @@ def test_csv_round_trip_keeps_null(spark, tmp_path):
     csv_io.sink_csv(df, path)
     back = csv_io.scan_csv_typed(spark, path, df.schema)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_pearson_p_value_matches_t_statistic(spark):
+    import math
+
+    from churnscope.operators import stats as ST
+
+    rows = [(float(i), float((i * 7) % 11 + i / 3.0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    r = ST.pearson_ci(df, "a", "b").first().r
+    n = len(rows)
+    t = r * math.sqrt((n - 2) / (1 - r * r))
+    p = ST.pearson_p_value(df, "a", "b")
+    # two-sided p of a large |t| is tiny; of the same t via the normal approx it is close
+    from statistics import NormalDist
+
+    approx = 2 * (1 - NormalDist().cdf(abs(t)))
+    assert 0.0 <= p <= 1.0
+    assert abs(p - approx) < 0.05
+
+
+def test_corr_constant_column_is_null_not_error(spark):
+    from churnscope.operators.stats import pearson_matrix
+
+    df = spark.createDataFrame([(1.0, 1.0), (1.0, 2.0), (1.0, 3.0)], "a double, b double")
+    assert pearson_matrix(df, ["a", "b"]).first().r is None
+
+
+def test_exact_quantiles_match_pandas(spark):
+    import pandas as pd
+
+    from churnscope.operators.ordered import exact_quantiles
+
+    vals = [float((i * 37) % 101) for i in range(500)] + [None] * 5
+    df = spark.createDataFrame([(v, v * 2 if v is not None else None) for v in vals], "x double, y double")
+    got = exact_quantiles(df, ["x", "y"], (0.1, 0.25, 0.5, 0.9))
+    s = pd.Series(vals, dtype="float64")
+    for p, q in zip((0.1, 0.25, 0.5, 0.9), got["x"]):
+        assert abs(q - s.quantile(p)) < 1e-9
+    for p, q in zip((0.1, 0.25, 0.5, 0.9), got["y"]):
+        assert abs(q - (s * 2).quantile(p)) < 1e-9
