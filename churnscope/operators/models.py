@@ -141,7 +141,7 @@ def grid_search(train: DataFrame, features: list[str], folds: int = 5, balanced:
     )
     cv = CrossValidator(
         estimator=Pipeline(stages=[assembler(features), lr]), estimatorParamMaps=grid,
-        evaluator=SavingsEvaluator("scorer"), foldCol="fold", parallelism=parallelism,
+        evaluator=SavingsEvaluator("scorer"), foldCol="fold", numFolds=folds, parallelism=parallelism,
     )
     return cv.fit(data), grid
 

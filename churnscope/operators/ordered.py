@@ -28,12 +28,6 @@ PID = "_cs_pid"
 FIRST = "_cs_first"
 
 
-def _partitions(df: DataFrame, n: int | None) -> int:
-    if n:
-        return n
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def stable_checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (shared folder) that computes its input only once.
 
@@ -48,8 +42,13 @@ def stable_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def range_sorted(df: DataFrame, order_cols: list, n: int | None = None) -> DataFrame:
-    """Range-partition and sort on ``order_cols``; checkpoint; tag partition ids."""
-    ranged = df.repartitionByRange(_partitions(df, n), *order_cols).sortWithinPartitions(*order_cols)
+    """Range-partition and sort on ``order_cols``; checkpoint; tag partition ids.
+
+    Without an explicit ``n`` the partition count is left to AQE, which merges
+    adjacent (hence still ordered) small ranges.
+    """
+    ranged = df.repartitionByRange(n, *order_cols) if n else df.repartitionByRange(*order_cols)
+    ranged = ranged.sortWithinPartitions(*order_cols)
     return stable_checkpoint(ranged).withColumn(PID, F.spark_partition_id())
 
 

@@ -56,9 +56,26 @@ def _test(c):
     return model_frame(c).filter(F.col("is_test") == 1)
 
 
+def _training_partitions(c, rows: int) -> int:
+    """The re-sampled training set has a fixed size (it does not grow with the
+    input): one partition per core, at most one per 5,000 rows, so iterative
+    learners do not pay per-task overhead on slivers."""
+    cores = c.spark.sparkContext.defaultParallelism
+    return max(1, min(cores, rows // 5000))
+
+
 def resampled_train(c, sizes=None):
+    """20,000 stops + 40,000 non-stops drawn from the training split, written
+    once per session (every learner iterates over it many times)."""
+    from churnscope.sources.csv_io import stage_table
+
     sizes = sizes or {1: 20000, 0: 40000}
-    return R.resample_classes(_train(c).withColumn("label_i", F.col("label").cast("int")), "label_i", sizes, key=ORDER)
+    key = ("resampled_train", tuple(sorted(sizes.items())))
+    cache = c.__dict__.setdefault("_model_inputs", {})
+    if key not in cache:
+        drawn = R.resample_classes(_train(c).withColumn("label_i", F.col("label").cast("int")), "label_i", sizes, key=ORDER)
+        cache[key] = stage_table(drawn.repartition(_training_partitions(c, sum(sizes.values()))), "resampled_train")
+    return cache[key]
 
 
 def _n(df) -> int:
