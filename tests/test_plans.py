@@ -27,7 +27,8 @@ def feature_plan(spark):
 def test_lookback_filters_reach_the_scan(feature_plan):
     # the 18-month window of the billing counts and the season windows are literals
     assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(month_start_date,1997-08-01\)", feature_plan)
-    assert "EqualTo(frozen_sw,Y)" in feature_plan
+    # late-payment adjustments: type filter and the 18-month window on the raw table
+    assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(l_returnflag,R\)[^\]]*GreaterThanOrEqual\(l_shipdate,", feature_plan)
 
 
 def test_columns_are_pruned(feature_plan):
