@@ -48,3 +48,25 @@ def decile_bucket(df: DataFrame, c: str, name: str, where: Column | None = None,
     if where is not None:
         b = F.when(where, b)
     return df.withColumn(name, b.cast("int"))
+
+
+def decile_buckets(df: DataFrame, specs, floor=DECILE_FLOOR) -> DataFrame:
+    """Several ``decile_bucket`` columns from one ordered quantile pass.
+
+    ``specs`` holds ``(column, name, where)``; a row outside ``where`` enters
+    the quantiles of that column as NULL, which the pass skips.
+    """
+    from churnscope.operators.ordered import exact_quantiles as quantiles
+
+    masked = [
+        (F.col(c) if where is None else F.when(where, F.col(c))).alias(f"_q_{name}") for c, name, where in specs
+    ]
+    qs = quantiles(df.select(*masked), [f"_q_{name}" for _, name, _ in specs], DECILE_PROBS)
+    for c, name, where in specs:
+        edges = qs.get(f"_q_{name}") or []
+        if not edges:
+            df = df.withColumn(name, F.lit(None).cast("int"))
+            continue
+        b = cascade_bucket(c, [floor, *edges])
+        df = df.withColumn(name, (b if where is None else F.when(where, b)).cast("int"))
+    return df

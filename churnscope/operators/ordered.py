@@ -1,9 +1,9 @@
 """Skew-safe ordered scans: LAG within a key and global running sums.
 
 A ``Window.partitionBy(key)`` puts every row of a key into one task; when one
-premise or person holds a third of all rows that task is the job.  Here the
-rows are range-partitioned on ``(key, order...)`` instead, so a hot key is
-spread over many balanced partitions; each partition is scanned in order by an
+premise or person holds a third of all rows that task is the job.  Rows of
+such hot keys are range-partitioned on ``(key, order...)`` instead, so a hot
+key is spread over many balanced partitions; each partition is scanned in order by an
 Arrow batch function, and the only cross-partition information -- the last
 row of each partition -- is a table with one row per partition (its size is
 bounded by the partition count, so broadcasting it is safe).
@@ -78,6 +78,11 @@ def _lag_batches(key: str, values: list[str], outs: list[str]):
     return scan
 
 
+# A key with more rows than this is split over several ordered partitions;
+# smaller keys are handled by an ordinary window (one task per key is fine).
+HOT_KEY_ROWS = 2_000_000
+
+
 def ordered_lag(
     df: DataFrame,
     key: str,
@@ -85,18 +90,43 @@ def ordered_lag(
     values: dict[str, str],
     skew_safe: bool = True,
     n: int | None = None,
+    hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """``LAG(v, 1) OVER (PARTITION BY key ORDER BY order_cols)`` for each ``v -> out``.
 
     ``order_cols`` must make the order total within a key (add a unique id as
     the last tie-break).  Rows with a NULL key get NULL.
+
+    With ``skew_safe`` the keys holding more than ``hot_rows`` rows are found by
+    one partially aggregated count; their rows go through the range-partitioned
+    scan (``_ranged_lag``), every other key through a plain window.  When no key
+    is hot, nothing is checkpointed.
     """
     if not skew_safe:
-        w = Window.partitionBy(key).orderBy(*order_cols)
-        return df.select(
-            "*",
-            *[F.when(F.col(key).isNotNull(), F.lag(v, 1).over(w)).alias(o) for v, o in values.items()],
-        )
+        return _window_lag(df, key, order_cols, values)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cs_rows"))
+    hot = counts.filter(F.col("_cs_rows") > hot_rows).select(key)  # at most rows / hot_rows keys
+    if hot.limit(1).count() == 0:
+        return _window_lag(df, key, order_cols, values)
+    hot_rows_df = df.join(hot, key, "left_semi")
+    cold_rows_df = df.join(hot, key, "left_anti")
+    return _window_lag(cold_rows_df, key, order_cols, values).unionByName(
+        _ranged_lag(hot_rows_df, key, order_cols, values, n)
+    )
+
+
+def _window_lag(df: DataFrame, key: str, order_cols: list[str], values: dict[str, str]) -> DataFrame:
+    w = Window.partitionBy(key).orderBy(*order_cols)
+    return df.select(
+        "*",
+        *[F.when(F.col(key).isNotNull(), F.lag(v, 1).over(w)).alias(o) for v, o in values.items()],
+    )
+
+
+def _ranged_lag(df: DataFrame, key: str, order_cols: list[str], values: dict[str, str], n: int | None) -> DataFrame:
+    """LAG over rows range-partitioned on (key, order...): a hot key spans many
+    balanced partitions; each is scanned in order and its first row is repaired
+    from the last row of the partition before it."""
     src_cols = df.columns
     sorted_df = range_sorted(df, [key, *order_cols], n)
     out_fields = [T.StructField(o, sorted_df.schema[v].dataType, True) for v, o in values.items()]

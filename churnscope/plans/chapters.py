@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.asof import active_at, horizon_labels, to_date
-from churnscope.functions.buckets import ARREARS_EDGES, USAGE_EDGES, cascade_bucket, decile_bucket
+from churnscope.functions.buckets import ARREARS_EDGES, USAGE_EDGES, cascade_bucket, decile_buckets
 from churnscope.functions.scalar import DROPPED_STATUSES, present_flag, yn_to_int
 
 YN_FLAGS = (
@@ -39,10 +39,16 @@ def labelled(clean: DataFrame, as_of, horizons=(7, 14, 21)) -> DataFrame:
     """Horizon labels and the four buckets (two quantile-based, two fixed)."""
     d = to_date(as_of)
     out = clean.select("*", *horizon_labels(d, horizons))
-    out = decile_bucket(out, "arrears_payoff_amount", "arrears_payoff_bucket")
+    out = decile_buckets(
+        out,
+        [
+            ("arrears_payoff_amount", "arrears_payoff_bucket", None),
+            # quantiles of the active rows only, assigned only to them
+            ("active_diff_from_as_of", "current_days_active_bucket", active_at(d)),
+        ],
+    )
     out = out.withColumn("arrears_payoff_bucket_2", cascade_bucket("arrears_payoff_amount", ARREARS_EDGES))
-    out = out.withColumn("usage_past_18_bucket", cascade_bucket("usage_in_last_18_months", USAGE_EDGES))
-    return decile_bucket(out, "active_diff_from_as_of", "current_days_active_bucket", where=active_at(d))
+    return out.withColumn("usage_past_18_bucket", cascade_bucket("usage_in_last_18_months", USAGE_EDGES))
 
 
 def active_set(labelled_df: DataFrame, as_of) -> DataFrame:

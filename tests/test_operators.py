@@ -45,11 +45,15 @@ def _skewed(spark):
 
 def test_ordered_lag_matches_window_on_hot_key(spark):
     df = _skewed(spark)
-    safe = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=True, n=7)
+    # key 1 holds two thirds of the rows: with hot_rows=500 it takes the ranged
+    # path over 7 partitions, the other keys the window path
+    safe = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=True, n=7, hot_rows=500)
     plain = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=False)
+    all_ranged = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=True, n=5, hot_rows=0)
     a = sorted(safe.select("id", "prev_d", "prev_id").collect())
     b = sorted(plain.select("id", "prev_d", "prev_id").collect())
-    assert a == b
+    c = sorted(all_ranged.select("id", "prev_d", "prev_id").collect())
+    assert a == b == c
     assert all(r.prev_id is None for r in safe.filter(F.col("k").isNull()).collect())
 
 
