@@ -72,10 +72,6 @@ left join (select sa_id, count(*) as payments from ft group by sa_id) p on s.sa_
 _DEPS_RE = re.compile(r"\b(" + "|".join(VIEWS) + r")\b")
 
 
-def _deps(name: str) -> list[str]:
-    return [d for d in dict.fromkeys(_DEPS_RE.findall(VIEWS[name])) if d != name]
-
-
 def with_views(body: str, extra: dict[str, str] | None = None) -> str:
     """Prefix ``body`` with the analog views (and ``extra`` CTEs) it references."""
     extra = extra or {}

@@ -1,0 +1,8 @@
+"""Streaming: intentionally empty.
+
+The studied workload is a batch study as of a date: a warehouse script, then
+analysis and model notebooks.  It has no stream source, no watermark, no
+windowed or stateful aggregation over event time, so there is nothing to
+re-express with Structured Streaming.  A new as-of date is a new batch run of
+``plans.features.build_feature_table``.
+"""
