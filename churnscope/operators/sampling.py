@@ -124,7 +124,7 @@ def poisson_weight(u: Column, k_max: int = 12) -> Column:
 
 
 def bootstrap_mean_ci(
-    df: DataFrame, columns: list[str], key: str = "sa_id", replicates: int = 200, alpha: float = 0.05, salt: str = "boot:"
+    df: DataFrame, columns: list[str], key: str = "sa_id", replicates: int = 10_000, alpha: float = 0.05, salt: str = "boot:"
 ) -> DataFrame:
     """Poisson bootstrap of the mean of each column: percentile interval.
 

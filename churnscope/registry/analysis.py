@@ -515,6 +515,8 @@ def _bootstrap_sql(reps: int = 200) -> str:
 
 @register("bootstrap_mean_ci", oracle(_bootstrap_sql()))
 def bootstrap_mean_ci(c):
+    # the study draws 10,000 replicates (the library default); the registered
+    # check uses 200, as planned for the oracle comparison
     return R.bootstrap_mean_ci(c.active, [f"stop_{h}_days" for h in HORIZONS], replicates=200)
 
 
