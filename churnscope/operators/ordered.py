@@ -208,7 +208,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
     import math
 
     rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {rows}) as (_col, _val)").filter(F.col("_val").isNotNull())
+    # a value repeated on a third of the rows would be one range partition; a
+    # per-row hash after the value lets the range partitioner split such ties
+    # (their order among themselves does not change any order statistic)
+    tagged = df.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_tb"))
+    long = tagged.selectExpr("_tb", f"stack({len(columns)}, {rows}) as (_col, _val)").filter(F.col("_val").isNotNull())
     counts = {r["_col"]: r["n"] for r in long.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
     for c in sorted(counts):
@@ -223,7 +227,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
     out = {c: [] for c in columns}
     if not wanted:
         return out
-    indexed = dense_index(long, ["_col", "_val"], "_i", n)
+    indexed = dense_index(long, ["_col", "_val", "_tb"], "_i", n)
     picked = {wanted[r["_i"]]: r["_val"] for r in indexed.filter(F.col("_i").isin(list(wanted))).collect()}
     for c, cnt in counts.items():
         vals = []
