@@ -209,9 +209,10 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
 
     rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     # a value repeated on a third of the rows would be one range partition; a
-    # per-row hash after the value lets the range partitioner split such ties
-    # (their order among themselves does not change any order statistic)
-    tagged = df.select(*[F.col(f"`{c}`") for c in columns], F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("_tb"))
+    # per-row id after the value lets the range partitioner split such ties
+    # (their order among themselves does not change any order statistic, and
+    # the sorted rows are checkpointed before they are indexed)
+    tagged = df.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_tb"))
     long = tagged.selectExpr("_tb", f"stack({len(columns)}, {rows}) as (_col, _val)").filter(F.col("_val").isNotNull())
     counts = {r["_col"]: r["n"] for r in long.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
