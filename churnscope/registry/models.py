@@ -195,6 +195,20 @@ def predict_proba(c):
     return M.predict(model, _test(c)).filter(F.col("prob").isNotNull())
 
 
+@register("knn_classify")
+def knn_classify(c):
+    """k-NN (k = 1..11, uniform vote) of the test split against the re-sampled
+    training rows; exact neighbours from the banded join of ``operators.neighbors``."""
+    from churnscope.operators.neighbors import knn_classify as knn
+
+    tr = resampled_train(c).withColumn("row_id", F.col("draw") * 2 + F.col("label_i"))
+    # one query per test row (an agreement can carry two fan-out rows)
+    qid = F.col("sa_id") * 4 + F.col("dnp_started_flag_number") * 2 + F.col("dnp_stopped_flag_number")
+    te = _test(c).withColumn("query_id", qid)
+    out = knn(tr, te, MODEL_FEATURES, k_values=range(1, 12), train_id="row_id", query_id="query_id")
+    return out.join(te.select("query_id", "sa_id"), "query_id").drop("query_id")
+
+
 LASSO_FEATURES = [f for f in MODEL_FEATURES if f not in ("city_num", "customer_class_num")]
 
 

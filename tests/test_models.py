@@ -42,3 +42,30 @@ def test_balanced_weights(spark):
 
 def test_sqrt_features_floor():
     assert M.sqrt_features(30) == "5" and M.sqrt_features(1) == "1"
+
+
+def test_knn_matches_brute_force(spark):
+    import numpy as np
+
+    from churnscope.operators.neighbors import knn_classify, knn_neighbours
+
+    rng = np.random.default_rng(7)
+    tr = rng.normal(size=(300, 3)) * np.array([50.0, 3.0, 1.0])
+    tr[::10] = tr[1::10]  # duplicated rows: distance ties
+    yt = (tr[:, 1] > 0).astype(float)
+    te = rng.normal(size=(40, 3)) * np.array([50.0, 3.0, 1.0])
+    train = spark.createDataFrame([(i, float(yt[i]), *map(float, tr[i])) for i in range(len(tr))],
+                                  "row_id long, label double, a double, b double, c double")
+    test = spark.createDataFrame([(1000 + i, 0.0, *map(float, te[i])) for i in range(len(te))],
+                                 "sa_id long, label double, a double, b double, c double")
+    k = 5
+    got = {(r.sa_id, r.nb): (round(r.distance, 9), r.nb_label)
+           for r in knn_neighbours(train, test, ["a", "b", "c"], k, "row_id", "sa_id").collect()}
+    for i in range(len(te)):
+        d = np.sqrt(((tr - te[i]) ** 2).sum(axis=1))
+        order = sorted(range(len(tr)), key=lambda j: (d[j], j))[:k]
+        for nb, j in enumerate(order, start=1):
+            assert got[(1000 + i, nb)] == (round(float(d[j]), 9), float(yt[j]))
+    preds = knn_classify(train, test, ["a", "b", "c"], k_values=[1, 3, 5], train_id="row_id")
+    assert preds.count() == 3 * len(te)
+    assert preds.filter((F.col("prob") < 0) | (F.col("prob") > 1)).count() == 0
