@@ -90,7 +90,7 @@ def ordered_lag(
     values: dict[str, str],
     skew_safe: bool = True,
     n: int | None = None,
-    hot_rows: int = HOT_KEY_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``LAG(v, 1) OVER (PARTITION BY key ORDER BY order_cols)`` for each ``v -> out``.
 
@@ -104,6 +104,7 @@ def ordered_lag(
     """
     if not skew_safe:
         return _window_lag(df, key, order_cols, values)
+    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cs_rows"))
     hot = counts.filter(F.col("_cs_rows") > hot_rows).select(key)  # at most rows / hot_rows keys
     if hot.limit(1).count() == 0:
