@@ -15,7 +15,8 @@ rows sorted on the axis (the feature with the largest variance):
 
 Positions and band edges come from one two-phase running count (no window over
 all rows); candidates are ranked in chunks of bounded size, then per query
-over the chunk winners.  No candidate is dropped: the band is exact.
+over the chunk winners.  No candidate is dropped: the band is exact.  Training
+rows repeated by re-sampling are searched once and carry their copy count.
 """
 
 from __future__ import annotations
@@ -34,18 +35,25 @@ def _distance(features: list[str], left: str, right: str):
 
 def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int, train_id: str, query_id: str,
                    label: str = "label") -> DataFrame:
-    """(query id, neighbour rank 1..k, neighbour label, distance) for every query."""
+    """For every query, the distinct training rows that make up its k nearest
+    neighbours: (query id, rank, label, distance, weight), where ``weight`` is
+    how many copies of that row fall among the k nearest (re-sampled training
+    sets repeat rows; a row is searched once and counted with its copies).
+
+    Order: distance, then the smallest training id of the row's copies.
+    """
     spark = train.sparkSession
     var = train.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
     axis = max(features, key=lambda f: var[f] or 0.0)
 
-    t = train.select(F.col(train_id).alias("_tid"), F.col(label).cast("double").alias("_y"),
+    t = train.select(F.col(train_id).alias("_tid0"), F.col(label).cast("double").alias("_y"),
                      *[F.col(f).cast("double").alias(f) for f in features])
+    t = t.groupBy("_y", *features).agg(F.min("_tid0").alias("_tid"), F.count(F.lit(1)).alias("_m"))
     t = t.withColumn("_p", F.col(axis))
     indexed = dense_index(t, ["_p", "_tid"], "_r")
     n = indexed.count()
     if n == 0:
-        return spark.createDataFrame([], f"{query_id} long, nb int, nb_label double, distance double")
+        return spark.createDataFrame([], f"{query_id} long, nb int, nb_label double, distance double, weight long")
     q = test.select(F.col(query_id).alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features])
     q = q.withColumn("_p", F.col(axis))
 
@@ -68,12 +76,16 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
     seeds = (
         seed_ranks.join(indexed.alias("tr"), "_r")
         .join(q.alias("qq"), "_qid")
-        .select("_qid", _distance(features, "tr", "qq").alias("_d"))
+        .select("_qid", F.col("tr._m").alias("_m"), _distance(features, "tr", "qq").alias("_d"))
     )
-    # <= 2k seeds per query; with fewer than k training rows the band is everything
-    radius = seeds.groupBy("_qid").agg(F.sort_array(F.collect_list("_d")).alias("_ds")).select(
-        "_qid",
-        F.when(F.size("_ds") >= k, F.try_element_at("_ds", F.lit(k))).otherwise(F.lit(float("inf"))).alias("_rad"),
+    # <= 2k seeds per query: the distance at which their copies reach k; if all
+    # seeds hold fewer than k copies, the band is everything
+    ws = Window.partitionBy("_qid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
+    radius = (
+        seeds.withColumn("_cm", F.sum("_m").over(ws))
+        .groupBy("_qid")
+        .agg(F.min(F.when(F.col("_cm") >= k, F.col("_d"))).alias("_rad"))
+        .select("_qid", F.coalesce(F.col("_rad"), F.lit(float("inf"))).alias("_rad"))
     )
 
     # 2. every training row inside the band on the axis (widened by a rounding
@@ -86,16 +98,26 @@ def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: in
     cand = (
         ranks.join(indexed.alias("tr"), "_r")
         .join(q.alias("qq"), "_qid")
-        .select("_qid", "_r", F.col("tr._tid").alias("_tid"), F.col("tr._y").alias("_y"),
+        .select("_qid", "_r", F.col("tr._tid").alias("_tid"), F.col("tr._y").alias("_y"), F.col("tr._m").alias("_m"),
                 _distance(features, "tr", "qq").alias("_d"))
     )
-    # rank within bounded chunks, then over the chunk winners of each query
+    # nearest rows within bounded chunks of the band, then over the chunk
+    # winners of each query; a row is kept while the copies before it are < k
     order = [F.col("_d"), F.col("_tid")]
-    w1 = Window.partitionBy("_qid", (F.col("_r") / CHUNK).cast("long")).orderBy(*order)
-    best = cand.withColumn("_k1", F.row_number().over(w1)).filter(F.col("_k1") <= k)
-    w2 = Window.partitionBy("_qid").orderBy(*order)  # <= k per chunk of the band
-    top = best.withColumn("nb", F.row_number().over(w2)).filter(F.col("nb") <= k)
-    return top.select(F.col("_qid").alias(query_id), "nb", F.col("_y").alias("nb_label"), F.col("_d").alias("distance"))
+    upto = Window.unboundedPreceding
+    w1 = Window.partitionBy("_qid", (F.col("_r") / CHUNK).cast("long")).orderBy(*order).rowsBetween(upto, 0)
+    best = cand.withColumn("_c1", F.sum("_m").over(w1)).filter(F.col("_c1") - F.col("_m") < k)
+    w2 = Window.partitionBy("_qid").orderBy(*order)  # <= k rows per chunk of the band
+    top = (
+        best.withColumn("_c2", F.sum("_m").over(w2.rowsBetween(upto, 0)))
+        .filter(F.col("_c2") - F.col("_m") < k)
+        .withColumn("nb", F.row_number().over(w2))
+    )
+    before = F.col("_c2") - F.col("_m")
+    return top.select(
+        F.col("_qid").alias(query_id), "nb", F.col("_y").alias("nb_label"), F.col("_d").alias("distance"),
+        F.least(F.col("_m"), F.lit(k) - before).alias("weight"), before.alias("_before"),
+    )
 
 
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k_values=range(1, 12), train_id: str = "row_id",
@@ -105,7 +127,11 @@ def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k_value
     k_max = max(k_values)
     nbs = knn_neighbours(train, test, features, k_max, train_id, query_id, label)
     ks = F.explode(F.array(*[F.lit(k) for k in k_values])).alias("k")
-    votes = nbs.select(query_id, "nb", "nb_label", ks).filter(F.col("nb") <= F.col("k"))
-    probs = votes.groupBy(query_id, "k").agg(F.avg("nb_label").alias("prob"))
+    # copies of a row counted among the k nearest: between 0 and its weight
+    votes = nbs.select(query_id, "nb_label", "weight", "_before", ks).select(
+        query_id, "k", "nb_label",
+        F.greatest(F.lit(0), F.least(F.col("weight"), F.col("k") - F.col("_before"))).alias("_w"),
+    )
+    probs = votes.groupBy(query_id, "k").agg((F.sum(F.col("nb_label") * F.col("_w")) / F.col("k")).alias("prob"))
     out = probs.join(test.select(F.col(query_id), F.col(label).cast("double").alias("label")), query_id)
     return out.select(query_id, "k", "label", (F.col("prob") > 0.5).cast("int").alias("pred"), "prob")

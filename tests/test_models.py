@@ -51,21 +51,46 @@ def test_knn_matches_brute_force(spark):
 
     rng = np.random.default_rng(7)
     tr = rng.normal(size=(300, 3)) * np.array([50.0, 3.0, 1.0])
-    tr[::10] = tr[1::10]  # duplicated rows: distance ties
+    tr[::10] = tr[1::10]  # repeated rows, as after re-sampling with replacement
+    tr[3::25] = tr[4]  # one row with many copies
     yt = (tr[:, 1] > 0).astype(float)
     te = rng.normal(size=(40, 3)) * np.array([50.0, 3.0, 1.0])
     train = spark.createDataFrame([(i, float(yt[i]), *map(float, tr[i])) for i in range(len(tr))],
                                   "row_id long, label double, a double, b double, c double")
     test = spark.createDataFrame([(1000 + i, 0.0, *map(float, te[i])) for i in range(len(te))],
                                  "sa_id long, label double, a double, b double, c double")
+    # distinct rows with their copies and first id
+    rows = {}
+    for i in range(len(tr)):
+        key = (float(yt[i]), *map(float, tr[i]))
+        m, first = rows.get(key, (0, i))
+        rows[key] = (m + 1, min(first, i))
+    distinct = [(np.array(key[1:]), key[0], m, first) for key, (m, first) in rows.items()]
     k = 5
-    got = {(r.sa_id, r.nb): (round(r.distance, 9), r.nb_label)
+    got = {(r.sa_id, r.nb): (round(r.distance, 9), r.nb_label, r.weight)
            for r in knn_neighbours(train, test, ["a", "b", "c"], k, "row_id", "sa_id").collect()}
+    want_prob = {}
     for i in range(len(te)):
-        d = np.sqrt(((tr - te[i]) ** 2).sum(axis=1))
-        order = sorted(range(len(tr)), key=lambda j: (d[j], j))[:k]
-        for nb, j in enumerate(order, start=1):
-            assert got[(1000 + i, nb)] == (round(float(d[j]), 9), float(yt[j]))
-    preds = knn_classify(train, test, ["a", "b", "c"], k_values=[1, 3, 5], train_id="row_id")
-    assert preds.count() == 3 * len(te)
-    assert preds.filter((F.col("prob") < 0) | (F.col("prob") > 1)).count() == 0
+        order = sorted(distinct, key=lambda r: (float(np.sqrt(((r[0] - te[i]) ** 2).sum())), r[3]))
+        before, nb = 0, 0
+        for x, y, m, _ in order:
+            if before >= k:
+                break
+            nb += 1
+            d = float(np.sqrt(((x - te[i]) ** 2).sum()))
+            assert got[(1000 + i, nb)] == (round(d, 9), y, min(m, k - before))
+            before += m
+        assert (1000 + i, nb + 1) not in got
+        for kk in (1, 3, 5):
+            acc, b = 0.0, 0
+            for x, y, m, _ in order:
+                if b >= kk:
+                    break
+                acc += y * min(m, kk - b)
+                b += m
+            want_prob[(1000 + i, kk)] = acc / kk
+    preds = knn_classify(train, test, ["a", "b", "c"], k_values=[1, 3, 5], train_id="row_id").collect()
+    assert len(preds) == 3 * len(te)
+    for r in preds:
+        assert abs(r.prob - want_prob[(r.sa_id, r.k)]) < 1e-12
+        assert r.pred == int(r.prob > 0.5)
