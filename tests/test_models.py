@@ -94,3 +94,13 @@ def test_knn_matches_brute_force(spark):
     for r in preds:
         assert abs(r.prob - want_prob[(r.sa_id, r.k)]) < 1e-12
         assert r.pred == int(r.prob > 0.5)
+
+
+def test_knn_best_k_by_money_cv(spark):
+    from churnscope.operators.neighbors import knn_best_k
+
+    rows = [(i, i // 3, float(i % 2), float((i % 2) * 5 + (i % 7) / 7.0), float((i * 13) % 5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, sa_id long, label double, x1 double, x2 double")
+    best, totals = knn_best_k(df, ["x1", "x2"], k_values=[1, 3, 5], folds=3)
+    assert best in (1, 3, 5) and [k for k, _ in totals] == [1, 3, 5]
+    assert max(v for _, v in totals) == dict(totals)[best]
