@@ -60,3 +60,30 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op4_quotation_linking")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.quotes import reply_ordered
+
+    return reply_ordered(table(spark, sf_dir, "conversations"))
+
+
+@query("op5_systematic_mix")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies"
+    )
+
+
+@query("op7_host_reputation")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its id: good if of quality and not toxic."""
+    from churnscope.llm.hosts import judge
+
+    outcomes = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")
+    )
+    return judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict", "lower")
