@@ -117,3 +117,31 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.jaccard import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@query(
+    "op6_substring_dedup",
+    r"""
+    WITH words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    windows AS (
+      SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS h
+      FROM words, unnest(generate_series(1, len(w) - 49)) AS s(p) WHERE len(w) >= 50),
+    lowest AS (SELECT h, min(doc_id) AS lo FROM windows GROUP BY h),
+    gone AS (
+      SELECT DISTINCT doc_id, q FROM windows JOIN lowest USING (h), unnest(generate_series(p, p + 49)) AS s(q) WHERE doc_id > lo),
+    lost AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id),
+    kept AS (
+      SELECT words.doc_id, len(w) AS n, coalesce(len(qs), 0) AS r,
+             CASE WHEN qs IS NULL THEN w
+                  ELSE list_transform(list_filter(generate_series(1, len(w)), lambda i: NOT list_contains(qs, i)), lambda i: w[i]) END AS k
+      FROM words LEFT JOIN lost ON words.doc_id = lost.doc_id)
+    SELECT doc_id, cast(n AS bigint) AS n_words, cast(r AS bigint) AS n_removed,
+           sha256(coalesce(array_to_string(k, ' '), '')) AS kept_sha256 FROM kept
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).drop("_k")
