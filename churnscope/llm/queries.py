@@ -145,3 +145,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.substrings import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents")).drop("_k")
+
+
+@query("op2_quality_rules")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.quality import quality
+
+    found = quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
+    )
