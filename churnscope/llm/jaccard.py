@@ -37,7 +37,8 @@ from churnscope.llm.common import components, keyed, schema, stage
 FREQUENT = 1 << 16
 FREQUENT_FROM = 32  # documents of a scan task in which a gram must be to be reported
 FRAGMENTS = 8
-BITMAP = 16  # longs of a parity bitmap
+MINI = 4  # longs of the short parity bitmap; the long one has at least a bit per gram
+BROADCAST_IDS = 1_000_000  # wanted documents up to which their ids are sent to the scan instead of all texts shuffled
 _HASH = W.Hash(10, W.LOWER)
 
 
@@ -100,11 +101,15 @@ def _scan(k: int, percent: int, frequent):
                     late = listed[np.minimum(i, len(listed) - 1)] == g
                 first = W.offsets_of(n)
                 sig = np.zeros(rows, np.uint64)
-                bits = np.zeros((rows, BITMAP), np.uint64)
+                longs = np.maximum(MINI, 1 << np.ceil(np.log2(np.maximum(n, 1) / 64 + 1e-9)).clip(0).astype(np.int64))
+                base = W.offsets_of(longs)
+                bits = np.zeros(base[-1], np.uint64)
+                mini = np.zeros(rows * MINI, np.uint64)
                 if len(g):
                     np.add.at(sig, own, W.mix(g ^ W.U(0xA5A5A5A5A5A5A5A5)))
-                    cell = own * BITMAP + ((g >> W.U(6)) % W.U(BITMAP)).astype(np.int64)
-                    np.bitwise_xor.at(bits.reshape(-1), cell, W.U(1) << (g & W.U(63)))
+                    slot, bit = (g >> W.U(6)).astype(np.int64), W.U(1) << (g & W.U(63))
+                    np.bitwise_xor.at(bits, base[own] + (slot & (longs[own] - 1)), bit)
+                    np.bitwise_xor.at(mini, own * MINI + (slot & (MINI - 1)), bit)
                 order = np.lexsort((g, late, own))
                 rank = np.arange(len(g)) - first[own]
                 prefix = n - (percent * n + 99) // 100 + 1
@@ -112,13 +117,12 @@ def _scan(k: int, percent: int, frequent):
                 lists = pa.ListArray.from_arrays(
                     pa.array(W.offsets_of(np.bincount(own[take], minlength=rows)).astype(np.int32)), pa.array(W.signed(g)[take])
                 )
-                maps = pa.ListArray.from_arrays(
-                    pa.array(np.arange(rows + 1, dtype=np.int32) * BITMAP), pa.array(bits.reshape(-1).view(np.int64))
-                )
+                maps = pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), pa.array(W.signed(bits)))
+                minis = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * MINI), pa.array(W.signed(mini)))
                 src = batch.slice(part.start, rows)
                 yield pa.RecordBatch.from_arrays(
-                    [src.column(0), src.column(1), pa.array(n.astype(np.int64)), pa.array(W.signed(sig)), maps, lists],
-                    names=["doc_id", "_k", "n", "sig", "bits", "prefix"],
+                    [src.column(0), src.column(1), pa.array(n.astype(np.int64)), pa.array(W.signed(sig)), minis, maps, lists],
+                    names=["doc_id", "_k", "n", "sig", "mini", "bits", "prefix"],
                 )
 
     return run
@@ -142,9 +146,19 @@ def _fragments(k: int):
     return run
 
 
-def _possible(percent: int):
+def _folded(bits, other):
+    """A bitmap of twice the other's length, halved: parities of grams that meet in one bit add up."""
+    half = F.size(bits) / 2
+    two = F.zip_with(F.slice(bits, F.lit(1), half.cast("int")), F.slice(bits, (half + 1).cast("int"), half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(bits) > F.size(other), two).otherwise(bits)
+
+
+def _possible(percent: int, bits: str):
     """Condition on sizes and bitmaps without which two sets can't link."""
-    differ = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda s, v: s + v)
+    p, q = F.col(f"x.{bits}"), F.col(f"y.{bits}")
+    differ = F.aggregate(
+        F.zip_with(_folded(p, q), _folded(q, p), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda s, v: s + v
+    )
     return (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (
         differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
     )
@@ -154,7 +168,9 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     """The pairs ``a, b`` (classes with sizes) that link: partial overlaps per fragment, summed."""
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = classes.select("doc_id", "_k").join(wanted, "doc_id")
+    wanted = stage(classes.select("doc_id", "_k").join(wanted, "doc_id"), "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"]).select("doc_id", "text")
     cut = stage(texts.mapInArrow(_fragments(k), schema("d bigint, f int, grams array<bigint>")), "fragments")
     left = pairs.join(cut.select(F.col("d").alias("a"), "f", F.col("grams").alias("ga")), "a")
@@ -178,7 +194,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     )
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["g"] for r in listed], dtype=np.int64).view(np.uint64)))
     rows = stage(
-        docs.mapInArrow(_scan(k, percent, frequent), schema("doc_id bigint, _k bigint, n bigint, sig bigint, bits array<bigint>, prefix array<bigint>")),
+        docs.mapInArrow(_scan(k, percent, frequent), schema("doc_id bigint, _k bigint, n bigint, sig bigint, mini array<bigint>, bits array<bigint>, prefix array<bigint>")),
         "sets",
     )
     narrow = rows.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "_k", "sig", "n")
@@ -190,14 +206,14 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     classes = member.filter("doc_id = head").select("doc_id", "_k")
     reps = rows.join(classes, ["doc_id", "_k"], "left_semi")
     prefix = stage(reps.select("doc_id", F.explode("prefix").alias("g")), "prefix")
-    side = stage(reps.select("doc_id", "n", "bits").distinct(), "bitmaps")
+    side = stage(reps.select("doc_id", "n", "mini", "bits").distinct(), "bitmaps")
     ends = prefix.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
     shared = stage(prefix.join(ends, "g"), "shared")
 
     def joined(pairs: DataFrame) -> DataFrame:
         x = side.select(F.col("doc_id").alias("a"), F.struct("n", "bits").alias("x"))
         y = side.select(F.col("doc_id").alias("b"), F.struct("n", "bits").alias("y"))
-        return pairs.join(x, "a").join(y, "b").filter(_possible(percent)).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+        return pairs.join(x, "a").join(y, "b").filter(_possible(percent, "bits")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
     hubs = (
         shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b")))).alias("p"))
@@ -211,14 +227,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         "g", "doc_id", "lo", "hi", F.coalesce("comp", "doc_id").alias("comp")
     )
     mixed = left.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("g")
-    open_ = stage(left.join(mixed, "g").join(side, "doc_id"), "open")
-    x = open_.select("g", F.struct("n", "bits").alias("x"), F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    y = open_.select("g", F.struct("n", "bits").alias("y"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
+    open_ = stage(left.join(mixed, "g").join(side.drop("bits"), "doc_id"), "open")
+    x = open_.select("g", F.struct("n", "mini").alias("x"), F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    y = open_.select("g", F.struct("n", "mini").alias("y"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
     tried = (F.col("a") == F.col("la")) | (F.col("b") == F.col("ha"))
-    rest = x.join(y, (x.g == y.g) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~tried & _possible(percent)).select(
-        "a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb")
-    )
-    links = by_hub.union(_linked(docs, classes, rest.distinct(), k, percent)).union(copies)
+    rest = x.join(y, (x.g == y.g) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~tried & _possible(percent, "mini")).select("a", "b")
+    links = by_hub.union(_linked(docs, classes, joined(rest.distinct()), k, percent)).union(copies)
     comp = components(links).select(F.col("node").alias("doc_id"), "comp")
     return rows.join(comp, "doc_id", "left").select(
         "doc_id", "_k", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
