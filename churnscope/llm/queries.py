@@ -155,3 +155,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "probability"
     )
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op8_token_output")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.tokens import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
