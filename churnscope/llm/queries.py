@@ -168,3 +168,30 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.tokens import read_tokens, write_tokens
 
     return read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h FROM p),
+    m AS (SELECT h, max(page_id) AS last FROM d WHERE n >= 1000 GROUP BY h)
+    SELECT page_id, cast(n AS bigint) AS payload_bytes, d.h AS payload_digest,
+           CASE WHEN last > page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN last > page_id THEN last END AS refers_to
+    FROM d LEFT JOIN m ON d.h = m.h AND n >= 1000
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and lengths of responses are taken anew from their payloads; revisits carry their response's."""
+    from churnscope.llm.warc import page_of, read_warc, write_warc
+
+    records = read_warc(spark, write_warc(table(spark, sf_dir, "pages")))
+    response = F.col("record_type") == "response"
+    return records.select(
+        page_of(F.col("record_id")).alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("sha1")).alias("payload_digest"),
+        "record_type",
+        page_of(F.col("refers_to_id")).alias("refers_to"),
+    )
