@@ -195,3 +195,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "record_type",
         page_of(F.col("refers_to_id")).alias("refers_to"),
     )
+
+
+@query("op1_ppm_score")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.ppm import ppm_score
+
+    return ppm_score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
