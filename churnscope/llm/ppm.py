@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from churnscope.llm import words as W
 from churnscope.llm.common import schema, stage
 
-ORDER = 4
+ORDER = 5
 BLOCK = 32 << 20
 START, STOP = 0xFE, 0xFF
 SYMBOLS = 255  # all byte values but the start byte
