@@ -1,6 +1,9 @@
 """Corpus pipeline: quality rules, near-duplicate removal, decontamination, mixing, token output.
 
-Each stage reads its predecessor's rows from Parquet and takes ``(spark, docs, sf_dir)``.
+Every stage takes ``(spark, docs, sf_dir)``, works on all rows that its
+predecessor kept, and returns the columns of ``documents``; the last one
+returns the written token table.  No SQL twin: trained trees, sampling by hash
+and token files are not SQL; tests compare the stages with brute force.
 """
 
 from __future__ import annotations
@@ -10,18 +13,59 @@ from pyspark.sql import functions as F
 
 from churnscope.llm.common import stage, table
 
+#: Near duplicates: five-word shingles, similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the fixed rules and the trees accept."""
+    from churnscope.llm.quality import accepted
+
+    return accepted(docs, table(spark, sf_dir, "labels"))
+
+
+def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, _k) is not in ``bad``."""
+    bad = bad.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"))
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left_anti")
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of every group."""
+    from churnscope.llm.jaccard import jaccard_components
+
+    return _without(docs, jaccard_components(docs, SHINGLE, PERCENT).filter("doc_id <> component_id"))
+
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     from churnscope.llm.decontaminate import decontaminate
 
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).distinct()
-    own = F.xxhash64("doc_id", "text")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (own == F.col("_h")), "left_anti")
+    return _without(docs, decontaminate(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's target weight takes them."""
+    from churnscope.llm.mixing import mixed_rows
+
+    return mixed_rows(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the mix in files; ``doc_id, start, n_tokens, ids_crc32`` read from them."""
+    from churnscope.llm.queries import tokenizer_file
+    from churnscope.llm.tokens import read_tokens, write_tokens
+
+    return read_tokens(spark, write_tokens(docs, tokenizer_file()))
 
 
-STAGES = [("benchmark decontamination", decontamination)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+    ("token-ID binary output", token_output),
+]
 
 ORACLE_SQL = None
 
@@ -30,5 +74,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, fn in STAGES:
-        docs = stage(fn(spark, docs, sf_dir), name.replace(" ", "-").replace("/", "-"))
+        docs = stage(fn(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
