@@ -15,6 +15,7 @@ from churnscope.llm.common import stage, table
 
 #: Near duplicates: five-word shingles, similarity of 0.8 or more.
 SHINGLE, PERCENT = 5, 80
+BROADCAST_IDS = 1_000_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +26,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose (doc_id, _k) is not in ``bad``."""
-    bad = bad.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h"))
+    """Rows of ``docs`` whose (doc_id, _k) is not in ``bad``; a counted, short list goes to the rows, a longer one is shuffled."""
+    bad = stage(bad.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).distinct(), "rejected")
+    if bad.count() <= BROADCAST_IDS:
+        bad = F.broadcast(bad)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left_anti")
 
 
