@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 from churnscope.llm import words as W
 from churnscope.llm.common import schema, stage
 
-ORDER = 5
+ORDER = 4
 BLOCK = 32 << 20
+PIECE = 1 << 20  # bytes of a block worked on at once
 START, STOP = 0xFE, 0xFF
 SYMBOLS = 255  # all byte values but the start byte
 _HASH = W.Hash(1, W.LOWER)
@@ -74,7 +75,7 @@ def _blocks(size: int):
     return run
 
 
-def _parts(off: list[int], text: bytes, size: int = W.BATCH):
+def _parts(off: list[int], text: bytes, size: int = PIECE):
     """Pieces of a block with whole documents: first document, bytes, offsets."""
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text) if off[-1] else b"", dtype=np.uint8)
     off = np.asarray(off, dtype=np.int64)
@@ -104,18 +105,59 @@ def _merge(parts):
     return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
+def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with their counts where ``train`` holds."""
+    seen, n = np.unique(keys[train], return_counts=True)
+    rest = np.unique(keys[~train])
+    return np.concatenate([seen, rest]), np.concatenate([n, np.zeros(len(rest), np.int64)])
+
+
+class Lookup:
+    """Values of 64-bit keys that are all there: open addressing, probed for all keys at once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        used = np.zeros(1 << self.bits, bool)
+        self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
+        at = self._slot(keys)
+        while len(keys):
+            free = ~used[at]
+            self.keys[at[free]] = keys[free]
+            used[at[free]] = True
+            done = self.keys[at] == keys
+            self.values[at[done]] = values[done]
+            keys, values, at = keys[~done], values[~done], (at[~done] + 1) & (len(used) - 1)
+
+    def _slot(self, keys):
+        return (W.mix(keys) >> W.U(64 - self.bits)).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        out = self.values[at]
+        left = np.flatnonzero(self.keys[at] != keys)
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.keys) - 1)
+            hit = self.keys[at] == keys[left]
+            out[left[hit]] = self.values[at[hit]]
+            left, at = left[~hit], at[~hit]
+        return out
+
+
 def _ask(batches):
     """Distinct words and grams of each block, with their counts in training documents."""
-    none = np.zeros(0, np.uint64), np.zeros(0, np.float64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for batch in batches:
         for r in batch.to_pylist():
-            train = np.array(r["train"], dtype=np.float64)
+            train = np.array(r["train"], dtype=bool)
             words, grams = [none], [none]
             for a, data, off in _parts(r["off"], r["text"]):
                 starts, ends, rows = W.bounds(data, off, W.SPACE)
-                words.append(_merge([(_HASH.words(data, starts, ends), train[a + rows])]))
+                words.append(_counted(_HASH.words(data, starts, ends), train[a + rows]))
                 g, own = _grams(data, off)
-                grams.append(_merge([(g, train[a + own])]))
+                grams.append(_counted(g, train[a + own]))
+                if len(grams) > 8:
+                    words, grams = [_merge(words)], [_merge(grams)]
             for kind, parts in ((_WORD, words), (_GRAM, grams)):
                 keys, n = _merge(parts)
                 for i in range(0, len(keys), 1 << 18):
@@ -195,8 +237,7 @@ def _score(n_train: int, vocabulary: int, train_docs: int):
         tables = {}
         for k in (_WORD, _GRAM):
             keys, value = right.column("key").to_numpy()[kind == k].view(np.uint64), right.column("value").to_numpy()[kind == k]
-            order = np.argsort(keys)
-            tables[k] = keys[order], value[order]
+            tables[k] = Lookup(keys, value)
         out = []
         for r in left.to_pylist():
             size = len(r["ids"])
@@ -204,14 +245,12 @@ def _score(n_train: int, vocabulary: int, train_docs: int):
             for a, data, off in _parts(r["off"], r["text"]):
                 n = len(off) - 1
                 starts, ends, rows = W.bounds(data, off, W.SPACE)
-                keys, value = tables[_WORD]
-                c = value[np.searchsorted(keys, _HASH.words(data, starts, ends))] if len(starts) else np.zeros(0)
+                c = tables[_WORD][_HASH.words(data, starts, ends)]
                 n_tokens[a : a + n] += np.bincount(rows, minlength=n)
                 n_known[a : a + n] = np.bincount(rows, weights=c > 0, minlength=n)
                 base[a : a + n] = np.bincount(rows, weights=np.log10((c + 1) / (n_train + vocabulary + 1)), minlength=n)
                 g, own = _grams(data, off)
-                keys, value = tables[_GRAM]
-                score[a : a + n] = np.bincount(own, weights=value[np.searchsorted(keys, g)], minlength=n)
+                score[a : a + n] = np.bincount(own, weights=tables[_GRAM][g], minlength=n)
             n_known += train_docs > 0
             base += np.log10((train_docs + 1) / (n_train + vocabulary + 1))
             out.append(

@@ -28,7 +28,7 @@ LOWER = SAME.copy()
 LOWER[65:91] += 32
 
 CHUNK = 1 << 20  # bytes hashed at once
-BATCH = 4 << 20  # bytes of text handled at once; one longer text stays whole
+BATCH = 2 << 20  # bytes of text handled at once; one longer text stays whole
 
 
 class Hash:
