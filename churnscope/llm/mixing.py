@@ -141,6 +141,7 @@ def mix(docs: DataFrame, **shares) -> DataFrame:
 def mixed_rows(docs: DataFrame, **shares) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
     narrow = sizes(docs)
-    full = docs.select("*", F.xxhash64("doc_id", "text").alias("_k"), size_column().alias("size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    full = docs.select(row, "doc_id", F.xxhash64("doc_id", "text").alias("_k"), "source", size_column().alias("size"))
     taken = copies(full, source_targets(narrow, **shares), narrow).filter("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    return taken.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).select("_row.*")

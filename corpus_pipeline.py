@@ -30,7 +30,9 @@ def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
     bad = stage(bad.select(F.col("doc_id").alias("_d"), F.col("_k").alias("_h")).distinct(), "rejected")
     if bad.count() <= BROADCAST_IDS:
         bad = F.broadcast(bad)
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("doc_id", "text") == F.col("_h")), "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("_hash"))
+    return rows.join(bad, F.col("_id").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left_anti").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
