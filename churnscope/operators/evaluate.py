@@ -39,37 +39,25 @@ def savings_score(df: DataFrame, label: str = "label", pred: str = "pred") -> Da
 
 def classification_report(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFrame:
     """precision, recall, f1, support per class, macro and weighted averages, accuracy."""
-    cm = confusion_matrix(df, label, pred)
-    n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    rows = []
-    for cls, tp, fp, fn in (("0", "tn", "fn", "fp"), ("1", "tp", "fp", "fn")):
-        prec = F.try_divide(F.col(tp), F.col(tp) + F.col(fp))
-        rec = F.try_divide(F.col(tp), F.col(tp) + F.col(fn))
-        rows.append(
-            cm.select(
-                F.lit(cls).alias("class"),
-                F.coalesce(prec, F.lit(0.0)).alias("precision"),
-                F.coalesce(rec, F.lit(0.0)).alias("recall"),
-                F.coalesce(F.try_divide(2 * prec * rec, prec + rec), F.lit(0.0)).alias("f1"),
-                (F.col(tp) + F.col(fn)).alias("support"),
-            )
-        )
-    per_class = rows[0].unionByName(rows[1])  # two rows
-    avg = per_class.agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        F.try_divide(F.sum(F.col("precision") * F.col("support")), F.sum("support")).alias("wp"),
-        F.try_divide(F.sum(F.col("recall") * F.col("support")), F.sum("support")).alias("wr"),
-        F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("wf"),
-        F.sum("support").alias("n"),
-    )
-    macro = avg.select(F.lit("macro avg").alias("class"), F.col("mp").alias("precision"), F.col("mr").alias("recall"),
-                       F.col("mf").alias("f1"), F.col("n").alias("support"))
-    weighted = avg.select(F.lit("weighted avg").alias("class"), F.col("wp").alias("precision"),
-                          F.col("wr").alias("recall"), F.col("wf").alias("f1"), F.col("n").alias("support"))
-    acc = cm.select(F.lit("accuracy").alias("class"), F.lit(None).cast("double").alias("precision"),
-                    F.lit(None).cast("double").alias("recall"),
-                    F.try_divide(F.col("tp") + F.col("tn"), n).alias("f1"), n.alias("support"))
-    return per_class.unionByName(macro).unionByName(weighted).unionByName(acc)
+    cells = confusion_matrix(df, label, pred)  # one row; all five rows come from it, the input is read once
+
+    def ratio(top, bottom):
+        return F.coalesce(F.try_divide(top, bottom), F.lit(0.0))
+
+    tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
+    n = tn + fp + fn + tp
+    kinds = []
+    for hit, extra, missed in ((tn, fn, fp), (tp, fp, fn)):
+        prec, rec = F.try_divide(hit, hit + extra), F.try_divide(hit, hit + missed)
+        kinds.append((ratio(hit, hit + extra), ratio(hit, hit + missed), ratio(2 * prec * rec, prec + rec), hit + missed))
+    null = F.lit(None).cast("double")
+    rows = [("0", *kinds[0]), ("1", *kinds[1])]
+    rows.append(("macro avg", *[(kinds[0][i] + kinds[1][i]) / 2 for i in range(3)], n))
+    rows.append(("weighted avg", *[F.try_divide(kinds[0][i] * kinds[0][3] + kinds[1][i] * kinds[1][3], n) for i in range(3)], n))
+    rows.append(("accuracy", null, null, F.try_divide(tp + tn, n), n))
+    names = ("class", "precision", "recall", "f1", "support")
+    report = F.array(*[F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(c) for v, c in zip(r, names)]) for r in rows])
+    return cells.select(F.inline(report))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:

@@ -82,29 +82,21 @@ def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", weight: str | Non
     return lr
 
 
-def _split_memory_mb() -> int:
-    """Memory for one data pass of tree statistics: an eighth of the executor
-    heap, between MLlib's default 256 MB and 2 GB."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    text = "1g"
-    if spark is not None:
-        conf = spark.sparkContext.getConf()
-        text = conf.get("spark.executor.memory", None) or conf.get("spark.driver.memory", "1g")
-    units = {"k": 1 / 1024, "m": 1, "g": 1024, "t": 1024 * 1024}
-    text = text.strip().lower().rstrip("b")
-    mb = float(text[:-1]) * units[text[-1]] if text[-1] in units else float(text) / (1024 * 1024)
-    return int(max(256, min(2048, mb // 8)))
+# Fixed, so that the same rows and seed give the same forest whatever the heap is:
+# it decides how many nodes share a data pass, and with it which node draws which features.
+SPLIT_MEMORY_MB = 512
 
 
 def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: str | None = None) -> RandomForestClassifier:
     """Random forest; deep trees train level by level, so node ids are cached
-    (checkpointed every 10 levels) and more nodes are split per data pass."""
+    (checkpointed every 10 levels) and more nodes are split per data pass.
+    The engine grows no tree deeper than ``MAX_SPARK_DEPTH``; ask for at most that."""
+    if (depth or 0) > MAX_SPARK_DEPTH:
+        raise ValueError(f"depth {depth} is beyond the engine's limit of {MAX_SPARK_DEPTH}")
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees,
-        maxDepth=min(depth or MAX_SPARK_DEPTH, MAX_SPARK_DEPTH), featureSubsetStrategy=subset, seed=SEED,
-        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=_split_memory_mb(),
+        maxDepth=depth or MAX_SPARK_DEPTH, featureSubsetStrategy=subset, seed=SEED,
+        cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=SPLIT_MEMORY_MB,
     )
     if weight:
         rf.setWeightCol(weight)

@@ -58,10 +58,9 @@ def _test(c):
 
 def _training_partitions(c, rows: int) -> int:
     """The re-sampled training set has a fixed size (it does not grow with the
-    input): one partition per core, at most one per 5,000 rows, so iterative
-    learners do not pay per-task overhead on slivers."""
-    cores = c.spark.sparkContext.defaultParallelism
-    return max(1, min(cores, rows // 5000))
+    input): one partition per 5,000 rows, 8 at most, whatever the cluster is,
+    because the learners draw their bags per partition."""
+    return max(1, min(8, rows // 5000))
 
 
 def resampled_train(c, sizes=None):
@@ -139,7 +138,7 @@ def _forest_model(c, trees, depth, subset, balanced):
 
 @register("random_forest_fit")
 def random_forest_fit(c):
-    return M.predict(_forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
+    return M.predict(_forest_model(c, 1000, 30, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
 
 
 @register("rf_max_features_sweep")
@@ -147,7 +146,7 @@ def rf_max_features_sweep(c):
     te = _test(c)
     out = None
     for k in range(1, 6):
-        p = E.savings_score(M.predict(_forest_model(c, 1000, 35, str(k), False), te)).withColumn("max_features", F.lit(k))
+        p = E.savings_score(M.predict(_forest_model(c, 1000, 30, str(k), False), te)).withColumn("max_features", F.lit(k))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -176,7 +175,7 @@ def rf_by_segment(c):
 
 @register("feature_importance")
 def feature_importance(c):
-    model = _forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False)
+    model = _forest_model(c, 1000, 30, M.sqrt_features(len(MODEL_FEATURES)), False)
     rows = M.feature_importance(model, MODEL_FEATURES)
     return c.spark.createDataFrame(rows, "feature string, importance double")
 
@@ -225,7 +224,7 @@ def lasso_select(c):
 @register("train_score_report")
 def train_score_report(c):
     """Split -> re-sample -> forest -> predict on the test split -> money and report."""
-    preds = M.predict(_forest_model(c, 1000, 35, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
+    preds = M.predict(_forest_model(c, 1000, 30, M.sqrt_features(len(MODEL_FEATURES)), False), _test(c))
     money = E.savings_score(preds)
     report = E.classification_report(preds)
     return report.withColumn("savings_report", F.lit(money.first()["savings_report"]))

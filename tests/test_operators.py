@@ -171,3 +171,19 @@ def test_exact_quantiles_match_pandas(spark):
         assert abs(q - s.quantile(p)) < 1e-9
     for p, q in zip((0.1, 0.25, 0.5, 0.9), got["y"]):
         assert abs(q - (s * 2).quantile(p)) < 1e-9
+
+
+def test_draws_reach_beyond_32_bits(spark):
+    from churnscope.functions.hashing import hash_bits
+
+    top = spark.range(1000).select(hash_bits("id", "draw:").alias("h")).agg({"h": "max"}).first()[0]
+    assert 2**58 < top < 2**60
+
+
+def test_forest_depth_beyond_the_engine_raises(spark):
+    import pytest
+
+    from churnscope.operators.models import forest
+
+    with pytest.raises(ValueError):
+        forest(10, 35)
