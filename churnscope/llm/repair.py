@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 
-PAIRS = 192  # new symbols a round at most
+PAIRS = 512  # new symbols a round at most
 LEAST = 24  # occurrences of a replaced pair
-ROUNDS = 14
-GAIN = 0.004  # a round that shortens less is the last
+ROUNDS = 6
+GAIN = 0.02  # a round that shortens less is the last
 _BITS = 18
 
 

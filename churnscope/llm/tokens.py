@@ -7,9 +7,12 @@ documents in the symbols, symbols, rules, expansion lengths, and the number of
 ids of the shard before the frame.  Spark's committed writer makes a lost task
 harmless.  One document is decoded from its slice of the symbols and the rules.
 
-Ids are those of the whole text.  The tokenizer drops white space and never
-joins across it, so distinct space-separated pieces are encoded once per batch;
-a second, independent hash confirms that equal hashes are equal pieces.
+Ids are those of the whole text.  The tokenizer lower-cases, drops white space
+and joins neither across it nor across a change between ASCII letters and ``,.!?;:``,
+so texts are cut there and each distinct piece is encoded once per worker; a
+second, independent hash confirms that equal hashes are equal pieces.  Batches
+with special tokens or a capital sigma, whose case depends on what follows,
+are cut at white space only.
 
 Defined cases: a null or empty text has only the end id; rows of one doc_id
 follow each other, ordered by text hash; null doc_ids come first; an empty
@@ -34,8 +37,10 @@ from churnscope.llm.common import keyed, schema, shared_path
 
 FRAME = 1 << 20
 END = 1
-CACHE = 400_000  # pieces whose ids a worker keeps
+CACHE = 1_000_000  # pieces whose ids a worker keeps
 _ONE, _TWO = W.Hash(8), W.Hash(88)
+_LETTER = W._table((97, 122))
+_MARK = np.isin(W.SAME, np.frombuffer(b",.!?;:", dtype=np.uint8))
 _FRAME_ROW = (
     "shard int, frame int, before bigint, n_ids bigint, first bigint, doc_ids array<bigint>, counts array<int>, "
     "offsets array<int>, symbols binary, rules binary, sizes binary"
@@ -67,10 +72,16 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, end ids included, and the number of ids of each row."""
         n = len(off) - 1
-        starts, ends, rows = W.bounds(data, off, W.SPACE)
+        cut, raw = None, data.tobytes()
+        if b"<|" not in raw and b"\xce\xa3" not in raw:
+            data = W.LOWER[data]
+            letter, mark = _LETTER[data], _MARK[data]
+            cut = np.zeros(len(data), bool)
+            cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+            raw = data.tobytes()
+        starts, ends, rows = W.bounds(data, off, W.SPACE, cut)
         h, check = _ONE.words(data, starts, ends), _TWO.words(data, starts, ends)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        raw = data.tobytes()
         if not np.array_equal(check[first][back], check):  # two pieces with one hash: encode the texts as they are
             found = self._encode([raw[off[i] : off[i + 1]].decode() for i in range(n)])
             back, rows = np.arange(n), np.arange(n)

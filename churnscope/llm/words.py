@@ -71,8 +71,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the row of each; words end where their row ends."""
+def bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the row of each; words end where their row ends, and before a byte in ``cut``."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
@@ -85,6 +85,9 @@ def bounds(data: np.ndarray, offsets: np.ndarray, sep: np.ndarray) -> tuple[np.n
     after[:-1] = inside[1:]
     tails = offsets[1:][offsets[1:] > 0] - 1
     after[tails] = False
+    if cut is not None:
+        before[cut] = False
+        after[:-1][cut[1:]] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
