@@ -207,7 +207,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     reps = rows.join(classes, ["doc_id", "_k"], "left_semi")
     prefix = stage(reps.select("doc_id", F.explode("prefix").alias("g")), "prefix")
     side = stage(reps.select("doc_id", "n", "mini", "bits").distinct(), "bitmaps")
-    ends = prefix.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi")
+    ends = prefix.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi")
     shared = stage(prefix.join(ends, "g"), "shared")
 
     def joined(pairs: DataFrame) -> DataFrame:
@@ -223,7 +223,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     )
     by_hub = _linked(docs, classes, joined(hubs), k, percent)
     comp = components(by_hub)
-    left = shared.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    # a gram of two documents has no pair beyond (lo, hi)
+    left = shared.filter("docs > 2").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "g", "doc_id", "lo", "hi", F.coalesce("comp", "doc_id").alias("comp")
     )
     mixed = left.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("g")
