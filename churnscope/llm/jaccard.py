@@ -7,8 +7,10 @@
 3. Around every shared prefix gram, each class is paired with the gram's
    smallest and largest doc_id.  What links there is merged into components.
    Then classes that share a prefix gram and are still in different components
-   are paired.  Pairs inside a component need no further link, so a group of
-   thousands of near copies stays near-linear.
+   are paired, and the components that link are merged.  Pairs inside a
+   component need no further link, so a group of thousands of near copies stays
+   near-linear.  A gram pairs two sets only where the shorter rest from it on
+   could still hold the overlap; the first gram that linked sets share does.
 4. A pair goes on only if its sizes and its parity bitmaps allow a link: the
    bitmaps differ in at most as many bits as the sets differ in grams.
 5. The order is cut into ``FRAGMENTS`` fragments.  A pair's overlap is counted
@@ -146,6 +148,16 @@ def _fragments(k: int):
     return run
 
 
+def _rest(v):
+    """Grams of a set from a prefix gram on; ``v`` packs the set's size above them."""
+    return v.bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _long_enough(percent: int, v, w):
+    """Whether two sets may link if they share no gram before this one."""
+    return F.least(_rest(v), _rest(w)) * (100 + percent) >= (F.shiftright(v, 32) + F.shiftright(w, 32)) * percent
+
+
 def _folded(bits, other):
     """A bitmap of twice the other's length, halved: parities of grams that meet in one bit add up."""
     half = F.size(bits) / 2
@@ -202,39 +214,65 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     own = narrow.join(first, ["doc_id", "_k"]).distinct()
     head = own.groupBy("sig", "n").agg(F.min("doc_id").alias("head"))
     member = stage(own.join(head, ["sig", "n"]), "classes")
-    copies = member.filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
     classes = member.filter("doc_id = head").select("doc_id", "_k")
     reps = rows.join(classes, ["doc_id", "_k"], "left_semi")
-    prefix = stage(reps.select("doc_id", F.explode("prefix").alias("g")), "prefix")
+    prefix = stage(
+        reps.select("doc_id", "n", F.posexplode("prefix").alias("at", "g")).select(
+            "g", "doc_id", (F.shiftleft("n", 32) + F.col("n") - F.col("at")).alias("v")
+        ),
+        "prefix",
+    )
     side = stage(reps.select("doc_id", "n", "mini", "bits").distinct(), "bitmaps")
-    ends = prefix.groupBy("g").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("docs")).filter("lo < hi")
-    shared = stage(prefix.join(ends, "g"), "shared")
+    ends = prefix.groupBy("g").agg(
+        F.min("doc_id").alias("lo"),
+        F.min_by("v", "doc_id").alias("vlo"),
+        F.max("doc_id").alias("hi"),
+        F.max_by("v", "doc_id").alias("vhi"),
+        F.count(F.lit(1)).alias("docs"),
+    )
+    shared = stage(prefix.join(ends.filter("lo < hi"), "g"), "shared")
 
     def joined(pairs: DataFrame) -> DataFrame:
         x = side.select(F.col("doc_id").alias("a"), F.struct("n", "bits").alias("x"))
         y = side.select(F.col("doc_id").alias("b"), F.struct("n", "bits").alias("y"))
         return pairs.join(x, "a").join(y, "b").filter(_possible(percent, "bits")).select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
+    to_lo, to_hi = _long_enough(percent, F.col("vlo"), F.col("v")), _long_enough(percent, F.col("vhi"), F.col("v"))
     hubs = (
-        shared.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b")), F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b")))).alias("p"))
+        shared.select(
+            F.explode(
+                F.array(
+                    F.when(to_lo, F.struct(F.col("lo").alias("a"), F.col("doc_id").alias("b"))),
+                    F.when(to_hi, F.struct(F.col("doc_id").alias("a"), F.col("hi").alias("b"))),
+                )
+            ).alias("p")
+        )
         .select("p.a", "p.b")
         .filter("a < b")
         .distinct()
     )
-    by_hub = _linked(docs, classes, joined(hubs), k, percent)
-    comp = components(by_hub)
+    comp = components(_linked(docs, classes, joined(hubs), k, percent))
     # a gram of two documents has no pair beyond (lo, hi)
     left = shared.filter("docs > 2").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "g", "doc_id", "lo", "hi", F.coalesce("comp", "doc_id").alias("comp")
+        "g", "doc_id", "v", "lo", "hi", F.coalesce("comp", "doc_id").alias("comp")
     )
     mixed = left.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("g")
     open_ = stage(left.join(mixed, "g").join(side.drop("bits"), "doc_id"), "open")
-    x = open_.select("g", F.struct("n", "mini").alias("x"), F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
-    y = open_.select("g", F.struct("n", "mini").alias("y"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
+    x = open_.select("g", F.struct("n", "mini").alias("x"), F.col("v").alias("va"), F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("lo").alias("la"), F.col("hi").alias("ha"))
+    y = open_.select("g", F.struct("n", "mini").alias("y"), F.col("v").alias("vb"), F.col("doc_id").alias("b"), F.col("comp").alias("cb"))
     tried = (F.col("a") == F.col("la")) | (F.col("b") == F.col("ha"))
-    rest = x.join(y, (x.g == y.g) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~tried & _possible(percent, "mini")).select("a", "b")
-    links = by_hub.union(_linked(docs, classes, joined(rest.distinct()), k, percent)).union(copies)
-    comp = components(links).select(F.col("node").alias("doc_id"), "comp")
-    return rows.join(comp, "doc_id", "left").select(
+    may = _long_enough(percent, F.col("va"), F.col("vb")) & _possible(percent, "mini")
+    rest = x.join(y, (x.g == y.g) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ~tried & may).select("a", "b")
+    late = _linked(docs, classes, joined(rest.distinct()), k, percent)
+    # links between components, then every class's component, then every copy's
+    for end in "ab":
+        root = comp.select(F.col("node").alias(end), F.col("comp").alias("root"))
+        late = late.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    joint = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("joint"))
+    placed = classes.select(F.col("doc_id").alias("head")).join(comp.withColumnRenamed("node", "head"), "head", "left")
+    placed = placed.select("head", F.coalesce("comp", "head").alias("comp")).join(joint, "comp", "left")
+    placed = stage(placed.select("head", F.coalesce("joint", "comp").alias("comp")), "placed")
+    found = member.select("doc_id", "head").join(placed, "head").select("doc_id", "comp")
+    return rows.join(found, "doc_id", "left").select(
         "doc_id", "_k", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
     )

@@ -313,28 +313,54 @@ def test_warc(spark):
     assert read_warc(spark, write_warc(pages.limit(0))).count() == 0
 
 
-@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
-def test_jaccard(spark, docs, rows, k, percent):
-    from churnscope.llm.jaccard import jaccard_components
-
+def jaccard_brute(rows, k, percent):
     sets = {}
     for d, t in rows:
         w = words(low(t or ""))
         sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
     comp = {d: d for d in sets}
+    links = []
+    for a in sets:
+        for b in sets:
+            o = len(sets[a] & sets[b])
+            if o and 100 * o >= percent * len(sets[a] | sets[b]):
+                links.append((a, b))
     for _ in sets:
-        for a in sets:
-            for b in sets:
-                o = len(sets[a] & sets[b])
-                if o and 100 * o >= percent * len(sets[a] | sets[b]):
-                    comp[a] = comp[b] = min(comp[a], comp[b])
-        if all(comp[comp[a]] == comp[a] for a in comp):
+        before = dict(comp)
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == before:
             break
+    return sorted((d, len(sets[d]), comp[d]) for d, _ in rows)
+
+
+@pytest.mark.parametrize("k,percent", [(4, 85), (5, 80)])
+def test_jaccard(spark, docs, rows, k, percent):
+    from churnscope.llm.jaccard import jaccard_components
+
     got = jaccard_components(docs, k, percent)
-    assert as_rows(got, "doc_id", "n_shingles", "component_id") == sorted((d, len(sets[d]), comp[d]) for d, _ in rows)
+    assert as_rows(got, "doc_id", "n_shingles", "component_id") == jaccard_brute(rows, k, percent)
     assert jaccard_components(docs.limit(0)).count() == 0
 
 
+def test_jaccard_chains_of_edits(spark):
+    """Texts that drift apart by edits, cuts and additions: links of many sizes, groups that only later pairs join."""
+    from churnscope.llm.jaccard import jaccard_components
+
+    rng = random.Random(10)
+    texts = [[rng.choice("abcdefgh") + str(rng.randint(0, 3)) for _ in range(rng.randint(20, 120))] for _ in range(4)]
+    for _ in range(80):
+        w = list(rng.choice(texts))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice("abcdefgh")
+        w = w[: len(w) - rng.randint(0, len(w) // 8)] + [rng.choice("abc") for _ in range(rng.randint(0, 4))]
+        texts.append(w[rng.randint(0, 3) :])
+    rows = list(zip(rng.sample(range(1000), len(texts)), (" ".join(w) for w in texts)))
+    got = as_rows(jaccard_components(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == jaccard_brute(rows, 4, 85)
+    assert 4 < len({c for _, _, c in got}) < len(rows)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
     from churnscope.llm.common import stage
