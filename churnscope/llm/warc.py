@@ -31,11 +31,12 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage,
 )
 
-from churnscope.llm.common import shared_path
+from churnscope.llm.common import shared_path, stage
 
 LEAST = 1000
 FILE_BYTES = 64 << 20
 PART_BYTES = 32 << 20
+BROADCAST_GROUPS = 1_000_000  # repeated payloads up to which their list goes to the pages instead of all payloads shuffled
 #: Columns of a record and the headers they come from.
 HEADERS = {
     "record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri",
@@ -284,8 +285,13 @@ def write_warc(pages: DataFrame, path: str | None = None, least: int = LEAST) ->
     firsts = (
         rows.filter((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull())
         .groupBy(F.col("hex").alias("_hex"), F.col("payload_bytes").alias("_n"))
-        .agg(F.max("page_id").alias("refers_to"))
+        .agg(F.min("page_id").alias("low"), F.max("page_id").alias("refers_to"))
+        .filter("low < refers_to")
+        .drop("low")
     )
+    firsts = stage(firsts, "repeated")
+    if firsts.count() <= BROADCAST_GROUPS:
+        firsts = F.broadcast(firsts)
     joined = rows.join(firsts, (F.col("hex") == F.col("_hex")) & (F.col("payload_bytes") == F.col("_n")), "left")
     revisit = F.coalesce(F.col("refers_to") > F.col("page_id"), F.lit(False))
     joined.select(
