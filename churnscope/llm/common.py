@@ -12,6 +12,7 @@ from churnscope.session import checkpoint_dir
 
 #: Documents as the operators see them: other columns are never looked at.
 DOC = "doc_id", "text"
+BATCH_ROWS = 2_000
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -31,11 +32,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_ROWS`` rows in this session: bounds the memory of tasks that hand on whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id, _k, text``: null texts become empty, ``_k`` tells rows that share a doc_id apart.
 
     Equal rows share their key, and every operator gives equal rows equal results.
     """
+    short_batches(docs.sparkSession)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.xxhash64("doc_id", "text").alias("_k"),

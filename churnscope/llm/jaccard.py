@@ -38,6 +38,7 @@ from churnscope.llm.common import components, keyed, schema, stage
 
 FREQUENT = 1 << 16
 FREQUENT_FROM = 32  # documents of a scan task in which a gram must be to be reported
+WAITING, HELD = 1_000_000, 1_500_000  # grams that a task collects before it counts them, and counted grams from which it forgets rare ones
 FRAGMENTS = 8
 MINI = 4  # longs of the short parity bitmap; the long one has at least a bit per gram
 BROADCAST_IDS = 1_000_000  # wanted documents up to which their ids are sent to the scan instead of all texts shuffled
@@ -66,11 +67,16 @@ def _sets(batch, k: int):
         yield part, g, own, np.bincount(own, minlength=n)
 
 
-def _count_frequent(k: int, least: int):
-    def merged(parts, counts):
-        g, i = np.unique(np.concatenate(parts), return_inverse=True)
-        return g, np.bincount(i, weights=np.concatenate(counts), minlength=len(g)).astype(np.int64)
+def _merged(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams, ascending, and the sum of each one's counts."""
+    g, n = np.concatenate(parts), np.concatenate(counts)
+    order = np.argsort(g)
+    g, n = g[order], n[order]
+    first = np.flatnonzero(np.r_[np.ones(min(1, len(g)), bool), g[1:] != g[:-1]])
+    return g[first], np.add.reduceat(n, first) if len(first) else n
+
 
+def _count_frequent(k: int, least: int):
     def run(batches):
         parts, counts, waiting = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
         for batch in batches:
@@ -78,11 +84,11 @@ def _count_frequent(k: int, least: int):
                 parts.append(g)
                 counts.append(np.ones(len(g), np.int64))
                 waiting += len(g)
-                if waiting > 3_000_000:
-                    g, n = merged(parts, counts)
-                    keep = n > (2 if len(g) > 4_000_000 else 0)  # bounds the memory: rare grams so far start anew
+                if waiting > WAITING:
+                    g, n = _merged(parts, counts)
+                    keep = n > (2 if len(g) > HELD else 0)  # bounds the memory: rare grams so far start anew
                     parts, counts, waiting = [g[keep]], [n[keep]], 0
-        g, n = merged(parts, counts)
+        g, n = _merged(parts, counts)
         keep = n >= least
         yield pa.RecordBatch.from_arrays([pa.array(W.signed(g[keep])), pa.array(n[keep])], names=["g", "n"])
 

@@ -27,8 +27,8 @@ SAME = np.arange(256, dtype=np.uint8)
 LOWER = SAME.copy()
 LOWER[65:91] += 32
 
-CHUNK = 1 << 20  # bytes hashed at once
-BATCH = 2 << 20  # bytes of text handled at once; one longer text stays whole
+CHUNK = 1 << 19  # bytes hashed at once
+BATCH = 1 << 20  # bytes of text handled at once; one longer text stays whole
 
 
 class Hash:
