@@ -57,7 +57,7 @@ def sink_csv(c):
     return c.spark.read.option("header", True).csv(path)
 
 
-@register("stage_ctas", oracle("select * from f_billpay"))
+@register("stage_ctas", oracle("select * from sa_money"))
 def stage_ctas(c):
     return csv_io.materialize(agg.billing_counts(c.src.ft, c.d), _shared_path(c, "stage-billpay"))
 
@@ -94,7 +94,7 @@ def mask_ids(c):
 
 
 # ---------------------------------------------------- 2.2 projections/predicates
-@register("project_rename", oracle("select * from f_base"))
+@register("project_rename", oracle("select * from agreement"))
 def project_rename(c):
     return c.base
 
@@ -108,7 +108,7 @@ def filter_eq_in(c):
 @register(
     "filter_status_notnull",
     oracle(
-        "select * from f_base where coalesce(sa_status_flag, '') not in ('70', '50', '10') "
+        "select * from agreement where coalesce(sa_status_flag, '') not in ('70', '50', '10') "
         "and rate_class_code is not null and cis_division is not null"
     ),
 )
@@ -120,7 +120,7 @@ def filter_status_notnull(c):
 
 @register(
     "filter_active_asof",
-    oracle("select * from f_base where sa_start_year_month < '199803' and sa_end_year_month >= '199803'"),
+    oracle("select * from agreement where sa_start_year_month < '199803' and sa_end_year_month >= '199803'"),
 )
 def filter_active_asof(c):
     return c.base.filter(A.active_at(c.d))
@@ -146,7 +146,7 @@ def nvl_defaults(c):
     "case_flag_yn",
     oracle(
         "select a.sa_id, a.premise_id, case when e.premise_id is not null then 'Y' else 'N' end as premise_level_12_mth_dnp_flag "
-        "from f_base a left join f_prem_dnp e on a.premise_id = e.premise_id"
+        "from agreement a left join cut_premise e on a.premise_id = e.premise_id"
     ),
 )
 def case_flag_yn(c):
@@ -171,7 +171,7 @@ def flag_yn_to_int(c):
     "date_isnull_flag",
     oracle(
         "select sa_id, case when pledge_date_1996 is not null then 1 else 0 end as pledge_date_1996_num, "
-        "case when pledge_date_1997 is not null then 1 else 0 end as pledge_date_1997_num from f_pledge_piv"
+        "case when pledge_date_1997 is not null then 1 else 0 end as pledge_date_1997_num from pledge_year"
     ),
 )
 def date_isnull_flag(c):
@@ -185,7 +185,7 @@ _ONEHOT_SQL = ", ".join(
 )
 
 
-@register("year_onehot", oracle(f"select sa_id, {_ONEHOT_SQL} from f_base"))
+@register("year_onehot", oracle(f"select sa_id, {_ONEHOT_SQL} from agreement"))
 def year_onehot(c):
     return c.base.select("sa_id", *S.year_onehot("sa_end_year", YEARS, "stop"), *S.year_onehot("sa_start_year", YEARS, "start"))
 
@@ -375,7 +375,7 @@ def join_base_inner(c):
     )
 
 
-@register("join_left_unused_dim", oracle("select a.* from f_base a left join (select distinct premise_id from recdet) g on a.premise_id = g.premise_id"))
+@register("join_left_unused_dim", oracle("select a.* from agreement a left join (select distinct premise_id from recdet) g on a.premise_id = g.premise_id"))
 def join_left_unused_dim(c):
     # the dimension contributes no column: de-duplicate its key so the left join
     # cannot multiply rows (Catalyst then keeps just the projection of the base)
@@ -383,12 +383,12 @@ def join_left_unused_dim(c):
     return c.base.join(geo, "premise_id", "left").select(*c.base.columns)
 
 
-@register("join_inner_lookup", oracle("select * from f_tonn"))
+@register("join_inner_lookup", oracle("select * from turn_on"))
 def join_inner_lookup(c):
     return J.turn_ons(c.fx.recdet, c.fx.sa)
 
 
-@register("semi_join_exists", oracle("select * from f_base where premise_id in (select premise_id from f_prem_dnp)"))
+@register("semi_join_exists", oracle("select * from agreement where premise_id in (select premise_id from cut_premise)"))
 def semi_join_exists(c):
     return c.base.join(J.premise_dnp_12m(c.fx.recdet, c.d), "premise_id", "left_semi")
 
@@ -404,7 +404,7 @@ def anti_join_cancelled(c):
     return J.uncancelled_payments(c.fx.ft)
 
 
-@register("join_chain_last_payment", oracle("select * from f_paydate"))
+@register("join_chain_last_payment", oracle("select * from last_paid"))
 def join_chain_last_payment(c):
     fx = c.fx
     return J.last_payment_date(fx.ft, fx.pay_seg, fx.pay, fx.pay_event, c.d)
@@ -416,9 +416,9 @@ def join_chain_last_payment(c):
         "select p.premise_id, case when s1.premise_id is null then 'N' else 'Y' end as seasonal_prior_1_yr_flag, "
         "case when s2.premise_id is null then 'N' else 'Y' end as seasonal_prior_2_yr_flag, "
         "case when s3.premise_id is null then 'N' else 'Y' end as seasonal_prior_3_yr_flag "
-        "from (select premise_id from f_seas1 union select premise_id from f_seas2 union select premise_id from f_seas3) p "
-        "left join f_seas1 s1 on p.premise_id = s1.premise_id left join f_seas2 s2 on p.premise_id = s2.premise_id "
-        "left join f_seas3 s3 on p.premise_id = s3.premise_id"
+        "from (select premise_id from away_1 union select premise_id from away_2 union select premise_id from away_3) p "
+        "left join away_1 s1 on p.premise_id = s1.premise_id left join away_2 s2 on p.premise_id = s2.premise_id "
+        "left join away_3 s3 on p.premise_id = s3.premise_id"
     ),
 )
 def self_join_season(c):
@@ -430,7 +430,7 @@ def self_join_season(c):
     return out
 
 
-@register("left_join_features_a", oracle("select * from f_stage15"))
+@register("left_join_features_a", oracle("select * from flags_a"))
 def left_join_features_a(c):
     src, d = c.src, c.d
     row = FT.with_flags_a(c.base, src, d)
@@ -442,7 +442,7 @@ def left_join_features_a(c):
     return J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
 
 
-@register("left_join_features_b", oracle("select * from f_stage16"))
+@register("left_join_features_b", oracle("select * from flags_b"))
 def left_join_features_b(c):
     src, d = c.src, c.d
     row = left_join_features_a(c)
@@ -464,7 +464,7 @@ def left_join_features_b(c):
     oracle(
         "select a.sa_id, a.sa_start_date, a.sa_end_date, coalesce(b.degree_day, -1) as sa_start_degree_day, "
         "coalesce(b.average_temperature, -1) as sa_start_avg_temp, coalesce(c.degree_day, -1) as sa_end_degree_day, "
-        "coalesce(c.average_temperature, -1) as sa_end_avg_temp from f_base a "
+        "coalesce(c.average_temperature, -1) as sa_end_avg_temp from agreement a "
         "left join weather b on b.trend_area_code = 'LGC' and a.sa_start_date = b.degree_day_date "
         "left join weather c on c.trend_area_code = 'LGC' and a.sa_end_date = c.degree_day_date"
     ),
@@ -481,8 +481,8 @@ _PL_SQL = ", ".join(f"b.pledge_date_{y}, coalesce(b.pledge_flag_{y}, 0) as pledg
 @register(
     "left_join_pledge_usage",
     oracle(
-        f"select a.sa_id, {_PL_SQL}, u.usage_in_last_18_months from f_base a left join f_pledge_piv b on a.sa_id = b.sa_id "
-        "left join f_usage u on a.sa_id = u.sa_id"
+        f"select a.sa_id, {_PL_SQL}, u.usage_in_last_18_months from agreement a left join pledge_year b on a.sa_id = b.sa_id "
+        "left join sa_usage u on a.sa_id = u.sa_id"
     ),
 )
 def left_join_pledge_usage(c):
@@ -497,8 +497,8 @@ def left_join_pledge_usage(c):
     oracle(
         "select a.sa_id, per.max_sa_start_date as person_max_sa_start_date, per.min_sa_end_date as person_min_sa_end_date, "
         "prem.max_sa_end_date as premise_max_sa_end_date, prem.min_sa_start_date as premise_min_sa_start_date "
-        "from f_base a left join f_mm_person per on a.person_id = per.person_id "
-        "left join f_mm_premise prem on a.premise_id = prem.premise_id"
+        "from agreement a left join span_person per on a.person_id = per.person_id "
+        "left join span_premise prem on a.premise_id = prem.premise_id"
     ),
 )
 def left_join_minmax(c):
@@ -513,7 +513,7 @@ def left_join_minmax(c):
 @register(
     "cond_count_18m",
     oracle("select sa_id, payments_in_last_18_months, bills_in_last_18_months, pay_segs_in_last_18_months, "
-           "bill_segs_in_last_18_months from f_billpay"),
+           "bill_segs_in_last_18_months from sa_money"),
 )
 def cond_count_18m(c):
     return agg.billing_counts(c.fx.ft, c.d).select(
@@ -524,7 +524,7 @@ def cond_count_18m(c):
 
 @register(
     "cond_sum_arrears",
-    oracle("select sa_id, arrears_current_amount, arrears_payoff_amount, total_current_amount, total_payoff_amount from f_billpay"),
+    oracle("select sa_id, arrears_current_amount, arrears_payoff_amount, total_current_amount, total_payoff_amount from sa_money"),
 )
 def cond_sum_arrears(c):
     return agg.billing_counts(c.fx.ft, c.d).select(
@@ -534,7 +534,7 @@ def cond_sum_arrears(c):
 
 @register(
     "max_payment_date",
-    oracle("select b.account_id, max(p.most_recent_payment_date) as most_recent_payment_date from f_paydate p "
+    oracle("select b.account_id, max(p.most_recent_payment_date) as most_recent_payment_date from last_paid p "
            "join sa b on p.sa_id = b.sa_id group by b.account_id"),
 )
 def max_payment_date(c):
@@ -545,22 +545,22 @@ def max_payment_date(c):
     )
 
 
-@register("count_lpc", oracle("select * from f_lpc"))
+@register("count_lpc", oracle("select * from late_fee"))
 def count_lpc(c):
     return agg.late_payment_counts(c.fx.adj, c.d)
 
 
-@register("sum_usage_18m", oracle("select * from f_usage"))
+@register("sum_usage_18m", oracle("select * from sa_usage"))
 def sum_usage_18m(c):
     return agg.usage_18m(c.fx.usage_fact, c.d)
 
 
-@register("distinct_keys", oracle("select * from f_acct_dnp"))
+@register("distinct_keys", oracle("select * from cut_account"))
 def distinct_keys(c):
     return J.account_dnp_12m(c.fx.recdet, c.fx.sa, c.d)
 
 
-@register("pivot_year_pledge", oracle("select * from f_pledge_piv"))
+@register("pivot_year_pledge", oracle("select * from pledge_year"))
 def pivot_year_pledge(c):
     return agg.pledge_by_year(c.fx.pledge, YEARS)
 
@@ -570,7 +570,7 @@ _MM = "max_sa_start_date, min_sa_start_date, max_sa_end_date, min_sa_end_date"
 
 @register(
     "minmax_person",
-    oracle(f"select person_id, {', '.join(x.strip() + ' as person_' + x.strip() for x in _MM.split(','))} from f_mm_person"),
+    oracle(f"select person_id, {', '.join(x.strip() + ' as person_' + x.strip() for x in _MM.split(','))} from span_person"),
 )
 def minmax_person(c):
     return agg.history_min_max(c.base, "person_id", c.d, "person")
@@ -578,7 +578,7 @@ def minmax_person(c):
 
 @register(
     "minmax_premise",
-    oracle(f"select premise_id, {', '.join(x.strip() + ' as premise_' + x.strip() for x in _MM.split(','))} from f_mm_premise"),
+    oracle(f"select premise_id, {', '.join(x.strip() + ' as premise_' + x.strip() for x in _MM.split(','))} from span_premise"),
 )
 def minmax_premise(c):
     return agg.history_min_max(c.base, "premise_id", c.d, "premise")
@@ -589,7 +589,7 @@ def _lag_sql(key: str) -> str:
     return (
         f"select sa_id, {key}, lag(sa_end_date, 1) over (partition by {key} order by sa_start_date, sa_id) as prior_stop_date, "
         f"lag(sa_start_date, 1) over (partition by {key} order by sa_start_date, sa_id) as prior_start_date "
-        f"from f_base where sa_start_date < {D}"
+        f"from agreement where sa_start_date < {D}"
     )
 
 
