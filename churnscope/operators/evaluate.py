@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnscope.operators.ordered import running_sum
@@ -95,13 +95,14 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "prob") -> DataFra
 
 def subgroup_rates(df: DataFrame, key: str = "payments", below: int = 20, label: str = "label", pred: str = "pred"):
     """Per key value under ``below``: share of population (%), actual and predicted stop %."""
-    sub = df.filter(F.col(key) < below)
-    total = sub.count()
-    return sub.groupBy(F.col(key).alias("group")).agg(
-        (F.count(F.lit(1)) * 100.0 / F.lit(float(total))).alias("population_pct"),
+    g = df.filter(F.col(key) < below).groupBy(F.col(key).alias("group")).agg(
+        F.count(F.lit(1)).alias("n"),
         (F.avg(F.col(label)) * 100).alias("actual_stop_pct"),
         (F.avg(F.col(pred)) * 100).alias("predicted_stop_pct"),
     )
+    # the total is summed over the grouped rows, at most one per value under ``below``
+    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy()).cast("double")
+    return g.select("group", share.alias("population_pct"), "actual_stop_pct", "predicted_stop_pct")
 
 
 def subgroup_error_rates(df: DataFrame, key: str = "payments", below: int = 20, label: str = "label", pred: str = "pred"):
@@ -131,8 +132,6 @@ def calibration_bins(df: DataFrame, label: str = "label", pred: str = "pred", pr
 
 def threshold_policy(bins: DataFrame) -> DataFrame:
     """Cumulative predicted / actual stops from the highest probability bin down."""
-    from pyspark.sql import Window
-
     w = Window.orderBy(F.col("prob_bin").desc()).rowsBetween(Window.unboundedPreceding, 0)  # <= 11 bins
     return bins.select(
         "prob_bin",

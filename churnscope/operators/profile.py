@@ -50,26 +50,20 @@ def describe_profile(df: DataFrame, columns: list[str]) -> DataFrame:
             F.min(x).alias(f"{c}__min"),
             F.max(x).alias(f"{c}__max"),
         ]
-    wide = df.agg(*aggs)
     qs = exact_quantiles(df, columns, (0.25, 0.5, 0.75))
-    parts = []
+    rows = []
     for c in columns:
         q = qs.get(c) or [None, None, None]
-        parts.append(
-            wide.select(
+        rows.append(
+            F.struct(
                 F.lit(c).alias("column_name"),
-                F.col(f"{c}__count").alias("count"),
-                F.col(f"{c}__mean").alias("mean"),
-                F.col(f"{c}__std").alias("std"),
-                F.col(f"{c}__min").alias("min"),
+                *[F.col(f"{c}__{what}").alias(what) for what in ("count", "mean", "std", "min")],
                 *[F.lit(v).cast("double").alias(n) for v, n in zip(q, ("q25", "q50", "q75"))],
                 F.col(f"{c}__max").alias("max"),
             )
         )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    # one aggregate row turned into a row per column: the input is read once
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
 def describe_categorical_by_group(df: DataFrame, group: str, column: str) -> DataFrame:

@@ -161,10 +161,9 @@ def avg_inactive_by_division(lab: DataFrame, as_of) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, key: str) -> DataFrame:
-    """Rows per group and their share of all rows (the total is one scalar job)."""
-    total = df.count()
+    """Rows per group and their share of all rows; the total is summed over the grouped rows (one per city, code or year)."""
     g = df.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    return g.withColumn("share", F.col("rows") / F.lit(float(total)))
+    return g.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy()).cast("double"))
 
 
 def residential(df: DataFrame) -> DataFrame:
