@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from churnscope.operators.ordered import running_sum
 
-# Money score of the study: a correctly predicted stop saves 100, a call to an
+# Fixed values.  Money score of the study: a correctly predicted stop saves 100, a call to an
 # agreement that was not going to stop costs 10 (report); the model-search
 # scorer instead charges 10 per missed stop and nothing per false alarm.
 SAVINGS = {"report": {"tp": 100, "fp": -10, "fn": 0, "tn": 0}, "scorer": {"tp": 100, "fp": 0, "fn": -10, "tn": 0}}

@@ -196,6 +196,7 @@ def feature_view(row: DataFrame, as_of, years) -> DataFrame:
     return row.select(*keep, *out)
 
 
+# The column names of the published feature table.
 FEATURE_COLUMNS_HEAD = [
     "cis_division",
     "account_id",
