@@ -72,13 +72,20 @@ class Encoder:
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, end ids included, and the number of ids of each row."""
         n = len(off) - 1
-        cut, raw = None, data.tobytes()
-        if b"<|" not in raw and b"\xce\xa3" not in raw:
-            data = W.LOWER[data]
-            letter, mark = _LETTER[data], _MARK[data]
-            cut = np.zeros(len(data), bool)
-            cut[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
-            raw = data.tobytes()
+        whole = np.zeros(len(data), bool)  # documents that are cut at white space only
+        for mark in (b"<|", b"\xce\xa3"):
+            at = np.flatnonzero((data[:-1] == mark[0]) & (data[1:] == mark[1]))
+            row = np.searchsorted(off, at, side="right") - 1
+            for i in np.unique(row[at + 1 < off[row + 1]]):
+                whole[off[i] : off[i + 1]] = True
+        joins = np.zeros(len(data), bool)  # a mark that follows may be joined to the capital, which NFC does before the case is folded
+        joins[:-1] = data[1:] > 127
+        joins[off[1:][off[1:] > 0] - 1] = False
+        data = np.where(whole | joins, data, W.LOWER[data])
+        letter, mark = _LETTER[data], _MARK[data]
+        cut = np.zeros(len(data), bool)
+        cut[1:] = ((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) & ~whole[1:]
+        raw = data.tobytes()
         starts, ends, rows = W.bounds(data, off, W.SPACE, cut)
         h, check = _ONE.words(data, starts, ends), _TWO.words(data, starts, ends)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
