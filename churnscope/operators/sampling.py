@@ -7,8 +7,11 @@ and it does not depend on the number of executors.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +126,55 @@ def poisson_weight(u: Column, k_max: int = 12) -> Column:
     return w
 
 
+def _poisson_sums(replicates: int, salt: str):
+    """Per batch of (values, rows) groups: replicate, weights and weighted sums of each column, NULLs left out."""
+
+    def run(batches):
+        for batch in batches:
+            *values, n = [c.to_pylist() for c in batch.columns]
+            weight, total = np.zeros((len(values), replicates)), np.zeros((len(values), replicates))
+            for i, rows in enumerate(n):
+                group = [v[i] for v in values]
+                seed = hashlib.md5(f"{salt}{group!r}".encode()).digest()
+                drawn = np.random.Generator(np.random.Philox(int.from_bytes(seed, "little"))).poisson(rows, replicates)
+                for j, x in enumerate(group):
+                    if x is not None:
+                        weight[j] += drawn
+                        total[j] += drawn * x
+            if n:
+                names = [f"{what}{j}" for j in range(len(values)) for what in ("w", "s")]
+                columns = [pa.array(a[j]) for j in range(len(values)) for a in (weight, total)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(replicates, dtype=np.int32)), *columns], names=["rep", *names])
+
+    return run
+
+
+def bootstrap_mean_ci_grouped(
+    df: DataFrame, columns: list[str], replicates: int = 10_000, alpha: float = 0.05, salt: str = "boot:"
+) -> DataFrame:
+    """``bootstrap_mean_ci`` for columns with few distinct tuples, as the 0/1 labels.
+
+    Equal rows are counted first; the sum of their n independent Poisson(1)
+    weights is Poisson(n), drawn per tuple and replicate from a generator seeded
+    by the tuple's hash.  The work after the one aggregate is tuples x replicates,
+    however many rows there are.
+    """
+    doubles = [F.col(c).cast("double").alias(c) for c in columns]
+    groups = df.groupBy(*doubles).agg(F.count(F.lit(1)).alias("_n"))
+    fields = ", ".join(f"w{j} double, s{j} double" for j in range(len(columns)))
+    sums = groups.mapInArrow(_poisson_sums(replicates, salt), f"rep int, {fields}").groupBy("rep").agg(
+        *[F.sum(f"{what}{j}").alias(f"{what}{j}") for j in range(len(columns)) for what in ("w", "s")]
+    )
+    bounds = F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))
+    stats = sums.agg(*[F.percentile(F.try_divide(F.col(f"s{j}"), F.col(f"w{j}")), bounds).alias(c) for j, c in enumerate(columns)])
+    ci = stats.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(c)[0].alias("ci_low"), F.col(c)[1].alias("ci_high")) for c in columns
+    ])))
+    point = df.agg(*[F.avg(c).alias(c) for c in columns])
+    mean = point.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("mean")) for c in columns])))
+    return mean.join(ci, "column_name")  # one row per column on both sides
+
+
 def bootstrap_mean_ci(
     df: DataFrame, columns: list[str], key: str = "sa_id", replicates: int = 10_000, alpha: float = 0.05, salt: str = "boot:"
 ) -> DataFrame:
