@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from churnscope.llm import words as W
 from churnscope.llm.common import schema, stage
 
-ORDER = 4
+ORDER = 5
 BLOCK = 32 << 20
 PIECE = 1 << 20  # bytes of a block worked on at once
 START, STOP = 0xFE, 0xFF
@@ -116,7 +116,7 @@ class Lookup:
     """Values of 64-bit keys that are all there: open addressing, probed for all keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(4 * len(keys) + 1))))
+        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
         used = np.zeros(1 << self.bits, bool)
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
         at = self._slot(keys)
