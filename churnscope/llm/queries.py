@@ -202,3 +202,34 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.ppm import ppm_score
 
     return ppm_score(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
+
+
+@query(
+    "op13_tensored_minhash",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    grams AS (
+      SELECT DISTINCT doc_id, w[p:p + least(len(w), 5) - 1] AS g
+      FROM words, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS s(p) WHERE len(w) > 0),
+    sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+    common_grams AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+      GROUP BY 1, 2),
+    links AS (
+      SELECT x, y FROM common_grams JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+      WHERE 100 * o >= 85 * (a.n + b.n - o)),
+    reach AS (
+      SELECT doc_id AS d, doc_id AS r FROM sizes
+      UNION SELECT reach.d, links.y FROM reach JOIN links ON reach.r = links.x),
+    found AS (SELECT d, min(r) AS component_id FROM reach GROUP BY d)
+    SELECT w.doc_id, cast(coalesce(s.n, 0) AS bigint) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+           coalesce(c.component_id, w.doc_id) = w.doc_id AS kept
+    FROM words w LEFT JOIN sizes s ON w.doc_id = s.doc_id LEFT JOIN found c ON w.doc_id = c.d
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.tensor import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("_k")
