@@ -233,3 +233,73 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from churnscope.llm.tensor import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents")).drop("_k")
+
+
+#: Unsigned crc32 of the ASCII text ``{0}`` in DuckDB, bit by bit.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda c: ascii(c)::bigint)),
+             lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0],
+             lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"""
+
+
+@query(
+    "op11_periodic_runs",
+    r"""
+    WITH plain AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             """ + _CRC32.format("cast(doc_id AS varchar)") + r""" AS h
+      FROM documents),
+    spots AS (SELECT *, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a FROM plain),
+    words AS (
+      SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0
+             THEN list_transform(generate_series(0, len(w) - 1), lambda i: w[1 + CASE WHEN i < a THEN i
+                                 ELSE a + (i - a) % (1 + (len(w) - a) // (3 + (h // 10) % 8)) END])
+             ELSE w END AS w
+      FROM spots),
+    grams AS (
+      SELECT doc_id, i, w[i + 1:i + 6] AS g FROM words, unnest(generate_series(0, len(w) - 6)) AS s(i) WHERE len(w) >= 6),
+    equal AS (
+      SELECT x.doc_id, x.i, y.i - x.i AS q, x.i - row_number() OVER (PARTITION BY x.doc_id, y.i - x.i ORDER BY x.i) AS island
+      FROM grams x JOIN grams y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+    stretches AS (SELECT doc_id, q, min(i) AS s, count(*) + 5 AS m FROM equal GROUP BY doc_id, q, island),
+    runs AS (SELECT doc_id, s, m + q AS n, min(q) AS q FROM stretches WHERE m >= q AND m + q >= 12 GROUP BY doc_id, s, m + q),
+    totals AS (
+      SELECT doc_id, count(*) AS n_runs, arg_min({'s': s, 'n': n, 'q': q}, {'n': -n, 's': s, 'q': q}) AS top,
+             string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+      FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, i FROM runs, unnest(generate_series(s + q, s + n - 1)) AS t(i)),
+    kept AS (
+      SELECT u.doc_id, string_agg(u.v, ' ' ORDER BY u.i) AS text
+      FROM (SELECT doc_id, unnest(w) AS v, unnest(generate_series(0, len(w) - 1)) AS i FROM words WHERE len(w) > 0) u
+      ANTI JOIN gone ON u.doc_id = gone.doc_id AND u.i = gone.i GROUP BY u.doc_id)
+    SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, cast(top.n AS bigint) AS length, top.q AS period,
+           cast(1000 * top.n // top.q AS bigint) AS exponent_milli,
+           sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM words w LEFT JOIN totals t ON w.doc_id = t.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document by hash has its words repeated from some word on, as the contract of this query says."""
+    from churnscope.llm.runs import periodic_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("h", F.crc32(F.col("doc_id").cast("string")))
+    docs = docs.withColumn("w", F.when(F.col("h") % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")))
+    docs = docs.withColumn("n", F.size("w")).withColumn("g", F.floor(F.col("h") / 10)).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    docs = docs.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    source = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("n") - F.lit(1).cast("long")),
+        lambda i: F.get("w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")),
+    )
+    found = periodic_runs(docs.select("doc_id", F.when(F.col("n") > 0, F.array_join(source, " ")).otherwise(F.col("text")).alias("text")))
+    order = F.array_sort(F.transform("runs", lambda x: F.struct((-x["length"]).alias("l"), x["start"].alias("s"), x["period"].alias("p"))))
+    top = F.get(order, F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])), "\n")
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("top.s").alias("start"),
+        (-F.col("top.l")).alias("length"),
+        F.col("top.p").alias("period"),
+        F.floor(F.col("top.l") * -1000 / F.col("top.p")).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
