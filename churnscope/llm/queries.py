@@ -303,3 +303,30 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query(
+    "op12_stratified_search",
+    r"""
+    WITH split AS (
+      SELECT doc_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM documents),
+    asked AS (
+      SELECT DISTINCT item_id, unnest(list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')) AS t FROM benchmark),
+    posts AS (SELECT doc_id, t, count(*) AS tf FROM split GROUP BY doc_id, t),
+    lens AS (SELECT doc_id, cast(sum(tf) AS bigint) AS n FROM posts GROUP BY doc_id),
+    total AS (SELECT count(*) AS docs, cast(sum(n) AS bigint) AS terms FROM lens),
+    norms AS (SELECT doc_id, 50 + (50 * n * docs) // terms AS m FROM lens, total),
+    weights AS (SELECT t, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS bigint) AS w FROM posts, total GROUP BY t, docs),
+    scores AS (
+      SELECT item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS bigint) AS score
+      FROM asked JOIN posts USING (t) JOIN weights USING (t) JOIN norms USING (doc_id) GROUP BY item_id, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scores WHERE score > 0)
+    SELECT item_id, cast(r AS integer) AS rank, doc_id, score FROM ranked WHERE r <= 50
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from churnscope.llm.strata import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
