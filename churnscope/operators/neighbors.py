@@ -1,140 +1,140 @@
-"""Exact k-nearest-neighbour classification without a cross join.
-
-Every query needs its k nearest training rows (Euclidean distance).  A
-projection on one feature axis never exceeds the true distance
-(|x_j - y_j| <= ||x - y||), so once a radius r that holds k training rows is
-known for a query, every true neighbour lies in the band |x_j - q_j| <= r of
-that axis.  The join therefore runs in two bounded steps over the training
-rows sorted on the axis (the feature with the largest variance):
-
-1. seeds: the 2k training rows around the query's position in axis order give
-   an upper bound r_q of its k-th neighbour distance;
-2. band: the contiguous rank range of training rows inside the band
-   [q_j - r_q, q_j + r_q] is joined by rank, distances are computed, and the k
-   nearest are kept (ties broken by the training row id).
-
-Positions and band edges come from one two-phase running count (no window over
-all rows); candidates are ranked in chunks of bounded size, then per query
-over the chunk winners.  No candidate is dropped: the band is exact.  Training
-rows repeated by re-sampling are searched once and carry their copy count.
+"""Exact k-nearest-neighbour classification by a blocked distance kernel.
+
+The distinct training rows, with their copy counts, are cut into blocks of at
+most ``BLOCK_BYTES``; a re-sampled training set of fixed size is one block.  A
+block is broadcast, and every Arrow batch of queries is compared with it by one
+matrix product.  The product gives squared distances up to a known rounding
+error: the rows that may be among the k nearest within it (never fewer than k)
+get their exact distance, and the k nearest are kept.  Queries are never
+shuffled and no (query, training row) pair leaves a task; only with several
+blocks are the lists of at most k rows per query and block brought together.
+
+Order: distance, then the smallest training id of a row's copies.  Training rows
+repeated by re-sampling are searched once and carry their copy count.
+
+A training row with a NULL feature is at no distance and never a neighbour; a
+query with one has no neighbours; an empty training set gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnscope.operators.ordered import dense_index, running_sum
-
-CHUNK = 2000  # candidate ranks per ranking group
-
-
-def _distance(features: list[str], left: str, right: str):
-    return F.sqrt(sum((F.col(f"{left}.{f}") - F.col(f"{right}.{f}")) ** 2 for f in features))
+from churnscope.sources.csv_io import stage_table
+
+BLOCK_BYTES = 64 << 20
+QUERIES = 64  # queries of one matrix product
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of paired rows; squares are added feature by feature, as a SQL sum would."""
+    total = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        total += (x[:, j] - q[:, j]) ** 2
+    return np.sqrt(total)
+
+
+def nearest(x: np.ndarray, tid: np.ndarray, copies: np.ndarray, q: np.ndarray, k: int):
+    """Of every row of ``q`` its nearest rows of ``x`` until they hold ``k`` copies:
+    query number, row number, distance, copies of the nearer rows."""
+    size, width = (x * x).sum(axis=1), x.shape[1]
+    own = (q * q).sum(axis=1)
+    d = own[:, None] + size[None, :] - 2.0 * (q @ x.T)
+    kth = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+    error = 4 * (width + 4) * np.finfo(float).eps * (own + size.max())
+    row, col = np.nonzero(d <= (kth + 2 * error)[:, None])
+    dist = _exact(x[col], q[row])
+    order = np.lexsort((tid[col], dist, row))
+    row, col, dist = row[order], col[order], dist[order]
+    before = np.cumsum(copies[col]) - copies[col]
+    first = np.searchsorted(row, np.arange(len(q)))
+    before -= before[np.minimum(first, max(len(row) - 1, 0))][row] if len(row) else 0
+    keep = before < k
+    return row[keep], col[keep], dist[keep], before[keep]
+
+
+NEAR = "array<struct<d:double,tid:long,y:double,m:long,before:long>>"
+
+
+def _kernel(sent, k: int, width: int):
+    """Appends the list of nearest rows; the last ``width`` columns are the query's features."""
+
+    def run(batches):
+        x, y, tid, copies = sent.value
+        for batch in batches:
+            other = batch.num_columns - width
+            q = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns[other:]], axis=1)
+            for a in range(0, len(q), QUERIES):
+                part = batch.slice(a, QUERIES)
+                whole = np.flatnonzero(~np.isnan(q[a : a + QUERIES]).any(axis=1))
+                row, col, dist, before = nearest(x, tid, copies, q[a : a + QUERIES][whole], k)
+                counts = np.bincount(whole[row], minlength=part.num_rows)
+                near = pa.StructArray.from_arrays(
+                    [pa.array(dist), pa.array(tid[col]), pa.array(y[col]), pa.array(copies[col]), pa.array(before)], names=["d", "tid", "y", "m", "before"]
+                )
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), near)
+                yield pa.RecordBatch.from_arrays([*part.columns[:other], lists], names=[*part.schema.names[:other], "near"])
+
+    return run
+
+
+def nearest_lists(train: DataFrame, test: DataFrame, features: list[str], k: int, train_id: str, keep: list[str],
+                  label: str = "label") -> DataFrame:
+    """The columns ``keep`` of every row of ``test`` (they identify it) and ``near``: its
+    nearest distinct training rows by distance, then id, until their copies reach ``k``."""
+    spark = train.sparkSession
+    t = train.select(F.col(train_id).cast("long").alias("_tid0"), F.col(label).cast("double").alias("_y"),
+                     *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=features)
+    t = stage_table(t.groupBy("_y", *features).agg(F.min("_tid0").alias("_tid"), F.count(F.lit(1)).alias("_m")), "knn_train")
+    blocks = -(-t.count() * 8 * (len(features) + 3) // BLOCK_BYTES)
+    q = test.select(*keep, *[F.col(f).cast("double").alias(f"_q_{f}") for f in features])
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in q.schema.fields[: len(keep)]) + f", near {NEAR}"
+    found = None
+    for block in range(blocks):
+        part = t.filter(F.pmod(F.xxhash64("_tid"), F.lit(blocks)) == block).toPandas()  # about BLOCK_BYTES
+        if not len(part):
+            continue
+        sent = spark.sparkContext.broadcast(
+            (part[features].to_numpy(dtype=float), part["_y"].to_numpy(dtype=float), part["_tid"].to_numpy(dtype=np.int64), part["_m"].to_numpy(dtype=np.int64))
+        )
+        near = q.mapInArrow(_kernel(sent, k, len(features)), ddl)
+        found = near if found is None else found.unionByName(near)
+    if found is None:
+        return spark.createDataFrame([], ddl)
+    if blocks > 1:
+        found = found.groupBy(*keep).agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+        before = F.transform("near", lambda x, i: x.withField("before", F.aggregate(F.slice("near", F.lit(1), i), F.lit(0).cast("long"), lambda s, y: s + y["m"])))
+        found = found.withColumn("near", F.filter(before, lambda x: x["before"] < k))
+    return found
 
 
 def knn_neighbours(train: DataFrame, test: DataFrame, features: list[str], k: int, train_id: str, query_id: str,
                    label: str = "label") -> DataFrame:
     """For every query, the distinct training rows that make up its k nearest
     neighbours: (query id, rank, label, distance, weight), where ``weight`` is
-    how many copies of that row fall among the k nearest (re-sampled training
-    sets repeat rows; a row is searched once and counted with its copies).
-
-    Order: distance, then the smallest training id of the row's copies.
-    """
-    spark = train.sparkSession
-    var = train.agg(*[F.var_pop(F.col(f).cast("double")).alias(f) for f in features]).first()
-    axis = max(features, key=lambda f: var[f] or 0.0)
-
-    t = train.select(F.col(train_id).alias("_tid0"), F.col(label).cast("double").alias("_y"),
-                     *[F.col(f).cast("double").alias(f) for f in features])
-    t = t.groupBy("_y", *features).agg(F.min("_tid0").alias("_tid"), F.count(F.lit(1)).alias("_m"))
-    t = t.withColumn("_p", F.col(axis))
-    indexed = dense_index(t, ["_p", "_tid"], "_r")
-    n = indexed.count()
-    if n == 0:
-        return spark.createDataFrame([], f"{query_id} long, nb int, nb_label double, distance double, weight long")
-    q = test.select(F.col(query_id).alias("_qid"), *[F.col(f).cast("double").alias(f) for f in features])
-    q = q.withColumn("_p", F.col(axis))
-
-    def positions(points: DataFrame, flag: int) -> DataFrame:
-        """#training rows ordered before each point (flag -1: p < v, +1: p <= v)."""
-        rows = indexed.select(F.col("_p"), F.lit(0).alias("_f"), F.col("_tid").cast("double").alias("_o"),
-                              F.lit(1).cast("long").alias("_t"), F.lit(None).cast("long").alias("_qid"))
-        pts = points.select(F.col("_v").alias("_p"), F.lit(flag).alias("_f"), F.col("_qid").cast("double").alias("_o"),
-                            F.lit(0).cast("long").alias("_t"), F.col("_qid"))
-        cum = running_sum(rows.unionByName(pts), ["_p", "_f", "_o", "_qid"], {"_t": "_cnt"})
-        return cum.filter(F.col("_t") == 0).select("_qid", F.col("_cnt").alias("_pos"))
-
-    # 1. seeds around the query's position: an upper bound of the k-th distance
-    pos = positions(q.select("_qid", F.col("_p").alias("_v")), 1)
-    seed_ranks = pos.select(
-        "_qid",
-        F.explode(F.sequence(F.greatest(F.col("_pos") - k, F.lit(0)), F.least(F.col("_pos") + k - 1, F.lit(n - 1))))
-        .alias("_r"),
-    )
-    seeds = (
-        seed_ranks.join(indexed.alias("tr"), "_r")
-        .join(q.alias("qq"), "_qid")
-        .select("_qid", F.col("tr._m").alias("_m"), _distance(features, "tr", "qq").alias("_d"))
-    )
-    # <= 2k seeds per query: the distance at which their copies reach k; if all
-    # seeds hold fewer than k copies, the band is everything
-    ws = Window.partitionBy("_qid").orderBy("_d").rowsBetween(Window.unboundedPreceding, 0)
-    radius = (
-        seeds.withColumn("_cm", F.sum("_m").over(ws))
-        .groupBy("_qid")
-        .agg(F.min(F.when(F.col("_cm") >= k, F.col("_d"))).alias("_rad"))
-        .select("_qid", F.coalesce(F.col("_rad"), F.lit(float("inf"))).alias("_rad"))
-    )
-
-    # 2. every training row inside the band on the axis (widened by a rounding
-    # margin: more candidates never change the result, fewer could)
-    rad = F.col("_rad") * (1 + 1e-9) + F.lit(1e-12)
-    band = q.join(radius, "_qid").select("_qid", (F.col("_p") - rad).alias("_lo_v"), (F.col("_p") + rad).alias("_hi_v"))
-    lo = positions(band.select("_qid", F.col("_lo_v").alias("_v")), -1).withColumnRenamed("_pos", "_lo")
-    hi = positions(band.select("_qid", F.col("_hi_v").alias("_v")), 1).withColumnRenamed("_pos", "_hi")
-    ranks = lo.join(hi, "_qid").select("_qid", F.explode(F.sequence(F.col("_lo"), F.col("_hi") - 1)).alias("_r"))
-    cand = (
-        ranks.join(indexed.alias("tr"), "_r")
-        .join(q.alias("qq"), "_qid")
-        .select("_qid", "_r", F.col("tr._tid").alias("_tid"), F.col("tr._y").alias("_y"), F.col("tr._m").alias("_m"),
-                _distance(features, "tr", "qq").alias("_d"))
-    )
-    # nearest rows within bounded chunks of the band, then over the chunk
-    # winners of each query; a row is kept while the copies before it are < k
-    order = [F.col("_d"), F.col("_tid")]
-    upto = Window.unboundedPreceding
-    w1 = Window.partitionBy("_qid", (F.col("_r") / CHUNK).cast("long")).orderBy(*order).rowsBetween(upto, 0)
-    best = cand.withColumn("_c1", F.sum("_m").over(w1)).filter(F.col("_c1") - F.col("_m") < k)
-    w2 = Window.partitionBy("_qid").orderBy(*order)  # <= k rows per chunk of the band
-    top = (
-        best.withColumn("_c2", F.sum("_m").over(w2.rowsBetween(upto, 0)))
-        .filter(F.col("_c2") - F.col("_m") < k)
-        .withColumn("nb", F.row_number().over(w2))
-    )
-    before = F.col("_c2") - F.col("_m")
-    return top.select(
-        F.col("_qid").alias(query_id), "nb", F.col("_y").alias("nb_label"), F.col("_d").alias("distance"),
-        F.least(F.col("_m"), F.lit(k) - before).alias("weight"), before.alias("_before"),
+    how many copies of that row fall among the k nearest."""
+    found = nearest_lists(train, test, features, k, train_id, [query_id], label)
+    return found.select(query_id, F.posexplode("near").alias("nb", "n")).select(
+        query_id, (F.col("nb") + 1).alias("nb"), F.col("n.y").alias("nb_label"), F.col("n.d").alias("distance"),
+        F.least(F.col("n.m"), F.lit(k) - F.col("n.before")).alias("weight"), F.col("n.before").alias("_before"),
     )
 
 
 def knn_classify(train: DataFrame, test: DataFrame, features: list[str], k_values=range(1, 12), train_id: str = "row_id",
-                 query_id: str = "sa_id", label: str = "label") -> DataFrame:
+                 query_id: str = "sa_id", label: str = "label", keep: tuple[str, ...] = ()) -> DataFrame:
     """Uniform-vote k-NN for every k of ``k_values`` in one neighbour search:
-    (query, k, prob = share of stop neighbours, pred = prob > 0.5, label)."""
-    k_max = max(k_values)
-    nbs = knn_neighbours(train, test, features, k_max, train_id, query_id, label)
-    ks = F.explode(F.array(*[F.lit(k) for k in k_values])).alias("k")
-    # copies of a row counted among the k nearest: between 0 and its weight
-    votes = nbs.select(query_id, "nb_label", "weight", "_before", ks).select(
-        query_id, "k", "nb_label",
-        F.greatest(F.lit(0), F.least(F.col("weight"), F.col("k") - F.col("_before"))).alias("_w"),
-    )
-    probs = votes.groupBy(query_id, "k").agg((F.sum(F.col("nb_label") * F.col("_w")) / F.col("k")).alias("prob"))
-    out = probs.join(test.select(F.col(query_id), F.col(label).cast("double").alias("label")), query_id)
-    return out.select(query_id, "k", "label", (F.col("prob") > 0.5).cast("int").alias("pred"), "prob")
+    (query, k, prob = share of stop neighbours, pred = prob > 0.5, label) and the
+    columns ``keep`` of ``test``."""
+    columns = [query_id, label, *keep]
+    found = nearest_lists(train, test, features, max(k_values), train_id, columns, label).filter(F.size("near") > 0)
+    found = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in k_values])))
+    # copies of a row counted among the k nearest: between 0 and all of them
+    votes = F.aggregate("near", F.lit(0.0), lambda s, x: s + x["y"] * F.greatest(F.lit(0), F.least(x["m"], F.col("k") - x["before"])))
+    out = found.withColumn("prob", votes / F.col("k"))
+    return out.select(query_id, "k", F.col(label).cast("double").alias("label"), (F.col("prob") > 0.5).cast("int").alias("pred"), "prob", *keep)
 
 
 def knn_best_k(train: DataFrame, features: list[str], k_values=range(1, 12), folds: int = 5, group_key: str = "sa_id",
@@ -156,8 +156,8 @@ def knn_best_k(train: DataFrame, features: list[str], k_values=range(1, 12), fol
         queries = held.groupBy(F.col(label).cast("double").alias(label), *features).agg(
             F.min(train_id).alias("_qid"), F.count(F.lit(1)).alias("_copies")
         )
-        preds = knn_classify(tr.filter(F.col("_fold") != f), queries, features, k_values, train_id, "_qid", label)
-        scored = preds.join(queries.select("_qid", "_copies"), "_qid").groupBy("k").agg(
+        preds = knn_classify(tr.filter(F.col("_fold") != f), queries, features, k_values, train_id, "_qid", label, ("_copies",))
+        scored = preds.groupBy("k").agg(
             F.sum(
                 F.col("_copies")
                 * (F.when((F.col("label") == 1) & (F.col("pred") == 1), 100).when(F.col("label") == 1, -10).otherwise(0))

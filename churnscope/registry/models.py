@@ -197,7 +197,7 @@ def predict_proba(c):
 @register("knn_classify")
 def knn_classify(c):
     """k-NN (k = 1..11, uniform vote) of the test split against the re-sampled
-    training rows; exact neighbours from the banded join of ``operators.neighbors``;
+    training rows; exact neighbours from the distance kernel of ``operators.neighbors``;
     ``best_k`` marks the k chosen by 5-fold cross-validation in money."""
     from churnscope.operators.neighbors import knn_best_k
     from churnscope.operators.neighbors import knn_classify as knn
@@ -207,9 +207,8 @@ def knn_classify(c):
     # one query per test row (an agreement can carry two fan-out rows)
     qid = F.col("sa_id") * 4 + F.col("dnp_started_flag_number") * 2 + F.col("dnp_stopped_flag_number")
     te = _test(c).withColumn("query_id", qid)
-    out = knn(tr, te, MODEL_FEATURES, k_values=range(1, 12), train_id="row_id", query_id="query_id")
-    out = out.withColumn("best_k", (F.col("k") == F.lit(best)))
-    return out.join(te.select("query_id", "sa_id"), "query_id").drop("query_id")
+    out = knn(tr, te, MODEL_FEATURES, k_values=range(1, 12), train_id="row_id", query_id="query_id", keep=("sa_id",))
+    return out.withColumn("best_k", (F.col("k") == F.lit(best))).drop("query_id")
 
 
 LASSO_FEATURES = [f for f in MODEL_FEATURES if f not in ("city_num", "customer_class_num")]
