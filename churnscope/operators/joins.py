@@ -2,9 +2,10 @@
 
 Right sides are reduced to one row per join key before they meet the wide
 agreement row (distinct keys, aggregates), so no left join fans out and no
-``distinct`` over the wide row is needed.  No side is broadcast by hint: AQE
-measures each shuffled side at run time and broadcasts only what is under the
-threshold, falling back to a sort-merge join (split when skewed) otherwise.
+``distinct`` over the wide row is needed.  Only the weather calendar is broadcast
+by hint, after its rows are counted; AQE measures each other side at run time and
+broadcasts only what is under the threshold, falling back to a sort-merge join
+(split when skewed) otherwise.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from churnscope.functions.asof import in_window, lookback_bounds, season_bounds
 from churnscope.functions.scalar import yn_flag
+from churnscope.sources.csv_io import stage_table
+
+CALENDAR_DAYS = 400_000  # days of a broadcast calendar at most: a thousand years, a few MB
 
 def agreements_lookup(sa: DataFrame) -> DataFrame:
     """``sa_s``: agreement -> account (integration_id, account_id)."""
@@ -35,14 +39,6 @@ def turn_ons(recdet: DataFrame, sa: DataFrame) -> DataFrame:
     )
 
 
-def turn_offs(recdet: DataFrame, sa: DataFrame) -> DataFrame:
-    return (
-        recdet.filter(F.col("stopped_flag") == "Y")
-        .join(agreements_lookup(sa), "sa_id")
-        .select("month_start_date", "account_id", "sa_id", "premise_id", "dnp_stopped_flag")
-    )
-
-
 def premise_dnp_12m(recdet: DataFrame, as_of) -> DataFrame:
     """Premises with a disconnect-for-non-payment stop in the last 12 months."""
     w = lookback_bounds(as_of, 12)
@@ -90,28 +86,42 @@ def last_payment_date(ft, pay_seg, pay, pay_event, as_of) -> DataFrame:
     return chain.groupBy("sa_id").agg(F.max("payment_date").alias("most_recent_payment_date"))
 
 
-def seasonal_premises(recdet: DataFrame, sa: DataFrame, as_of, years_back: int) -> DataFrame:
-    """Premises with a turn-off in Mar..Jun and a turn-on in Aug..Dec of year(D)-k.
+def premise_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3)) -> DataFrame:
+    """One row per premise with a turn-on or turn-off in any of the windows:
+    ``dnp_12m`` (a stop for non-payment in the last 12 months) and ``season_k``
+    (a turn-off in Mar..Jun and a turn-on in Aug..Dec of year(D)-k).
 
-    The warehouse joins turn-ons to turn-offs on the premise (all pairs) and
-    de-duplicates; existence on both sides is the same set, computed here as
-    an intersection of two distinct key sets, so no pair is ever produced.
+    The warehouse joins turn-ons to turn-offs on the premise, once per year and
+    over all pairs, and de-duplicates; existence on both sides is the same, and
+    every flag is a conditional maximum of one partially aggregated pass.
+    Seasons count only facts of known agreements, non-payment counts all.
     """
-    b = season_bounds(as_of, years_back)
-    known = agreements_lookup(sa).select("sa_id")
-    ons = (
-        recdet.filter((F.col("started_flag") == "Y") & in_window("month_start_date", b["on"]))
-        .join(known, "sa_id", "left_semi")
-        .select("premise_id")
-        .distinct()
+    last = in_window("month_start_date", lookback_bounds(as_of, 12))
+    seasons = {k: season_bounds(as_of, k) for k in years_back}
+    tests = {"dnp_12m": (F.col("dnp_stopped_flag") == "Y") & last}
+    for k, b in seasons.items():
+        tests[f"on_{k}"] = (F.col("started_flag") == "Y") & in_window("month_start_date", b["on"])
+        tests[f"off_{k}"] = (F.col("stopped_flag") == "Y") & in_window("month_start_date", b["off"])
+    used = last
+    for b in seasons.values():
+        used = used | in_window("month_start_date", b["on"]) | in_window("month_start_date", b["off"])
+    known = agreements_lookup(sa).select("sa_id", F.lit(True).alias("known")).distinct()
+    rows = recdet.filter(used & F.col("premise_id").isNotNull()).join(known, "sa_id", "left")
+    hits = rows.groupBy("premise_id").agg(
+        *[F.max(F.when(t & (F.lit(n == "dnp_12m") | F.col("known")), True)).alias(n) for n, t in tests.items()]
     )
-    offs = (
-        recdet.filter((F.col("stopped_flag") == "Y") & in_window("month_start_date", b["off"]))
-        .join(known, "sa_id", "left_semi")
-        .select("premise_id")
-        .distinct()
+    return hits.select(
+        "premise_id",
+        F.coalesce("dnp_12m", F.lit(False)).alias("dnp_12m"),
+        *[F.coalesce(F.col(f"on_{k}") & F.col(f"off_{k}"), F.lit(False)).alias(f"season_{k}") for k in years_back],
     )
-    return ons.join(offs, "premise_id", "left_semi")
+
+
+def season_flags(df: DataFrame, facts: DataFrame, years_back=(1, 2, 3)) -> DataFrame:
+    """``df`` with 'Y'/'N' columns of the seasons of its premise."""
+    sides = [F.when(F.col(f"season_{k}"), "Y").otherwise("N").alias(f"seasonal_prior_{k}_yr_flag") for k in years_back]
+    found = df.join(facts.select("premise_id", *[f"season_{k}" for k in years_back]), "premise_id", "left")
+    return found.select(*df.columns, *sides)
 
 
 def existence_flag(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataFrame:
@@ -120,19 +130,29 @@ def existence_flag(df: DataFrame, keys: DataFrame, key: str, name: str) -> DataF
     return df.join(marked, key, "left").withColumn(name, yn_flag(f"_hit_{name}")).drop(f"_hit_{name}")
 
 
-def weather_at(df: DataFrame, weather: DataFrame, date_col: str, prefix: str, area: str = "LGC") -> DataFrame:
-    """Degree day and average temperature of one area on ``date_col`` (-1 if none).
+def calendar(weather: DataFrame, area: str = "LGC") -> DataFrame:
+    """Degree day and average temperature of one area, a row per day, for ``weather_at``.
 
-    The weather side has at most one row per (area, day): its size is bounded
-    by the calendar, not by the agreements.
+    The rows are stored, and their number is held against the days they span: a
+    table with one row per day is no larger than the calendar and is broadcast,
+    so no date (least of all the open end date, which most agreements share)
+    is a shuffle key.  A table with several rows per day is left to the planner.
     """
-    w = weather.filter(F.col("trend_area_code") == area).select(
-        F.col("degree_day_date").alias(f"_{prefix}_day"),
+    days = weather.filter((F.col("trend_area_code") == area) & F.col("degree_day_date").isNotNull()).select(
+        F.to_date("degree_day_date").alias("day"), "degree_day", "average_temperature"
+    )
+    days = stage_table(days, "weather")
+    rows, first, last = days.agg(F.count(F.lit(1)), F.min("day"), F.max("day")).first()
+    return F.broadcast(days) if rows <= min((last - first).days + 1 if rows else 0, CALENDAR_DAYS) else days
+
+
+def weather_at(df: DataFrame, days: DataFrame, date_col: str, prefix: str) -> DataFrame:
+    """Degree day and average temperature on ``date_col`` (-1 if none), of ``calendar``'s rows."""
+    w = days.select(
+        F.col("day").alias(f"_{prefix}_day"),
         F.col("degree_day").alias(f"_{prefix}_dd"),
         F.col("average_temperature").alias(f"_{prefix}_avg"),
     )
-    # bounded by the calendar; AQE turns the join into a broadcast at run time
-    # when the measured side is under the broadcast threshold
     out = df.join(w, F.to_date(F.col(date_col)) == F.col(f"_{prefix}_day"), "left")
     return out.select(
         *df.columns,

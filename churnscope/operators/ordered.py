@@ -1,22 +1,21 @@
 """Skew-safe ordered scans: LAG within a key and global running sums.
 
 A ``Window.partitionBy(key)`` puts every row of a key into one task; when one
-premise or person holds a third of all rows that task is the job.  Rows of
-such hot keys are range-partitioned on ``(key, order...)`` instead, so a hot
-key is spread over many balanced partitions; each partition is scanned in order by an
-Arrow batch function, and the only cross-partition information -- the last
-row of each partition -- is a table with one row per partition (its size is
-bounded by the partition count, so broadcasting it is safe).
-
-The range-partitioned, sorted data is checkpointed to the session's
-checkpoint directory before the scan: partition ids and row order must be
-stable between the scan and its boundary fix-up, also when a task is retried
-on another executor.
+premise or person holds a third of all rows that task is the job.  ``ordered_lag``
+cuts every key into segments along the order and carries the last row of one to
+the first row of the next.
+
+Global running sums range-partition the rows on the order; each partition is
+scanned in order by an Arrow batch function, and the only cross-partition
+information is a table with one row per partition (its size is bounded by the
+partition count, so broadcasting it is safe).  The range-partitioned, sorted rows
+are checkpointed to the session's checkpoint directory before the scan: partition
+ids and row order must be stable between the scan and its boundary fix-up, also
+when a task is retried on another executor.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from pyspark.sql import types as T
 from churnscope.session import checkpoint_dir
 
 PID = "_cs_pid"
-FIRST = "_cs_first"
+SEGMENT, PREVIOUS, CARRY = "_cs_segment", "_cs_previous", "_cs_carry"
 
 
 def stable_checkpoint(df: DataFrame) -> DataFrame:
@@ -52,100 +51,38 @@ def range_sorted(df: DataFrame, order_cols: list, n: int | None = None) -> DataF
     return stable_checkpoint(ranged).withColumn(PID, F.spark_partition_id())
 
 
-def _lag_batches(key: str, values: list[str], outs: list[str]):
-    def scan(batches):
-        prev_key, prev_vals, first = None, None, True
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            k = pdf[key]
-            same = k.eq(k.shift(1)) & k.notna()
-            if not first:
-                same.iloc[0] = bool(pd.notna(k.iloc[0]) and k.iloc[0] == prev_key)
-            for v, o in zip(values, outs):
-                shifted = pdf[v].shift(1).astype(object)
-                if not first:
-                    shifted.iloc[0] = prev_vals[v]
-                pdf[o] = shifted.where(same, None)
-            pdf[FIRST] = False
-            if first:
-                pdf.loc[pdf.index[0], FIRST] = True
-            prev_key = k.iloc[-1]
-            prev_vals = {v: pdf[v].iloc[-1] for v in values}
-            first = False
-            yield pdf
-
-    return scan
-
-
-# A key with more rows than this is split over several ordered partitions;
-# smaller keys are handled by an ordinary window (one task per key is fine).
-HOT_KEY_ROWS = 2_000_000
-
-
 def ordered_lag(
-    df: DataFrame,
-    key: str,
-    order_cols: list[str],
-    values: dict[str, str],
-    skew_safe: bool = True,
-    n: int | None = None,
-    hot_rows: int | None = None,
+    df: DataFrame, key: str, order_cols: list[str], values: dict[str, str], skew_safe: bool = True, segment=None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """``LAG(v, 1) OVER (PARTITION BY key ORDER BY order_cols)`` for each ``v -> out``.
 
     ``order_cols`` must make the order total within a key (add a unique id as
     the last tie-break).  Rows with a NULL key get NULL.
 
-    With ``skew_safe`` the keys holding more than ``hot_rows`` rows are found by
-    one partially aggregated count; their rows go through the range-partitioned
-    scan (``_ranged_lag``), every other key through a plain window.  When no key
-    is hot, nothing is checkpointed.
+    A segmented scan with carry: the window runs inside (key, segment), where
+    ``segment`` is a column that never falls along the order (by default the
+    calendar month of the first order column), so a key of a third of all rows
+    spans as many tasks as it has months.  The first row of a segment takes the
+    last row of the key's segment before, from a table with one row per key and
+    segment; per key that table is no longer than the calendar.  All keys take
+    this path, nothing is collected or checkpointed.  ``skew_safe=False`` is the
+    plain window over the key.
     """
     if not skew_safe:
-        return _window_lag(df, key, order_cols, values)
-    hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_cs_rows"))
-    hot = counts.filter(F.col("_cs_rows") > hot_rows).select(key)  # at most rows / hot_rows keys
-    if hot.limit(1).count() == 0:
-        return _window_lag(df, key, order_cols, values)
-    hot_rows_df = df.join(hot, key, "left_semi")
-    cold_rows_df = df.join(hot, key, "left_anti")
-    return _window_lag(cold_rows_df, key, order_cols, values).unionByName(
-        _ranged_lag(hot_rows_df, key, order_cols, values, n)
-    )
-
-
-def _window_lag(df: DataFrame, key: str, order_cols: list[str], values: dict[str, str]) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order_cols)
-    return df.select(
-        "*",
-        *[F.when(F.col(key).isNotNull(), F.lag(v, 1).over(w)).alias(o) for v, o in values.items()],
-    )
-
-
-def _ranged_lag(df: DataFrame, key: str, order_cols: list[str], values: dict[str, str], n: int | None) -> DataFrame:
-    """LAG over rows range-partitioned on (key, order...): a hot key spans many
-    balanced partitions; each is scanned in order and its first row is repaired
-    from the last row of the partition before it."""
-    src_cols = df.columns
-    sorted_df = range_sorted(df, [key, *order_cols], n)
-    out_fields = [T.StructField(o, sorted_df.schema[v].dataType, True) for v, o in values.items()]
-    schema = T.StructType(list(sorted_df.schema.fields) + out_fields + [T.StructField(FIRST, T.BooleanType())])
-    scanned = sorted_df.mapInPandas(_lag_batches(key, list(values), list(values.values())), schema)
-    # last row of every non-empty partition, and the one before each partition
-    last = sorted_df.groupBy(PID).agg(
-        F.max_by(F.struct(key, *values.keys()), F.struct(key, *order_cols)).alias("_last")
-    )
-    prev = last.select(
-        F.col(PID), F.lag("_last", 1).over(Window.orderBy(PID)).alias("_prev")
-    )  # one row per partition: a single small task by design
-    fixed = scanned.join(F.broadcast(prev), PID, "left")
-    carried = F.col(FIRST) & F.col(key).isNotNull() & (F.col(f"_prev.{key}") == F.col(key))
-    return fixed.select(
-        *src_cols,
-        *[F.when(carried, F.col(f"_prev.{v}")).otherwise(F.col(o)).alias(o) for v, o in values.items()],
-    )
+        w = Window.partitionBy(key).orderBy(*order_cols)
+        return df.select("*", *[F.when(F.col(key).isNotNull(), F.lag(v, 1).over(w)).alias(o) for v, o in values.items()])
+    if segment is None:  # NULL comes first in the order
+        segment = F.coalesce(F.trunc(order_cols[0], "MM"), F.lit("0001-01-01").cast("date"))
+    own = F.struct(*values)
+    w = Window.partitionBy(key, SEGMENT).orderBy(*order_cols)
+    inside = df.withColumn(SEGMENT, segment).select("*", F.lag(own, 1).over(w).alias(PREVIOUS))
+    ends = (df if stored is None else stored).filter(F.col(key).isNotNull()).groupBy(key, segment.alias(SEGMENT))
+    ends = ends.agg(F.max_by(own, F.struct(*order_cols)).alias(PREVIOUS))
+    before = Window.partitionBy(key).orderBy(SEGMENT)  # one row per segment
+    carry = ends.select(key, SEGMENT, F.lag(PREVIOUS, 1).over(before).alias(CARRY)).filter(F.col(CARRY).isNotNull())
+    joined = inside.join(carry, [key, SEGMENT], "left").withColumn(PREVIOUS, F.coalesce(PREVIOUS, CARRY))
+    return joined.select(*df.columns, *[F.when(F.col(key).isNotNull(), F.col(f"{PREVIOUS}.{v}")).alias(o) for v, o in values.items()])
 
 
 def _cumsum_batches(values: list[str], outs: list[str]):

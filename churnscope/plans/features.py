@@ -17,6 +17,7 @@ from churnscope.functions.scalar import OPEN_END, postal5, year_onehot, year_tex
 from churnscope.operators import aggregates as agg
 from churnscope.operators import joins as J
 from churnscope.operators.ordered import ordered_lag
+from churnscope.sources.csv_io import stage_table
 
 # The published extract keeps only these cities (analog: 21 of the 25 nations).
 EXPORT_CITIES = tuple(f"NATION_{i}" for i in range(21))
@@ -95,11 +96,12 @@ def with_history(row: DataFrame, as_of, skew_safe: bool = True) -> DataFrame:
     """Agreements started before D, with the previous agreement of the same
     premise and person (LAG of end and start date).
 
-    Runs on the narrow agreement row, before the wide joins: the ordered scans
-    checkpoint their input, and a narrow row keeps that write small.
+    Runs on the keys, dates and flags alone, which are stored: each history reads
+    them a second time for the last rows of its segments.
     """
     d = to_date(as_of)
-    row = row.filter(F.to_date("sa_start_date") < F.lit(d))
+    row = row.select("sa_id", "premise_id", "person_id", "sa_start_date", "sa_end_date", "dnp_started_flag", "dnp_stopped_flag")
+    row = stored = stage_table(row.filter(F.to_date("sa_start_date") < F.lit(d)), "agreement_flags")
     # sa_id (and the two fan-out flags of an agreement with several turn-on /
     # turn-off rows) break the ties the warehouse left undefined
     order = ["sa_start_date", "sa_id", "dnp_started_flag", "dnp_stopped_flag"]
@@ -109,6 +111,7 @@ def with_history(row: DataFrame, as_of, skew_safe: bool = True) -> DataFrame:
         order,
         {"sa_end_date": "premise_prior_stop_date", "sa_start_date": "premise_prior_start_date"},
         skew_safe=skew_safe,
+        stored=stored,
     )
     return ordered_lag(
         row,
@@ -116,6 +119,7 @@ def with_history(row: DataFrame, as_of, skew_safe: bool = True) -> DataFrame:
         order,
         {"sa_end_date": "person_prior_stop_date", "sa_start_date": "person_prior_start_date"},
         skew_safe=skew_safe,
+        stored=stored,
     )
 
 
@@ -126,6 +130,7 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
     row = with_history(with_flags_a(base, src, d), d, skew_safe)
 
     # -- keyed by agreement: every right side is one row per sa_id ------------
+    row = row.join(base.drop(*[c for c in row.columns if c != "sa_id"]), "sa_id")
     billing = agg.billing_counts(src.ft, d)
     row = row.join(billing, "sa_id", "left")
     row = row.join(J.last_payment_date(src.ft, src.pay_seg, src.pay, src.pay_event, d), "sa_id", "left")
@@ -137,13 +142,13 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
     row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)
     row = row.fillna(0, subset=[f"pledge_flag_{y}" for y in years])
 
-    # -- keyed by premise ---------------------------------------------------------
-    row = J.existence_flag(row, J.premise_dnp_12m(src.recdet, d), "premise_id", "premise_level_12_mth_dnp_flag")
-    for k in (1, 2, 3):
-        row = J.existence_flag(
-            row, J.seasonal_premises(src.recdet, src.sa, d, k), "premise_id", f"seasonal_prior_{k}_yr_flag"
-        )
-    row = row.join(agg.history_min_max(base, "premise_id", d, "premise"), "premise_id", "left")
+    # -- keyed by premise: one table of all its facts, one join of the wide row -----
+    facts = J.premise_facts(src.recdet, src.sa, d).join(
+        agg.history_min_max(base.filter("premise_id is not null"), "premise_id", d, "premise"), "premise_id", "full"
+    )
+    row = row.join(facts, "premise_id", "left")
+    flags = {"premise_level_12_mth_dnp_flag": "dnp_12m"} | {f"seasonal_prior_{k}_yr_flag": f"season_{k}" for k in (1, 2, 3)}
+    row = row.withColumns({name: F.when(F.col(fact), "Y").otherwise("N") for name, fact in flags.items()})
 
     # -- keyed by account ------------------------------------------------------------
     credit = src.credit.select("account_id", "internal_credit_rating").distinct()
@@ -153,12 +158,15 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
     row = J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
 
     # -- keyed by person ---------------------------------------------------------------
-    row = J.existence_flag(row, J.pledge_persons_18m(src.pledge, d), "person_id", "person_rcvd_18_mths_pledge")
-    row = row.join(agg.history_min_max(base, "person_id", d, "person"), "person_id", "left")
+    pledged = J.pledge_persons_18m(src.pledge, d).filter("person_id is not null").withColumn("pledged", F.lit(True))
+    persons = pledged.join(agg.history_min_max(base.filter("person_id is not null"), "person_id", d, "person"), "person_id", "full")
+    row = row.join(persons, "person_id", "left")
+    row = row.withColumn("person_rcvd_18_mths_pledge", F.when(F.col("pledged"), "Y").otherwise("N"))
 
     # -- weather at start and end (one row per day), year one-hots -------------------
-    row = J.weather_at(row, src.weather, "sa_start_date", "sa_start")
-    row = J.weather_at(row, src.weather, "sa_end_date", "sa_end")
+    days = J.calendar(src.weather)
+    row = J.weather_at(row, days, "sa_start_date", "sa_start")
+    row = J.weather_at(row, days, "sa_end_date", "sa_end")
     row = row.select(
         "*", *year_onehot("sa_end_year", years, "stop"), *year_onehot("sa_start_year", years, "start")
     )

@@ -257,15 +257,14 @@ def _season_sql() -> str:
 @register("season_window", oracle(_season_sql()))
 def season_window(c):
     r = c.fx.recdet
-    out = None
+    tests = []
     for k in (1, 2, 3):
         b = A.season_bounds(c.d, k)
         for side, flag in (("on", "started_flag"), ("off", "stopped_flag")):
-            part = r.filter((F.col(flag) == "Y") & A.in_window("month_start_date", b[side])).agg(
-                F.count(F.lit(1)).alias("rows")
-            ).select(F.lit(k).alias("years_back"), F.lit(side).alias("side"), "rows")
-            out = part if out is None else out.unionByName(part)
-    return out
+            tests.append((k, side, (F.col(flag) == "Y") & A.in_window("month_start_date", b[side])))
+    counts = r.agg(*[F.count_if(t).alias(f"{side}_{k}") for k, side, t in tests])
+    rows = ", ".join(f"{k}, '{side}', {side}_{k}" for k, side, _ in tests)
+    return counts.selectExpr(f"stack({len(tests)}, {rows}) as (years_back, side, rows)")
 
 
 @register(
@@ -422,12 +421,9 @@ def join_chain_last_payment(c):
     ),
 )
 def self_join_season(c):
-    sets = [J.seasonal_premises(c.fx.recdet, c.fx.sa, c.d, k) for k in (1, 2, 3)]
-    keys = sets[0].unionByName(sets[1]).unionByName(sets[2]).distinct()
-    out = keys
-    for k, s in zip((1, 2, 3), sets):
-        out = J.existence_flag(out, s, "premise_id", f"seasonal_prior_{k}_yr_flag")
-    return out
+    facts = J.premise_facts(c.fx.recdet, c.fx.sa, c.d).filter("season_1 or season_2 or season_3")
+    flags = [F.when(F.col(f"season_{k}"), "Y").otherwise("N").alias(f"seasonal_prior_{k}_yr_flag") for k in (1, 2, 3)]
+    return facts.select("premise_id", *flags)
 
 
 @register("left_join_features_a", oracle("select * from flags_a"))
@@ -454,9 +450,7 @@ def left_join_features_b(c):
     amounts = [c_ for c_ in billing.columns if c_.endswith("amount")]
     row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)
     row = J.existence_flag(row, J.pledge_persons_18m(src.pledge, d), "person_id", "person_rcvd_18_mths_pledge")
-    for k in (1, 2, 3):
-        row = J.existence_flag(row, J.seasonal_premises(src.recdet, src.sa, d, k), "premise_id", f"seasonal_prior_{k}_yr_flag")
-    return row
+    return J.season_flags(row, J.premise_facts(src.recdet, src.sa, d))
 
 
 @register(
@@ -471,8 +465,8 @@ def left_join_features_b(c):
 )
 def left_join_weather_dates(c):
     row = c.base.select("sa_id", "sa_start_date", "sa_end_date")
-    row = J.weather_at(row, c.fx.weather, "sa_start_date", "sa_start")
-    return J.weather_at(row, c.fx.weather, "sa_end_date", "sa_end")
+    days = J.calendar(c.fx.weather)
+    return J.weather_at(J.weather_at(row, days, "sa_start_date", "sa_start"), days, "sa_end_date", "sa_end")
 
 
 _PL_SQL = ", ".join(f"b.pledge_date_{y}, coalesce(b.pledge_flag_{y}, 0) as pledge_flag_{y}" for y in YEARS)

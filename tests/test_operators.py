@@ -44,17 +44,30 @@ def _skewed(spark):
 
 
 def test_ordered_lag_matches_window_on_hot_key(spark):
-    df = _skewed(spark)
-    # key 1 holds two thirds of the rows: with hot_rows=500 it takes the ranged
-    # path over 7 partitions, the other keys the window path
-    safe = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=True, n=7, hot_rows=500)
-    plain = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=False)
-    all_ranged = ordered_lag(df, "k", ["d", "id"], {"d": "prev_d", "id": "prev_id"}, skew_safe=True, n=5, hot_rows=0)
-    a = sorted(safe.select("id", "prev_d", "prev_id").collect())
-    b = sorted(plain.select("id", "prev_d", "prev_id").collect())
-    c = sorted(all_ranged.select("id", "prev_d", "prev_id").collect())
-    assert a == b == c
-    assert all(r.prev_id is None for r in safe.filter(F.col("k").isNull()).collect())
+    df = _skewed(spark).unionByName(spark.createDataFrame([(1, None, -1), (1, None, -2), (9, None, -3)], "k int, d date, id long"))
+    # key 1 holds two thirds of the rows, over two months; by day every row of a key may be a segment
+    out = {"d": "prev_d", "id": "prev_id"}
+    plain = ordered_lag(df, "k", ["d", "id"], out, skew_safe=False)
+    want = sorted(plain.select("id", "prev_d", "prev_id").collect())
+    by_day = F.coalesce(F.col("d"), F.lit("0001-01-01").cast("date"))
+    for segment in (None, by_day, F.lit(0)):
+        safe = ordered_lag(df, "k", ["d", "id"], out, segment=segment)
+        assert sorted(safe.select("id", "prev_d", "prev_id").collect()) == want
+        assert all(r.prev_id is None for r in safe.filter(F.col("k").isNull()).collect())
+    assert ordered_lag(df.limit(0), "k", ["d", "id"], out).count() == 0
+
+
+def test_ordered_lag_spreads_one_key_over_many_tasks(spark):
+    days = spark.range(6000).select(F.lit(7).alias("k"), F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") % 3000).cast("int")).alias("d"), "id")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = ordered_lag(days, "k", ["d", "id"], {"id": "prev"})
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 3000
+    assert "Checkpoint" not in out._jdf.queryExecution().toString()
 
 
 def test_running_sum_and_dense_index(spark):

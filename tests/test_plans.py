@@ -67,3 +67,42 @@ def test_every_survey_key_is_registered():
         if m:
             keys.update(k for k in (m.group(1), m.group(3)) if k)
     assert keys - set(entry.queries()) == set()
+
+
+def test_feature_table_scans_each_source_few_times(spark):
+    """The executed plan: seasons and non-payment are one pass over the turn-on/off facts."""
+    from churnscope.plans.features import build_feature_table
+    from churnscope.registry import context
+
+    c = context(spark, SMALL)
+    df = build_feature_table(c.src, c.d)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    locations = re.findall(r"FileScan parquet.*?Location: [^\[]*\[[^\]]*/([a-z_]+)", plan)
+    assert len(re.findall("FileScan parquet", plan)) <= 22
+    assert locations.count("recdet") <= 2
+
+
+def test_no_exchange_on_a_date(feature_plan, spark):
+    from churnscope.registry import context
+    from churnscope.registry.warehouse import left_join_weather_dates
+
+    lookup = left_join_weather_dates(context(spark, SMALL))._jdf.queryExecution().executedPlan().toString()
+    for plan in (feature_plan, lookup):
+        assert not re.findall(r"Exchange hashpartitioning\([^)]*(?:sa_start_date|sa_end_date)", plan)
+    assert "Exchange hashpartitioning" not in lookup
+
+
+def test_calendar_is_broadcast_only_with_a_row_per_day(spark):
+    from churnscope.operators.joins import calendar, weather_at
+
+    rows = [("LGC", f"2001-01-{d:02d}", 1.0 * d, 50.0) for d in range(1, 11)]
+    frame = lambda r: spark.createDataFrame(r, "trend_area_code string, degree_day_date string, degree_day double, average_temperature double").withColumn("degree_day_date", __import__("pyspark").sql.functions.to_date("degree_day_date"))  # noqa: E731,E501
+    df = spark.createDataFrame([(1, "2001-01-03"), (2, "2099-12-31"), (3, None)], "sa_id int, d string")
+    df = df.selectExpr("sa_id", "cast(d as date) as d")
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    one = weather_at(df, calendar(frame(rows)), "d", "x")
+    assert "strategy=broadcast" in plan(one)
+    assert [(r.sa_id, r.x_degree_day) for r in one.orderBy("sa_id").collect()] == [(1, 3.0), (2, -1.0), (3, -1.0)]
+    assert "strategy=broadcast" not in plan(weather_at(df, calendar(frame(rows * 3)), "d", "x"))
+    assert weather_at(df, calendar(frame([])), "d", "x").count() == 3

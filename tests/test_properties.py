@@ -60,16 +60,13 @@ def test_open_end_and_negative_inactivity(spark):
     assert f.filter(F.col("premise_days_inactive_before") < 0).count() >= 0
 
 
-def test_feature_table_through_the_hot_key_path(spark, duck_small, monkeypatch):
-    """With a tiny hot-key threshold every premise and person takes the ranged
-    scan; the feature table must not change."""
-    from churnscope.operators import ordered
+def test_feature_table_equals_sql_without_stored_sources(spark, duck_small):
+    """Built straight from the analog views; the feature table must not change."""
     from churnscope.oracle_sql.features import feature_ctes
     from churnscope.plans.features import Sources, build_feature_table
     from churnscope.sources.fixture_sql import with_views
     from churnscope.sources.tables import Tables
 
-    monkeypatch.setattr(ordered, "HOT_KEY_ROWS", 3)
     src = Sources.from_fixtures(Tables(spark, SMALL).fixtures)
     ok, msg = compare(build_feature_table(src, "1998-03-01"), duck_small, with_views("select * from features", feature_ctes()))
     assert ok, msg
