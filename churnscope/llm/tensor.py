@@ -14,7 +14,9 @@
    several components are opened: the documents outside a bucket's most frequent
    component are compared with all of other components, so a group of thousands
    of near copies is never paired with itself.
-5. Every candidate is decided by its full sets.
+5. A candidate goes on only if its sizes and its parity bitmaps allow a link:
+   the bitmaps of two sets differ in at most as many bits as the sets differ in
+   shingles.  What is left is decided by the full sets.
 
 No step holds a bucket in one task, and no bucket is capped.
 
@@ -38,6 +40,7 @@ from churnscope.llm.common import components, keyed, schema, stage
 
 TABLES, ROWS = 14, 3
 BROADCAST_IDS = 1_000_000  # candidate documents up to which their ids go to the texts instead of the texts being shuffled
+LONGS = 4  # of a parity bitmap
 _HASH, _SECOND = W.Hash(13, W.LOWER), W.U(0x9E3779B97F4A7C15)
 
 
@@ -104,12 +107,21 @@ def _scan(k: int, tables: int, rows: int):
     return run
 
 
+def _bits(prefix: str) -> list[str]:
+    return [f"{prefix}{i}" for i in range(LONGS)]
+
+
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            for src, found, _, size in _shingles(batch, k):
+            for src, found, owner, size in _shingles(batch, k):
                 lists = pa.ListArray.from_arrays(pa.array(W.offsets_of(size).astype(np.int32)), pa.array(W.signed(found)))
-                yield pa.RecordBatch.from_arrays([src.column(0), src.column(1), lists], names=["doc_id", "_k", "grams"])
+                bits = np.zeros((LONGS, len(size)), np.uint64)
+                np.bitwise_xor.at(bits, ((found >> W.U(6)) % W.U(LONGS), owner), W.U(1) << (found & W.U(63)))
+                yield pa.RecordBatch.from_arrays(
+                    [src.column(0), src.column(1), pa.array(size.astype(np.int64)), lists, *[pa.array(W.signed(b)) for b in bits]],
+                    names=["doc_id", "_k", "n", "grams", *_bits("b")],
+                )
 
     return run
 
@@ -134,6 +146,13 @@ def _alike(percent: int, n: str, m: str):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _possible(percent: int, x: str, y: str):
+    """Sizes and bitmaps that allow a link, of columns ``n, b0, ...`` with these prefixes."""
+    differ = sum(F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(_bits(f"{x}b"), _bits(f"{y}b")))
+    total = F.col(f"{x}n") + F.col(f"{y}n")
+    return _alike(percent, f"{x}n", f"{y}n") & (differ * (100 + percent) <= total * (100 - percent))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, tables: int = TABLES, rows: int = ROWS) -> DataFrame:
     """``doc_id, _k, n_shingles, component_id, kept`` of every document."""
     docs = keyed(docs)
@@ -147,11 +166,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, tables: int
     wanted = stage(buckets.select("doc_id", "_k").distinct(), "candidates")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     texts = docs.join(few, ["doc_id", "_k"], "left_semi")
-    sets = texts.mapInArrow(_sets(k), schema("doc_id bigint, _k bigint, grams array<bigint>")).dropDuplicates(["doc_id", "_k"])
-    sets = stage(sets.select(node.alias("node"), "grams"), "sets")
+    bitmap = ["n", *_bits("b")]
+    ddl = "doc_id bigint, _k bigint, n bigint, grams array<bigint>" + "".join(f", {b} bigint" for b in bitmap[1:])
+    sets = texts.mapInArrow(_sets(k), schema(ddl)).dropDuplicates(["doc_id", "_k"])
+    sets = stage(sets.select(node.alias("node"), "grams", *bitmap), "sets")
+
+    def side(end: str) -> DataFrame:
+        """Sizes and bitmaps of the documents at one end of a pair."""
+        return sets.select(F.col("node").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in bitmap])
 
     def linked(pairs: DataFrame) -> DataFrame:
-        left = stage(pairs.distinct(), "pairs").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
+        near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").filter(_possible(percent, "a_", "b_")).select("a", "b")
+        left = stage(near, "pairs").join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
         both = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
         counted = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("o"), (F.size("x") + F.size("y")).alias("t"))
         return stage(counted.filter(F.col("o") * 100 >= (F.col("t") - F.col("o")) * percent).select("a", "b"), "links")
@@ -163,12 +189,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, tables: int
     placed = stage(placed, "placed")
     share = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     major = share.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
-    opened = stage(placed.join(major.select("key", F.col("m.comp").alias("most")), "key"), "open")
-    x = opened.filter("comp <> most").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
-    y = opened.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), "most", "hub")
+    mixed = placed.drop("n").join(major.select("key", F.col("m.comp").alias("most")), "key")
+    opened = stage(mixed.join(sets.select("node", *bitmap), "node"), "open")
+    x = opened.filter("comp <> most").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in bitmap])
+    y = opened.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), "most", "hub", *[F.col(c).alias(f"b_{c}") for c in bitmap])
     once = (F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))
     fresh = (F.col("b") != F.col("hub")) & (F.col("a") != F.col("hub"))  # the hub's own pairs are decided
-    cross = x.join(y, "key").filter((F.col("ca") != F.col("cb")) & once & fresh & _alike(percent, "na", "nb"))
+    cross = x.join(y, (x.key == y.key) & (F.col("ca") != F.col("cb")) & once & fresh & _possible(percent, "a_", "b_"))
     late = linked(cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
     for end in "ab":  # links between components
