@@ -8,18 +8,26 @@ class counts, model coefficients and per-fold scores.
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.errors import AnalysisException
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.functions.hashing import hash_bits
 from churnscope.operators.evaluate import SAVINGS
+from churnscope.session import checkpoint_dir
+from churnscope.sources.csv_io import stage_table
 
 # Spark trees are limited to depth 30; the study asks for 35 in places.
 MAX_SPARK_DEPTH = 30
@@ -31,21 +39,18 @@ class SavingsEvaluator(Evaluator):
 
     variant = Param(Params._dummy(), "variant", "cost matrix: report or scorer", typeConverter=TypeConverters.toString)
 
-    def __init__(self, variant: str = "scorer", labelCol: str = "label", predictionCol: str = "prediction"):
+    def __init__(self, variant: str = "scorer", labelCol: str = "label", predictionCol: str = "prediction", copiesCol: str | None = None):
         super().__init__()
         self._setDefault(variant="scorer")
         self._set(variant=variant)
-        self.labelCol, self.predictionCol = labelCol, predictionCol
+        self.labelCol, self.predictionCol, self.copiesCol = labelCol, predictionCol, copiesCol
 
     def _evaluate(self, dataset: DataFrame) -> float:
         m = SAVINGS[self.getOrDefault(self.variant)]
         y, p = F.col(self.labelCol), F.col(self.predictionCol)
-        row = dataset.agg(
-            F.count_if((y == 1) & (p == 1)).alias("tp"),
-            F.count_if((y == 0) & (p == 1)).alias("fp"),
-            F.count_if((y == 1) & (p == 0)).alias("fn"),
-            F.count_if((y == 0) & (p == 0)).alias("tn"),
-        ).first()
+        n = F.col(self.copiesCol) if self.copiesCol else F.lit(1)
+        cells = {"tp": (y == 1) & (p == 1), "fp": (y == 0) & (p == 1), "fn": (y == 1) & (p == 0), "tn": (y == 0) & (p == 0)}
+        row = dataset.agg(*[F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias(k) for k, c in cells.items()]).first()
         return float(sum(row[k] * w for k, w in m.items()))
 
     def isLargerBetter(self) -> bool:
@@ -82,12 +87,15 @@ def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", weight: str | Non
     return lr
 
 
-# Fixed, so that the same rows and seed give the same forest whatever the heap is:
-# it decides how many nodes share a data pass, and with it which node draws which features.
-SPLIT_MEMORY_MB = 512
+# Fixed, so that the same rows and seed give the same forest whatever the heap and
+# the cluster are: memory decides how many nodes share a data pass, and with it
+# which node draws which features; a sub-forest's trees and partitions decide its bags.
+SPLIT_MEMORY_MB = 128
+SUB_TREES = 125
+ROWS_PER_PARTITION = 100_000
 
 
-def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: str | None = None) -> RandomForestClassifier:
+def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: str | None = None, seed: int = SEED) -> RandomForestClassifier:
     """Random forest; deep trees train level by level, so node ids are cached
     (checkpointed every 10 levels) and more nodes are split per data pass.
     The engine grows no tree deeper than ``MAX_SPARK_DEPTH``; ask for at most that."""
@@ -95,7 +103,7 @@ def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: s
         raise ValueError(f"depth {depth} is beyond the engine's limit of {MAX_SPARK_DEPTH}")
     rf = RandomForestClassifier(
         featuresCol="features", labelCol="label", numTrees=trees,
-        maxDepth=depth or MAX_SPARK_DEPTH, featureSubsetStrategy=subset, seed=SEED,
+        maxDepth=depth or MAX_SPARK_DEPTH, featureSubsetStrategy=subset, seed=seed,
         cacheNodeIds=True, checkpointInterval=10, maxMemoryInMB=SPLIT_MEMORY_MB,
     )
     if weight:
@@ -103,10 +111,80 @@ def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: s
     return rf
 
 
+class ForestUnion:
+    """Sub-forests as one forest: every tree has one vote, whichever part grew it."""
+
+    def __init__(self, features: list[str], parts: list[RandomForestClassificationModel]):
+        self.features, self.parts = features, parts
+        self.trees = sum(p.getNumTrees for p in parts)
+
+    @property
+    def featureImportances(self) -> list[float]:
+        """Mean of the trees' importances, in the order of ``features``."""
+        each = [(p.getNumTrees / self.trees, p.featureImportances.toArray()) for p in self.parts]
+        return sum(w * x for w, x in each).tolist()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability`` (mean of the trees') and ``prediction`` (the likeliest class, the smaller one on a tie)."""
+        out = assembler(self.features).transform(df)
+        for i, p in enumerate(self.parts):
+            out = p.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_part_{i}").transform(out)
+        shares = [(p.getNumTrees / self.trees, vector_to_array(F.col(f"_part_{i}"))) for i, p in enumerate(self.parts)]
+        mean = F.array(*[sum(w * x[c] for w, x in shares) for c in range(self.parts[0].numClasses)])
+        out = out.withColumn("_mean", mean).drop(*[f"_part_{i}" for i in range(len(self.parts))])
+        best = (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
+        return out.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", best).drop("_mean")
+
+
+def fit_forest(train: DataFrame, features: list[str], trees: int, depth: int | None = None, subset: str = "sqrt",
+               weight: str | None = None, folder: str | None = None) -> ForestUnion:
+    """A forest of any number of trees as sub-forests of ``SUB_TREES``, each with a seed of
+    its own, fitted by concurrent jobs and saved in the shared folder.
+
+    A data pass of the learner sends the statistics of every open node from every
+    partition to one place, so many small partitions cost more than they save: a
+    sub-forest reads the training rows in partitions of ``ROWS_PER_PARTITION``, and
+    the cores are kept busy by the sub-forests.  A call with the ``folder`` of an
+    interrupted one loads the sub-forests that it had finished.
+    """
+    spark = train.sparkSession
+    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/forests/{uuid.uuid4().hex}"
+    partitions = max(1, -(-train.count() // ROWS_PER_PARTITION))
+    columns = ["features", "label", *([weight] if weight else [])]
+    rows = assembler(features).transform(train).select(*columns).coalesce(partitions)
+
+    def part(i: int) -> RandomForestClassificationModel:
+        path = f"{folder}/part-{i}"
+        try:
+            return RandomForestClassificationModel.load(path)
+        except (AnalysisException, Py4JJavaError):  # not there, or not finished
+            model = forest(min(SUB_TREES, trees - i * SUB_TREES), depth, subset, weight, SEED + i).fit(rows)
+            model.write().overwrite().save(path)
+            return model
+
+    with ThreadPoolExecutor(max(1, spark.sparkContext.defaultParallelism // partitions)) as pool:
+        return ForestUnion(features, list(pool.map(inheritable_thread_target(spark)(part), range(-(-trees // SUB_TREES)))))
+
+
 def linear_svc(n_rows: int, C: float = 4.0) -> LinearSVC:
     return LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (C * max(n_rows, 1)), maxIter=1000)
 
 
+def svm_sweep(train: DataFrame, test: DataFrame, features: list[str], Cs=(0.01, 0.1, 1.0, 10.0, 100.0)) -> DataFrame:
+    """C, accuracy and confusion cells on ``test`` of a linear SVM for every C, fitted
+    on the distinct training rows with their copies as weights."""
+    n = train.count()
+    rows = stage_table(distinct_rows(train, features).coalesce(max(1, -(-n // ROWS_PER_PARTITION))), "svm_rows")
+    out = None
+    for C in Cs:
+        p = predict(fit(rows, features, linear_svc(n, C).setWeightCol("copies")), test)
+        y, z = F.col("label"), F.col("pred")
+        cells = [F.count_if((y == a) & (z == b)).alias(f"actual{a}_pred{b}") for a in (0, 1) for b in (0, 1)]
+        part = p.agg(*cells, F.avg((y == z).cast("double")).alias("accuracy")).withColumn("C", F.lit(C))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def sqrt_features(n: int) -> str:
     """sklearn's ``max_features='sqrt'`` (floor); Spark's ``sqrt`` rounds up."""
     import math
@@ -132,15 +210,31 @@ def fold_column(df: DataFrame, folds: int, key: str = "sa_id", col: str = "fold"
     return df.withColumn(col, (hash_bits(F.col(key), "fold:") % F.lit(folds)).cast("int"))
 
 
+def distinct_rows(train: DataFrame, features: list[str], key: str = "sa_id", label: str = "label", copies: str = "copies") -> DataFrame:
+    """The distinct rows of a re-sampled training set with their number of copies.
+
+    A loss that is a sum over rows is the same sum over distinct rows with the
+    copies as weights, so a learner without bagging finds the same solution.
+    """
+    return train.groupBy(key, label, *features).agg(F.count(F.lit(1)).cast("double").alias(copies))
+
+
 def grid_search(train: DataFrame, features: list[str], folds: int = 5, balanced: bool = False,
                 Cs=(1.0, 100.0, 10000.0), penalties=("l1", "l2"), parallelism: int = 4):
-    """Grid over C and penalty, k folds on the key, scored by the savings scorer; refit best."""
+    """Grid over C and penalty, k folds on the key, scored by the savings scorer; refit best.
+
+    Fitted on the distinct rows with their copies as weights; the weighted rows
+    are stored, since every fit passes over them many times.
+    """
     n = train.count()
-    data = fold_column(train, folds)
-    weight = None
+    rows = distinct_rows(train, features)
+    data = fold_column(rows, folds).withColumn("weight", F.col("copies"))
     if balanced:
-        data, weight = with_weights(data), "weight"
-    lr = logistic(n, weight=weight)
+        total = {r["label"]: r["m"] for r in rows.groupBy("label").agg(F.sum("copies").alias("m")).collect()}
+        share = F.create_map(*[F.lit(float(x)) for c, m in total.items() for x in (c, n / (len(total) * m))])
+        data = data.withColumn("weight", F.col("copies") * share[F.col("label").cast("double")])
+    data = stage_table(data.repartition(max(1, -(-n // ROWS_PER_PARTITION)), "sa_id"), "grid_rows")
+    lr = logistic(n, weight="weight")
     grid = (
         ParamGridBuilder()
         .addGrid(lr.regParam, [1.0 / (C * n) for C in Cs])
@@ -149,7 +243,7 @@ def grid_search(train: DataFrame, features: list[str], folds: int = 5, balanced:
     )
     cv = CrossValidator(
         estimator=Pipeline(stages=[assembler(features), lr]), estimatorParamMaps=grid,
-        evaluator=SavingsEvaluator("scorer"), foldCol="fold", numFolds=folds, parallelism=parallelism,
+        evaluator=SavingsEvaluator("scorer", copiesCol="copies"), foldCol="fold", numFolds=folds, parallelism=parallelism,
     )
     return cv.fit(data), grid
 
@@ -165,6 +259,5 @@ def cv_scores(df: DataFrame, features: list[str], estimator_factory, folds: int
     return scores
 
 
-def feature_importance(model, features: list[str]) -> list[tuple[str, float]]:
-    rf = model.stages[-1]
-    return sorted(zip(features, rf.featureImportances.toArray().tolist()), key=lambda t: -t[1])
+def feature_importance(model: ForestUnion) -> list[tuple[str, float]]:
+    return sorted(zip(model.features, model.featureImportances), key=lambda t: -t[1])

@@ -104,3 +104,68 @@ def test_knn_best_k_by_money_cv(spark):
     best, totals = knn_best_k(df, ["x1", "x2"], k_values=[1, 3, 5], folds=3)
     assert best in (1, 3, 5) and [k for k, _ in totals] == [1, 3, 5]
     assert max(v for _, v in totals) == dict(totals)[best]
+
+
+def _data(spark, n=300):
+    """Two features, labels that they do not separate."""
+    rows = [(i, float((i * 7919 % 100) < 20 + 10 * (i % 6)), float(i % 6) + i % 11 / 11.0, float(i * 13 % 17)) for i in range(n)]
+    return spark.createDataFrame(rows, "sa_id long, label double, x1 double, x2 double")
+
+
+def test_forest_union_is_the_mean_of_its_trees(spark, monkeypatch, tmp_path):
+    """Three sub-forests, one smaller; an interrupted fit goes on; the same call gives the same forest."""
+    from pyspark.ml.functions import vector_to_array
+
+    monkeypatch.setattr(M, "SUB_TREES", 4)
+    df = _data(spark)
+    folder = str(tmp_path / "forest")
+    one = M.fit_forest(df, ["x1", "x2"], 10, 5, "1", folder=folder)
+    assert [p.getNumTrees for p in one.parts] == [4, 4, 2] and one.trees == 10
+    got = one.transform(df).orderBy("sa_id")
+    p = [r[0] for r in got.select(vector_to_array("probability")[1]).collect()]
+    each = []
+    for part in one.parts:
+        rows = part.transform(M.assembler(["x1", "x2"]).transform(df)).orderBy("sa_id")
+        each.append([part.getNumTrees * r[0] for r in rows.select(vector_to_array("probability")[1]).collect()])
+    assert max(abs(a - sum(b) / 10) for a, b in zip(p, zip(*each))) < 1e-12
+    assert [r.prediction for r in got.collect()] == [float(x > 0.5) for x in p]
+    assert abs(sum(one.featureImportances) - 1) < 1e-9
+    # the last part is lost: the others are loaded, it is fitted again
+    import shutil
+
+    shutil.rmtree(f"{folder}/part-2")
+    fits = []
+    monkeypatch.setattr(M, "forest", lambda *a, f=M.forest, **k: (fits.append(a), f(*a, **k))[1])
+    two = M.fit_forest(df, ["x1", "x2"], 10, 5, "1", folder=folder)
+    assert len(fits) == 1
+    q = [r[0] for r in two.transform(df).orderBy("sa_id").select(vector_to_array("probability")[1]).collect()]
+    assert max(abs(a - b) for a, b in zip(p, q)) < 1e-12
+
+
+def test_copies_as_weights_give_the_plain_solution(spark):
+    """Coefficients on distinct rows equal those on all drawn rows; so does the score."""
+    df = _data(spark)
+    drawn = df.withColumn("c", F.explode(F.sequence(F.lit(1), (F.col("sa_id") % 7 + 1).cast("int")))).drop("c")
+    n = drawn.count()
+    rows = M.distinct_rows(drawn, ["x1", "x2"])
+    assert rows.count() == df.count() and rows.agg(F.sum("copies")).first()[0] == n
+    for C, penalty in ((1.0, "l2"), (100.0, "l1")):
+        plain = M.fit(drawn, ["x1", "x2"], M.logistic(n, C, penalty).setTol(1e-12)).stages[-1]
+        weighted = M.fit(rows, ["x1", "x2"], M.logistic(n, C, penalty, "copies").setTol(1e-12)).stages[-1]
+        a, b = plain.coefficients.toArray(), weighted.coefficients.toArray()
+        assert abs(a - b).max() < 1e-6 * max(1, abs(a).max())
+    p = M.fit(rows, ["x1", "x2"], M.logistic(n, 1.0, "l2", "copies"))
+    assert M.SavingsEvaluator("scorer", copiesCol="copies").evaluate(p.transform(rows)) == M.SavingsEvaluator("scorer").evaluate(p.transform(drawn))
+
+
+def test_grid_search_and_svm_sweep_on_repeated_rows(spark):
+    df = _data(spark)
+    drawn = df.unionByName(df.filter("label = 1")).unionByName(df)
+    for balanced in (False, True):
+        cv, grid = M.grid_search(drawn, ["x1", "x2"], folds=3, balanced=balanced, Cs=(1.0, 100.0))
+        assert len(cv.avgMetrics) == len(grid) == 4
+    out = M.svm_sweep(drawn, df, ["x1", "x2"], Cs=(0.1, 1.0)).collect()
+    assert [r.C for r in out] == [0.1, 1.0]
+    for r in out:
+        assert r.actual0_pred0 + r.actual0_pred1 + r.actual1_pred0 + r.actual1_pred1 == df.count()
+        assert abs(r.accuracy - (r.actual0_pred0 + r.actual1_pred1) / df.count()) < 1e-12
