@@ -3,8 +3,9 @@
 A document's normaliser m depends only on its length, so documents of equal m
 form a stratum, and inside it a term's impact on the score depends only on its
 frequency tf.  The index has rows of one stratum each: its documents, and for
-every term and tf the list of documents with it.  A long stratum has many rows,
-a row never more than ``POSTINGS`` postings unless one document has more.
+every term and tf the list of documents with it.  A large stratum is dealt to
+many tasks in pieces and has many rows, a row never more than ``POSTINGS``
+postings unless one document has more.
 
 A search computes the impact of every tf of a stratum once.  The sum of a
 query's best impacts in a stratum bounds the scores there; strata are visited
@@ -41,8 +42,10 @@ from pyspark.sql import functions as F
 from churnscope.llm import words as W
 from churnscope.llm.common import keyed, schema, stage
 
-POSTINGS = 1 << 14  # of an index row
-BUILD, ROUND = 1 << 20, 1 << 20  # postings that a task holds while it builds, and while it searches
+POSTINGS = 1 << 13  # of an index row
+PIECE = 1 << 18  # postings of a stratum that are dealt to one task together
+STRATA = 1_000_000  # strata up to which their sizes go to the documents instead of the documents being shuffled
+BUILD, ROUND = 1 << 19, 1 << 19  # postings that a task holds while it builds, and while it searches
 QUERY_TERMS = 1 << 20
 FIRST_VISIT = 512  # documents scored before the first look at the bounds; doubles from visit to visit
 EXACT_TERMS = 300_000  # a float holds the sum of so many terms' products exactly
@@ -136,8 +139,13 @@ def build_index(docs: DataFrame) -> tuple[DataFrame, int, int]:
     scanned = stage(scanned.filter("n > 0"), "terms")
     n, total = scanned.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     m = F.expr(f"50 + (50 * n * {n}L) div {max(total, 1)}L")
-    strata = scanned.select("doc_id", m.alias("m"), "terms", "tfs").repartitionByRange("m", "doc_id").sortWithinPartitions("m", "doc_id")
-    return stage(strata.mapInArrow(_build, schema(INDEX)), "index"), n, total
+    strata = scanned.groupBy(m.alias("m")).agg((F.floor(F.sum(F.size("terms")) / PIECE) + 1).alias("pieces"))
+    strata = stage(strata, "strata")
+    sizes = F.broadcast(strata) if strata.count() <= STRATA else strata
+    dealt = scanned.select("doc_id", m.alias("m"), "terms", "tfs").join(sizes, "m")
+    dealt = dealt.withColumn("piece", F.pmod(F.xxhash64("doc_id", "terms"), "pieces")).repartition("m", "piece")
+    dealt = dealt.sortWithinPartitions("m", "piece", "doc_id").select("doc_id", "m", "terms", "tfs")
+    return stage(dealt.mapInArrow(_build, schema(INDEX)), "index"), n, total
 
 
 def _ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
