@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.operators.ordered import running_sum
+from churnscope.sources.csv_io import stage_table
 
 
 def corr(a: str, b: str):
@@ -25,12 +29,59 @@ def corr_sql(a: str, b: str) -> str:
     return f"(covar_samp({x}, {y}) / nullif(stddev_samp({x}) * stddev_samp({y}), 0))"
 
 
+MOMENTS = "a int, b int, n double, ma double, mb double, va double, vb double, c double"
+
+
+def _moments(shift: list[float]):
+    """Per task and pair of columns, over the rows that have both: count, means, squared deviations, their product."""
+
+    def run(batches):
+        k, total = len(shift), None
+        for batch in batches:
+            x = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns], axis=1) - np.array(shift)
+            has = ~np.isnan(x)
+            x, has = np.where(has, x, 0.0), has.astype(float)
+            part = np.stack([has.T @ has, x.T @ has, (x * x).T @ has, x.T @ x])
+            total = part if total is None else total + part
+        if total is None:
+            return
+        i, j = np.triu_indices(k, 1)
+        n, s, q, p = total[:, i, j]
+        s2, q2 = total[1].T[i, j], total[2].T[i, j]  # the same of the second column
+        some = n > 0
+        i, j, n, s, q, p, s2, q2 = (v[some] for v in (i, j, n, s, q, p, s2, q2))
+        columns = [i.astype(np.int32), j.astype(np.int32), n, s / n, s2 / n, np.maximum(q - s * s / n, 0), np.maximum(q2 - s2 * s2 / n, 0), p - s * s2 / n]
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["a", "b", "n", "ma", "mb", "va", "vb", "c"])
+
+    return run
+
+
 def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All pairwise Pearson r in one aggregate (pairwise NULL deletion, as pandas)."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[corr(a, b).alias(f"{a}__{b}") for a, b in pairs])
-    rows = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
-    return wide.selectExpr(f"stack({len(pairs)}, {rows}) as (column_a, column_b, r)")
+    """All pairwise Pearson r in one scan (pairwise NULL deletion, as pandas; NULL for a constant column).
+
+    Every task turns its rows into moment matrices, a matrix product each, and
+    hands on one row per pair; these are stored and merged by pair.  Deviations
+    are taken from one row's values, so a constant column has none at all, and
+    what rounding leaves of a variance (1e-13 of the squared mean) counts as none.
+    """
+    spark = df.sparkSession
+    names = spark.createDataFrame(list(enumerate(columns)), "i int, name string")
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    one = values.first()
+    shift = [float(v) if v is not None else 0.0 for v in (one or [None] * len(columns))]
+    parts = stage_table(values.mapInArrow(_moments(shift), MOMENTS), "moments")
+    mean = parts.groupBy("a", "b").agg(*[(F.sum(F.col(m) * F.col("n")) / F.sum("n")).alias(f"t{m}") for m in ("ma", "mb")])
+    off = [F.col(m) - F.col(f"t{m}") for m in ("ma", "mb")]
+    terms = {"va": off[0] * off[0], "vb": off[1] * off[1], "c": off[0] * off[1]}
+    merged = parts.join(F.broadcast(mean), ["a", "b"]).groupBy("a", "b").agg(  # one row per pair of columns
+        F.sum("n").alias("n"), F.first("tma").alias("ma"), F.first("tmb").alias("mb"),
+        *[F.sum(F.col(t) + F.col("n") * e).alias(t) for t, e in terms.items()],
+    )
+    spread = [F.when(F.col(v) > F.col("n") * F.col(m) * F.col(m) * 1e-13, F.sqrt(v)) for v, m in (("va", "ma"), ("vb", "mb"))]
+    every = names.select(F.col("i").alias("a"), F.col("name").alias("column_a")).join(
+        F.broadcast(names.select(F.col("i").alias("b"), F.col("name").alias("column_b"))), F.col("a") < F.col("b")
+    )
+    return every.join(F.broadcast(merged), ["a", "b"], "left").select("column_a", "column_b", F.try_divide("c", spread[0] * spread[1]).alias("r"))
 
 
 def average_ranks(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
@@ -71,33 +122,65 @@ def spearman_matrix(df: DataFrame, columns: list[str], key: list[str] | str = "s
 Z_975 = NormalDist().inv_cdf(0.975)
 
 
-def pearson_ci(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
-    """r, n, Fisher-z interval and r^2 of one pair (rows with both values)."""
+def _beta_fraction(x, a, b, terms):
+    """Continued fraction of the incomplete beta function, from its ``terms``-th pair of terms up."""
+
+    def up(t, m):
+        m = m.cast("double")
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
+        return odd / (1 + even / (1 + t))
+
+    return 1 / (1 + F.aggregate(F.sequence(terms, F.lit(1).cast("long"), F.lit(-1).cast("long")), F.lit(0.0), up))
+
+
+def r_p_value(r, n):
+    """Two-sided p-value of a correlation ``r`` over ``n`` rows (Student's t with n - 2
+    degrees of freedom) as a column: the regularised incomplete beta function
+    I(1 - r^2; n/2 - 1, 1/2).  NULL below three rows, 0 for r of 1 or -1."""
+    a, x, y = (n - 2) / 2.0, 1 - r * r, r * r
+    # gamma(a + 1/2) / gamma(a): asymptotic series at a + 8, brought down by the recurrence
+    z = a + 8
+    series = 1 - 1 / (8 * z) + 1 / (128 * z**2) + 5 / (1024 * z**3) - 21 / (32768 * z**4) - 399 / (262144 * z**5)
+    ratio = F.sqrt(z) * series
+    for i in range(8):
+        ratio = ratio * (a + i) / (a + i + 0.5)
+    scale = F.exp(a * F.log1p(-y)) * F.sqrt(y) * ratio / math.sqrt(math.pi)
+    terms = (F.lit(100) + 6 * F.sqrt(a)).cast("long")
+    low = scale / a * _beta_fraction(x, a, F.lit(0.5), terms)
+    high = 1 - scale / 0.5 * _beta_fraction(y, F.lit(0.5), a, terms)
+    p = F.when(y >= 1, F.lit(0.0)).when(x < (a + 1) / (a + 2.5), low).otherwise(high)
+    return F.when((n > 2) & r.isNotNull(), F.greatest(p, F.lit(0.0)))
+
+
+def pearson_cis(df: DataFrame, pairs: list[tuple[str, str]], alpha: float = 0.05) -> DataFrame:
+    """r, n, p-value, Fisher-z interval and r^2 of every pair (rows with both values), in one pass."""
     z = NormalDist().inv_cdf(1 - alpha / 2)
-    both = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    g = both.agg(corr(a, b).alias("r"), F.count(F.lit(1)).alias("n"))
+    sides = []
+    for i, (a, b) in enumerate(pairs):
+        sides += [corr(a, b).alias(f"r{i}"), F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"n{i}")]
+    rows = ", ".join(f"'{a}', '{b}', r{i}, n{i}" for i, (a, b) in enumerate(pairs))
+    g = df.agg(*sides).selectExpr(f"stack({len(pairs)}, {rows}) as (column_a, column_b, r, n)")
     se = F.try_divide(F.lit(1.0), F.sqrt(F.col("n") - 3))
     return g.select(
-        F.lit(a).alias("column_a"),
-        F.lit(b).alias("column_b"),
+        "column_a",
+        "column_b",
         "r",
         "n",
+        r_p_value(F.col("r"), F.col("n").cast("double")).alias("p_value"),
         F.tanh(F.atanh("r") - F.lit(z) * se).alias("ci_low"),
         F.tanh(F.atanh("r") + F.lit(z) * se).alias("ci_high"),
         (F.col("r") * F.col("r")).alias("r_squared"),
     )
 
 
-def pearson_p_value(df: DataFrame, a: str, b: str) -> float:
-    """Two-sided p-value of r via the slope t-test of a one-feature linear model."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
+def pearson_ci(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
+    return pearson_cis(df, [(a, b)], alpha)
 
-    data = VectorAssembler(inputCols=[a], outputCol="_x").transform(
-        df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double"), F.col(b).cast("double"))
-    )
-    model = LinearRegression(featuresCol="_x", labelCol=b, solver="normal").fit(data)
-    return float(model.summary.pValues[0])
+
+def pearson_p_value(df: DataFrame, a: str, b: str) -> float:
+    """Two-sided p-value of one pair's r."""
+    return pearson_ci(df, a, b).first()["p_value"]
 
 
 def standardize(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:

@@ -526,16 +526,20 @@ def bootstrap_mean_ci_10000(c):
 
 
 # ------------------------------------------------------------------ statistics
+# The study's 21 continuous variables and stop flags.
 PEARSON_COLS = [
-    "payments_in_last_18_months", "bills_in_last_18_months", "pay_segs_in_last_18_months", "arrears_payoff_amount",
-    "total_payoff_amount", "internal_credit_rating", "late_payment_count", "usage_in_last_18_months",
-    "active_diff_from_as_of", "premise_days_inactive_before", "stop_21_days",
+    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "pay_segs_in_last_18_months",
+    "bill_segs_in_last_18_months", "arrears_current_amount", "arrears_payoff_amount", "total_current_amount",
+    "total_payoff_amount", "late_payment_count", "sa_start_avg_temp", "sa_end_avg_temp", "usage_in_last_18_months",
+    "premise_days_inactive_before", "person_days_inactive_before", "premise_days_active_before",
+    "person_days_active_before", "active_diff_from_as_of", "stop_7_days", "stop_14_days", "stop_21_days",
 ]
 
 
 def _pairs_sql(cols: list[str], src: str) -> str:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    return " union all ".join(f"select '{a}' as column_a, '{b}' as column_b, {ST.corr_sql(a, b)} as r from {src}" for a, b in pairs)
+    rows = ", ".join(f"{{'column_a': '{a}', 'column_b': '{b}', 'r': {ST.corr_sql(a, b)}}}" for a, b in pairs)
+    return f"select u.column_a as column_a, u.column_b as column_b, u.r as r from (select unnest([{rows}]) as u from {src}) rows"
 
 
 @register("pearson_matrix", oracle(_pairs_sql(PEARSON_COLS, "active")))
@@ -561,18 +565,50 @@ def spearman_matrix(c):
     return ST.spearman_matrix(c.active, SPEARMAN_COLS, key=["sa_id", "dnp_started_flag", "dnp_stopped_flag"])
 
 
-@register(
-    "pearson_ci",
-    oracle(
-        "select 'payments_in_last_18_months' as column_a, 'bills_in_last_18_months' as column_b, r, n, "
+# The pairs of which the study tests the correlation, on the active and on all rows.
+CI_PAIRS = {
+    "active": [
+        ("late_payment_count", "stop_21_days"), ("payments_in_last_18_months", "bills_in_last_18_months"),
+        ("total_payoff_amount", "late_payment_count"), ("active_diff_from_as_of", "stop_21_days"),
+        ("active_diff_from_as_of", "stop_7_days"), ("active_diff_from_as_of", "stop_14_days"),
+    ],
+    "labelled": [
+        ("late_payment_count", "stop_21_days"), ("payments_in_last_18_months", "bills_in_last_18_months"),
+        ("total_payoff_amount", "late_payment_count"),
+    ],
+}
+
+
+def _ci_sql() -> str:
+    """p by the finite series of Student's t distribution for whole degrees of freedom."""
+    pairs = " union all ".join(
+        f"select '{rows}' as rows, '{a}' as column_a, '{b}' as column_b, {ST.corr_sql(a, b)} as r, "
+        f"count(*) filter ({a} is not null and {b} is not null) as n from {rows}"
+        for rows, each in CI_PAIRS.items() for a, b in each
+    )
+    return (
+        f"with g as ({pairs}), "
+        "steps as (select g.*, k, case when k = 0 then 0 when n % 2 = 0 then ln((2 * k - 1) / (2 * k) * (1 - r * r)) "
+        "else ln(2 * k / (2 * k + 1) * (1 - r * r)) end as step from g, "
+        "unnest(generate_series(0, case when n % 2 = 0 then n // 2 - 2 else (n - 5) // 2 end)) as s(k)), "
+        "terms as (select *, exp(sum(step) over (partition by rows, column_a, column_b order by k)) as term from steps), "
+        "sums as (select rows, column_a, column_b, any_value(r) as r, any_value(n) as n, sum(term) as t from terms group by all) "
+        "select rows, column_a, column_b, r, n, "
+        "round(1 - case when n % 2 = 0 then abs(r) * t else 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * t) end, 9) + 0.0 as p_value, "
         f"tanh(atanh(r) - {ST.Z_975!r}::double * (1.0 / nullif(sqrt(n - 3), 0))) as ci_low, "
-        f"tanh(atanh(r) + {ST.Z_975!r}::double * (1.0 / nullif(sqrt(n - 3), 0))) as ci_high, r * r as r_squared "
-        f"from (select {ST.corr_sql('payments_in_last_18_months', 'bills_in_last_18_months')} as r, count(*) as n from active "
-        "where payments_in_last_18_months is not null and bills_in_last_18_months is not null) g"
-    ),
-)
+        f"tanh(atanh(r) + {ST.Z_975!r}::double * (1.0 / nullif(sqrt(n - 3), 0))) as ci_high, r * r as r_squared from sums"
+    )
+
+
+@register("pearson_ci", oracle(_ci_sql()))
 def pearson_ci(c):
-    return ST.pearson_ci(c.active, "payments_in_last_18_months", "bills_in_last_18_months")
+    """p-values to nine digits, as far as the twin's series carries."""
+    frames = {"active": c.active, "labelled": c.labelled}
+    out = None
+    for rows, pairs in CI_PAIRS.items():
+        part = ST.pearson_cis(frames[rows], pairs).withColumn("rows", F.lit(rows))
+        out = part if out is None else out.unionByName(part)
+    return out.withColumn("p_value", F.round("p_value", 9) + F.lit(0.0))
 
 
 STD_COLS = ["payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "internal_credit_rating"]
