@@ -43,7 +43,7 @@ from churnscope.llm import words as W
 from churnscope.llm.common import keyed, schema, stage
 
 POSTINGS = 1 << 13  # of an index row
-PIECE = 1 << 18  # postings of a stratum that are dealt to one task together
+PIECE = 1 << 15  # postings of a stratum that are dealt to one task together
 STRATA = 1_000_000  # strata up to which their sizes go to the documents instead of the documents being shuffled
 BUILD, ROUND = 1 << 19, 1 << 19  # postings that a task holds while it builds, and while it searches
 QUERY_TERMS = 1 << 20
