@@ -21,9 +21,10 @@ are looked at, never which link.  No step holds a group in one task.
 
 Defined cases: a null or wordless text has an empty set, links with nothing and
 is its own component; fewer words than ``k`` make one gram of the whole text;
-of rows with one doc_id and different texts, the one with the smallest ``_k``
-stands for the doc_id and all get its component; equal rows count once; a null doc_id is passed through unlinked, its component null; an empty
-table gives an empty result; other columns are ignored.
+rows that share a doc_id but not a text are compared each by itself, and each
+reports the smallest doc_id that its own text reaches; equal rows count once; a
+null doc_id is passed through unlinked, its component null; an empty table gives
+an empty result; other columns are ignored; ``percent`` is at least 50.
 """
 
 from __future__ import annotations
@@ -186,10 +187,10 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
     """The pairs ``a, b`` (classes with sizes) that link: partial overlaps per fragment, summed."""
     pairs = stage(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    wanted = stage(classes.select("doc_id", "_k").join(wanted, "doc_id"), "wanted")
+    wanted = stage(classes.join(wanted.withColumnRenamed("doc_id", "node"), "node"), "wanted")
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
-    texts = docs.join(wanted, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"]).select("doc_id", "text")
+    texts = docs.join(wanted, ["doc_id", "_k"]).dropDuplicates(["doc_id", "_k"]).select(F.col("node").alias("doc_id"), "text")
     cut = stage(texts.mapInArrow(_fragments(k), schema("d bigint, f int, grams array<bigint>")), "fragments")
     left = pairs.join(cut.select(F.col("d").alias("a"), "f", F.col("grams").alias("ga")), "a")
     both = left.join(cut.select(F.col("d").alias("b"), "f", F.col("grams").alias("gb")), ["b", "f"])
@@ -200,6 +201,8 @@ def _linked(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, perce
 
 def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """``doc_id, _k, n_shingles, component_id`` of every document."""
+    if percent < 50:
+        raise ValueError("bitmaps of linked sets differ in length by a factor of two at most: percent is at least 50")
     spark = docs.sparkSession
     docs = keyed(docs)
     listed = (
@@ -216,12 +219,15 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         "sets",
     )
     narrow = rows.filter("doc_id IS NOT NULL AND n > 0").select("doc_id", "_k", "sig", "n")
-    first = narrow.groupBy("doc_id").agg(F.min("_k").alias("_k"))
-    own = narrow.join(first, ["doc_id", "_k"]).distinct()
-    head = own.groupBy("sig", "n").agg(F.min("doc_id").alias("head"))
-    member = stage(own.join(head, ["sig", "n"]), "classes")
-    classes = member.filter("doc_id = head").select("doc_id", "_k")
-    reps = rows.join(classes, ["doc_id", "_k"], "left_semi")
+    # a text is known by its doc_id; another text of the same doc_id by a number that no doc_id is near
+    first = narrow.groupBy("doc_id").agg(F.min("_k").alias("first"))
+    other = F.lit(-(2**63)).cast("long") + F.shiftrightunsigned(F.xxhash64("doc_id", "_k"), 2)
+    own = narrow.distinct().join(first, "doc_id").withColumn("node", F.when(F.col("_k") == F.col("first"), F.col("doc_id")).otherwise(other))
+    head = own.groupBy("sig", "n").agg(F.min("node").alias("head"), F.min("doc_id").alias("lowest"))
+    member = stage(own.drop("first").join(head, ["sig", "n"]), "classes")
+    classes = member.filter("node = head").select("node", "doc_id", "_k")
+    lowest = member.filter("node = head").select("head", "lowest")
+    reps = rows.join(classes, ["doc_id", "_k"]).withColumn("doc_id", F.col("node"))
     prefix = stage(
         reps.select("doc_id", "n", F.posexplode("prefix").alias("at", "g")).select(
             "g", "doc_id", (F.shiftleft("n", 32) + F.col("n") - F.col("at")).alias("v")
@@ -275,10 +281,11 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
         root = comp.select(F.col("node").alias(end), F.col("comp").alias("root"))
         late = late.join(root, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
     joint = components(late).select(F.col("node").alias("comp"), F.col("comp").alias("joint"))
-    placed = classes.select(F.col("doc_id").alias("head")).join(comp.withColumnRenamed("node", "head"), "head", "left")
+    placed = classes.select(F.col("node").alias("head")).join(comp.withColumnRenamed("node", "head"), "head", "left")
     placed = placed.select("head", F.coalesce("comp", "head").alias("comp")).join(joint, "comp", "left")
-    placed = stage(placed.select("head", F.coalesce("joint", "comp").alias("comp")), "placed")
-    found = member.select("doc_id", "head").join(placed, "head").select("doc_id", "comp")
-    return rows.join(found, "doc_id", "left").select(
-        "doc_id", "_k", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id")
+    placed = stage(placed.select("head", F.coalesce("joint", "comp").alias("comp")).join(lowest, "head"), "placed")
+    smallest = placed.groupBy("comp").agg(F.min("lowest").alias("component_id"))
+    found = member.select("doc_id", "_k", "head").join(placed.join(smallest, "comp").select("head", "component_id"), "head").drop("head")
+    return rows.join(found, ["doc_id", "_k"], "left").select(
+        "doc_id", "_k", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

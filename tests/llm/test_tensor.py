@@ -57,3 +57,18 @@ def test_sub_keys_agree_as_often_as_the_sets():
     size = np.full(200, 100)
     one, two = (sub_keys(np.concatenate(x), size, 20, 1) for x in (sets, half))
     assert abs((one == two).mean() - 90 / 110) < 0.02
+
+
+def test_jaccard_join_keys_texts_not_ids(spark):
+    """The n-gram join: another text of a doc_id has links of its own."""
+    import pytest
+
+    from churnscope.llm.jaccard import jaccard_components
+
+    rng = random.Random(6)
+    one, two = (" ".join(str(rng.random()) for _ in range(60)) for _ in "ab")
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, two.replace(two.split()[0], "x")), (None, one), (4, None), (0, "y " + two)]
+    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_components(frame(spark, rows)).collect() if r.doc_id is not None)
+    assert got == [(-1, 58, 0), (1, 57, 1), (2, 57, 0), (2, 57, 0), (2, 57, 1), (3, 57, 0), (4, 0, 4)]
+    with pytest.raises(ValueError):
+        jaccard_components(frame(spark, rows), percent=49)
