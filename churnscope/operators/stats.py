@@ -84,39 +84,125 @@ def pearson_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     return every.join(F.broadcast(merged), ["a", "b"], "left").select("column_a", "column_b", F.try_divide("c", spread[0] * spread[1]).alias("r"))
 
 
-def average_ranks(df: DataFrame, columns: list[str], key: list[str]) -> DataFrame:
-    """Average rank (ties share the mean rank, 1-based) of each column, one
-    ordered pass for all columns.
-
-    The columns are unpivoted to (key, column, value); per-(column, value)
-    counts get a two-phase running sum in (column, value) order, minus the rows
-    of the preceding columns, which gives each value its rank range; ranks are
-    joined back on (column, value) and pivoted to one row per key.  No window
-    over all rows, no per-column job.
+RANK_NUMBERS = 8_000_000  # numbers of a broadcast rank table at most (64 MB)
+
+
+class _Domains:
+    """Which rows a pair of columns is ranked on: those with both values.
+
+    Rows are told apart by their null pattern, the set of columns without a
+    value; a domain is a set of patterns, and pairs with the same one share it.
     """
-    rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.selectExpr(*[f"`{k}`" for k in key], f"stack({len(columns)}, {rows}) as (_col, _val)").filter(
-        F.col("_val").isNotNull()
-    )
-    counts = long.groupBy("_col", "_val").agg(F.count(F.lit(1)).alias("_n"))
-    totals = {r["_col"]: r["t"] for r in counts.groupBy("_col").agg(F.sum("_n").alias("t")).collect()}
-    before, acc = {}, 0
-    for c in sorted(totals):
-        before[c], acc = acc, acc + totals[c]
-    offset = F.create_map(*[x for c, o in before.items() for x in (F.lit(c), F.lit(o))])
-    cum = running_sum(counts, ["_col", "_val"], {"_n": "_cum"})
-    ranks = cum.select(
-        "_col", "_val", (F.col("_cum") - offset[F.col("_col")] - F.col("_n") + (F.col("_n") + 1) / 2.0).alias("_rank")
-    )
-    ranked = long.join(ranks, ["_col", "_val"])
-    return ranked.groupBy(*key).pivot("_col", columns).agg(F.first("_rank"))
 
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.columns = columns
+        counts = df.agg(F.count(F.lit(1)).alias("_all"), *[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first()
+        self.nullable = [c for c in columns if counts[c] < counts["_all"]]
+        patterns = [r["p"] for r in df.groupBy(self.pattern().alias("p")).agg(F.count(F.lit(1))).collect()]  # distinct patterns
+        self.bit = {c: i for i, c in enumerate(self.nullable)}
+        has = {c: frozenset(p for p in patterns if c not in self.bit or p[self.bit[c]] == "1") for c in columns}
+        self.of = {(a, b): has[a] & has[b] for i, a in enumerate(columns) for b in columns[i + 1 :]}
+        self.every = sorted(set(self.of.values()), key=lambda d: (-len(d), sorted(d)))
+        self.number = {pair: self.every.index(d) for pair, d in self.of.items()}
+
+    def pattern(self):
+        """One character per nullable column: 1 where it has a value."""
+        return F.concat(F.lit(""), *[F.when(F.col(f"`{c}`").isNull(), "0").otherwise("1") for c in self.nullable])
+
+    def counts(self, df: DataFrame) -> DataFrame:
+        """``_col, _val, _n0, _n1, ...``: rows with the value, in each domain."""
+        rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in self.columns)
+        long = df.select(self.pattern().alias("_p"), *[F.col(f"`{c}`") for c in self.columns]).selectExpr("_p", f"stack({len(self.columns)}, {rows}) as (_col, _val)")
+        inside = [F.count_if(F.col("_p").isin(sorted(d)) if d else F.lit(False)).alias(f"_n{i}") for i, d in enumerate(self.every)]
+        return long.filter("_val is not null").groupBy("_col", "_val").agg(*inside)
+
+
+def _rank_products(sent):
+    """Per task and pair: sums of squares and products of the ranks' deviations from their mean."""
 
-def spearman_matrix(df: DataFrame, columns: list[str], key: list[str] | str = "sa_id") -> DataFrame:
-    """Spearman = Pearson on average ranks (columns without NULLs; ``key`` must
-    identify a row)."""
+    def run(batches):
+        columns, bits, domains, tables = sent.value
+        total = [np.zeros((len(columns), len(columns))) for _ in domains]
+        for batch in batches:
+            x = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns], axis=1)
+            patterns = (~np.isnan(x[:, bits])).astype(np.int64) @ (1 << np.arange(len(bits), dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
+            place = [np.searchsorted(values, x[:, c]) for c, (values, _) in enumerate(tables)]
+            for d, (members, used) in enumerate(domains):
+                rows = np.flatnonzero(np.isin(patterns, members))
+                r = np.stack([tables[c][1][d][place[c][rows]] for c in used], axis=1)
+                total[d][np.ix_(used, used)] += r.T @ r
+        for d, (_, used) in enumerate(domains):
+            i, j = (np.array(used)[k] for k in np.triu_indices(len(used), 1))
+            m = total[d]
+            columns_out = [np.full(len(i), d, np.int32), i.astype(np.int32), j.astype(np.int32), m[i, j], m[i, i], m[j, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns_out], names=["d", "a", "b", "c", "va", "vb"])
+
+    return run
+
+
+def spearman_matrix(df: DataFrame, columns: list[str], key: list[str] | str = "sa_id", numbers: int = RANK_NUMBERS) -> DataFrame:
+    """Spearman matrix: Pearson r of average ranks, taken for each pair on the rows that
+    have both values (as pandas; NULL for a constant column or no common row).
+    ``key`` must identify a row; NaN counts as NULL.
+
+    Rows per distinct value and domain (see ``_Domains``) are counted in one
+    aggregate.  While the counts fit ``numbers`` they are ranked and broadcast,
+    and one scan turns every batch into matrices of rank products.  Beyond, ranks
+    come from a running sum over the distinct values and are joined to the rows;
+    a value on a third of the rows is a skewed partition of that join, whose
+    row side is split at run time.
+    """
+    spark = df.sparkSession
+    df = df.select(*([key] if isinstance(key, str) else key), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    domains = _Domains(df, columns)
+    counts = stage_table(domains.counts(df), "rank_counts")
+    names = [f"_n{i}" for i in range(len(domains.every))]
+    used = [[c for c in columns if any(c in pair and n == d for pair, n in domains.number.items())] for d in range(len(names))]
+    pairs = spark.createDataFrame([(a, b, n) for (a, b), n in domains.number.items()], "column_a string, column_b string, d int")
+    if counts.count() * (len(names) + 1) <= numbers:
+        table = counts.orderBy("_col", "_val").toPandas()
+        tables = []
+        for c in columns:
+            own = table[table["_col"] == c]
+            n = own[names].to_numpy(dtype=float).T
+            ranks = np.cumsum(n, axis=1) - n + (n + 1) / 2
+            tables.append((own["_val"].to_numpy(dtype=float), ranks - (n.sum(axis=1, keepdims=True) + 1) / 2))
+        at = {c: i for i, c in enumerate(columns)}
+        number = lambda p: sum(1 << i for i, x in enumerate(p) if x == "1")
+        spec = [(sorted(map(number, d)), [at[c] for c in u]) for d, u in zip(domains.every, used)]
+        sent = spark.sparkContext.broadcast((columns, [at[c] for c in domains.nullable], spec, tables))
+        parts = df.select(*columns).mapInArrow(_rank_products(sent), "d int, a int, b int, c double, va double, vb double")
+        sums = parts.groupBy("d", "a", "b").agg(*[F.sum(x).alias(x) for x in ("c", "va", "vb")])
+        name = F.array(*[F.lit(c) for c in columns])
+        found = sums.select("d", F.get(name, F.col("a")).alias("column_a"), F.get(name, F.col("b")).alias("column_b"), "c", "va", "vb")
+        root = [F.when(F.col(v) > 0, F.sqrt(v)) for v in ("va", "vb")]
+        return pairs.join(found, ["column_a", "column_b", "d"], "left").select("column_a", "column_b", F.try_divide("c", root[0] * root[1]).alias("r"))
+    wide = stage_table(_joined_ranks(df, domains, counts, names, key), "ranks")
+    out = None
+    for d, members in enumerate(domains.every):
+        rows = wide.filter(F.col("_p").isin(sorted(members)) if members else F.lit(False)).select(*[F.get(f"`{c}`", F.lit(d)).alias(c) for c in used[d]])
+        part = pearson_matrix(rows, used[d]).join(F.broadcast(pairs.filter(F.col("d") == d).drop("d")), ["column_a", "column_b"])
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _joined_ranks(df: DataFrame, domains: _Domains, counts: DataFrame, names: list[str], key) -> DataFrame:
+    """Pattern and, per column, the array of a row's average ranks in all domains."""
     key = [key] if isinstance(key, str) else list(key)
-    return pearson_matrix(average_ranks(df, columns, key), columns)
+    totals = {r["_col"]: r for r in counts.groupBy("_col").agg(*[F.sum(n).alias(n) for n in names]).collect()}  # a row per column
+    before, seen = [], [0] * len(names)
+    for c in sorted(totals):
+        before += [F.lit(c), F.array(*[F.lit(x) for x in seen])]
+        seen = [x + totals[c][n] for x, n in zip(seen, names)]
+    cum = running_sum(counts, ["_col", "_val"], {n: f"_c{n}" for n in names})
+    start = F.create_map(*before)[F.col("_col")]
+    ranks = [F.col(f"_c{n}") - F.get(start, F.lit(i)) - F.col(n) + (F.col(n) + 1) / 2.0 for i, n in enumerate(names)]
+    ranks = cum.select("_col", "_val", F.array(*ranks).alias("_ranks"))
+    rows = ", ".join(f"'{c}', `{c}`" for c in domains.columns)
+    kept = df.withColumn("_p", domains.pattern())
+    long = kept.selectExpr(*[f"`{k}`" for k in key], "_p", f"stack({len(domains.columns)}, {rows}) as (_col, _val)")
+    ranked = long.join(ranks, ["_col", "_val"], "left")
+    return ranked.groupBy(*key, "_p").pivot("_col", domains.columns).agg(F.first("_ranks"))
 
 
 Z_975 = NormalDist().inv_cdf(0.975)

@@ -547,22 +547,38 @@ def pearson_matrix(c):
     return ST.pearson_matrix(c.active, PEARSON_COLS)
 
 
-SPEARMAN_COLS = [
-    "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "internal_credit_rating",
-    "active_diff_from_as_of", "stop_21_days",
+#: Every numeric column of the active set; ids are text in the study.
+NUMERIC_COLS = [
+    *PEARSON_COLS[:11], "sa_start_degree_day", "sa_end_degree_day", *PEARSON_COLS[11:], "stop_1998",
+    *[f"start_{y}" for y in YEARS], *[f"pledge_flag_{y}" for y in YEARS], "arrears_payoff_bucket",
+    "current_days_active_bucket", "arrears_payoff_bucket_2", "usage_past_18_bucket", "dnp_started_flag_number",
+    "dnp_stopped_flag_number", "person_rcvd_18_mths_pledge_num", *[f"seasonal_prior_{k}_yr_flag_num" for k in (1, 2, 3)],
+    "pledge_date_1996_num", "pledge_date_1997_num",
 ]
 
 
 def _spearman_sql() -> str:
-    ranks = ", ".join(
-        f"rank() over (order by {x}) + (count(*) over (partition by {x}) - 1) / 2.0 as {x}" for x in SPEARMAN_COLS
+    """Ranks of each pair on its complete rows; a row per pair of columns, whatever it holds."""
+    listed = ", ".join(f"cast({x} as double) as {x}" for x in NUMERIC_COLS)
+    names = ", ".join(f"('{x}', {i})" for i, x in enumerate(NUMERIC_COLS))
+    return (
+        f"with numbered as (select row_number() over () as rn, {listed} from active), "
+        f"long as (select rn, name, v from numbered unpivot (v for name in ({', '.join(NUMERIC_COLS)}))), "
+        f"cols(name, i) as (values {names}), "
+        "both_rows as (select a.name as column_a, b.name as column_b, a.v as x, b.v as y from long a join cols ca on a.name = ca.name "
+        "join long b on a.rn = b.rn join cols cb on b.name = cb.name where ca.i < cb.i), "
+        "ranked as (select column_a, column_b, "
+        "rank() over (partition by column_a, column_b order by x) + (count(*) over (partition by column_a, column_b, x) - 1) / 2.0 as x, "
+        "rank() over (partition by column_a, column_b order by y) + (count(*) over (partition by column_a, column_b, y) - 1) / 2.0 as y from both_rows) "
+        "select ca.name as column_a, cb.name as column_b, r from cols ca join cols cb on ca.i < cb.i left join "
+        "(select column_a, column_b, covar_samp(x, y) / nullif(stddev_samp(x) * stddev_samp(y), 0) as r from ranked group by column_a, column_b) g "
+        "on g.column_a = ca.name and g.column_b = cb.name"
     )
-    return f"with rk as (select {ranks} from active) " + _pairs_sql(SPEARMAN_COLS, "rk")
 
 
 @register("spearman_matrix", oracle(_spearman_sql()))
 def spearman_matrix(c):
-    return ST.spearman_matrix(c.active, SPEARMAN_COLS, key=["sa_id", "dnp_started_flag", "dnp_stopped_flag"])
+    return ST.spearman_matrix(c.active, NUMERIC_COLS, key=["sa_id", "dnp_started_flag", "dnp_stopped_flag"])
 
 
 # The pairs of which the study tests the correlation, on the active and on all rows.

@@ -73,3 +73,33 @@ def test_p_value_edges(spark):
     df = spark.createDataFrame([(1.0, 10.0), (-1.0, 10.0), (None, 10.0), (0.5, 2.0), (0.999999, 1000.0)], "r double, n double")
     got = [r[0] for r in df.select(ST.r_p_value(F.col("r"), F.col("n"))).collect()]
     assert got[:4] == [0.0, 0.0, None, None] and 0 <= got[4] < 1e-300
+
+
+@pytest.mark.parametrize("numbers", [ST.RANK_NUMBERS, 0])
+def test_spearman_matrix_equals_pandas_with_nulls(spark, numbers):
+    """Both ways to the ranks; columns with null patterns of their own, shared, overlapping and all null."""
+    x = _frame(3, 300)
+    x["a"] = x["a"].round(0)
+    x["g"] = x["b"] * 2 + np.arange(300) % 3  # null where b is
+    x.loc[:150, "h"] = np.arange(151) % 7
+    got = {(r.column_a, r.column_b): r.r for r in ST.spearman_matrix(_spark(spark, x).repartition(5), list(x.columns), numbers=numbers).collect()}
+    want = {}
+    for a, b in itertools.combinations(x.columns, 2):
+        both = x[[a, b]].dropna().rank()
+        want[a, b] = both[a].corr(both[b]) if len(both) > 1 and both[a].nunique() > 1 and both[b].nunique() > 1 else math.nan
+    assert set(got) == set(want)
+    for pair, r in want.items():
+        assert (got[pair] is None) == math.isnan(r), pair
+        assert got[pair] is None or abs(got[pair] - r) < 1e-9, pair
+
+
+def test_numeric_columns_are_those_of_the_active_set(spark):
+    from churnscope.registry import context, load_all
+    from churnscope.registry.analysis import NUMERIC_COLS
+    from conftest import SMALL
+    from pyspark.sql.types import NumericType
+
+    load_all()
+    fields = context(spark, SMALL).active.schema.fields
+    ids = {"sa_id", "account_id", "person_id", "premise_id", "cis_division", "rate_class_code"}
+    assert {f.name for f in fields if isinstance(f.dataType, NumericType)} - ids == set(NUMERIC_COLS)
