@@ -16,12 +16,16 @@ when a task is retried on another executor.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnscope.session import checkpoint_dir
+from churnscope.sources.csv_io import stage_table
 
 PID = "_cs_pid"
 SEGMENT, PREVIOUS, CARRY = "_cs_segment", "_cs_previous", "_cs_carry"
@@ -134,46 +138,78 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", n: int
     return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = None) -> dict[str, list[float]]:
-    """Exact linear-interpolated quantiles (pandas ``quantile``, DuckDB
-    ``quantile_cont``) of several columns, NULLs skipped, in one ordered pass.
+BRACKET = 1e-3  # ranks on either side of a quantile's approximate value, as a share of all
+SKETCH = 10_000  # the sketch's ranks are right to 1 / SKETCH
+COLLECTED = 2_000_000  # distinct values of all brackets that the driver ranks itself
 
-    A global ``percentile`` aggregate keeps every distinct value of a group in
-    one task; here the values are unpivoted, given a dense index in
-    (column, value) order by the two-phase scan, and only the order statistics
-    that the interpolation needs (two per column and probability) come back.
+
+def _brackets(df: DataFrame, columns: list[str], probs, width: float) -> dict[str, list[list[float]]]:
+    """Per column, disjoint ascending value ranges that hold its quantiles, from one sketch aggregate."""
+    ends = [min(max(p + d, 0.0), 1.0) for p in probs for d in (-width, width)]
+    row = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), ends, SKETCH).alias(c) for c in columns]).first()
+    out = {}
+    for c in columns:
+        out[c] = []
+        for lo, hi in sorted(zip(row[c][::2], row[c][1::2])) if row[c] else []:
+            if out[c] and lo <= out[c][-1][1]:
+                out[c][-1][1] = max(hi, out[c][-1][1])
+            else:
+                out[c].append([lo, hi])
+    return out
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = None, collected: int = COLLECTED) -> dict[str, list[float]]:
+    """Exact linear-interpolated quantiles (pandas ``quantile``, DuckDB
+    ``quantile_cont``) of several columns, NULLs skipped.
+
+    A sketch brackets every quantile by two values; one aggregate counts the rows
+    below each bracket, another the rows of every distinct value inside (a value
+    repeated on a third of the rows is one counted row).  The wanted ranks are
+    read off these counts: on the driver while there are at most ``collected`` of
+    them, by a running sum over them beyond.  Rows are neither sorted nor handed
+    to Python.  A bracket that misses its rank (the sketch bounds its error, so
+    none should) is widened.
     """
-    import math
-
-    rows = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    # a value repeated on a third of the rows would be one range partition; a
-    # per-row id after the value lets the range partitioner split such ties
-    # (their order among themselves does not change any order statistic, and
-    # the sorted rows are checkpointed before they are indexed)
-    tagged = df.select(*[F.col(f"`{c}`") for c in columns], F.monotonically_increasing_id().alias("_tb"))
-    long = tagged.selectExpr("_tb", f"stack({len(columns)}, {rows}) as (_col, _val)").filter(F.col("_val").isNotNull())
-    counts = {r["_col"]: r["n"] for r in long.groupBy("_col").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for c in sorted(counts):
-        offsets[c] = acc
-        acc += counts[c]
-    wanted: dict[int, tuple[str, int]] = {}
-    for c, cnt in counts.items():
-        for p in probs:
-            h = (cnt - 1) * p
-            for pos in (math.floor(h), math.ceil(h)):
-                wanted[offsets[c] + pos] = (c, pos)
-    out = {c: [] for c in columns}
-    if not wanted:
-        return out
-    indexed = dense_index(long, ["_col", "_val", "_tb"], "_i", n)
-    picked = {wanted[r["_i"]]: r["_val"] for r in indexed.filter(F.col("_i").isin(list(wanted))).collect()}
-    for c, cnt in counts.items():
-        vals = []
-        for p in probs:
-            h = (cnt - 1) * p
-            lo, hi = math.floor(h), math.ceil(h)
-            a, b = picked[(c, lo)], picked[(c, hi)]
-            vals.append(a if lo == hi else a + (h - lo) * (b - a))
-        out[c] = vals
+    probs = list(probs)
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns]).first()
+    wanted = {(c, q) for c in columns for p in probs for q in (math.floor((counts[c] - 1) * p), math.ceil((counts[c] - 1) * p)) if counts[c]}
+    width, values = BRACKET, {}
+    while wanted:
+        ranges = [(c, lo, hi) for c, each in _brackets(df, sorted({c for c, _ in wanted}), probs, width).items() for lo, hi in each]
+        x = [F.col(f"`{c}`").cast("double") for c, _, _ in ranges]
+        below = df.agg(*[F.count_if(v < F.lit(lo)).alias(f"b{i}") for i, (v, (_, lo, _)) in enumerate(zip(x, ranges))]).first()
+        inside = [F.struct(F.lit(i).alias("i"), F.when(v.between(F.lit(lo), F.lit(hi)), v).alias("v")) for i, (v, (_, lo, hi)) in enumerate(zip(x, ranges))]
+        hit = df.select(F.explode(F.filter(F.array(*inside), lambda s: s["v"].isNotNull())).alias("s"))
+        counted = stage_table(hit.groupBy(F.col("s.i").alias("i"), F.col("s.v").alias("v")).agg(F.count(F.lit(1)).alias("n")), "quantiles")
+        if counted.count() <= collected:
+            table = counted.orderBy("i", "v").toPandas()
+            table["upto"] = table.groupby("i")["n"].cumsum()
+        else:
+            upto = running_sum(counted, ["i", "v"], {"n": "upto"}, n)
+            start = {r["i"]: r["s"] for r in upto.groupBy("i").agg(F.min(F.col("upto") - F.col("n")).alias("s")).collect()}  # a row per bracket
+            test = F.lit(False)
+            for c, q in wanted:
+                for i in [i for i, r in enumerate(ranges) if r[0] == c and i in start]:
+                    rank = F.lit(q - below[f"b{i}"] + start[i])
+                    test = test | ((F.col("i") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
+            table = upto.filter(test).toPandas()
+            table["upto"] -= table["i"].map(start)
+        for i, own in table.groupby("i"):
+            c = ranges[i][0]
+            first, last = own["upto"].to_numpy() - own["n"].to_numpy() + below[f"b{i}"], own["upto"].to_numpy() + below[f"b{i}"]
+            for q in [q for d, q in wanted if d == c]:
+                at = int(np.searchsorted(last, q, side="right"))
+                if at < len(last) and first[at] <= q:
+                    values[c, q] = float(own["v"].iloc[at])
+        wanted -= set(values)
+        width *= 10
+        if wanted and width > 1:
+            raise RuntimeError(f"ranks not found: {sorted(wanted)[:5]}")
+    out = {}
+    for c in columns:
+        out[c] = []
+        for p in probs if counts[c] else []:
+            h = (counts[c] - 1) * p
+            lo, hi = values[c, math.floor(h)], values[c, math.ceil(h)]
+            out[c].append(lo + (h - math.floor(h)) * (hi - lo) if lo != hi else lo)
     return out

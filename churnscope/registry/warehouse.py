@@ -64,21 +64,15 @@ def stage_ctas(c):
 
 @register("export_extract", oracle(f"select * from features where city in ({CITY_LIST})"))
 def export_extract(c):
-    rows = FT.export_extract(c.features)
-    path = _shared_path(c, "extract")
-    csv_io.export_delimited(rows, path)
-    return rows
+    return csv_io.checked_export(FT.export_extract(c.features), _shared_path(c, "extract"))
 
 
-VIEW_COLS = (
-    "sa_id, premise_id, person_id, premise_prior_stop_date, person_prior_stop_date, premise_days_inactive_before, "
-    "person_days_inactive_before, premise_days_active_before, person_days_active_before, active_diff_from_as_of"
-)
-
-
-@register("feature_view", oracle(f"select {VIEW_COLS} from features"))
+@register("feature_view", oracle("select * from features"))
 def feature_view(c):
-    return c.features.select(*[x.strip() for x in VIEW_COLS.split(",")])
+    """The published view, every column of it, read by its name."""
+    name = "service_agreement_features_v"
+    c.features.createOrReplaceTempView(name)
+    return c.spark.table(name)
 
 
 @register(

@@ -17,8 +17,44 @@ def sink_csv(df: DataFrame, path: str) -> None:
 
 
 def export_delimited(df: DataFrame, path: str) -> None:
-    """The published extract: comma, header, every string double-quoted."""
-    df.write.mode("overwrite").option("header", True).option("quoteAll", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+    """The published extract: comma, header, every field double-quoted, quotes doubled."""
+    df.write.mode("overwrite").options(
+        header=True, quoteAll=True, escape='"', dateFormat="yyyy-MM-dd", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_delimited(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """An extract of ``export_delimited`` under its schema; ``_corrupt_record`` holds a line that does not fit it.
+
+    Quoted line breaks stay in their field.  An empty field is NULL, and so is an
+    empty text, which the format does not tell apart.
+    """
+    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    options = {"header": True, "multiLine": True, "escape": '"', "dateFormat": "yyyy-MM-dd", "columnNameOfCorruptRecord": CORRUPT}
+    return spark.read.schema(wide).options(**options).csv(path)
+
+
+def _content(df: DataFrame, *more) -> DataFrame:
+    """Number of rows and the sum of their hashes, an empty text as NULL; every column is parsed for it."""
+    fields = [f for f in df.schema.fields if f.name != CORRUPT]
+    values = [F.nullif(F.col(f"`{f.name}`"), F.lit("")) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in fields]
+    return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*values).cast("decimal(38,0)")), *more)
+
+
+def checked_export(df: DataFrame, path: str) -> DataFrame:
+    """Write the extract, read it back, and return the rows read; raises if a row is lost, added, changed or does not parse."""
+    spark = df.sparkSession
+    sent = stage_table(df, "extract")  # counted and written from the same rows
+    export_delimited(sent, path)
+    back = read_delimited(spark, path, df.schema)
+    told = _content(sent).first()
+    found = _content(back, F.count_if(F.col(CORRUPT).isNotNull())).first()
+    if found[2] or tuple(found[:2]) != tuple(told):
+        raise ValueError(f"extract at {path}: {found[0]} rows read of {told[0]}, {found[2]} of them corrupt, or others than written")
+    return back.drop(CORRUPT)
 
 
 def scan_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -103,3 +103,20 @@ def test_numeric_columns_are_those_of_the_active_set(spark):
     fields = context(spark, SMALL).active.schema.fields
     ids = {"sa_id", "account_id", "person_id", "premise_id", "cis_division", "rate_class_code"}
     assert {f.name for f in fields if isinstance(f.dataType, NumericType)} - ids == set(NUMERIC_COLS)
+
+
+@pytest.mark.parametrize("collected", [2_000_000, 0])
+def test_quantiles_of_skewed_columns_equal_pandas(spark, collected):
+    """Hot values, few values, one value, all null; ranks from collected counts and from a running sum."""
+    from churnscope.operators.ordered import exact_quantiles
+
+    rng = np.random.default_rng(9)
+    x = pd.DataFrame({"a": np.where(rng.random(4000) < 0.4, 0.0, rng.normal(0, 1e6, 4000)), "b": rng.integers(0, 3, 4000).astype(float)})
+    x["c"], x["d"], x["e"] = 2.5, np.nan, np.exp(rng.normal(0, 40, 4000))
+    x.loc[rng.random(4000) < 0.2, "e"] = np.nan
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    got = exact_quantiles(_spark(spark, x).repartition(6), list(x.columns), probs, collected=collected)
+    for c in x.columns:
+        want = x[c].quantile(probs).tolist() if x[c].notna().any() else []
+        assert len(got[c]) == len(want) and all(abs(p - q) <= 1e-12 * max(1, abs(q)) for p, q in zip(got[c], want)), c
+    assert exact_quantiles(_spark(spark, x).limit(0), ["a"], probs, collected=collected) == {"a": []}
