@@ -109,16 +109,23 @@ def equal_width_histogram(df: DataFrame, column: str, bins: int, name: str) -> D
     )
 
 
-def histograms_all_numeric(df: DataFrame, columns: list[str], bins: int = 10) -> DataFrame:
-    """10-bin histogram of every listed column in one job: unpivot to
-    (column, value), min/max per column (one row per column, broadcast),
-    bin, count."""
-    rows = ", ".join(f"'{c}', cast({_q(c)} as double)" for c in columns)
-    long = df.selectExpr(f"stack({len(columns)}, {rows}) as (column_name, value)").filter(F.col("value").isNotNull())
-    ranges = long.groupBy("column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+def histograms_all_numeric(df: DataFrame, columns: list[str], bins: int = 10, subsets: dict | None = None) -> DataFrame:
+    """Histogram of every listed column in one job: unpivot to (column, value),
+    min/max per column (one row per column, broadcast), bin, count.
+
+    ``subsets`` names conditions; each row counts in every set that it meets, the
+    bins of a set span its own values, and ``rows`` tells the sets apart.
+    """
+    parts = ", ".join(f"'{c}', cast({_q(c)} as double)" for c in columns)
+    sets = F.array_compact(F.array(*[F.when(w, F.lit(n)) for n, w in (subsets or {"all": F.lit(True)}).items()]))
+    tagged = df.select(*[F.col(_q(c)) for c in columns], F.explode(sets).alias("_rows"))
+    long = tagged.selectExpr("_rows as rows", f"stack({len(columns)}, {parts}) as (column_name, value)").filter(F.col("value").isNotNull())
+    ranges = long.groupBy("rows", "column_name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     width = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(F.lit(1.0))
-    binned = long.join(F.broadcast(ranges), "column_name").select(
+    binned = long.join(F.broadcast(ranges), ["rows", "column_name"]).select(
+        "rows",
         "column_name",
         F.least(F.floor((F.col("value") - F.col("lo")) / width * F.lit(bins)), F.lit(bins - 1)).cast("int").alias("bin"),
     )
-    return binned.groupBy("column_name", "bin").agg(F.count(F.lit(1)).alias("count"))
+    counts = binned.groupBy("rows", "column_name", "bin").agg(F.count(F.lit(1)).alias("count"))
+    return counts if subsets else counts.drop("rows")

@@ -22,6 +22,27 @@ HORIZONS = (7, 14, 21)
 
 
 
+# The study's 21 continuous variables and stop flags.
+PEARSON_COLS = [
+    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "pay_segs_in_last_18_months",
+    "bill_segs_in_last_18_months", "arrears_current_amount", "arrears_payoff_amount", "total_current_amount",
+    "total_payoff_amount", "late_payment_count", "sa_start_avg_temp", "sa_end_avg_temp", "usage_in_last_18_months",
+    "premise_days_inactive_before", "person_days_inactive_before", "premise_days_active_before",
+    "person_days_active_before", "active_diff_from_as_of", "stop_7_days", "stop_14_days", "stop_21_days",
+]
+
+#: Every numeric column of the active set; ids are text in the study.
+NUMERIC_COLS = [
+    *PEARSON_COLS[:11], "sa_start_degree_day", "sa_end_degree_day", *PEARSON_COLS[11:], "stop_1998",
+    *[f"start_{y}" for y in YEARS], *[f"pledge_flag_{y}" for y in YEARS], "arrears_payoff_bucket",
+    "current_days_active_bucket", "arrears_payoff_bucket_2", "usage_past_18_bucket", "dnp_started_flag_number",
+    "dnp_stopped_flag_number", "person_rcvd_18_mths_pledge_num", *[f"seasonal_prior_{k}_yr_flag_num" for k in (1, 2, 3)],
+    "pledge_date_1996_num", "pledge_date_1997_num",
+]
+#: Every numeric column of the labelled rows, which keep all stop years and have no 0/1 twins of the flags.
+LABELLED_COLS = [x for x in NUMERIC_COLS if not x.endswith(("_num", "_number"))] + [f"stop_{y}" for y in YEARS[:-1]]
+
+
 # --------------------------------------------------------------------- profiles
 @register(
     "value_counts_topk",
@@ -41,16 +62,9 @@ def minmax_values_topk(c):
     return P.minmax_values_topk(c.labelled.filter(active_at(c.d)), "active_diff_from_as_of", which="min", n=25)
 
 
-DESCRIBE_COLS = [
-    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount",
-    "total_payoff_amount", "late_payment_count", "sa_start_avg_temp", "usage_in_last_18_months",
-    "premise_days_inactive_before", "person_days_active_before", "active_diff_from_as_of",
-]
-
-
 def _describe_sql() -> str:
     parts = []
-    for col in DESCRIBE_COLS:
+    for col in NUMERIC_COLS:
         x = f"cast({col} as double)"
         parts.append(
             f"select '{col}' as column_name, count({x}) as count, avg({x}) as mean, stddev_samp({x}) as std, min({x}) as min, "
@@ -62,7 +76,7 @@ def _describe_sql() -> str:
 
 @register("describe_profile", oracle(_describe_sql()))
 def describe_profile(c):
-    return P.describe_profile(c.active, DESCRIBE_COLS)
+    return P.describe_profile(c.active, NUMERIC_COLS)
 
 
 @register(
@@ -258,31 +272,26 @@ def hist_equal_width(c):
     return usage.unionByName(arrears)
 
 
-HIST_COLS = [
-    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount",
-    "late_payment_count", "usage_in_last_18_months", "sa_start_avg_temp", "active_diff_from_as_of",
-    "person_days_inactive_before", "premise_days_active_before",
-]
-CREDIT_RANGE = "internal_credit_rating <= 1000 and internal_credit_rating >= -1000"
+# The four sets of rows of which the study draws histograms.
+HIST_ROWS = {"credit": f"{ACTIVE} and internal_credit_rating between -1000 and 1000"}
+HIST_ROWS |= {f"stopped_{h}_days": f"stop_{h}_days = 1" for h in HORIZONS}
 
 
 def _hist_all_sql() -> str:
-    longs = " union all ".join(
-        f"select '{x}' as column_name, cast({x} as double) as value from labelled where {ACTIVE} and {CREDIT_RANGE}"
-        for x in HIST_COLS
-    )
+    listed = ", ".join(f"cast({x} as double) as {x}" for x in LABELLED_COLS)
+    rows = " union all ".join(f"select '{name}' as rows, {listed} from labelled where {where}" for name, where in HIST_ROWS.items())
     return (
-        f"with l as (select * from ({longs}) z where value is not null), "
-        "r as (select column_name, min(value) as lo, max(value) as hi from l group by column_name) "
-        "select l.column_name, cast(least(floor((value - lo) / (case when hi > lo then hi - lo else 1.0 end) * 10), 9) as integer) as bin, "
-        "count(*) as count from l join r on l.column_name = r.column_name group by 1, 2"
+        f"with l as (select rows, column_name, value from ({rows}) unpivot (value for column_name in ({', '.join(LABELLED_COLS)}))), "
+        "r as (select rows, column_name, min(value) as lo, max(value) as hi from l group by rows, column_name) "
+        "select l.rows as rows, l.column_name as column_name, "
+        "cast(least(floor((value - lo) / (case when hi > lo then hi - lo else 1.0 end) * 10), 9) as integer) as bin, "
+        "count(*) as count from l join r on l.column_name = r.column_name and l.rows = r.rows group by 1, 2, 3"
     )
 
 
 @register("hist_all_numeric", oracle(_hist_all_sql()))
 def hist_all_numeric(c):
-    sub = c.labelled.filter(active_at(c.d) & F.col("internal_credit_rating").between(-1000, 1000))
-    return P.histograms_all_numeric(sub, HIST_COLS, bins=10)
+    return P.histograms_all_numeric(c.labelled, LABELLED_COLS, bins=10, subsets={n: F.expr(w) for n, w in HIST_ROWS.items()})
 
 
 def _cohort_sql(kind: str) -> str:
@@ -526,16 +535,6 @@ def bootstrap_mean_ci_10000(c):
 
 
 # ------------------------------------------------------------------ statistics
-# The study's 21 continuous variables and stop flags.
-PEARSON_COLS = [
-    "internal_credit_rating", "payments_in_last_18_months", "bills_in_last_18_months", "pay_segs_in_last_18_months",
-    "bill_segs_in_last_18_months", "arrears_current_amount", "arrears_payoff_amount", "total_current_amount",
-    "total_payoff_amount", "late_payment_count", "sa_start_avg_temp", "sa_end_avg_temp", "usage_in_last_18_months",
-    "premise_days_inactive_before", "person_days_inactive_before", "premise_days_active_before",
-    "person_days_active_before", "active_diff_from_as_of", "stop_7_days", "stop_14_days", "stop_21_days",
-]
-
-
 def _pairs_sql(cols: list[str], src: str) -> str:
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     rows = ", ".join(f"{{'column_a': '{a}', 'column_b': '{b}', 'r': {ST.corr_sql(a, b)}}}" for a, b in pairs)
@@ -547,16 +546,6 @@ def pearson_matrix(c):
     return ST.pearson_matrix(c.active, PEARSON_COLS)
 
 
-#: Every numeric column of the active set; ids are text in the study.
-NUMERIC_COLS = [
-    *PEARSON_COLS[:11], "sa_start_degree_day", "sa_end_degree_day", *PEARSON_COLS[11:], "stop_1998",
-    *[f"start_{y}" for y in YEARS], *[f"pledge_flag_{y}" for y in YEARS], "arrears_payoff_bucket",
-    "current_days_active_bucket", "arrears_payoff_bucket_2", "usage_past_18_bucket", "dnp_started_flag_number",
-    "dnp_stopped_flag_number", "person_rcvd_18_mths_pledge_num", *[f"seasonal_prior_{k}_yr_flag_num" for k in (1, 2, 3)],
-    "pledge_date_1996_num", "pledge_date_1997_num",
-]
-
-
 def _spearman_sql() -> str:
     """Ranks of each pair on its complete rows; a row per pair of columns, whatever it holds."""
     listed = ", ".join(f"cast({x} as double) as {x}" for x in NUMERIC_COLS)
@@ -627,7 +616,15 @@ def pearson_ci(c):
     return out.withColumn("p_value", F.round("p_value", 9) + F.lit(0.0))
 
 
-STD_COLS = ["payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "internal_credit_rating"]
+# The study's 28 features of its linear models, its years moved to those of the test tables.
+STD_COLS = [
+    "dnp_started_flag_number", "dnp_stopped_flag_number", "internal_credit_rating", "person_rcvd_18_mths_pledge_num",
+    "payments_in_last_18_months", "bills_in_last_18_months", "arrears_payoff_amount", "total_payoff_amount",
+    "late_payment_count", "seasonal_prior_1_yr_flag_num", "seasonal_prior_2_yr_flag_num", "seasonal_prior_3_yr_flag_num",
+    "sa_start_avg_temp", "sa_end_avg_temp", *[f"start_{y}" for y in YEARS], "pledge_date_1996_num", "pledge_date_1997_num",
+    "premise_days_inactive_before", "person_days_inactive_before", "premise_days_active_before",
+    "person_days_active_before", "active_diff_from_as_of",
+]
 
 
 @register(
@@ -636,7 +633,7 @@ STD_COLS = ["payments_in_last_18_months", "bills_in_last_18_months", "arrears_pa
         f"with a as (select sa_id, {', '.join(STD_COLS)}, {SPLIT_SQL} as is_test from active), "
         "st as (select " + ", ".join(f"avg({x}) as m_{x}, stddev_pop({x}) as s_{x}" for x in STD_COLS)
         + " from a where is_test = 0) select sa_id, is_test, "
-        + ", ".join(f"({x} - m_{x}) / s_{x} as {x}" for x in STD_COLS) + " from a, st"
+        + ", ".join(f"({x} - m_{x}) / coalesce(nullif(s_{x}, 0), 1) as {x}" for x in STD_COLS) + " from a, st"
     ),
 )
 def standardize(c):

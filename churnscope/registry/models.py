@@ -13,7 +13,7 @@ from churnscope.operators import models as M
 from churnscope.operators import sampling as R
 from churnscope.operators import stats as ST
 from churnscope.registry import register
-from churnscope.registry.analysis import SEGMENT_SIZES, segment_col
+from churnscope.registry.analysis import SEGMENT_SIZES, STD_COLS, segment_col
 
 LABEL_HORIZON = 180  # positives are rare in the test tables at 21 days
 
@@ -250,13 +250,10 @@ def knn_classify(c):
     return out.withColumn("best_k", (F.col("k") == F.lit(best))).drop("query_id")
 
 
-LASSO_FEATURES = [f for f in MODEL_FEATURES if f not in ("city_num", "customer_class_num")]
-
-
 @register("lasso_select")
 def lasso_select(c):
-    mf = model_frame(c).withColumn("stop", F.col("label"))
-    return ST.lasso_select(mf.filter(F.col("is_test") == 0), mf.filter(F.col("is_test") == 1), LASSO_FEATURES, "stop")
+    mf = R.hash_split(c.active.select("sa_id", *STD_COLS, stopped_within(c.d, LABEL_HORIZON).cast("double").alias("stop")))
+    return ST.lasso_select(mf.filter(F.col("is_test") == 0), mf.filter(F.col("is_test") == 1), STD_COLS, "stop")
 
 
 @register("train_score_report")
