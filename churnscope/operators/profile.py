@@ -79,12 +79,15 @@ def describe_categorical_by_group(df: DataFrame, group: str, column: str) -> Dat
     return summary
 
 
-def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Non-null count of every column, long form."""
+def null_profile(df: DataFrame, columns: list[str] | None = None, by: str | None = None) -> DataFrame:
+    """Type and non-null count of every column, long form; with ``by`` per value of that column, NULL among them."""
     columns = columns or df.columns
-    wide = df.agg(*[F.count(F.col(_q(c))).alias(c) for c in columns])
-    rows = ", ".join(f"'{c}', {_q(c)}" for c in columns)
-    return wide.selectExpr(f"stack({len(columns)}, {rows}) as (column_name, non_null)")
+    kinds = dict(df.dtypes)
+    counts = [F.count(F.col(_q(c))).alias(f"n{i}") for i, c in enumerate(columns)]
+    wide = df.groupBy(F.col(_q(by)).alias("_by")).agg(*counts) if by else df.agg(*counts)
+    rows = ", ".join(f"'{c}', '{kinds[c]}', n{i}" for i, c in enumerate(columns))
+    out = wide.selectExpr(*(["_by"] if by else []), f"stack({len(columns)}, {rows}) as (column_name, type, non_null)")
+    return out.withColumnRenamed("_by", by) if by else out
 
 
 def equal_width_histogram(df: DataFrame, column: str, bins: int, name: str) -> DataFrame:

@@ -102,14 +102,26 @@ def _feature_columns() -> list[str]:
     return cols + ["active_diff_from_as_of"]
 
 
-@register(
-    "null_profile",
-    oracle(" union all ".join(f"select '{x}' as column_name, count({x}) as non_null from features" for x in _feature_columns())),
-)
+def _null_sql(by: str = "", where: str = "true") -> str:
+    """Spark's names of the types; every other one is DuckDB's in lower case."""
+    kind = "case typeof(any_value({x})) when 'VARCHAR' then 'string' when 'INTEGER' then 'int' else lower(typeof(any_value({x}))) end"
+    group, listed = (f" group by {by}", f"{by}, ") if by else ("", "")
+    columns = [x for x in _feature_columns() if x != by]
+    return " union all ".join(f"select {listed}'{x}' as column_name, {kind.format(x=x)} as type, count({x}) as non_null from features where {where}{group}" for x in columns)
+
+
+@register("null_profile", oracle(_null_sql()))
 def null_profile(c):
     return P.null_profile(c.features, _feature_columns())
 
 
+@register("null_profile_by_group", oracle(_null_sql("sa_end_year", "sa_start_year = '1996'")))
+def null_profile_by_group(c):
+    """Of the agreements of one start year (two before the as-of year), by end year."""
+    rows = c.features.filter(F.col("sa_start_year") == "1996")
+    return P.null_profile(rows, [x for x in _feature_columns() if x != "sa_end_year"], by="sa_end_year")
+
+
 # ------------------------------------------------------------- segment tables
 @register("stops_total", oracle("select " + ", ".join(f"cast(sum(stop_{h}_days) as bigint) as stop_{h}_days" for h in HORIZONS) + " from labelled"))
 def stops_total(c):
