@@ -1,67 +1,95 @@
-"""Re-Pair over arrays of token ids: rules, symbols and expansion lengths of one frame.
+"""Re-Pair over arrays of token ids: rules, symbols and expansion lengths of one shard.
 
-A round counts all neighbouring pairs, takes the most frequent ones that cannot
-overlap each other (no id is first in one and second in another) and replaces
-them by new symbols.  Pairs never span two documents, so every document is a
+The most frequent neighbouring pair is replaced by a new symbol until no pair
+occurs ``LEAST`` times.  A round takes, from the most frequent pair down, every
+pair that cannot overlap one taken before it (no id is first in one and second in
+another), so that their counts stay right; in a stretch of one id the pairs are
+taken from the left.  Pairs never span two documents, so every document is a
 slice of the symbols and can be decoded without its neighbours.
+
+Symbols are linked to their neighbours, and a round looks only at places whose
+pair was frequent before or is new: a pair that is rare once stays rare.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-PAIRS = 512  # new symbols a round at most
 LEAST = 24  # occurrences of a replaced pair
-ROUNDS = 6
-GAIN = 0.02  # a round that shortens less is the last
 _BITS = 18
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _choose(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indexes of the pairs of a round, ascending."""
+    firsts, seconds, chosen = set(), set(), []
+    left, right = (keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()
+    for i in np.argsort(-counts, kind="stable").tolist():
+        a, b = left[i], right[i]
+        if a in seconds or b in firsts or (a == b and (a in firsts or b in seconds)):
+            continue
+        firsts.add(a)
+        seconds.add(b)
+        chosen.append(i)
+    return np.sort(np.array(chosen, dtype=np.int64))
+
+
+def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and offsets of the documents in the symbols; ``ends``: end of each document."""
+    n = len(ids)
     seq = ids.astype(np.uint64)
-    last = np.zeros(len(seq), bool)
+    last = np.zeros(n, bool)
     last[ends[ends > 0] - 1] = True
-    rules: list[tuple[int, int]] = []
-    for _ in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        pair = (seq[:-1] << np.uint64(32)) | seq[1:]
+    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    gone = np.zeros(n, bool)
+    rules: list[np.ndarray] = []
+    made = 0
+    at = np.flatnonzero(~last)  # places whose pair may be frequent, ascending
+    while len(at):
+        left, right = seq[at], seq[after[at]]
+        equal = np.flatnonzero(left == right)
+        use = np.ones(len(at), bool)
+        if len(equal):  # every second place of a stretch of one id overlaps the one before
+            e = at[equal]
+            start = np.ones(len(e), bool)
+            start[1:] = before[e[1:]] != e[:-1]
+            place = np.arange(len(e))
+            use[equal] = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
+        pair = (left << np.uint64(32)) | right
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-        inner = ~last[:-1]
-        often = np.bincount(slot[inner], minlength=1 << _BITS) >= LEAST
-        at = np.flatnonzero(often[slot] & inner)
-        keys, counts = np.unique(pair[at], return_counts=True)
-        order = np.argsort(-counts, kind="stable")[: 4 * PAIRS]
-        firsts, seconds, chosen = set(), set(), []
-        for i in order:
-            if counts[i] < LEAST or len(chosen) == PAIRS:
-                break
-            a, b = int(keys[i] >> np.uint64(32)), int(keys[i] & np.uint64(0xFFFFFFFF))
-            if a != b and a not in seconds and b not in firsts:
-                firsts.add(a)
-                seconds.add(b)
-                chosen.append((a << 32 | b, a, b))
-        if not chosen:
-            break
-        chosen.sort()
-        known = np.array([c[0] for c in chosen], dtype=np.uint64)
-        i = np.minimum(np.searchsorted(known, pair[at]), len(known) - 1)
-        hit = known[i] == pair[at]
-        at, i = at[hit], i[hit]
-        seq[at] = (first + len(rules) + i).astype(np.uint64)
-        last[at] = last[at + 1]
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
-        rules += [c[1:] for c in chosen]
-        if len(at) < GAIN * len(keep):
+        often = (np.bincount(slot[use], minlength=1 << _BITS) >= least)[slot]
+        at, pair, use = at[often], pair[often], use[often]
+        keys, counts = np.unique(pair[use], return_counts=True)
+        keys, counts = keys[counts >= least], counts[counts >= least]
+        if not len(keys):
             break
+        i = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        stay = keys[i] == pair
+        at, i, use = at[stay], i[stay], use[stay]
+        chosen = _choose(keys, counts)
+        number = np.full(len(keys), -1)
+        number[chosen] = np.arange(len(chosen))
+        hit = use & (number[i] >= 0)
+        p = at[hit]
+        q = after[p]
+        seq[p] = (first + made + number[i[hit]]).astype(np.uint64)
+        last[p] = last[q]
+        gone[q] = True
+        far = after[q]
+        after[p] = far
+        inside = far < n
+        before[far[inside]] = p[inside]
+        rules.append(np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1))
+        made += len(chosen)
+        near = before[p]
+        next_ = np.zeros(n, bool)
+        next_[at[~hit]] = next_[p] = next_[near[near >= 0]] = True
+        at = np.flatnonzero(next_ & ~gone & ~last)
     stops = np.zeros(len(ends) + 1, np.int64)
-    lengths = np.diff(np.concatenate([[0], ends]))
-    stops[1:][lengths > 0] = np.flatnonzero(last) + 1
+    size = np.diff(np.concatenate([[0], ends]))
+    stops[1:][size > 0] = np.flatnonzero(last[~gone]) + 1
     stops = np.maximum.accumulate(stops)
-    return seq.astype(np.uint32), np.array(rules, dtype=np.uint32).reshape(-1, 2), stops
+    every = np.concatenate(rules) if rules else np.zeros((0, 2))
+    return seq[~gone].astype(np.uint32), every.astype(np.uint32), stops
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:

@@ -1,4 +1,4 @@
-"""Token ids in a compressed table: encode, Re-Pair per shard, random-access decoding.
+"""Token ids in a compressed table: encode, Re-Pair per frame of a shard, random-access decoding.
 
 Documents are range-partitioned by doc_id; a shard is one range in ascending
 order.  It is written as frames of about ``FRAME`` ids (whole documents), one
@@ -38,6 +38,8 @@ from churnscope.llm.common import keyed, schema, shared_path
 FRAME = 1 << 20
 END = 1
 CACHE = 1_000_000  # pieces whose ids a worker keeps
+JOINED = 1_000  # new pieces encoded at once
+SLICE = 1 << 22  # bytes of text handled at once
 _ONE, _TWO = W.Hash(8), W.Hash(88)
 _LETTER = W._table((97, 122))
 _MARK = np.isin(W.SAME, np.frombuffer(b",.!?;:", dtype=np.uint8))
@@ -69,6 +71,23 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces without white space: many are joined by spaces, and each id goes to the piece where its token begins."""
+        out = []
+        for a in range(0, len(pieces), JOINED):
+            part = pieces[a : a + JOINED]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = W.offsets_of(np.fromiter(map(len, part), np.int64, len(part)) + 1)[:-1]
+            begin = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            piece = np.searchsorted(starts, begin, side="right") - 1
+            if (piece[1:] < piece[:-1]).any():
+                out += self._encode(part)
+                continue
+            raw = np.array(found.ids, dtype="<u4").tobytes()
+            at = (W.offsets_of(np.bincount(piece, minlength=len(part))) * 4).tolist()
+            out += [raw[x:y] for x, y in zip(at, at[1:])]
+        return out
+
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, end ids included, and the number of ids of each row."""
         n = len(off) - 1
@@ -98,7 +117,7 @@ class Encoder:
             asked = keys.tolist()
             found = [self.known.get(k) for k in asked]
             new = [i for i, x in enumerate(found) if x is None]
-            for i, ids in zip(new, self._encode([raw[starts[first[i]] : ends[first[i]]].decode() for i in new])):
+            for i, ids in zip(new, self._encode_pieces([raw[starts[first[i]] : ends[first[i]]].decode() for i in new])):
                 found[i] = self.known[asked[i]] = ids
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         size = np.array([len(x) >> 2 for x in found], dtype=np.int64)
@@ -128,7 +147,7 @@ def _write(path: str, frame_ids: int):
         frame = before = held = 0
         docs, counts, ids = [], [], []
         for batch in batches:
-            for part, data, off in W.texts(batch):
+            for part, data, off in W.texts(batch, size=SLICE):
                 got, n = coder.encode(data, off)
                 docs += batch.column(0).slice(part.start, part.stop - part.start).to_pylist()
                 counts.append(n)
