@@ -1,11 +1,14 @@
 """Substring deduplication by level-wise doubling.
 
-Level one looks at windows of half the length: of every run of consecutive
-ones, the one with the smallest hash (winnowing), chosen so that every full
-window has a chosen half window inside.  Only half windows that occur in two or
-more documents are extended to twice their length, and a full window is removed
-where its words also start in a document with a smaller doc_id.  Windows of
-greater lengths need no look: what they cover, windows of ``length`` cover.
+The levels' window lengths double up to ``length`` (13, 25 and 50 words for 50).
+Below the last, a level looks at one window of every run of consecutive ones,
+that with the smallest hash (winnowing), chosen so that every full window has a
+chosen one of each level inside.  The first level looks at all documents.  Only
+what lies around a window that occurs in two or more documents can hold a longer
+one that does, so the next level looks there alone; where no window repeats, the
+levels end.  The last level looks at every full window that is left, and one is
+removed where its words also start in a document with a smaller doc_id.  Windows
+of greater lengths need no look: what they cover, windows of ``length`` cover.
 
 Documents with equal word sequences are one class: all but the smallest
 doc_id are removed whole, and only that one takes part in the levels.
@@ -34,6 +37,7 @@ from churnscope.llm import words as W
 from churnscope.llm.common import keyed, schema, stage
 
 LENGTH = 50
+FIRST = 16  # the first level's windows are no longer than this
 _HASH = W.Hash(6)
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -49,9 +53,17 @@ def _lists(values: np.ndarray, row: np.ndarray, n: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(W.offsets_of(np.bincount(row, minlength=n)).astype(np.int32)), pa.array(W.signed(values)))
 
 
+def level_lengths(length: int) -> list[int]:
+    """Window lengths of the levels below the last, each at least half of the next."""
+    out = [length]
+    while out[0] > FIRST:
+        out.insert(0, -(-out[0] // 2))
+    return out[:-1] or [-(-length // 2)]
+
+
 def _scan(length: int):
-    """Per row: words, hash of the word sequence, digest of the whole text's words, chosen half windows."""
-    half = length // 2
+    """Per row: words, hash of the word sequence, digest of the whole text's words, and each level's chosen windows with their places."""
+    levels = level_lengths(length)
 
     def run(batches):
         for batch in batches:
@@ -62,19 +74,41 @@ def _scan(length: int):
                 np.add.at(seq, rows, W.mix(h ^ place))
                 raw = data.tobytes()
                 shas = [hashlib.sha256(b" ".join(raw[off[i] : off[i + 1]].split())).hexdigest() for i in range(len(n))]
-                g, at = W.winnow(h, rows, half, length - half + 1)
+                lists, names = [], []
+                for i, k in enumerate(levels):
+                    g, at = W.winnow(h, rows, k, length - k + 1)
+                    lists += [_lists(g, rows[at], len(n)), _lists((at - first[rows[at]]).astype(np.uint64), rows[at], len(n))]
+                    names += [f"h{i}", f"p{i}"]
                 yield pa.RecordBatch.from_arrays(
-                    [src.column(0), src.column(1), pa.array(n.astype(np.int64)), pa.array(W.signed(seq)), pa.array(shas, pa.string()),
-                     _lists(g, rows[at], len(n))],
-                    names=["doc_id", "_k", "n_words", "seq", "sha", "halves"],
-                )
+                    [src.column(0), src.column(1), pa.array(n.astype(np.int64)), pa.array(W.signed(seq)), pa.array(shas, pa.string()), *lists],
+                    names=["doc_id", "_k", "n_words", "seq", "sha", *names],
+                )
+
+    return run
+
+
+def _around(length: int, k: int, longer: int):
+    """The next level's windows that a full window shares with a repeated window of ``k`` words; ``hits``: the latter's places."""
+
+    def run(batches):
+        for batch in batches:
+            doc, h, p, hits = batch.columns
+            counts, found = (np.asarray(c.value_lengths(), dtype=np.int64) for c in (h, hits))
+            far = 1 << 32  # apart from the places of other rows
+            at = np.asarray(p.flatten(), dtype=np.int64) + np.repeat(np.arange(len(doc)), counts) * far
+            hit = np.sort(np.asarray(hits.flatten(), dtype=np.int64) + np.repeat(np.arange(len(doc)), found) * far)
+            keep = np.searchsorted(hit, at + longer - length) < np.searchsorted(hit, at + length - k, side="right")
+            own = np.repeat(np.arange(len(doc)), counts)[keep]
+            yield pa.RecordBatch.from_arrays(
+                [doc.take(pa.array(own)), pa.array(np.asarray(h.flatten(), dtype=np.int64)[keep]), pa.array(at[keep] % far)], names=["doc_id", "h", "p"]
+            )
 
     return run
 
 
 def _extend(length: int):
     """Full windows around the repeated half windows of a row."""
-    half = length // 2
+    half = level_lengths(length)[-1]
 
     def run(batches):
         for batch in batches:
@@ -137,38 +171,45 @@ def _cut(length: int):
 def cut_repeats(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
     """All documents ``doc_id, _k, n_words, sha, copy`` and those cut in part ``doc_id, _k, n_removed, sha, kept``."""
     docs = keyed(docs)
-    scanned = stage(
-        docs.mapInArrow(_scan(length), schema("doc_id bigint, _k bigint, n_words bigint, seq bigint, sha string, halves array<bigint>")),
-        "halves",
-    )
+    levels = level_lengths(length)
+    windows = [f"{x}{i}" for i in range(len(levels)) for x in "hp"]
+    ddl = "doc_id bigint, _k bigint, n_words bigint, seq bigint, sha string" + "".join(f", {w} array<bigint>" for w in windows)
+    scanned = stage(docs.mapInArrow(_scan(length), schema(ddl)), "level-windows")
     able = scanned.filter(f"doc_id IS NOT NULL AND n_words >= {length}")
-    heads = able.groupBy("seq", "n_words").agg(F.min("doc_id").alias("head"))
+    heads = stage(able.groupBy("seq", "n_words").agg(F.min("doc_id").alias("head")), "heads")
     rows = stage(
         scanned.join(heads, ["seq", "n_words"], "left").select(
             "doc_id", "_k", "n_words", "sha", F.coalesce(F.col("doc_id") > F.col("head"), F.lit(False)).alias("copy"),
-            F.when(F.col("doc_id") == F.col("head"), F.col("halves")).alias("halves"),
+            *[F.when(F.col("doc_id") == F.col("head"), F.col(w)).alias(w) for w in windows],
         ),
         "classes",
     )
-    halves = stage(rows.filter("halves IS NOT NULL").select("doc_id", F.explode("halves").alias("h")).distinct(), "half-windows")
-    repeated = halves.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
-    candidates = halves.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("h").alias("halves"))
+    looked = rows.filter("h0 IS NOT NULL")
+    found = looked.select("doc_id", F.explode(F.arrays_zip("h0", "p0")).alias("w")).select("doc_id", "w.h0", "w.p0").toDF("doc_id", "h", "p")
+    for i, k in enumerate(levels):
+        found = stage(found.distinct(), f"level-{k}")
+        twice = found.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h")
+        hits = found.join(stage(twice, "repeated"), "h")  # stored: a window that many documents have may be split
+        if i + 1 < len(levels):
+            near = looked.join(hits.groupBy("doc_id").agg(F.collect_list("p").alias("hits")), "doc_id").select("doc_id", f"h{i + 1}", f"p{i + 1}", "hits")
+            found = near.mapInArrow(_around(length, k, levels[i + 1]), schema("doc_id bigint, h bigint, p bigint"))
+    candidates = hits.groupBy("doc_id").agg(F.collect_set("h").alias("halves"))
     grown = stage(
         docs.join(candidates, "doc_id").select("doc_id", "_k", "text", "halves").mapInArrow(
             _extend(length), schema("doc_id bigint, _k bigint, text string, windows array<bigint>")
         ),
         "windows",
     )
-    windows = grown.select("doc_id", F.explode("windows").alias("h"))
-    lowest = windows.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo")
-    hits = windows.join(lowest, "h").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
+    full = grown.select("doc_id", F.explode("windows").alias("h"))
+    lowest = full.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("h", "lo")
+    later = full.join(stage(lowest, "lowest"), "h").filter("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h").alias("hits"))
     cut = (
         grown.select("doc_id", "_k", "text")
-        .join(hits, "doc_id")
+        .join(later, "doc_id")
         .mapInArrow(_cut(length), schema("doc_id bigint, _k bigint, n_removed bigint, sha string, kept string"))
         .dropDuplicates(["doc_id", "_k"])
     )
-    return rows.drop("halves"), cut
+    return rows.drop(*windows), cut
 
 
 def substring_dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
