@@ -20,7 +20,7 @@ _BITS = 18
 
 
 def _choose(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Indexes of the pairs of a round, ascending."""
+    """Indexes of the pairs of a round."""
     firsts, seconds, chosen = set(), set(), []
     left, right = (keys >> np.uint64(32)).tolist(), (keys & np.uint64(0xFFFFFFFF)).tolist()
     for i in np.argsort(-counts, kind="stable").tolist():
@@ -30,7 +30,7 @@ def _choose(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         firsts.add(a)
         seconds.add(b)
         chosen.append(i)
-    return np.sort(np.array(chosen, dtype=np.int64))
+    return np.array(chosen, dtype=np.int64)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,21 +57,26 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST)
         pair = (left << np.uint64(32)) | right
         slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
         often = (np.bincount(slot[use], minlength=1 << _BITS) >= least)[slot]
-        at, pair, use = at[often], pair[often], use[often]
+        at, pair, use, slot = at[often], pair[often], use[often], slot[often]
         keys, counts = np.unique(pair[use], return_counts=True)
         keys, counts = keys[counts >= least], counts[counts >= least]
         if not len(keys):
             break
-        i = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
-        stay = keys[i] == pair
-        at, i, use = at[stay], i[stay], use[stay]
         chosen = _choose(keys, counts)
-        number = np.full(len(keys), -1)
-        number[chosen] = np.arange(len(chosen))
-        hit = use & (number[i] >= 0)
+        # one chosen pair a slot, the most frequent: another has its turn in a later round
+        chosen = chosen[np.argsort(counts[chosen], kind="stable")]
+        home = ((keys[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+        number = np.full(1 << _BITS, -1, np.int32)
+        number[home] = np.arange(len(chosen))
+        chosen = chosen[np.sort(number[number >= 0])]
+        home = ((keys[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
+        number[home] = np.arange(len(chosen))
+        i = number[slot]
+        hit = use & (i >= 0)
+        hit[hit] = keys[chosen][i[hit]] == pair[hit]
         p = at[hit]
         q = after[p]
-        seq[p] = (first + made + number[i[hit]]).astype(np.uint64)
+        seq[p] = (first + made + i[hit]).astype(np.uint64)
         last[p] = last[q]
         gone[q] = True
         far = after[q]
@@ -81,9 +86,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST)
         rules.append(np.stack([keys[chosen] >> np.uint64(32), keys[chosen] & np.uint64(0xFFFFFFFF)], axis=1))
         made += len(chosen)
         near = before[p]
-        next_ = np.zeros(n, bool)
-        next_[at[~hit]] = next_[p] = next_[near[near >= 0]] = True
-        at = np.flatnonzero(next_ & ~gone & ~last)
+        near = near[near >= 0]
+        if 8 * (len(at) + len(near)) < n:  # few places: sort them; many: mark them
+            at = np.sort(np.concatenate([at, near]), kind="stable")  # two ascending runs
+            keep = ~(gone[at] | last[at])
+            keep[1:] &= at[1:] != at[:-1]
+            at = at[keep]
+        else:
+            mark = np.zeros(n, bool)
+            mark[at] = mark[near] = True
+            at = np.flatnonzero(mark & ~(gone | last))
     stops = np.zeros(len(ends) + 1, np.int64)
     size = np.diff(np.concatenate([[0], ends]))
     stops[1:][size > 0] = np.flatnonzero(last[~gone]) + 1

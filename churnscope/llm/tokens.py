@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ class Encoder:
             part = pieces[a : a + JOINED]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = W.offsets_of(np.fromiter(map(len, part), np.int64, len(part)) + 1)[:-1]
-            begin = np.fromiter((x for x, _ in found.offsets), np.int64, len(found.ids))
+            begin = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found.ids))[::2]
             piece = np.searchsorted(starts, begin, side="right") - 1
             if (piece[1:] < piece[:-1]).any():
                 out += self._encode(part)
@@ -117,7 +118,9 @@ class Encoder:
             asked = keys.tolist()
             found = [self.known.get(k) for k in asked]
             new = [i for i, x in enumerate(found) if x is None]
-            for i, ids in zip(new, self._encode_pieces([raw[starts[first[i]] : ends[first[i]]].decode() for i in new])):
+            at = first[new]
+            pieces = [raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())]
+            for i, ids in zip(new, self._encode_pieces(pieces)):
                 found[i] = self.known[asked[i]] = ids
         flat = np.frombuffer(b"".join(found), dtype="<u4")
         size = np.array([len(x) >> 2 for x in found], dtype=np.int64)
