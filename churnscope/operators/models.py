@@ -11,6 +11,8 @@ from __future__ import annotations
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
@@ -23,6 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from churnscope.functions.hashing import hash_bits
 from churnscope.operators.evaluate import SAVINGS
@@ -111,59 +114,145 @@ def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: s
     return rf
 
 
+def _tree_arrays(path: str, spark) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The trees that ``fit_forest`` saved at ``path``, in their order: where each starts, and of every
+    inner node its feature, threshold and children, of every leaf its class shares.
+    A child below zero is leaf ``-1 - child``; a tree that is one leaf starts there."""
+    nodes = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.numCategories",
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.impurityStats",
+    )
+    t = nodes.toArrow().sort_by([("treeID", "ascending"), ("id", "ascending")])
+    col = {n: t[n].to_numpy() for n in t.column_names if n != "impurityStats"}
+    inner = col["leftChild"] >= 0
+    if (col["numCategories"][inner] >= 0).any():
+        raise ValueError(f"{path}: a split on categories; features are numbers")
+    stats = t["impurityStats"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)[~inner]
+    total = np.cumsum(stats, axis=1)[:, -1:]
+    shares = np.divide(stats, total, out=np.zeros_like(stats), where=total != 0)
+    number = np.where(inner, np.cumsum(inner) - 1, -np.cumsum(~inner)).astype(np.int32)
+    first = np.flatnonzero(np.diff(col["treeID"], prepend=-1))  # node 0 of a tree is its root; ids leave no gap
+    root = first[np.searchsorted(first, np.flatnonzero(inner), side="right") - 1]
+    children = np.stack([number[root + col[side][inner]] for side in ("leftChild", "rightChild")], axis=1)
+    return number[first].tolist(), col["featureIndex"][inner].astype(np.int16), col["threshold"][inner].astype(float), children, shares
+
+
+def _votes(part, x: np.ndarray) -> np.ndarray:
+    """Class probabilities of the rows of ``x`` by one sub-forest; votes are added tree by tree, as the learner's model adds them."""
+    starts, feature, threshold, children, shares = part
+    votes = np.zeros((len(x), shares.shape[1]))
+    every = np.arange(len(x))
+    for start in starts:
+        at = np.full(len(x), start, dtype=np.int32)
+        rows = every if start >= 0 else every[:0]
+        while len(rows):
+            node = at[rows]
+            at[rows] = node = children[node, (x[rows, feature[node]] > threshold[node]).astype(np.int8)]
+            rows = rows[node >= 0]
+        votes += shares[-1 - at]
+    total = np.cumsum(votes, axis=1)[:, -1:]
+    return np.divide(votes, total, out=votes, where=total != 0)
+
+
+def _union_votes(sent, features: list[str]):
+    """Appends the mean of the trees' class probabilities; the last columns of a batch are the features."""
+
+    def run(batches):
+        for batch in batches:
+            own = batch.num_columns - len(features)
+            x = np.stack([np.asarray(c.fill_null(np.nan)) for c in batch.columns[own:]], axis=1)
+            if np.isnan(x).any():
+                raise ValueError(f"NULL or NaN among the features {features}")
+            mean = sum(share * _votes(part.value, x) for share, part in sent)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * mean.shape[1]), pa.array(mean.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:own], lists], names=[*batch.schema.names[:own], "_mean"])
+
+    return run
+
+
 class ForestUnion:
-    """Sub-forests as one forest: every tree has one vote, whichever part grew it."""
+    """Sub-forests as one forest: every tree has one vote, whichever part grew it.
+
+    ``saved`` holds of every sub-forest its folder, number of trees and importances.
+    The learner's own models travel inside every task of their ``transform``, a
+    gigabyte of node objects for 1,000 deep trees, and stay on the driver; here a
+    part is a few arrays, read from its folder and broadcast once.
+    """
 
-    def __init__(self, features: list[str], parts: list[RandomForestClassificationModel]):
-        self.features, self.parts = features, parts
-        self.trees = sum(p.getNumTrees for p in parts)
+    def __init__(self, features: list[str], saved: list[tuple[str, int, np.ndarray]]):
+        self.features, self.saved = features, saved
+        self.trees = sum(n for _, n, _ in saved)
+        self._sent = None
+
+    @property
+    def parts(self) -> list[RandomForestClassificationModel]:
+        """The learner's models, loaded from their folders."""
+        return [RandomForestClassificationModel.load(folder) for folder, _, _ in self.saved]
 
     @property
     def featureImportances(self) -> list[float]:
         """Mean of the trees' importances, in the order of ``features``."""
-        each = [(p.getNumTrees / self.trees, p.featureImportances.toArray()) for p in self.parts]
-        return sum(w * x for w, x in each).tolist()
+        return sum(n / self.trees * x for _, n, x in self.saved).tolist()
 
     def transform(self, df: DataFrame) -> DataFrame:
         """``df`` with ``probability`` (mean of the trees') and ``prediction`` (the likeliest class, the smaller one on a tie)."""
-        out = assembler(self.features).transform(df)
-        for i, p in enumerate(self.parts):
-            out = p.copy().setRawPredictionCol("").setPredictionCol("").setProbabilityCol(f"_part_{i}").transform(out)
-        shares = [(p.getNumTrees / self.trees, vector_to_array(F.col(f"_part_{i}"))) for i, p in enumerate(self.parts)]
-        mean = F.array(*[sum(w * x[c] for w, x in shares) for c in range(self.parts[0].numClasses)])
-        out = out.withColumn("_mean", mean).drop(*[f"_part_{i}" for i in range(len(self.parts))])
+        spark = df.sparkSession
+        if self._sent is None:
+            with ThreadPoolExecutor(4) as pool:
+                arrays = pool.map(inheritable_thread_target(spark)(lambda part: _tree_arrays(part[0], spark)), self.saved)
+                self._sent = [(n / self.trees, spark.sparkContext.broadcast(a)) for (_, n, _), a in zip(self.saved, arrays)]
+        wide = df.select("*", *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)])
+        # few rows of many trees each: the rows are dealt to all cores
+        wide = wide.repartition(2 * spark.sparkContext.defaultParallelism)
+        schema = StructType([*df.schema.fields, StructField("_mean", ArrayType(DoubleType()))])
+        out = assembler(self.features).transform(wide.mapInArrow(_union_votes(self._sent, self.features), schema))
         best = (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
         return out.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", best).drop("_mean")
 
 
-def fit_forest(train: DataFrame, features: list[str], trees: int, depth: int | None = None, subset: str = "sqrt",
-               weight: str | None = None, folder: str | None = None) -> ForestUnion:
-    """A forest of any number of trees as sub-forests of ``SUB_TREES``, each with a seed of
-    its own, fitted by concurrent jobs and saved in the shared folder.
+def fit_forests(requests: list[dict]) -> list[ForestUnion]:
+    """Forests of any number of trees as sub-forests of ``SUB_TREES``, each with a seed of
+    its own, fitted by concurrent jobs and saved in the shared folder.  A request holds
+    the arguments of ``fit_forest``.
 
     A data pass of the learner sends the statistics of every open node from every
     partition to one place, so many small partitions cost more than they save: a
     sub-forest reads the training rows in partitions of ``ROWS_PER_PARTITION``, and
-    the cores are kept busy by the sub-forests.  A call with the ``folder`` of an
-    interrupted one loads the sub-forests that it had finished.
+    the cores are kept busy by the sub-forests of all forests.  A request with the
+    ``folder`` of an interrupted one loads the sub-forests that it had finished.
     """
-    spark = train.sparkSession
-    folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/forests/{uuid.uuid4().hex}"
-    partitions = max(1, -(-train.count() // ROWS_PER_PARTITION))
-    columns = ["features", "label", *([weight] if weight else [])]
-    rows = assembler(features).transform(train).select(*columns).coalesce(partitions)
-
-    def part(i: int) -> RandomForestClassificationModel:
-        path = f"{folder}/part-{i}"
-        try:
-            return RandomForestClassificationModel.load(path)
-        except (AnalysisException, Py4JJavaError):  # not there, or not finished
-            model = forest(min(SUB_TREES, trees - i * SUB_TREES), depth, subset, weight, SEED + i).fit(rows)
-            model.write().overwrite().save(path)
-            return model
-
-    with ThreadPoolExecutor(max(1, spark.sparkContext.defaultParallelism // partitions)) as pool:
-        return ForestUnion(features, list(pool.map(inheritable_thread_target(spark)(part), range(-(-trees // SUB_TREES)))))
+    spark = requests[0]["train"].sparkSession
+
+    def plan(train: DataFrame, features: list[str], trees: int, depth: int | None = None, subset: str = "sqrt",
+             weight: str | None = None, folder: str | None = None):
+        folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/forests/{uuid.uuid4().hex}"
+        partitions = max(1, -(-train.count() // ROWS_PER_PARTITION))
+        columns = ["features", "label", *([weight] if weight else [])]
+        rows = assembler(features).transform(train).select(*columns).coalesce(partitions)
+
+        def part(i: int) -> tuple[str, int, np.ndarray]:
+            path = f"{folder}/part-{i}"
+            try:
+                model = RandomForestClassificationModel.load(path)
+            except (AnalysisException, Py4JJavaError):  # not there, or not finished
+                model = forest(min(SUB_TREES, trees - i * SUB_TREES), depth, subset, weight, SEED + i).fit(rows)
+                model.write().overwrite().save(path)
+            return path, model.getNumTrees, model.featureImportances.toArray()
+
+        return features, partitions, part, -(-trees // SUB_TREES)
+
+    plans = [plan(**r) for r in requests]
+    threads = max(1, spark.sparkContext.defaultParallelism // max(partitions for _, partitions, _, _ in plans))
+    with ThreadPoolExecutor(threads) as pool:
+        fits = [[pool.submit(inheritable_thread_target(spark)(part), i) for i in range(n)] for _, _, part, n in plans]
+        return [ForestUnion(features, [f.result() for f in own]) for own, (features, *_) in zip(fits, plans)]
+
+
+def fit_forest(train: DataFrame, features: list[str], trees: int, depth: int | None = None, subset: str = "sqrt",
+               weight: str | None = None, folder: str | None = None) -> ForestUnion:
+    """One forest of ``fit_forests``."""
+    request = {"train": train, "features": features, "trees": trees, "depth": depth, "subset": subset, "weight": weight, "folder": folder}
+    return fit_forests([request])[0]
 
 
 def linear_svc(n_rows: int, C: float = 4.0) -> LinearSVC:

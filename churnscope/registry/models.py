@@ -131,15 +131,25 @@ def cv_score(c):
     return c.spark.createDataFrame(rows, "fold int, savings double, mean double, two_std double, total double")
 
 
-def _forest_model(c, trees, depth, subset, balanced):
-    """Fitted once per session for all keys that use it."""
+def _forest_models(c, specs):
+    """Forests of (trees, depth, subset, balanced), fitted once per session for all keys
+    that use them; those not yet there are fitted side by side."""
     cache = c.__dict__.setdefault("_forests", {})
-    key = (trees, depth, subset, balanced)
-    if key not in cache:
+    new = [spec for spec in dict.fromkeys(specs) if spec not in cache]
+    if new:
         tr = resampled_train(c)
-        weight = "weight" if balanced else None
-        cache[key] = M.fit_forest(M.with_weights(tr) if balanced else tr, MODEL_FEATURES, trees, depth, subset, weight)
-    return cache[key]
+        weighted = M.with_weights(tr) if any(balanced for *_, balanced in new) else None
+        requests = [
+            {"train": weighted if balanced else tr, "features": MODEL_FEATURES, "trees": trees, "depth": depth, "subset": subset,
+             "weight": "weight" if balanced else None}
+            for trees, depth, subset, balanced in new
+        ]
+        cache.update(zip(new, M.fit_forests(requests)))
+    return [cache[spec] for spec in specs]
+
+
+def _forest_model(c, trees, depth, subset, balanced):
+    return _forest_models(c, [(trees, depth, subset, balanced)])[0]
 
 
 @register("random_forest_fit")
@@ -151,8 +161,9 @@ def random_forest_fit(c):
 def rf_max_features_sweep(c):
     te = _test(c)
     out = None
-    for k in range(1, 6):
-        p = E.savings_score(M.predict(_forest_model(c, 1000, 30, str(k), False), te)).withColumn("max_features", F.lit(k))
+    models = _forest_models(c, [(1000, 30, str(k), False) for k in range(1, 6)])
+    for k, model in enumerate(models, 1):
+        p = E.savings_score(M.predict(model, te)).withColumn("max_features", F.lit(k))
         out = p if out is None else out.unionByName(p)
     return out
 
@@ -184,26 +195,28 @@ def _segment_train(c, segment: str):
 def rf_by_segment(c):
     """Two forests per segment: at the study's depth, and with balanced classes at full depth."""
     te = _test(c)
-    out = None
+    keys, requests = [], []
     for seg, (trees, depth) in SEGMENT_FORESTS.items():
         tr = _segment_train(c, seg)
-        models = {
-            "depth": M.fit_forest(tr, MODEL_FEATURES, trees, depth, "5"),
-            "balanced": M.fit_forest(M.with_weights(tr), MODEL_FEATURES, BALANCED_FORESTS[seg], None, "5", "weight"),
-        }
-        for variant, model in models.items():
-            p = M.predict(model, te.filter(F.col("segment") == seg)).withColumns({"segment": F.lit(seg), "variant": F.lit(variant)})
-            out = p if out is None else out.unionByName(p)
+        common = {"features": MODEL_FEATURES, "subset": "5"}
+        keys += [(seg, "depth"), (seg, "balanced")]
+        requests += [
+            {"train": tr, "trees": trees, "depth": depth, **common},
+            {"train": M.with_weights(tr), "trees": BALANCED_FORESTS[seg], "depth": None, "weight": "weight", **common},
+        ]
+    out = None
+    for (seg, variant), model in zip(keys, M.fit_forests(requests)):
+        p = M.predict(model, te.filter(F.col("segment") == seg)).withColumns({"segment": F.lit(seg), "variant": F.lit(variant)})
+        out = p if out is None else out.unionByName(p)
     return out
 
 
 @register("segment_feature_importance")
 def segment_feature_importance(c):
     """Importances of a forest of full depth per segment."""
-    rows = []
-    for seg, trees in DEFAULT_FORESTS.items():
-        model = M.fit_forest(_segment_train(c, seg), MODEL_FEATURES, trees, None, M.sqrt_features(len(MODEL_FEATURES)))
-        rows += [(seg, f, x) for f, x in M.feature_importance(model)]
+    subset = M.sqrt_features(len(MODEL_FEATURES))
+    models = M.fit_forests([{"train": _segment_train(c, seg), "features": MODEL_FEATURES, "trees": n, "subset": subset} for seg, n in DEFAULT_FORESTS.items()])
+    rows = [(seg, f, x) for seg, model in zip(DEFAULT_FORESTS, models) for f, x in M.feature_importance(model)]
     return c.spark.createDataFrame(rows, "segment string, feature string, importance double")
 
 

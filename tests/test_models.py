@@ -169,3 +169,31 @@ def test_grid_search_and_svm_sweep_on_repeated_rows(spark):
     for r in out:
         assert r.actual0_pred0 + r.actual0_pred1 + r.actual1_pred0 + r.actual1_pred1 == df.count()
         assert abs(r.accuracy - (r.actual0_pred0 + r.actual1_pred1) / df.count()) < 1e-12
+
+
+def test_forests_predict_without_the_learners_nodes_in_the_plan(spark, monkeypatch, tmp_path):
+    """Forests fitted side by side equal those fitted alone; their saved arrays give the
+    learner's own probabilities, also for a tree of one leaf and three classes; NULL raises."""
+    import pytest
+    from pyspark.errors import PythonException
+    from pyspark.ml.functions import vector_to_array
+
+    monkeypatch.setattr(M, "SUB_TREES", 3)
+    df = _data(spark)
+    three = df.withColumn("label", F.when(F.col("sa_id") % 5 == 0, 2.0).otherwise(F.col("label")))
+    single = df.withColumn("label", F.lit(0.0))
+    requests = [{"train": t, "features": ["x1", "x2"], "trees": 5, "depth": d, "subset": "1", "folder": str(tmp_path / f"f{i}")}
+                for i, (t, d) in enumerate([(df, 30), (three, 6), (single, 4)])]
+    for request, model in zip(requests, M.fit_forests(requests)):
+        alone = M.fit_forest(**{**request, "folder": None})
+        assert alone.featureImportances == model.featureImportances
+        out = model.transform(df)
+        assert "ScalaUDF" not in out.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+        got = {r.sa_id: list(r.p) for r in out.select("sa_id", vector_to_array("probability").alias("p")).collect()}
+        for i, part in enumerate(model.parts):
+            rows = part.transform(M.assembler(["x1", "x2"]).transform(df))
+            for r in rows.select("sa_id", vector_to_array("probability").alias("p")).collect():
+                got[r.sa_id] = [a - part.getNumTrees / model.trees * b for a, b in zip(got[r.sa_id], r.p)]
+        assert max(abs(x) for p in got.values() for x in p) < 1e-12
+    with pytest.raises(PythonException):
+        model.transform(df.withColumn("x1", F.when(F.col("sa_id") > 5, F.col("x1")))).collect()
