@@ -118,18 +118,24 @@ class _Domains:
 
 
 def _rank_products(sent):
-    """Per task and pair: sums of squares and products of the ranks' deviations from their mean."""
+    """Per task and pair: sums of squares and products of the ranks' deviations from their mean.
+
+    A column without a table brings its deviations along, in every domain, after the columns.
+    """
 
     def run(batches):
         columns, bits, domains, tables = sent.value
+        joined = {c: i for i, c in enumerate(c for c, table in enumerate(tables) if table is None)}
         total = [np.zeros((len(columns), len(columns))) for _ in domains]
         for batch in batches:
             x = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns], axis=1)
+            x, given = x[:, : len(columns)], x[:, len(columns) :]
             patterns = (~np.isnan(x[:, bits])).astype(np.int64) @ (1 << np.arange(len(bits), dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-            place = [np.searchsorted(values, x[:, c]) for c, (values, _) in enumerate(tables)]
+            place = [None if t is None else np.searchsorted(t[0], x[:, c]) for c, t in enumerate(tables)]
             for d, (members, used) in enumerate(domains):
                 rows = np.flatnonzero(np.isin(patterns, members))
-                r = np.stack([tables[c][1][d][place[c][rows]] for c in used], axis=1)
+                own = [given[rows, joined[c] * len(domains) + d] if c in joined else tables[c][1][d][place[c][rows]] for c in used]
+                r = np.stack(own, axis=1)
                 total[d][np.ix_(used, used)] += r.T @ r
         for d, (_, used) in enumerate(domains):
             i, j = (np.array(used)[k] for k in np.triu_indices(len(used), 1))
@@ -143,66 +149,70 @@ def _rank_products(sent):
 def spearman_matrix(df: DataFrame, columns: list[str], key: list[str] | str = "sa_id", numbers: int = RANK_NUMBERS) -> DataFrame:
     """Spearman matrix: Pearson r of average ranks, taken for each pair on the rows that
     have both values (as pandas; NULL for a constant column or no common row).
-    ``key`` must identify a row; NaN counts as NULL.
+    NaN counts as NULL; ``key`` is not used, rows may share it.
 
     Rows per distinct value and domain (see ``_Domains``) are counted in one
-    aggregate.  While the counts fit ``numbers`` they are ranked and broadcast,
-    and one scan turns every batch into matrices of rank products.  Beyond, ranks
-    come from a running sum over the distinct values and are joined to the rows;
-    a value on a third of the rows is a skewed partition of that join, whose
-    row side is split at run time.
+    aggregate.  The columns of fewest values, while their counts fit ``numbers``,
+    are ranked and broadcast.  Of every other column the ranks come from a running
+    sum over its distinct values and are joined to the rows; a value on a third of
+    the rows is a skewed partition of that join, whose row side is split at run
+    time.  One scan of the rows turns every batch into matrices of rank products.
     """
     spark = df.sparkSession
-    df = df.select(*([key] if isinstance(key, str) else key), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
+    df = df.select(*[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in columns])
     domains = _Domains(df, columns)
     counts = stage_table(domains.counts(df), "rank_counts")
     names = [f"_n{i}" for i in range(len(domains.every))]
     used = [[c for c in columns if any(c in pair and n == d for pair, n in domains.number.items())] for d in range(len(names))]
     pairs = spark.createDataFrame([(a, b, n) for (a, b), n in domains.number.items()], "column_a string, column_b string, d int")
-    if counts.count() * (len(names) + 1) <= numbers:
-        table = counts.orderBy("_col", "_val").toPandas()
-        tables = []
-        for c in columns:
-            own = table[table["_col"] == c]
-            n = own[names].to_numpy(dtype=float).T
-            ranks = np.cumsum(n, axis=1) - n + (n + 1) / 2
-            tables.append((own["_val"].to_numpy(dtype=float), ranks - (n.sum(axis=1, keepdims=True) + 1) / 2))
-        at = {c: i for i, c in enumerate(columns)}
-        number = lambda p: sum(1 << i for i, x in enumerate(p) if x == "1")
-        spec = [(sorted(map(number, d)), [at[c] for c in u]) for d, u in zip(domains.every, used)]
-        sent = spark.sparkContext.broadcast((columns, [at[c] for c in domains.nullable], spec, tables))
-        parts = df.select(*columns).mapInArrow(_rank_products(sent), "d int, a int, b int, c double, va double, vb double")
-        sums = parts.groupBy("d", "a", "b").agg(*[F.sum(x).alias(x) for x in ("c", "va", "vb")])
-        name = F.array(*[F.lit(c) for c in columns])
-        found = sums.select("d", F.get(name, F.col("a")).alias("column_a"), F.get(name, F.col("b")).alias("column_b"), "c", "va", "vb")
-        root = [F.when(F.col(v) > 0, F.sqrt(v)) for v in ("va", "vb")]
-        return pairs.join(found, ["column_a", "column_b", "d"], "left").select("column_a", "column_b", F.try_divide("c", root[0] * root[1]).alias("r"))
-    wide = stage_table(_joined_ranks(df, domains, counts, names, key), "ranks")
-    out = None
-    for d, members in enumerate(domains.every):
-        rows = wide.filter(F.col("_p").isin(sorted(members)) if members else F.lit(False)).select(*[F.get(f"`{c}`", F.lit(d)).alias(c) for c in used[d]])
-        part = pearson_matrix(rows, used[d]).join(F.broadcast(pairs.filter(F.col("d") == d).drop("d")), ["column_a", "column_b"])
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _joined_ranks(df: DataFrame, domains: _Domains, counts: DataFrame, names: list[str], key) -> DataFrame:
-    """Pattern and, per column, the array of a row's average ranks in all domains."""
-    key = [key] if isinstance(key, str) else list(key)
+    sizes = {r["_col"]: r["count"] for r in counts.groupBy("_col").count().collect()}  # a row per column
+    small, room = [], numbers
+    for c in sorted(columns, key=lambda c: (sizes.get(c, 0), columns.index(c))):
+        room -= sizes.get(c, 0) * (len(names) + 1)
+        if room >= 0:
+            small.append(c)
+    table = counts.filter(F.col("_col").isin(small)).orderBy("_col", "_val").toPandas()
+    tables = []
+    for c in columns:
+        own = table[table["_col"] == c]
+        n = own[names].to_numpy(dtype=float).T
+        ranks = np.cumsum(n, axis=1) - n + (n + 1) / 2
+        tables.append((own["_val"].to_numpy(dtype=float), ranks - (n.sum(axis=1, keepdims=True) + 1) / 2) if c in small else None)
+    at = {c: i for i, c in enumerate(columns)}
+    number = lambda p: sum(1 << i for i, x in enumerate(p) if x == "1")
+    spec = [(sorted(map(number, d)), [at[c] for c in u]) for d, u in zip(domains.every, used)]
+    sent = spark.sparkContext.broadcast((columns, [at[c] for c in domains.nullable], spec, tables))
+    large = [c for c in columns if c not in small]
+    rows = _joined_deviations(df, counts, names, large).select(
+        *columns, *[F.get(f"_rank_{c}", F.lit(d)).alias(f"_rank_{c}_{d}") for c in large for d in range(len(names))]
+    )
+    parts = rows.mapInArrow(_rank_products(sent), "d int, a int, b int, c double, va double, vb double")
+    sums = parts.groupBy("d", "a", "b").agg(*[F.sum(x).alias(x) for x in ("c", "va", "vb")])
+    name = F.array(*[F.lit(c) for c in columns])
+    found = sums.select("d", F.get(name, F.col("a")).alias("column_a"), F.get(name, F.col("b")).alias("column_b"), "c", "va", "vb")
+    root = [F.when(F.col(v) > 0, F.sqrt(v)) for v in ("va", "vb")]
+    return pairs.join(found, ["column_a", "column_b", "d"], "left").select("column_a", "column_b", F.try_divide("c", root[0] * root[1]).alias("r"))
+
+
+def _joined_deviations(df: DataFrame, counts: DataFrame, names: list[str], large: list[str]) -> DataFrame:
+    """``df`` and for each column of ``large`` the array ``_rank_<column>``: in every domain
+    the average rank of the row's value, less the mean rank."""
+    if not large:
+        return df
+    counts = counts.filter(F.col("_col").isin(large))
     totals = {r["_col"]: r for r in counts.groupBy("_col").agg(*[F.sum(n).alias(n) for n in names]).collect()}  # a row per column
     before, seen = [], [0] * len(names)
-    for c in sorted(totals):
-        before += [F.lit(c), F.array(*[F.lit(x) for x in seen])]
+    for c in sorted(totals):  # of a column: rows of the columns before it, and its mean ranks
+        shift = [float(x) + (totals[c][n] + 1) / 2 for x, n in zip(seen, names)]
+        before += [F.lit(c), F.array(*[F.lit(x) for x in shift])]
         seen = [x + totals[c][n] for x, n in zip(seen, names)]
     cum = running_sum(counts, ["_col", "_val"], {n: f"_c{n}" for n in names})
-    start = F.create_map(*before)[F.col("_col")]
-    ranks = [F.col(f"_c{n}") - F.get(start, F.lit(i)) - F.col(n) + (F.col(n) + 1) / 2.0 for i, n in enumerate(names)]
-    ranks = cum.select("_col", "_val", F.array(*ranks).alias("_ranks"))
-    rows = ", ".join(f"'{c}', `{c}`" for c in domains.columns)
-    kept = df.withColumn("_p", domains.pattern())
-    long = kept.selectExpr(*[f"`{k}`" for k in key], "_p", f"stack({len(domains.columns)}, {rows}) as (_col, _val)")
-    ranked = long.join(ranks, ["_col", "_val"], "left")
-    return ranked.groupBy(*key, "_p").pivot("_col", domains.columns).agg(F.first("_ranks"))
+    shift = F.create_map(*before)[F.col("_col")] if before else F.array()
+    ranks = [F.col(f"_c{n}") - F.col(n) + (F.col(n) + 1) / 2.0 - F.get(shift, F.lit(i)) for i, n in enumerate(names)]
+    ranks = stage_table(cum.select("_col", "_val", F.array(*ranks).alias("_ranks")), "ranks")
+    for c in large:
+        df = df.join(ranks.filter(F.col("_col") == c).select(F.col("_val").alias(c), F.col("_ranks").alias(f"_rank_{c}")), c, "left")
+    return df
 
 
 Z_975 = NormalDist().inv_cdf(0.975)

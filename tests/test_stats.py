@@ -93,6 +93,22 @@ def test_spearman_matrix_equals_pandas_with_nulls(spark, numbers):
         assert got[pair] is None or abs(got[pair] - r) < 1e-9, pair
 
 
+def test_spearman_joins_only_the_columns_beyond_the_budget(spark, monkeypatch):
+    """One column of many values is joined, the others are not; rows may share their key; nothing is pivoted."""
+    x = _frame(4, 400)
+    x["a"] = x["a"].round(0)
+    x["b"] = x["a"] * 3
+    asked = []
+    monkeypatch.setattr(ST, "_joined_deviations", lambda df, counts, names, large, f=ST._joined_deviations: (asked.append(large), f(df, counts, names, large))[1])
+    rows = _spark(spark, x).withColumn("sa_id", F.lit(7)).repartition(3)
+    got = ST.spearman_matrix(rows, list(x.columns), numbers=600).collect()
+    assert 0 < len(asked[0]) < len(x.columns) and "a" not in asked[0]
+    for row in got:
+        both = x[[row.column_a, row.column_b]].dropna().rank()
+        want = both[row.column_a].corr(both[row.column_b]) if len(both) > 1 else math.nan
+        assert (row.r is None) == math.isnan(want) and (row.r is None or abs(row.r - want) < 1e-9), (row, want)
+
+
 def test_numeric_columns_are_those_of_the_active_set(spark):
     from churnscope.registry import context, load_all
     from churnscope.registry.analysis import NUMERIC_COLS
