@@ -86,7 +86,24 @@ def last_payment_date(ft, pay_seg, pay, pay_event, as_of) -> DataFrame:
     return chain.groupBy("sa_id").agg(F.max("payment_date").alias("most_recent_payment_date"))
 
 
-def premise_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3)) -> DataFrame:
+def _windows(as_of, years_back) -> tuple:
+    """Conditions on ``month_start_date``: the last 12 months, the bounds of the seasons, any of these."""
+    last = in_window("month_start_date", lookback_bounds(as_of, 12))
+    seasons = {k: season_bounds(as_of, k) for k in years_back}
+    used = last
+    for b in seasons.values():
+        used = used | in_window("month_start_date", b["on"]) | in_window("month_start_date", b["off"])
+    return last, seasons, used
+
+
+def known_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3)) -> DataFrame:
+    """Turn-on/off facts of the windows with the account of their agreement, stored: premises and accounts both read them."""
+    known = agreements_lookup(sa).distinct().withColumn("known", F.lit(True))
+    rows = recdet.filter(_windows(as_of, years_back)[2]).join(known, "sa_id", "left")
+    return stage_table(rows.drop("sa_id", "dnp_started_flag"), "known_facts")
+
+
+def premise_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3), stored: DataFrame | None = None) -> DataFrame:
     """One row per premise with a turn-on or turn-off in any of the windows:
     ``dnp_12m`` (a stop for non-payment in the last 12 months) and ``season_k``
     (a turn-off in Mar..Jun and a turn-on in Aug..Dec of year(D)-k).
@@ -95,18 +112,18 @@ def premise_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3))
     over all pairs, and de-duplicates; existence on both sides is the same, and
     every flag is a conditional maximum of one partially aggregated pass.
     Seasons count only facts of known agreements, non-payment counts all.
+    ``stored``: rows of ``known_facts``, if there.
     """
-    last = in_window("month_start_date", lookback_bounds(as_of, 12))
-    seasons = {k: season_bounds(as_of, k) for k in years_back}
+    last, seasons, used = _windows(as_of, years_back)
     tests = {"dnp_12m": (F.col("dnp_stopped_flag") == "Y") & last}
     for k, b in seasons.items():
         tests[f"on_{k}"] = (F.col("started_flag") == "Y") & in_window("month_start_date", b["on"])
         tests[f"off_{k}"] = (F.col("stopped_flag") == "Y") & in_window("month_start_date", b["off"])
-    used = last
-    for b in seasons.values():
-        used = used | in_window("month_start_date", b["on"]) | in_window("month_start_date", b["off"])
-    known = agreements_lookup(sa).select("sa_id", F.lit(True).alias("known")).distinct()
-    rows = recdet.filter(used & F.col("premise_id").isNotNull()).join(known, "sa_id", "left")
+    if stored is None:
+        known = agreements_lookup(sa).select("sa_id", F.lit(True).alias("known")).distinct()
+        rows = recdet.filter(used & F.col("premise_id").isNotNull()).join(known, "sa_id", "left")
+    else:
+        rows = stored.filter(used & F.col("premise_id").isNotNull())
     hits = rows.groupBy("premise_id").agg(
         *[F.max(F.when(t & (F.lit(n == "dnp_12m") | F.col("known")), True)).alias(n) for n, t in tests.items()]
     )
@@ -117,6 +134,39 @@ def premise_facts(recdet: DataFrame, sa: DataFrame, as_of, years_back=(1, 2, 3))
     )
 
 
+def account_facts(sa: DataFrame, credit: DataFrame, stored: DataFrame, as_of) -> DataFrame:
+    """``sa_id, account_id`` and what is known of the account: its ratings and whether it has a
+    stop for non-payment in the last 12 months, of ``known_facts``' rows.
+
+    Accounts meet their facts in rows of two ids, which then go to their agreement:
+    the wide row is never shuffled by account.
+    """
+    ratings = credit.select("account_id", "internal_credit_rating").distinct()
+    last = in_window("month_start_date", lookback_bounds(as_of, 12))
+    stops = stored.filter((F.col("dnp_stopped_flag") == "Y") & last & F.col("known")).select("account_id").distinct()
+    found = agreements_lookup(sa).join(ratings, "account_id", "left")
+    found = found.join(stops.withColumn("account_dnp_12m", F.lit(True)), "account_id", "left")
+    # distinct needs no shuffle beyond this one, nor does a join by sa_id
+    return found.select("sa_id", "account_id", "internal_credit_rating", "account_dnp_12m").repartition("sa_id").distinct()
+
+
+def with_account_facts(row: DataFrame, facts: DataFrame) -> DataFrame:
+    """``row`` with the rating (-1 if none) and the 12-month 'Y'/'N' flag of its account, of ``account_facts``' rows.
+
+    The key is the agreement, by which both sides are partitioned; the accounts are
+    compared as a range of one value, which is no key of a second shuffle.  Rows
+    without an agreement find nothing.
+    """
+    own = facts.withColumnsRenamed({"sa_id": "_sa", "account_id": "_account"})
+    same = (F.col("sa_id") == F.col("_sa")) & F.col("account_id").between(F.col("_account"), F.col("_account"))
+    return row.join(own, same, "left").drop("_sa", "_account").withColumns(
+        {
+            "internal_credit_rating": F.coalesce("internal_credit_rating", F.lit(-1)),
+            "account_level_12_mth_dnp_flag": F.when(F.col("account_dnp_12m"), "Y").otherwise("N"),
+        }
+    ).drop("account_dnp_12m")
+
+
 def season_flags(df: DataFrame, facts: DataFrame, years_back=(1, 2, 3)) -> DataFrame:
     """``df`` with 'Y'/'N' columns of the seasons of its premise."""
     sides = [F.when(F.col(f"season_{k}"), "Y").otherwise("N").alias(f"seasonal_prior_{k}_yr_flag") for k in years_back]

@@ -1,8 +1,9 @@
 """The feature warehouse as one lazy plan: one wide row per service agreement.
 
-Stage order follows the warehouse script, but the joins are grouped by key
-(agreement, premise, account, person) so the wide row is re-shuffled once per
-key instead of once per joined table, and every right side is one row per key.
+Stage order follows the warehouse script, but the joins are grouped by key, every
+right side is reduced first, and the facts of a premise, person or account are
+joined to rows of keys and dates only.  The wide row is formed last, in joins by
+agreement, and is never shuffled itself.
 """
 
 from __future__ import annotations
@@ -65,6 +66,20 @@ def base_agreements(sa: DataFrame) -> DataFrame:
     )
 
 
+AGREEMENT_TEXTS = ("sa_start_year", "sa_start_year_month", "sa_end_year", "sa_end_year_month")
+
+
+def texts_of(start: str, end: str) -> dict:
+    """``AGREEMENT_TEXTS`` of two date columns: worked out after the joins, which carry the dates alone."""
+    return dict(zip(AGREEMENT_TEXTS, (year_text(start), ym_text(start), year_text(end), ym_text(end))))
+
+
+def agreement_rest(sa: DataFrame, known: list[str]) -> DataFrame:
+    """Columns of ``base_agreements`` that are not yet ``known``, with the dates of the ``AGREEMENT_TEXTS`` instead of these."""
+    base = base_agreements(sa).withColumns({"_start": F.col("sa_start_date"), "_end": F.col("sa_end_date")})
+    return base.drop(*AGREEMENT_TEXTS, *[c for c in known if c != "sa_id"])
+
+
 def with_flags_a(base: DataFrame, src: Sources, as_of) -> DataFrame:
     """Turn-on / turn-off DNP flags (NULL -> 'N'); one row per distinct flag pair.
 
@@ -129,39 +144,34 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
     base = base_agreements(src.sa)
     row = with_history(with_flags_a(base, src, d), d, skew_safe)
 
-    # -- keyed by agreement: every right side is one row per sa_id ------------
-    row = row.join(base.drop(*[c for c in row.columns if c != "sa_id"]), "sa_id")
+    # -- keyed by premise and person: their facts meet the keys and dates, not the wide row --
+    stored = J.known_facts(src.recdet, src.sa, d)
+    facts = J.premise_facts(src.recdet, src.sa, d, stored=stored).join(
+        agg.history_min_max(base.filter("premise_id is not null"), "premise_id", d, "premise"), "premise_id", "full"
+    )
+    pledged = J.pledge_persons_18m(src.pledge, d).filter("person_id is not null").withColumn("pledged", F.lit(True))
+    persons = pledged.join(agg.history_min_max(base.filter("person_id is not null"), "person_id", d, "person"), "person_id", "full")
+    row = row.join(persons, "person_id", "left").join(facts, "premise_id", "left")
+
+    # -- keyed by agreement: every shuffle is by sa_id, and the last one of the wide row --
+    row = row.join(agreement_rest(src.sa, row.columns), "sa_id")
     billing = agg.billing_counts(src.ft, d)
     row = row.join(billing, "sa_id", "left")
     row = row.join(J.last_payment_date(src.ft, src.pay_seg, src.pay, src.pay_event, d), "sa_id", "left")
     row = row.join(agg.late_payment_counts(src.adj, d), "sa_id", "left")
     row = row.join(agg.pledge_by_year(src.pledge, years), "sa_id", "left")
     row = row.join(agg.usage_18m(src.usage_fact, d), "sa_id", "left")
+    row = J.with_account_facts(row, J.account_facts(src.sa, src.credit, stored, d))
     counts = [c for c in billing.columns if c.endswith("months")] + ["late_payment_count"]
     amounts = [c for c in billing.columns if c.endswith("amount")]
     row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)
     row = row.fillna(0, subset=[f"pledge_flag_{y}" for y in years])
 
-    # -- keyed by premise: one table of all its facts, one join of the wide row -----
-    facts = J.premise_facts(src.recdet, src.sa, d).join(
-        agg.history_min_max(base.filter("premise_id is not null"), "premise_id", d, "premise"), "premise_id", "full"
-    )
-    row = row.join(facts, "premise_id", "left")
-    flags = {"premise_level_12_mth_dnp_flag": "dnp_12m"} | {f"seasonal_prior_{k}_yr_flag": f"season_{k}" for k in (1, 2, 3)}
+    # -- columns worked out from the joined ones ---------------------------------------
+    flags = {"premise_level_12_mth_dnp_flag": "dnp_12m", "person_rcvd_18_mths_pledge": "pledged"}
+    flags |= {f"seasonal_prior_{k}_yr_flag": f"season_{k}" for k in (1, 2, 3)}
     row = row.withColumns({name: F.when(F.col(fact), "Y").otherwise("N") for name, fact in flags.items()})
-
-    # -- keyed by account ------------------------------------------------------------
-    credit = src.credit.select("account_id", "internal_credit_rating").distinct()
-    row = row.join(credit, "account_id", "left").withColumn(
-        "internal_credit_rating", F.coalesce(F.col("internal_credit_rating"), F.lit(-1))
-    )
-    row = J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
-
-    # -- keyed by person ---------------------------------------------------------------
-    pledged = J.pledge_persons_18m(src.pledge, d).filter("person_id is not null").withColumn("pledged", F.lit(True))
-    persons = pledged.join(agg.history_min_max(base.filter("person_id is not null"), "person_id", d, "person"), "person_id", "full")
-    row = row.join(persons, "person_id", "left")
-    row = row.withColumn("person_rcvd_18_mths_pledge", F.when(F.col("pledged"), "Y").otherwise("N"))
+    row = row.withColumns(texts_of("_start", "_end"))
 
     # -- weather at start and end (one row per day), year one-hots -------------------
     days = J.calendar(src.weather)

@@ -420,22 +420,45 @@ def self_join_season(c):
     return facts.select("premise_id", *flags)
 
 
-@register("left_join_features_a", oracle("select * from flags_a"))
-def left_join_features_a(c):
+def _first(names: list[str], *keys: str) -> list[str]:
+    """``names`` with ``keys`` in front, as joins on these keys leave them."""
+    return [*keys, *[n for n in names if n not in keys]]
+
+
+def _account_premise_flags(c):
+    """Agreements with the ratings and flags of their account and premise, without the texts of their dates.
+
+    These joins shuffle the columns of the agreement alone; what is known per agreement
+    is joined after them, so the wide row is formed last.
+    """
     src, d = c.src, c.d
-    row = FT.with_flags_a(c.base, src, d)
+    row = c.base.drop(*FT.AGREEMENT_TEXTS)
     credit = src.credit.select("account_id", "internal_credit_rating").distinct()
     row = row.join(credit, "account_id", "left").withColumn(
         "internal_credit_rating", F.coalesce(F.col("internal_credit_rating"), F.lit(-1))
     )
-    row = J.existence_flag(row, J.premise_dnp_12m(src.recdet, d), "premise_id", "premise_level_12_mth_dnp_flag")
-    return J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
+    row = J.existence_flag(row, J.account_dnp_12m(src.recdet, src.sa, d), "account_id", "account_level_12_mth_dnp_flag")
+    return J.existence_flag(row, J.premise_dnp_12m(src.recdet, d), "premise_id", "premise_level_12_mth_dnp_flag")
+
+
+def _features_a(c) -> list[str]:
+    flags = ["dnp_started_flag", "dnp_stopped_flag", "internal_credit_rating", "premise_level_12_mth_dnp_flag", "account_level_12_mth_dnp_flag"]
+    return _first([*c.base.columns, *flags], "account_id", "premise_id", "sa_id")
+
+
+@register("left_join_features_a", oracle("select * from flags_a"))
+def left_join_features_a(c):
+    row = FT.with_flags_a(_account_premise_flags(c), c.src, c.d)
+    return row.withColumns(FT.texts_of("sa_start_date", "sa_end_date")).select(*_features_a(c))
 
 
 @register("left_join_features_b", oracle("select * from flags_b"))
 def left_join_features_b(c):
     src, d = c.src, c.d
-    row = left_join_features_a(c)
+    row = _account_premise_flags(c)
+    row = J.season_flags(row, J.premise_facts(src.recdet, src.sa, d))
+    row = J.existence_flag(row, J.pledge_persons_18m(src.pledge, d), "person_id", "person_rcvd_18_mths_pledge")
+    row = FT.with_flags_a(row, src, d)
     billing = agg.billing_counts(src.ft, d)
     row = row.join(billing, "sa_id", "left")
     row = row.join(J.last_payment_date(src.ft, src.pay_seg, src.pay, src.pay_event, d), "sa_id", "left")
@@ -443,8 +466,9 @@ def left_join_features_b(c):
     counts = [c_ for c_ in billing.columns if c_.endswith("months")] + ["late_payment_count"]
     amounts = [c_ for c_ in billing.columns if c_.endswith("amount")]
     row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)
-    row = J.existence_flag(row, J.pledge_persons_18m(src.pledge, d), "person_id", "person_rcvd_18_mths_pledge")
-    return J.season_flags(row, J.premise_facts(src.recdet, src.sa, d))
+    seasons = [f"seasonal_prior_{k}_yr_flag" for k in (1, 2, 3)]
+    known = [*billing.columns[1:], "most_recent_payment_date", "late_payment_count", "person_rcvd_18_mths_pledge", *seasons]
+    return row.withColumns(FT.texts_of("sa_start_date", "sa_end_date")).select(*_first([*_features_a(c), *known], "person_id", "sa_id"))
 
 
 @register(

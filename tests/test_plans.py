@@ -106,3 +106,47 @@ def test_calendar_is_broadcast_only_with_a_row_per_day(spark):
     assert [(r.sa_id, r.x_degree_day) for r in one.orderBy("sa_id").collect()] == [(1, 3.0), (2, -1.0), (3, -1.0)]
     assert "strategy=broadcast" not in plan(weather_at(df, calendar(frame(rows * 3)), "d", "x"))
     assert weather_at(df, calendar(frame([])), "d", "x").count() == 3
+
+
+def _shuffled(df):
+    """Key and number of columns of every hash shuffle."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"Exchange\nInput \[(\d+)\]:.*\nArguments: hashpartitioning\((\w+)#", text)
+    assert found
+    return [(key, int(width)) for width, key in found]
+
+
+def test_only_keys_dates_and_facts_are_shuffled_by_account_person_or_premise(spark):
+    """The wide row is formed last, by agreement."""
+    from churnscope.plans.features import build_feature_table
+    from churnscope.registry import QUERIES, context, load_all
+
+    load_all()
+    c = context(spark, SMALL)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        features = [n for key, n in _shuffled(build_feature_table(c.src, c.d)) if key in ("account_id", "person_id", "premise_id")]
+        b = [(key, n) for key, n in _shuffled(QUERIES["left_join_features_b"](c)) if key != "sibling_id"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert max(features) <= 24  # keys, dates, two histories and the facts of two owners
+    assert max(n for _, n in b) <= 20  # the agreement's columns and flags, never the amounts
+
+
+def test_account_facts_follow_the_account_of_every_row(spark):
+    """Accounts of two ratings, agreements on two accounts or none, and a row without an agreement."""
+    import datetime as dt
+
+    from churnscope.operators.joins import account_facts, known_facts, with_account_facts
+
+    day = dt.date(1998, 1, 1)
+    sa = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, 12), (3, None), (None, 10)], "sa_id long, account_id long")
+    credit = spark.createDataFrame([(10, 5), (10, 6), (10, 6), (12, None)], "account_id long, internal_credit_rating int")
+    facts = [(2, 1, "N", "Y", None, "Y", day), (1, 1, "N", "Y", None, "N", day), (9, 1, "N", "Y", None, "Y", day)]
+    ddl = "sa_id long, premise_id long, started_flag string, stopped_flag string, dnp_started_flag string, dnp_stopped_flag string, month_start_date date"
+    stored = known_facts(spark.createDataFrame(facts, ddl), sa, "1998-03-01")
+    rows = with_account_facts(sa, account_facts(sa, credit, stored, "1998-03-01"))
+    got = rows.select("sa_id", "account_id", "internal_credit_rating", "account_level_12_mth_dnp_flag").collect()
+    want = [(1, 10, 5, "N")] * 2 + [(1, 10, 6, "N")] * 2 + [(1, 11, -1, "N"), (2, 12, -1, "Y"), (3, None, -1, "N"), (None, 10, -1, "N")]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
