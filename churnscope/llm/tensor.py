@@ -13,7 +13,8 @@
    the links are merged into components.  Buckets that still hold documents of
    several components are opened: the documents outside a bucket's most frequent
    component are compared with all of other components, so a group of thousands
-   of near copies is never paired with itself.
+   of near copies is never paired with itself.  Of buckets that hold the same
+   documents one is opened: two similar documents share dozens of keys.
 5. A candidate goes on only if its sizes and its parity bitmaps allow a link:
    the bitmaps of two sets differ in at most as many bits as the sets differ in
    shingles.  What is left is decided by the full sets.
@@ -40,7 +41,7 @@ from churnscope.llm.common import components, keyed, schema, stage
 
 TABLES, ROWS = 14, 3
 BROADCAST_IDS = 1_000_000  # candidate documents up to which their ids go to the texts instead of the texts being shuffled
-LONGS = 4  # of a parity bitmap
+LONGS = 8  # of a parity bitmap
 _HASH, _SECOND = W.Hash(13, W.LOWER), W.U(0x9E3779B97F4A7C15)
 
 
@@ -187,8 +188,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85, tables: int
 
     placed = buckets.select("key", node.alias("node"), "n", hub.alias("hub")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = stage(placed, "placed")
-    share = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    major = share.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).filter("comps > 1")
+    members = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in range(2)]  # stand for the bucket's documents
+    share = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), *members)
+    major = share.groupBy("key").agg(
+        F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("comps"), F.sum("c").alias("size"), *[F.bit_xor(f"x{i}").alias(f"x{i}") for i in range(2)]
+    )
+    # two similar documents share dozens of keys: of buckets with the same documents one is opened
+    major = major.filter("comps > 1").groupBy("size", "x0", "x1").agg(F.min("key").alias("key"), F.min_by("m", "key").alias("m"))
     mixed = placed.drop("n").join(major.select("key", F.col("m.comp").alias("most")), "key")
     opened = stage(mixed.join(sets.select("node", *bitmap), "node"), "open")
     x = opened.filter("comp <> most").select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), *[F.col(c).alias(f"a_{c}") for c in bitmap])

@@ -72,3 +72,24 @@ def test_jaccard_join_keys_texts_not_ids(spark):
     assert got == [(-1, 58, 0), (1, 57, 1), (2, 57, 0), (2, 57, 0), (2, 57, 1), (3, 57, 0), (4, 0, 4)]
     with pytest.raises(ValueError):
         jaccard_components(frame(spark, rows), percent=49)
+
+
+def test_buckets_of_the_same_documents_are_opened_once(spark, monkeypatch):
+    """Two documents just below the limit share dozens of keys, but are compared once."""
+    from churnscope.llm import tensor
+
+    rows_of = {}
+
+    def counted(df, name, real=tensor.stage):
+        out = real(df, name)
+        rows_of[name] = out.count()
+        return out
+
+    monkeypatch.setattr(tensor, "stage", counted)
+    words = [f"w{i}" for i in range(300)]
+    other = [w + "x" if i % 60 == 30 else w for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(other))]
+    got = as_rows(tensor.near_duplicates(frame(spark, rows)), "doc_id", "n_shingles", "component_id")
+    assert got == [(1, 296, 1), (2, 296, 2)]  # 271 shingles of 321 in common
+    assert rows_of["buckets"] > 20
+    assert rows_of["open"] == 2
