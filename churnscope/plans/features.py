@@ -154,14 +154,15 @@ def build_feature_table(src: Sources, as_of, skew_safe: bool = True, years=None)
     row = row.join(persons, "person_id", "left").join(facts, "premise_id", "left")
 
     # -- keyed by agreement: every shuffle is by sa_id, and the last one of the wide row --
-    row = row.join(agreement_rest(src.sa, row.columns), "sa_id")
+    begun = src.sa.filter(F.to_date("sa_start_date") < F.lit(d))  # the rows have no other
+    row = row.join(agreement_rest(begun, row.columns), "sa_id")
     billing = agg.billing_counts(src.ft, d)
     row = row.join(billing, "sa_id", "left")
     row = row.join(J.last_payment_date(src.ft, src.pay_seg, src.pay, src.pay_event, d), "sa_id", "left")
     row = row.join(agg.late_payment_counts(src.adj, d), "sa_id", "left")
     row = row.join(agg.pledge_by_year(src.pledge, years), "sa_id", "left")
     row = row.join(agg.usage_18m(src.usage_fact, d), "sa_id", "left")
-    row = J.with_account_facts(row, J.account_facts(src.sa, src.credit, stored, d))
+    row = J.with_account_facts(row, J.account_facts(begun, src.credit, stored, d))
     counts = [c for c in billing.columns if c.endswith("months")] + ["late_payment_count"]
     amounts = [c for c in billing.columns if c.endswith("amount")]
     row = row.fillna(0, subset=counts).fillna(0.0, subset=amounts)

@@ -90,10 +90,11 @@ class Context:
 
     @cached_property
     def labelled(self) -> DataFrame:
+        """Labels and buckets are a few comparisons a row with bounds that are known
+        once the quantiles are: worked out on reading the feature table, not stored beside it."""
         from churnscope.plans.chapters import labelled
-        from churnscope.sources.csv_io import stage_table
 
-        return stage_table(labelled(self.clean, self.d), "labelled")
+        return labelled(self.clean, self.d)
 
     @cached_property
     def active(self) -> DataFrame:

@@ -141,28 +141,26 @@ class Fixtures:
             F.when(F.col("l_linestatus") == "F", "Y").otherwise("N").alias("frozen_sw"),
         )
 
+    # Payments are reduced under the key by which they are joined, so that they are
+    # shuffled once; every other id of a payment follows from this one.
     @cached_property
     def pay_seg(self) -> DataFrame:
-        return (
-            self.ft.filter(F.col("ft_type_flag") == "PS")
-            .select(F.col("sibling_id").alias("integration_id"), (F.col("sibling_id") + 1).alias("payment_id"))
-            .distinct()
-        )
+        seg = self._paid.select(F.col("sibling_id").alias("integration_id"), (F.col("sibling_id") + 1).alias("payment_id"))
+        return seg.repartition("integration_id").distinct()
 
     @cached_property
     def pay(self) -> DataFrame:
-        return self.pay_seg.select(
-            F.col("payment_id").alias("integration_id"), (F.col("payment_id") * 2).alias("pay_event_id")
-        )
+        payment = F.col("sibling_id") + 1
+        return self._paid.select(payment.alias("integration_id"), (payment * 2).alias("pay_event_id")).repartition("integration_id").distinct()
 
     @cached_property
     def pay_event(self) -> DataFrame:
-        return (
-            self.ft.filter(F.col("ft_type_flag") == "PS")
-            .groupBy("sibling_id")
-            .agg(F.max("post_date").alias("payment_date"))
-            .select(((F.col("sibling_id") + 1) * 2).alias("integration_id"), "payment_date")
-        )
+        event = self._paid.select(((F.col("sibling_id") + 1) * 2).alias("integration_id"), "post_date")
+        return event.groupBy("integration_id").agg(F.max("post_date").alias("payment_date"))
+
+    @property
+    def _paid(self) -> DataFrame:
+        return self.ft.filter(F.col("ft_type_flag") == "PS")
 
     # -- small facts -------------------------------------------------------------
     @cached_property

@@ -150,3 +150,26 @@ def test_account_facts_follow_the_account_of_every_row(spark):
     got = rows.select("sa_id", "account_id", "internal_credit_rating", "account_level_12_mth_dnp_flag").collect()
     want = [(1, 10, 5, "N")] * 2 + [(1, 10, 6, "N")] * 2 + [(1, 11, -1, "N"), (2, 12, -1, "Y"), (3, None, -1, "N"), (None, 10, -1, "N")]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_payments_are_shuffled_once_a_table_and_later_agreements_never(spark):
+    """Each table of the payment chain is dealt by its join key alone; the wide row's agreements are those begun before D."""
+    from churnscope.plans.features import build_feature_table
+    from churnscope.registry import context
+
+    c = context(spark, SMALL)
+    plan = lambda df: df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    for view in (c.fx.pay_seg, c.fx.pay, c.fx.pay_event):
+        assert re.findall(r"hashpartitioning\(([^)]*?), \d+\)", plan(view)) and all(
+            key.startswith("integration_id#") and "," not in key for key in re.findall(r"hashpartitioning\(([^)]*?), \d+\)", plan(view))
+        )
+    scans = [s for s in re.split(r"\n\(\d+\) ", plan(build_feature_table(c.src, c.d))) if s.startswith("Scan parquet") and "customer_class" in s]
+    assert scans and all("LessThan(sa_start_date,1998-03-01)" in s for s in scans)
+
+
+def test_labelled_rows_are_not_stored_beside_the_feature_table(spark):
+    from churnscope.registry import context
+
+    c = context(spark, SMALL)
+    files = c.labelled.inputFiles()
+    assert files and all("/tables/features-" in f for f in files)
