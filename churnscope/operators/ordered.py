@@ -17,8 +17,11 @@ when a task is retried on another executor.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,8 +166,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
     ``quantile_cont``) of several columns, NULLs skipped.
 
     A sketch brackets every quantile by two values; one aggregate counts the rows
-    below each bracket, another the rows of every distinct value inside (a value
-    repeated on a third of the rows is one counted row).  The wanted ranks are
+    below each bracket and those of a bracket of one value, another the rows of every
+    distinct value inside the other brackets (a value repeated on a third of the rows
+    is one counted row).  The wanted ranks are
     read off these counts: on the driver while there are at most ``collected`` of
     them, by a running sum over them beyond.  Rows are neither sorted nor handed
     to Python.  A bracket that misses its rank (the sketch bounds its error, so
@@ -177,11 +181,20 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
     while wanted:
         ranges = [(c, lo, hi) for c, each in _brackets(df, sorted({c for c, _ in wanted}), probs, width).items() for lo, hi in each]
         x = [F.col(f"`{c}`").cast("double") for c, _, _ in ranges]
-        below = df.agg(*[F.count_if(v < F.lit(lo)).alias(f"b{i}") for i, (v, (_, lo, _)) in enumerate(zip(x, ranges))]).first()
-        inside = [F.struct(F.lit(i).alias("i"), F.when(v.between(F.lit(lo), F.lit(hi)), v).alias("v")) for i, (v, (_, lo, hi)) in enumerate(zip(x, ranges))]
-        hit = df.select(F.explode(F.filter(F.array(*inside), lambda s: s["v"].isNotNull())).alias("s"))
-        counted = stage_table(hit.groupBy(F.col("s.i").alias("i"), F.col("s.v").alias("v")).agg(F.count(F.lit(1)).alias("n")), "quantiles")
-        if counted.count() <= collected:
+        one = [lo == hi for _, lo, hi in ranges]  # a bracket of one value needs no row of its own per input row
+        tests = [F.count_if(v < F.lit(lo)).alias(f"b{i}") for i, (v, (_, lo, _)) in enumerate(zip(x, ranges))]
+        tests += [F.count_if(x[i] == F.lit(ranges[i][1])).alias(f"e{i}") for i in range(len(ranges)) if one[i]]
+        below = df.agg(*tests).first()
+        same = pd.DataFrame([(i, ranges[i][1] + 0.0, below[f"e{i}"], below[f"e{i}"]) for i in range(len(ranges)) if one[i]], columns=["i", "v", "n", "upto"])
+        within = {i: v.between(F.lit(lo), F.lit(hi)) for i, (v, (_, lo, hi)) in enumerate(zip(x, ranges)) if not one[i]}
+        if within:
+            inside = [F.struct(F.lit(i).alias("i"), F.when(w, x[i]).alias("v")) for i, w in within.items()]
+            few = df.filter(reduce(or_, within.values()))  # most rows are in no bracket
+            hit = few.select(F.explode(F.filter(F.array(*inside), lambda s: s["v"].isNotNull())).alias("s"))
+            counted = stage_table(hit.groupBy(F.col("s.i").alias("i"), F.col("s.v").alias("v")).agg(F.count(F.lit(1)).alias("n")), "quantiles")
+        if not within:
+            table = same
+        elif counted.count() <= collected:
             table = counted.orderBy("i", "v").toPandas()
             table["upto"] = table.groupby("i")["n"].cumsum()
         else:
@@ -194,6 +207,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], probs, n: int | None = No
                     test = test | ((F.col("i") == i) & (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank))
             table = upto.filter(test).toPandas()
             table["upto"] -= table["i"].map(start)
+        if within and len(same):
+            table = pd.concat([table[list(same.columns)], same], ignore_index=True)
         for i, own in table.groupby("i"):
             c = ranges[i][0]
             first, last = own["upto"].to_numpy() - own["n"].to_numpy() + below[f"b{i}"], own["upto"].to_numpy() + below[f"b{i}"]

@@ -136,3 +136,22 @@ def test_quantiles_of_skewed_columns_equal_pandas(spark, collected):
         want = x[c].quantile(probs).tolist() if x[c].notna().any() else []
         assert len(got[c]) == len(want) and all(abs(p - q) <= 1e-12 * max(1, abs(q)) for p, q in zip(got[c], want)), c
     assert exact_quantiles(_spark(spark, x).limit(0), ["a"], probs, collected=collected) == {"a": []}
+
+
+@pytest.mark.parametrize("collected", [0, 2_000_000])
+def test_brackets_of_one_value_make_no_rows(spark, monkeypatch, collected):
+    """Flags, negative zero, a constant and a spread column; only the last one's values are counted one by one."""
+    from churnscope.operators import ordered
+
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame({"flag": (rng.random(4000) < 0.6) * 1.0, "zero": [-0.0, 0.0] * 2000, "one": [7.0] * 4000, "wide": rng.normal(size=4000)})
+    stored, stage = [], ordered.stage_table
+    monkeypatch.setattr(ordered, "stage_table", lambda df, name: stored.append(stage(df, name)) or stored[-1])
+    probs = (0.25, 0.5, 0.75)
+    got = ordered.exact_quantiles(_spark(spark, x), list(x.columns), probs, collected=collected)
+    for name in x.columns:
+        assert got[name] == pytest.approx(list(x[name].quantile(list(probs))), abs=1e-12)
+    assert str(got["zero"][0]) == "0.0"
+    assert all(set(t.toPandas()["v"]) <= set(x["wide"]) for t in stored)
+    stored.clear()
+    assert ordered.exact_quantiles(_spark(spark, x), ["one"], probs, collected=collected) == {"one": [7.0] * 3} and not stored
