@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnscope.llm import words as W
-from churnscope.llm.common import schema, stage
+from churnscope.llm.common import schema, short_batches, stage
 
 ORDER = 5
 BLOCK = 32 << 20
-PIECE = 1 << 20  # bytes of a block worked on at once
+LEVEL = 6  # of zstd: texts of blocks are stored and shuffled
+PIECE = 1 << 18  # bytes of a block worked on at once
+FRESH = 1 << 18  # keys of a block held before they are merged
 START, STOP = 0xFE, 0xFF
 SYMBOLS = 255  # all byte values but the start byte
 _HASH = W.Hash(1, W.LOWER)
@@ -49,11 +51,11 @@ def _blocks(size: int):
     def run(batches):
         task, number = TaskContext.get().partitionId(), 0
         ids, flags, lens, data, held = [], [], [], [], 0
+        press = zstandard.ZstdCompressor(level=LEVEL).compressobj()
 
         def row():
             off = W.offsets_of(np.concatenate(lens))
-            text = zstandard.ZstdCompressor(level=3).compress(b"".join(data))
-            values = [(task << 32) + number, ids, flags, off.tolist(), text]
+            values = [(task << 32) + number, ids, flags, off.tolist(), b"".join([*data, press.flush()])]
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types)], names=["block", "ids", "train", "off", "text"])
 
@@ -64,10 +66,11 @@ def _blocks(size: int):
                     yield row()
                     number, held = number + 1, 0
                     ids, flags, lens, data = [], [], [], []
+                    press = zstandard.ZstdCompressor(level=LEVEL).compressobj()
                 ids += batch.column(0).slice(part.start, n).to_pylist()
                 flags += batch.column(1).slice(part.start, n).to_pylist()
                 lens.append(np.diff(off))
-                data.append(raw.tobytes())
+                data.append(press.compress(raw))
                 held += len(raw)
         if ids:
             yield row()
@@ -77,12 +80,19 @@ def _blocks(size: int):
 
 def _parts(off: list[int], text: bytes, size: int = PIECE):
     """Pieces of a block with whole documents: first document, bytes, offsets."""
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text) if off[-1] else b"", dtype=np.uint8)
+    reader = zstandard.ZstdDecompressor().stream_reader(text)
     off = np.asarray(off, dtype=np.int64)
     a = 0
     while a < len(off) - 1:
         b = min(len(off) - 1, max(a + 1, int(np.searchsorted(off, off[a] + size, side="right")) - 1))
-        yield a, data[off[a] : off[b]], off[a : b + 1] - off[a]
+        data = np.empty(off[b] - off[a], dtype=np.uint8)
+        got = 0
+        while got < len(data):
+            more = reader.readinto(memoryview(data)[got:])
+            if not more:
+                raise ValueError("a block ends before its documents")
+            got += more
+        yield a, data, off[a : b + 1] - off[a]
         a = b
 
 
@@ -100,9 +110,16 @@ def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g[buf[ORDER:] != START], np.repeat(np.arange(n), lens + 1)
 
 
-def _merge(parts):
+def _merge(known, parts):
+    """``known`` keys, ascending, and their counts, with those of ``parts``."""
     keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    n = np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
+    if not len(known[0]):
+        return keys, n
+    at = np.searchsorted(known[0], keys)
+    old = known[0][np.minimum(at, len(known[0]) - 1)] == keys
+    known[1][at[old]] += n[old]
+    return np.insert(known[0], at[~old], keys[~old]), np.insert(known[1], at[~old], n[~old])
 
 
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -116,9 +133,13 @@ class Lookup:
     """Values of 64-bit keys that are all there: open addressing, probed for all keys at once."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(np.ceil(np.log2(2 * len(keys) + 1))))
+        self.bits = max(4, int(np.ceil(np.log2(1.5 * len(keys) + 1))))
         used = np.zeros(1 << self.bits, bool)
         self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits)
+        for a in range(0, len(keys), FRESH):
+            self._put(keys[a : a + FRESH], values[a : a + FRESH], used)
+
+    def _put(self, keys, values, used):
         at = self._slot(keys)
         while len(keys):
             free = ~used[at]
@@ -150,16 +171,18 @@ def _ask(batches):
     for batch in batches:
         for r in batch.to_pylist():
             train = np.array(r["train"], dtype=bool)
-            words, grams = [none], [none]
+            words, grams, new, fresh = none, none, {_WORD: [none], _GRAM: [none]}, 0
             for a, data, off in _parts(r["off"], r["text"]):
                 starts, ends, rows = W.bounds(data, off, W.SPACE)
-                words.append(_counted(_HASH.words(data, starts, ends), train[a + rows]))
+                new[_WORD].append(_counted(_HASH.words(data, starts, ends), train[a + rows]))
                 g, own = _grams(data, off)
-                grams.append(_counted(g, train[a + own]))
-                if len(grams) > 8:
-                    words, grams = [_merge(words)], [_merge(grams)]
-            for kind, parts in ((_WORD, words), (_GRAM, grams)):
-                keys, n = _merge(parts)
+                new[_GRAM].append(_counted(g, train[a + own]))
+                fresh += len(new[_WORD][-1][0]) + len(new[_GRAM][-1][0])
+                if fresh > FRESH:
+                    words, grams = _merge(words, new[_WORD]), _merge(grams, new[_GRAM])
+                    new, fresh = {_WORD: [none], _GRAM: [none]}, 0
+            for kind, known in ((_WORD, words), (_GRAM, grams)):
+                keys, n = _merge(known, new[kind])
                 for i in range(0, len(keys), 1 << 18):
                     k = keys[i : i + (1 << 18)]
                     yield pa.RecordBatch.from_arrays(
@@ -269,13 +292,14 @@ _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_
 
 def ppm_score(docs: DataFrame, train: Column, block: int = BLOCK) -> DataFrame:
     """Scores of all documents by the model of those where ``train`` holds (null: it does)."""
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = stage(
         rows.mapInArrow(_blocks(block), schema("block bigint, ids array<bigint>, train array<boolean>, off array<bigint>, text binary")), "blocks"
     )
     asked = stage(blocks.mapInArrow(_ask, schema("kind tinyint, key bigint, block bigint, n bigint")), "asked")
-    words = asked.filter(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("n"))
-    grams = stage(asked.filter(F.col("kind") == _GRAM).groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    counts = stage(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")  # each row of asked is shuffled once for it
+    words, grams = (counts.filter(F.col("kind") == kind).select("key", "n") for kind in (_WORD, _GRAM))
     train_docs = blocks.select(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
     totals = words.agg(F.sum("n"), F.sum(F.when(F.col("n") > 0, 1))).first()
     n_train, vocabulary = (totals[0] or 0) + train_docs, (totals[1] or 0) + (train_docs > 0)
