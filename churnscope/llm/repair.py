@@ -36,7 +36,7 @@ def _choose(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and offsets of the documents in the symbols; ``ends``: end of each document."""
     n = len(ids)
-    seq = ids.astype(np.uint64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(n, bool)
     last[ends[ends > 0] - 1] = True
     after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
@@ -46,19 +46,22 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST)
     at = np.flatnonzero(~last)  # places whose pair may be frequent, ascending
     while len(at):
         left, right = seq[at], seq[after[at]]
-        equal = np.flatnonzero(left == right)
-        use = np.ones(len(at), bool)
+        equal = skip = np.flatnonzero(left == right)
         if len(equal):  # every second place of a stretch of one id overlaps the one before
             e = at[equal]
             start = np.ones(len(e), bool)
             start[1:] = before[e[1:]] != e[:-1]
             place = np.arange(len(e))
-            use[equal] = (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
-        pair = (left << np.uint64(32)) | right
-        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
-        often = (np.bincount(slot[use], minlength=1 << _BITS) >= least)[slot]
+            skip = equal[(place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 1]
+        pair = (left.astype(np.uint64) << np.uint64(32)) | right
+        slot = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).view(np.int64)
+        seen = np.bincount(slot, minlength=1 << _BITS)
+        seen -= np.bincount(slot[skip], minlength=1 << _BITS)
+        use = np.ones(len(at), bool)
+        use[skip] = False
+        often = np.flatnonzero((seen >= least)[slot])
         at, pair, use, slot = at[often], pair[often], use[often], slot[often]
-        keys, counts = np.unique(pair[use], return_counts=True)
+        keys, counts = np.unique(pair[use] if len(skip) else pair, return_counts=True)
         keys, counts = keys[counts >= least], counts[counts >= least]
         if not len(keys):
             break
@@ -72,11 +75,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST)
         home = ((keys[chosen] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int32)
         number[home] = np.arange(len(chosen))
         i = number[slot]
-        hit = use & (i >= 0)
-        hit[hit] = keys[chosen][i[hit]] == pair[hit]
+        hit = np.flatnonzero(use & (i >= 0))
+        hit = hit[keys[chosen][i[hit]] == pair[hit]]
         p = at[hit]
         q = after[p]
-        seq[p] = (first + made + i[hit]).astype(np.uint64)
+        seq[p] = first + made + i[hit]
         last[p] = last[q]
         gone[q] = True
         far = after[q]
@@ -101,7 +104,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, first: int, least: int = LEAST)
     stops[1:][size > 0] = np.flatnonzero(last[~gone]) + 1
     stops = np.maximum.accumulate(stops)
     every = np.concatenate(rules) if rules else np.zeros((0, 2))
-    return seq[~gone].astype(np.uint32), every.astype(np.uint32), stops
+    return seq[~gone], every.astype(np.uint32), stops
 
 
 def lengths(rules: np.ndarray, first: int) -> np.ndarray:

@@ -8,9 +8,10 @@ ids of the shard before the frame.  Spark's committed writer makes a lost task
 harmless.  One document is decoded from its slice of the symbols and the rules.
 
 Ids are those of the whole text.  The tokenizer lower-cases, drops white space
-and joins neither across it nor across a change between ASCII letters and ``,.!?;:``,
-so texts are cut there and each distinct piece is encoded once per worker; a
-second, independent hash confirms that equal hashes are equal pieces.  Batches
+and joins neither across it nor across a change between ASCII letters, digits and
+other printable ASCII but the apostrophe, so texts are cut there and each distinct
+piece is encoded once per worker; a second, independent hash confirms that equal
+hashes are equal pieces.  Batches
 with special tokens or a capital sigma, whose case depends on what follows,
 are cut at white space only.
 
@@ -42,14 +43,77 @@ CACHE = 1_000_000  # pieces whose ids a worker keeps
 JOINED = 1_000  # new pieces encoded at once
 SLICE = 1 << 22  # bytes of text handled at once
 _ONE, _TWO = W.Hash(8), W.Hash(88)
-_LETTER = W._table((97, 122))
-_MARK = np.isin(W.SAME, np.frombuffer(b",.!?;:", dtype=np.uint8))
+_KIND = np.zeros(256, np.uint8)  # 0: no piece is cut beside it
+for _kind, _ranges in ((1, ((97, 122),)), (2, ((48, 57),)), (3, ((33, 38), (40, 47), (58, 64), (91, 96), (123, 126)))):
+    _KIND[W._table(*_ranges)] = _kind
 _FRAME_ROW = (
     "shard int, frame int, before bigint, n_ids bigint, first bigint, doc_ids array<bigint>, counts array<int>, "
     "offsets array<int>, symbols binary, rules binary, sizes binary"
 )
 
 
+class Pieces:
+    """Ids of known pieces by hash: open addressing, probed for all pieces at once."""
+
+    def __init__(self, bits: int = 16):
+        self.n = 0
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.held = np.zeros(0, np.uint32), 0
+        self._index(bits)
+
+    def _index(self, bits: int) -> None:
+        self.bits = bits
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self._put(np.arange(self.n, dtype=np.int32))
+
+    def _at(self, keys):
+        return (keys >> W.U(64 - self.bits)).astype(np.int64)
+
+    def _put(self, number):
+        at = self._at(self.keys[number])
+        while len(number):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = number[free]
+            left = self.slots[at] != number
+            number, at = number[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each piece; -1: not known."""
+        if not self.n:
+            return np.full(len(keys), -1, np.int32)
+        at = self._at(keys)
+        out = self.slots[at]
+        left = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        at = at[left]
+        while len(left):
+            at = (at + 1) & (len(self.slots) - 1)
+            i = out[left] = self.slots[at]
+            more = (i >= 0) & (self.keys[i] != keys[left])
+            left, at = left[more], at[more]
+        return out
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> None:
+        """``keys`` are distinct and not known."""
+        fresh = np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+        n, held = self.n + len(keys), self.held + len(fresh)
+        for name, need in (("keys", n), ("checks", n), ("begin", n), ("size", n), ("flat", held)):
+            old = getattr(self, name)
+            if len(old) < need:
+                new = np.zeros(need + (need >> 1), old.dtype)
+                new[: len(old)] = old
+                setattr(self, name, new)
+        self.keys[self.n : n], self.checks[self.n : n], self.size[self.n : n] = keys, checks, size
+        self.begin[self.n : n] = self.held + np.cumsum(size) - size
+        self.flat[self.held : held] = fresh
+        first, self.n, self.held = self.n, n, held
+        if 2 * n > len(self.slots):
+            self._index(int(np.ceil(np.log2(4 * n))))
+        else:
+            self._put(np.arange(first, n, dtype=np.int32))
+
+
 class Encoder:
     """Ids of batches of texts; one per worker process and tokenizer file."""
 
@@ -67,7 +131,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[int, bytes] = {}
+        self.known = Pieces()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -102,35 +166,32 @@ class Encoder:
         joins[:-1] = data[1:] > 127
         joins[off[1:][off[1:] > 0] - 1] = False
         data = np.where(whole | joins, data, W.LOWER[data])
-        letter, mark = _LETTER[data], _MARK[data]
+        kind = _KIND[data]
         cut = np.zeros(len(data), bool)
-        cut[1:] = ((letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])) & ~whole[1:]
-        raw = data.tobytes()
+        cut[1:] = (kind[:-1] != kind[1:]) & (kind[:-1] > 0) & (kind[1:] > 0) & ~whole[1:]
         starts, ends, rows = W.bounds(data, off, W.SPACE, cut)
         h, check = _ONE.words(data, starts, ends), _TWO.words(data, starts, ends)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if not np.array_equal(check[first][back], check):  # two pieces with one hash: encode the texts as they are
-            found = self._encode([raw[off[i] : off[i + 1]].decode() for i in range(n)])
+        if self.known.n > CACHE:
+            self.known = Pieces()
+        known = self.known
+        back = known.find(h)
+        new = np.flatnonzero(back < 0)
+        if len(new):
+            keys, first = np.unique(h[new], return_index=True)
+            at = new[first]
+            raw = data.tobytes()
+            known.add(keys, check[at], self._encode_pieces([raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())]))
+            back[new] = known.find(h[new])
+        if len(back) and not np.array_equal(known.checks[back], check):  # two pieces with one hash: encode the texts as they are
+            raw, known = data.tobytes(), Pieces()
+            known.add(np.arange(n, dtype=np.uint64), np.zeros(n, np.uint64), self._encode([raw[off[i] : off[i + 1]].decode() for i in range(n)]))
             back, rows = np.arange(n), np.arange(n)
-        else:
-            if len(self.known) > CACHE:
-                self.known.clear()
-            asked = keys.tolist()
-            found = [self.known.get(k) for k in asked]
-            new = [i for i, x in enumerate(found) if x is None]
-            at = first[new]
-            pieces = [raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())]
-            for i, ids in zip(new, self._encode_pieces(pieces)):
-                found[i] = self.known[asked[i]] = ids
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        size = np.array([len(x) >> 2 for x in found], dtype=np.int64)
-        begin = W.offsets_of(size)[:-1]
-        per_word = size[back] if len(back) else np.zeros(0, np.int64)
+        per_word = known.size[back] if len(back) else np.zeros(0, np.int64)
         per_row = np.bincount(rows, weights=per_word, minlength=n).astype(np.int64)
         total = int(per_word.sum())
-        source = np.repeat(begin[back] - (np.cumsum(per_word) - per_word), per_word) + np.arange(total) if total else np.zeros(0, np.int64)
+        source = np.repeat(known.begin[back] - (np.cumsum(per_word) - per_word), per_word) + np.arange(total) if total else np.zeros(0, np.int64)
         out = np.full(total + n, END, dtype=np.uint32)
-        out[np.arange(total) + np.repeat(np.arange(n), per_row)] = flat[source]
+        out[np.arange(total) + np.repeat(np.arange(n), per_row)] = known.flat[source]
         return out, per_row + 1
 
 
