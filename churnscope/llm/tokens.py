@@ -40,7 +40,8 @@ from churnscope.llm.common import keyed, schema, shared_path
 FRAME = 1 << 20
 END = 1
 CACHE = 1_000_000  # pieces whose ids a worker keeps
-JOINED = 1_000  # new pieces encoded at once
+JOINED = 250  # new pieces encoded at once
+_WORD_END = "</w>"  # what the last token of a word ends with, in files that mark it
 SLICE = 1 << 22  # bytes of text handled at once
 _ONE, _TWO = W.Hash(8), W.Hash(88)
 _KIND = np.zeros(256, np.uint8)  # 0: no piece is cut beside it
@@ -131,13 +132,38 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.last = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.last[i] = token.endswith(_WORD_END)
+        self.marks = bool(self.last.any())
         self.known = Pieces()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, dtype="<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of pieces of ASCII letters, one word each: joined by spaces, a piece ends with its word's last token."""
+        out = []
+        for a in range(0, len(words), JOINED):
+            part = words[a : a + JOINED]
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = np.flatnonzero(self.last[found]) + 1
+            if len(ends) != len(part) or ends[-1] != len(found):
+                out += self._encode(part)
+                continue
+            raw, at = found.tobytes(), (4 * ends).tolist()
+            out += [raw[x:y] for x, y in zip([0, *at], at)]
+        return out
+
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space: many are joined by spaces, and each id goes to the piece where its token begins."""
+        """Ids of pieces without white space."""
+        word = [self.marks and x.isascii() and x.isalpha() for x in pieces]
+        words = iter(self._encode_words([x for x, w in zip(pieces, word) if w]))
+        others = iter(self._encode_others([x for x, w in zip(pieces, word) if not w]))
+        return [next(words) if w else next(others) for w in word]
+
+    def _encode_others(self, pieces: list[str]) -> list[bytes]:
+        """Many are joined by spaces, and each id goes to the piece where its token begins."""
         out = []
         for a in range(0, len(pieces), JOINED):
             part = pieces[a : a + JOINED]

@@ -76,3 +76,18 @@ def test_two_pieces_of_one_hash_are_told_apart(path, monkeypatch):
     monkeypatch.setattr(tokens._ONE, "words", lambda *a: real(*a) & np.uint64(7))
     for texts in (["one two three four five six", "seven, eight nine"], ["ten eleven", "", "one twelve"]):
         assert _encoded(coder, texts) == _plain(coder, texts)
+
+
+def test_words_and_other_pieces_keep_their_order(path, monkeypatch):
+    from churnscope.llm.tokens import Encoder
+
+    coder = Encoder(path)
+    pieces = ["mentenle", "don't", "%%%", "a", "röd", "zz" * 300, "7", "ofthouenes"] * 90
+    want = coder._encode(pieces)
+    assert coder._encode_pieces(pieces) == want
+    assert coder._encode_words([x for x in pieces if x.isascii() and x.isalpha()]) == [w for x, w in zip(pieces, want) if x.isascii() and x.isalpha()]
+    assert coder._encode_pieces([]) == []
+    monkeypatch.setattr(coder, "last", np.zeros_like(coder.last))  # words whose last tokens are not told apart are encoded one by one
+    assert coder._encode_pieces(pieces) == want
+    monkeypatch.setattr(coder, "marks", False)
+    assert coder._encode_pieces(pieces) == want
