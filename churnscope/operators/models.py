@@ -1,13 +1,17 @@
 """Supervised learning with Spark MLlib: logistic regression, forests, linear SVM,
 grid search scored in money, per-fold scores, importances, predictions.
 
-Training data never leaves the executors: MLlib aggregates gradients and
-tree statistics in distributed passes; the only driver-side values are
-class counts, model coefficients and per-fold scores.
+MLlib aggregates gradients in distributed passes; the driver-side values are class
+counts, model coefficients and per-fold scores.  Forests grow tree by tree on the
+executors from counted training rows (``forest.py``), which the driver gathers and
+broadcasts while they are at most ``GATHERED_BYTES``; beyond, MLlib's forest learner
+aggregates tree statistics in distributed passes.
 """
 
 from __future__ import annotations
 
+import json
+import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
@@ -23,12 +27,13 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.errors import AnalysisException
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from churnscope.functions.hashing import hash_bits
 from churnscope.operators.evaluate import SAVINGS
+from churnscope.operators.forest import TREE, TYPES, counted_rows, grow_batches, pack, packed, votes
 from churnscope.session import checkpoint_dir
 from churnscope.sources.csv_io import stage_table
 
@@ -91,8 +96,8 @@ def logistic(n_rows: int, C: float = 1.0, penalty: str = "l2", weight: str | Non
 
 
 # Fixed, so that the same rows and seed give the same forest whatever the heap and
-# the cluster are: memory decides how many nodes share a data pass, and with it
-# which node draws which features; a sub-forest's trees and partitions decide its bags.
+# the cluster are.  In the learner memory decides how many nodes share a data pass, and with
+# it which node draws which features; a sub-forest's trees and partitions decide its bags.
 SPLIT_MEMORY_MB = 128
 SUB_TREES = 125
 ROWS_PER_PARTITION = 100_000
@@ -114,10 +119,8 @@ def forest(trees: int, depth: int | None = None, subset: str = "sqrt", weight: s
     return rf
 
 
-def _tree_arrays(path: str, spark) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The trees that ``fit_forest`` saved at ``path``, in their order: where each starts, and of every
-    inner node its feature, threshold and children, of every leaf its class shares.
-    A child below zero is leaf ``-1 - child``; a tree that is one leaf starts there."""
+def _tree_arrays(path: str, spark):
+    """The trees that the learner saved at ``path``, in their order, as ``pack`` lays them out."""
     nodes = spark.read.parquet(f"{path}/data").select(
         "treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.split.featureIndex", "nodeData.split.numCategories",
         F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"), "nodeData.impurityStats",
@@ -127,31 +130,81 @@ def _tree_arrays(path: str, spark) -> tuple[list[int], np.ndarray, np.ndarray, n
     inner = col["leftChild"] >= 0
     if (col["numCategories"][inner] >= 0).any():
         raise ValueError(f"{path}: a split on categories; features are numbers")
-    stats = t["impurityStats"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)[~inner]
-    total = np.cumsum(stats, axis=1)[:, -1:]
-    shares = np.divide(stats, total, out=np.zeros_like(stats), where=total != 0)
-    number = np.where(inner, np.cumsum(inner) - 1, -np.cumsum(~inner)).astype(np.int32)
+    stats = t["impurityStats"].combine_chunks().flatten().to_numpy().reshape(len(t), -1)
     first = np.flatnonzero(np.diff(col["treeID"], prepend=-1))  # node 0 of a tree is its root; ids leave no gap
-    root = first[np.searchsorted(first, np.flatnonzero(inner), side="right") - 1]
-    children = np.stack([number[root + col[side][inner]] for side in ("leftChild", "rightChild")], axis=1)
-    return number[first].tolist(), col["featureIndex"][inner].astype(np.int16), col["threshold"][inner].astype(float), children, shares
-
-
-def _votes(part, x: np.ndarray) -> np.ndarray:
-    """Class probabilities of the rows of ``x`` by one sub-forest; votes are added tree by tree, as the learner's model adds them."""
-    starts, feature, threshold, children, shares = part
-    votes = np.zeros((len(x), shares.shape[1]))
-    every = np.arange(len(x))
-    for start in starts:
-        at = np.full(len(x), start, dtype=np.int32)
-        rows = every if start >= 0 else every[:0]
-        while len(rows):
-            node = at[rows]
-            at[rows] = node = children[node, (x[rows, feature[node]] > threshold[node]).astype(np.int8)]
-            rows = rows[node >= 0]
-        votes += shares[-1 - at]
-    total = np.cumsum(votes, axis=1)[:, -1:]
-    return np.divide(votes, total, out=votes, where=total != 0)
+    root = np.repeat(first, np.diff(first, append=len(t)))
+    # the children of a node side by side: the roots, then every pair in the order of the parents
+    place = np.zeros(len(t), dtype=np.int64)
+    place[first] = np.arange(len(first))
+    pair = len(first) + 2 * np.arange(inner.sum())
+    place[(root + col["leftChild"])[inner]], place[(root + col["rightChild"])[inner]] = pair, pair + 1
+    order, child = np.argsort(place), np.zeros(len(t), dtype=np.int64)
+    child[inner] = pair
+    inner = inner[order]
+    feature = np.where(inner, col["featureIndex"][order], -1)
+    return pack(feature, child[order], col["threshold"][order][inner].astype(float), stats[order][~inner], list(range(len(first))))
+
+
+def _part_arrays(path: str, spark):
+    try:
+        return packed(spark.read.parquet(f"{path}/trees").toArrow())
+    except AnalysisException:
+        return _tree_arrays(path, spark)
+
+
+def _grown(path: str, spark) -> tuple[str, int, np.ndarray] | None:
+    """Folder, number of trees and importances of a finished sub-forest; none where there is no such."""
+    try:
+        trees = spark.read.parquet(f"{path}/trees").select("tree", "importance").toArrow().sort_by("tree")
+    except AnalysisException:  # not there, or not finished
+        return None
+    each = np.stack([np.frombuffer(b, dtype=float) for b in trees["importance"].to_pylist()]).sum(axis=0)
+    return path, len(trees), each / each.sum() if each.sum() else each
+
+
+def _learned(path: str) -> tuple[str, int, np.ndarray] | None:
+    """The same of a sub-forest that the learner fitted."""
+    try:
+        model = RandomForestClassificationModel.load(path)
+    except (AnalysisException, Py4JJavaError):
+        return None
+    return path, model.getNumTrees, model.featureImportances.toArray()
+
+
+def _learners_model(path: str, width: int, spark) -> RandomForestClassificationModel:
+    """A grown sub-forest as the learner's model: its nodes are written beside the trees in the learner's layout."""
+    rows = spark.read.parquet(f"{path}/trees").toArrow().sort_by("tree").to_pylist()
+    nodes, classes = [], 0
+    for r in rows:
+        t = {k: np.frombuffer(r[k], dtype=v) for k, v in TYPES.items()}
+        leaf, n = t["feature"] < 0, len(t["feature"])
+        classes = len(t["stats"]) // len(t["raw"])
+        stats, raw, threshold = np.zeros((n, classes)), np.zeros(n, dtype=np.int64), np.zeros(n)
+        stats[leaf], raw[leaf], threshold[~leaf] = t["stats"].reshape(-1, classes), t["raw"], t["threshold"]
+        for i in reversed(np.flatnonzero(~leaf).tolist()):  # children come after their parent
+            stats[i], raw[i] = stats[t["child"][i] : t["child"][i] + 2].sum(axis=0), raw[t["child"][i] : t["child"][i] + 2].sum()
+        weight = stats.sum(axis=1)
+        impurity = 1 - (np.divide(stats, weight[:, None], out=np.zeros_like(stats), where=weight[:, None] != 0) ** 2).sum(axis=1)
+        for i in range(n):
+            c = int(t["child"][i])
+            gain = -1.0 if leaf[i] else impurity[i] - (weight[c : c + 2] * impurity[c : c + 2]).sum() / weight[i]
+            split = (-1, [], -1) if leaf[i] else (int(t["feature"][i]), [float(threshold[i])], -1)
+            kids = (-1, -1) if leaf[i] else (c, c + 1)
+            nodes.append((r["tree"], (i, float(stats[i].argmax()), float(impurity[i]), stats[i].tolist(), int(raw[i]), float(gain), *kids, split)))
+    split = "struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>"
+    node = f"struct<id:int,prediction:double,impurity:double,impurityStats:array<double>,rawCount:bigint,gain:double,leftChild:int,rightChild:int,split:{split}>"
+    spark.createDataFrame(nodes, f"treeID int, nodeData {node}").write.mode("overwrite").parquet(f"{path}/data")
+
+    def about(kind: str, name: str, params: dict, **more) -> str:
+        head = {"class": f"org.apache.spark.ml.classification.{kind}", "timestamp": 0, "sparkVersion": spark.version, "uid": name}
+        return json.dumps({**head, "paramMap": {"impurity": "gini", **params}, "defaultParamMap": {}, **more})
+
+    shape = {"numFeatures": width, "numClasses": classes}
+    trees = [(r["tree"], about("DecisionTreeClassificationModel", f"dtc_{uuid.uuid4().hex[:12]}", {}, **shape), 1.0) for r in rows]
+    spark.createDataFrame(trees, "treeID int, metadata string, weights double").write.mode("overwrite").parquet(f"{path}/treesMetadata")
+    whole = about("RandomForestClassificationModel", f"RandomForestClassifier_{uuid.uuid4().hex[:12]}", {"numTrees": len(rows)}, numTrees=len(rows), **shape)
+    spark.createDataFrame([(whole,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
+    return RandomForestClassificationModel.load(path)
 
 
 def _union_votes(sent, features: list[str]):
@@ -163,20 +216,22 @@ def _union_votes(sent, features: list[str]):
             x = np.stack([np.asarray(c.fill_null(np.nan)) for c in batch.columns[own:]], axis=1)
             if np.isnan(x).any():
                 raise ValueError(f"NULL or NaN among the features {features}")
-            mean = sum(share * _votes(part.value, x) for share, part in sent)
+            mean = sum(share * votes(part.value, x) for share, part in sent)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * mean.shape[1]), pa.array(mean.ravel()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:own], lists], names=[*batch.schema.names[:own], "_mean"])
 
     return run
 
 
+def _likeliest():
+    return (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
+
+
 class ForestUnion:
     """Sub-forests as one forest: every tree has one vote, whichever part grew it.
 
     ``saved`` holds of every sub-forest its folder, number of trees and importances.
-    The learner's own models travel inside every task of their ``transform``, a
-    gigabyte of node objects for 1,000 deep trees, and stay on the driver; here a
-    part is a few arrays, read from its folder and broadcast once.
+    A part is a few arrays, read from its folder and broadcast once.
     """
 
     def __init__(self, features: list[str], saved: list[tuple[str, int, np.ndarray]]):
@@ -186,28 +241,54 @@ class ForestUnion:
 
     @property
     def parts(self) -> list[RandomForestClassificationModel]:
-        """The learner's models, loaded from their folders."""
-        return [RandomForestClassificationModel.load(folder) for folder, _, _ in self.saved]
+        """The learner's models, loaded from their folders; a grown part is first written there in the learner's layout."""
+        spark = SparkSession.active()
+        return [_learners_model(folder, len(self.features), spark) if _grown(folder, spark) else RandomForestClassificationModel.load(folder)
+                for folder, _, _ in self.saved]
 
     @property
     def featureImportances(self) -> list[float]:
         """Mean of the trees' importances, in the order of ``features``."""
         return sum(n / self.trees * x for _, n, x in self.saved).tolist()
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        """``df`` with ``probability`` (mean of the trees') and ``prediction`` (the likeliest class, the smaller one on a tie)."""
+    def shares(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns ``keep`` of ``df`` and ``_mean``, the mean of the trees' class probabilities."""
         spark = df.sparkSession
         if self._sent is None:
+
+            def send(part):
+                return part[1] / self.trees, spark.sparkContext.broadcast(_part_arrays(part[0], spark))
+
             with ThreadPoolExecutor(4) as pool:
-                arrays = pool.map(inheritable_thread_target(spark)(lambda part: _tree_arrays(part[0], spark)), self.saved)
-                self._sent = [(n / self.trees, spark.sparkContext.broadcast(a)) for (_, n, _), a in zip(self.saved, arrays)]
-        wide = df.select("*", *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)])
+                self._sent = list(pool.map(inheritable_thread_target(spark)(send), self.saved))
+        wide = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)])
         # few rows of many trees each: the rows are dealt to all cores
         wide = wide.repartition(2 * spark.sparkContext.defaultParallelism)
-        schema = StructType([*df.schema.fields, StructField("_mean", ArrayType(DoubleType()))])
-        out = assembler(self.features).transform(wide.mapInArrow(_union_votes(self._sent, self.features), schema))
-        best = (F.array_position("_mean", F.array_max("_mean")) - 1).cast("double")
-        return out.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", best).drop("_mean")
+        schema = StructType([*[df.schema[c] for c in keep], StructField("_mean", ArrayType(DoubleType()))])
+        return wide.mapInArrow(_union_votes(self._sent, self.features), schema)
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """``df`` with ``probability`` (mean of the trees') and ``prediction`` (the likeliest class, the smaller one on a tie)."""
+        out = assembler(self.features).transform(self.shares(df, df.columns))
+        return out.withColumn("probability", array_to_vector("_mean")).withColumn("prediction", _likeliest()).drop("_mean")
+
+
+GATHERED_BYTES = 64 << 20  # distinct training rows that are counted on the driver
+KINDS = 64  # labels and weights of a training set that a tree counts apart
+TREES_PER_TASK = 5
+
+
+def _counted(train: DataFrame, features: list[str], weight: str | None):
+    """The training rows as ``forest.counted_rows`` broadcast, or none where they are too many."""
+    spark = train.sparkSession
+    own = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = train.select(F.col("label").cast("double").alias("_y"), own.alias("_w"), *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)])
+    rows = stage_table(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n")), "forest_rows")
+    if rows.count() * 8 * (len(features) + 3) > GATHERED_BYTES or rows.select("_y", "_w").distinct().limit(KINDS + 1).count() > KINDS:
+        return None
+    t = rows.toArrow()
+    y, w, *x = [np.asarray(t[c].fill_null(np.nan) if t[c].null_count else t[c], dtype=float) for c in t.column_names[:-1]]
+    return spark.sparkContext.broadcast(counted_rows(np.stack(x, axis=1), y, w, t["_n"].to_numpy()))
 
 
 def fit_forests(requests: list[dict]) -> list[ForestUnion]:
@@ -215,29 +296,42 @@ def fit_forests(requests: list[dict]) -> list[ForestUnion]:
     its own, fitted by concurrent jobs and saved in the shared folder.  A request holds
     the arguments of ``fit_forest``.
 
-    A data pass of the learner sends the statistics of every open node from every
-    partition to one place, so many small partitions cost more than they save: a
-    sub-forest reads the training rows in partitions of ``ROWS_PER_PARTITION``, and
-    the cores are kept busy by the sub-forests of all forests.  A request with the
-    ``folder`` of an interrupted one loads the sub-forests that it had finished.
+    The training rows are counted and broadcast once a training set, and every task
+    grows whole trees from them (``operators.forest``).  Where the distinct rows are
+    beyond ``GATHERED_BYTES`` the learner fits a sub-forest in distributed passes: it
+    sends the statistics of every open node from every partition to one place, so
+    it reads the rows in partitions of ``ROWS_PER_PARTITION``, and the cores are kept
+    busy by the sub-forests of all forests.  A request with the ``folder`` of an
+    interrupted one loads the sub-forests that it had finished.
     """
     spark = requests[0]["train"].sparkSession
+    counted = {}
 
     def plan(train: DataFrame, features: list[str], trees: int, depth: int | None = None, subset: str = "sqrt",
              weight: str | None = None, folder: str | None = None):
         folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/forests/{uuid.uuid4().hex}"
-        partitions = max(1, -(-train.count() // ROWS_PER_PARTITION))
-        columns = ["features", "label", *([weight] if weight else [])]
-        rows = assembler(features).transform(train).select(*columns).coalesce(partitions)
+        key = (id(train), tuple(features), weight)
+        if key not in counted:
+            counted[key] = _counted(train, features, weight)
+        sent, rows, partitions = counted[key], None, 1
+        if sent is None:
+            partitions = max(1, -(-train.count() // ROWS_PER_PARTITION))
+            rows = assembler(features).transform(train).select("features", "label", *([weight] if weight else [])).coalesce(partitions)
 
         def part(i: int) -> tuple[str, int, np.ndarray]:
             path = f"{folder}/part-{i}"
-            try:
-                model = RandomForestClassificationModel.load(path)
-            except (AnalysisException, Py4JJavaError):  # not there, or not finished
-                model = forest(min(SUB_TREES, trees - i * SUB_TREES), depth, subset, weight, SEED + i).fit(rows)
-                model.write().overwrite().save(path)
-            return path, model.getNumTrees, model.featureImportances.toArray()
+            found = _grown(path, spark) or (_learned(path) if sent is None else None)
+            if found:
+                return found
+            spec = forest(min(SUB_TREES, trees - i * SUB_TREES), depth, subset, weight, SEED + i)
+            if sent is None:
+                spec.fit(rows).write().overwrite().save(path)
+                return _learned(path)
+            n = spec.getNumTrees()
+            run = grow_batches(sent, spec.getSeed(), spec.getMaxDepth(), drawn_features(spec.getFeatureSubsetStrategy(), len(features), trees))
+            numbers = spark.range(0, n, 1, -(-n // TREES_PER_TASK)).select(F.col("id").cast("int").alias("tree"))
+            numbers.mapInArrow(run, TREE).write.mode("overwrite").parquet(f"{path}/trees")
+            return _grown(path, spark)
 
         return features, partitions, part, -(-trees // SUB_TREES)
 
@@ -255,6 +349,19 @@ def fit_forest(train: DataFrame, features: list[str], trees: int, depth: int | N
     return fit_forests([request])[0]
 
 
+def drawn_features(subset: str, width: int, trees: int) -> int:
+    """Features that a node draws, by the learner's names: all, sqrt, log2, onethird, auto, a number or a share."""
+    subset = subset.lower()
+    if subset == "auto":
+        subset = "sqrt" if trees > 1 else "all"
+    named = {"all": width, "sqrt": math.ceil(math.sqrt(width)), "log2": math.ceil(math.log2(width)), "onethird": math.ceil(width / 3)}
+    if subset in named:
+        return max(1, named[subset])
+    if subset.isdigit():
+        return min(int(subset), width)
+    return math.ceil(float(subset) * width)
+
+
 def linear_svc(n_rows: int, C: float = 4.0) -> LinearSVC:
     return LinearSVC(featuresCol="features", labelCol="label", regParam=1.0 / (C * max(n_rows, 1)), maxIter=1000)
 
@@ -276,8 +383,6 @@ def svm_sweep(train: DataFrame, test: DataFrame, features: list[str], Cs=(0.01,
 
 def sqrt_features(n: int) -> str:
     """sklearn's ``max_features='sqrt'`` (floor); Spark's ``sqrt`` rounds up."""
-    import math
-
     return str(max(1, int(math.sqrt(n))))
 
 
@@ -287,6 +392,9 @@ def fit(train: DataFrame, features: list[str], estimator):
 
 def predict(model, df: DataFrame, key: str = "sa_id") -> DataFrame:
     """(key, label, pred, prob) -- prob is the stop-class probability when the model has one."""
+    if isinstance(model, ForestUnion):  # only what is asked for goes through Python
+        out = model.shares(df, [key, "label"])
+        return out.select(key, "label", _likeliest().cast("int").alias("pred"), F.col("_mean")[1].alias("prob"))
     out = model.transform(df)
     prob = (
         vector_to_array(F.col("probability"))[1] if "probability" in out.columns else F.lit(None).cast("double")

@@ -197,3 +197,68 @@ def test_forests_predict_without_the_learners_nodes_in_the_plan(spark, monkeypat
         assert max(abs(x) for p in got.values() for x in p) < 1e-12
     with pytest.raises(PythonException):
         model.transform(df.withColumn("x1", F.when(F.col("sa_id") > 5, F.col("x1")))).collect()
+
+
+def _gathered(spark, df, features, weight=None):
+    return M._counted(df, features, weight).value
+
+
+def test_grown_tree_is_the_learners(spark, tmp_path):
+    """All rows, all features: the tree that is grown from counted rows has the learner's nodes, shares and importances."""
+    import numpy as np
+
+    from churnscope.operators import forest as G
+
+    df = _data(spark, 900).withColumn("x3", F.col("sa_id") * 37 % 211 - 100.0).withColumn("x4", F.lit(1.0))
+    df = df.unionByName(df.filter("x1 > 3")).withColumn("w", F.when(F.col("label") == 1, 0.75).otherwise(3.0))
+    three = df.withColumn("label", F.when(F.col("sa_id") % 5 == 0, 2.0).otherwise(F.col("label")))
+    features = ["x1", "x2", "x3", "x4"]
+    x = np.array(df.select(*features).collect())
+    for i, (train, weight, depth) in enumerate([(df, None, 30), (df, "w", 30), (three, None, 30), (df, None, 3)]):
+        rf = M.forest(1, depth, "all", weight).setBootstrap(False)
+        path = str(tmp_path / f"t{i}")
+        model = rf.fit(M.assembler(features).transform(train))
+        model.write().save(path)
+        want = M._tree_arrays(path, spark)
+        grown = G.grow(_gathered(spark, train, features, weight), np.random.default_rng(1), depth, len(features), bag=False)
+        got = G.pack(grown["feature"], grown["child"], grown["threshold"], grown["stats"].reshape(len(grown["raw"]), -1), [0])
+        assert len(got[1]) == len(want[1]) == model.totalNumNodes > 5
+        assert np.allclose(G.votes(got, x), G.votes(want, x), atol=1e-12)
+        assert np.allclose(grown["importance"], model.featureImportances.toArray(), atol=1e-9)
+
+
+def test_forests_grow_without_the_learners_passes(spark, monkeypatch):
+    """The learner sends the statistics of every open node of a forest to one place, pass by pass; a grown forest needs none."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    df = _data(spark).withColumn("w", F.col("label") + 1)
+    learned = M.fit(df, ["x1", "x2"], M.forest(60, 8, "1")).transform(df)
+    both = {r.sa_id: r.prediction for r in learned.select("sa_id", "prediction").collect()}
+    monkeypatch.setattr(RandomForestClassifier, "fit", lambda *a, **k: (_ for _ in ()).throw(AssertionError("a pass of the learner")))
+    requests = [{"train": df, "features": ["x1", "x2"], "trees": 60, "depth": 8, "subset": s, "weight": w} for s, w in (("1", None), ("1", "w"), ("2", None))]
+    models = M.fit_forests(requests)
+    assert [m.trees for m in models] == [60, 60, 60]
+    same = [r.prediction == both[r.sa_id] for r in models[0].transform(df).collect()]
+    assert sum(same) >= 0.9 * len(same)  # other bags, the same law
+    again = M.fit_forest(df.repartition(3, "x2"), ["x1", "x2"], 60, 8, "1")  # rows in another order
+    assert again.featureImportances == models[0].featureImportances
+
+
+def test_training_rows_beyond_the_bound_are_left_to_the_learner(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(M, "GATHERED_BYTES", 0)
+    df = _data(spark)
+    model = M.fit_forest(df, ["x1", "x2"], 6, 5, "1", folder=str(tmp_path / "f"))
+    (part,) = model.parts
+    p = [r[0] for r in M.predict(model, df).orderBy("sa_id").select("prob").collect()]
+    q = [r[0] for r in M.predict(part, M.assembler(["x1", "x2"]).transform(df)).orderBy("sa_id").select("prob").collect()]
+    assert max(abs(a - b) for a, b in zip(p, q)) < 1e-12 and model.trees == 6
+
+
+def test_forest_training_rows_are_checked(spark):
+    import pytest
+
+    df = _data(spark)
+    for bad in (df.withColumn("x1", F.when(F.col("sa_id") > 5, F.col("x1"))), df.withColumn("label", F.lit(0.5)), df.limit(0)):
+        with pytest.raises(ValueError):
+            M.fit_forest(bad, ["x1", "x2"], 2, 3, "1")
+    assert [M.drawn_features(s, 30, 9) for s in ("sqrt", "all", "5", "log2", "onethird", "auto", "0.5")] == [6, 30, 5, 5, 10, 6, 15]
