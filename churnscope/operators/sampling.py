@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
+from operator import and_, or_
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +47,18 @@ def draw_with_replacement(df: DataFrame, n: int, key: str | list[str], salt: str
     return draws.join(indexed, "_idx").select("draw", *df.columns)
 
 
-def resample_classes(
-    df: DataFrame, label: str, sizes: dict[int, int], key: str | list[str] = "sa_id", salt: str = "rs:"
-) -> DataFrame:
-    """Per class value, draw ``sizes[value]`` rows with replacement; stack the classes.
+def _draw_groups(df: DataFrame, by: list[str], sizes: dict[tuple, int], keys: list[str], salts: dict[tuple, str]) -> DataFrame:
+    """Per group of the columns ``by``, ``sizes[group]`` rows drawn with replacement.
 
-    One dense index in (class, key) order serves every class: class ``c``
-    owns indexes ``[offset_c, offset_c + N_c)`` and draw ``i`` of it takes
-    ``offset_c + hash(salt_c, i) mod N_c`` -- the same rows as indexing each
-    class on its own, with one ordered pass and one join.
+    One dense index in (group, key) order serves every group: group ``g``
+    owns indexes ``[offset_g, offset_g + N_g)`` and draw ``i`` of it takes
+    ``offset_g + hash(salt_g, i) mod N_g`` -- the same rows as indexing each
+    group on its own, with one ordered pass and one join.
     """
     spark = df.sparkSession
-    keys = [key] if isinstance(key, str) else list(key)
-    sub = df.filter(F.col(label).isin(list(sizes)))
-    counts = {r[label]: r["n"] for r in sub.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = reduce(or_, [reduce(and_, [F.col(c) == F.lit(v) for c, v in zip(by, group)]) for group in sizes], F.lit(False))
+    sub = df.filter(wanted)
+    counts = {tuple(r[c] for c in by): r["n"] for r in sub.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, acc = {}, 0
     for v in sorted(counts):
         offsets[v], acc = acc, acc + counts[v]
@@ -68,16 +68,23 @@ def resample_classes(
         if size == 0 or n <= 0:
             continue
         part = spark.range(n).select(
-            F.col("id").alias("draw"),
-            (F.lit(offsets[value]) + hash_bits(F.col("id"), f"{salt}{value}:") % F.lit(size)).alias("_idx"),
+            F.col("id").alias("draw"), (F.lit(offsets[value]) + hash_bits(F.col("id"), salts[value]) % F.lit(size)).alias("_idx")
         )
         draws = part if draws is None else draws.unionByName(part)
     if draws is None:
         return sub.limit(0).select(F.lit(0).cast("long").alias("draw"), *df.columns)
-    indexed = dense_index(sub, [label, *keys], "_idx")
+    indexed = dense_index(sub, [*by, *keys], "_idx")
     return draws.join(indexed, "_idx").select("draw", *df.columns)
 
 
+def resample_classes(
+    df: DataFrame, label: str, sizes: dict[int, int], key: str | list[str] = "sa_id", salt: str = "rs:"
+) -> DataFrame:
+    """Per class value, draw ``sizes[value]`` rows with replacement; stack the classes."""
+    keys = [key] if isinstance(key, str) else list(key)
+    return _draw_groups(df, [label], {(v,): n for v, n in sizes.items()}, keys, {(v,): f"{salt}{v}:" for v in sizes})
+
+
 def upsample_minority(df: DataFrame, label: str, key: str = "sa_id", salt: str = "up:") -> DataFrame:
     """Positives drawn with replacement up to the number of negatives; negatives kept."""
     negatives = df.filter(F.col(label) == 0)
@@ -94,16 +101,12 @@ def downsample_majority(df: DataFrame, label: str, n: int, key: str = "sa_id", s
 
 
 def resample_by_segment(
-    df: DataFrame, label: str, segment: str, sizes: dict[str, dict[int, int]], key: str = "sa_id", salt: str = "seg:"
+    df: DataFrame, label: str, segment: str, sizes: dict[str, dict[int, int]], key: str | list[str] = "sa_id", salt: str = "seg:"
 ) -> DataFrame:
-    parts = []
-    for seg, per_class in sizes.items():
-        part = resample_classes(df.filter(F.col(segment) == seg), label, per_class, key, f"{salt}{seg}:")
-        parts.append(part)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``resample_classes`` of every segment, in one ordered pass over all of them."""
+    keys = [key] if isinstance(key, str) else list(key)
+    groups = {(seg, v): n for seg, per_class in sizes.items() for v, n in per_class.items()}
+    return _draw_groups(df, [segment, label], groups, keys, {(seg, v): f"{salt}{seg}:{v}:" for seg, v in groups})
 
 
 def poisson_thresholds(k_max: int = 12) -> list[float]:

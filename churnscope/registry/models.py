@@ -180,14 +180,14 @@ DEFAULT_FORESTS = {"residential": 1000, "landlord_builder": 8, "other": 20}
 
 
 def _segment_train(c, segment: str):
-    """Re-sampled training rows of a segment, written once per session."""
+    """Re-sampled training rows of a segment; those of all segments are drawn in one pass and written once per session."""
     from churnscope.sources.csv_io import stage_table
 
     cache = c.__dict__.setdefault("_segment_inputs", {})
-    if segment not in cache:
-        rows = _train(c).filter(F.col("segment") == segment).withColumn("label_i", F.col("label").cast("int"))
-        drawn = R.resample_classes(rows, "label_i", SEGMENT_SIZES[segment], key=ORDER, salt=f"seg:{segment}:")
-        cache[segment] = stage_table(drawn, "segment_train")
+    if not cache:
+        rows = _train(c).withColumn("label_i", F.col("label").cast("int"))
+        drawn = stage_table(R.resample_by_segment(rows, "label_i", "segment", SEGMENT_SIZES, key=ORDER), "segment_train")
+        cache.update({seg: drawn.filter(F.col("segment") == seg) for seg in SEGMENT_SIZES})
     return cache[segment]
 
 

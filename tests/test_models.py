@@ -262,3 +262,19 @@ def test_forest_training_rows_are_checked(spark):
         with pytest.raises(ValueError):
             M.fit_forest(bad, ["x1", "x2"], 2, 3, "1")
     assert [M.drawn_features(s, 30, 9) for s in ("sqrt", "all", "5", "log2", "onethird", "auto", "0.5")] == [6, 30, 5, 5, 10, 6, 15]
+
+
+def test_segments_are_drawn_in_one_pass_as_one_by_one(spark, monkeypatch):
+    from churnscope.operators import sampling as R
+
+    rows = spark.range(600).select(F.col("id").alias("sa_id"), (F.col("id") % 4 == 0).cast("int").alias("label"),
+                                   F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").alias("segment"))
+    sizes = {"a": {1: 30, 0: 70}, "b": {1: 0, 0: 20}, "none": {1: 5, 0: 5}}
+    passes = []
+    monkeypatch.setattr(R, "dense_index", lambda *a, f=R.dense_index: (passes.append(a), f(*a))[1])
+    got = R.resample_by_segment(rows, "label", "segment", sizes)
+    assert len(passes) == 1
+    alone = [R.resample_classes(rows.filter(F.col("segment") == s), "label", per, "sa_id", f"seg:{s}:") for s, per in sizes.items()]
+    want = alone[0].unionByName(alone[1]).unionByName(alone[2])
+    assert got.count() == 120 and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert R.resample_classes(rows, "label", {}).count() == 0
