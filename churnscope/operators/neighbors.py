@@ -2,10 +2,12 @@
 
 The distinct training rows, with their copy counts, are cut into blocks of at
 most ``BLOCK_BYTES``; a re-sampled training set of fixed size is one block.  A
-block is broadcast, and every Arrow batch of queries is compared with it by one
-matrix product.  The product gives squared distances up to a known rounding
-error: the rows that may be among the k nearest within it (never fewer than k)
-get their exact distance, and the k nearest are kept.  Queries are never
+block is broadcast as boxes of near rows, and every Arrow batch of queries is compared
+with the boxes that may hold one of its k nearest, by a matrix product a box.  The
+product gives squared distances up to a known rounding error: the rows that may
+be among the k nearest within it (never fewer than k) get their exact distance, and
+the k nearest are kept.  Where the features do not tell the boxes apart, all
+boxes are compared, which is the plain search.  Queries are never
 shuffled and no (query, training row) pair leaves a task; only with several
 blocks are the lists of at most k rows per query and block brought together.
 
@@ -26,7 +28,37 @@ from pyspark.sql import functions as F
 from churnscope.sources.csv_io import stage_table
 
 BLOCK_BYTES = 64 << 20
-QUERIES = 64  # queries of one matrix product
+BOX = 256  # training rows of one box
+COLUMNS = 6  # the widest columns; a distance to a box is bounded by them
+QUERIES = 2048  # queries searched together
+PAIRS = 1 << 22  # (query, row) pairs held at once, unless a few queries have more
+FEW = 64
+
+
+def _boxes(x: np.ndarray) -> list[np.ndarray]:
+    """The numbers of the rows of ``x`` in parts of at most ``BOX``, halved at the median of their widest column."""
+    done, waiting = [], [np.arange(len(x))]
+    while waiting:
+        rows = waiting.pop()
+        if len(rows) <= BOX:
+            done.append(rows)
+            continue
+        own = x[rows]
+        half = np.argpartition(own[:, np.argmax(own.max(axis=0) - own.min(axis=0))], len(rows) // 2)
+        waiting += [rows[half[: len(rows) // 2]], rows[half[len(rows) // 2 :]]]
+    return done
+
+
+def index(x: np.ndarray):
+    """Training rows for ``nearest``: the rows, their boxes (numbers of the rows, centre, rows and
+    squared lengths from the centre) and the lower and upper corners of the boxes."""
+    boxes = []
+    for rows in _boxes(x) if len(x) else []:
+        centre = x[rows].mean(axis=0)
+        off = x[rows] - centre
+        boxes.append((rows, centre, off, (off * off).sum(axis=1)))
+    corners = [np.array([getattr(x[b[0]], end)(axis=0) for b in boxes]).reshape(len(boxes), x.shape[1]) for end in ("min", "max")]
+    return x, boxes, *corners, np.argsort(-x.std(axis=0), kind="stable")[:COLUMNS]
 
 
 def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -37,16 +69,63 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def nearest(x: np.ndarray, tid: np.ndarray, copies: np.ndarray, q: np.ndarray, k: int):
-    """Of every row of ``q`` its nearest rows of ``x`` until they hold ``k`` copies:
+def _candidates(rows, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs (query, row) that hold every row at most as far as a query's k-th nearest;
+    none if there are more than ``PAIRS`` and the queries can be halved.
+
+    A box farther from a query than its k nearest rows found so far is not looked at: the
+    nearest box first, then all others by the distance to their corners.  A product
+    of vectors from the box's centre gives squared distances up to a known error.
+    """
+    x, boxes, low, high, wide = rows
+    least = np.zeros((len(q), len(boxes)))
+    for j in wide:
+        out = np.maximum(low[:, j] - q[:, j, None], q[:, j, None] - high[:, j])
+        np.maximum(out, 0, out=out)
+        least += out * out
+    least *= 1 - 1e-12  # its own rounding
+    upper = np.full((len(q), k), np.inf)  # squared distances of the k nearest so far, each at most this
+    bound = np.full(len(q), np.inf)  # the largest of them
+    found = []
+
+    def look(at: np.ndarray, box) -> None:
+        numbers, centre, off, size = box
+        own = q[at] - centre
+        length = (own * own).sum(axis=1)
+        d = length[:, None] + size - 2.0 * (own @ off.T)
+        error = 8 * (q.shape[1] + 4) * np.finfo(float).eps * (length + size.max())[:, None]
+        upper[at] = best = np.partition(np.concatenate([upper[at], d + error], axis=1), k - 1, axis=1)[:, :k]
+        bound[at] = best.max(axis=1)
+        row, col = np.nonzero(d - error <= bound[at, None])
+        found.append((at[row], numbers[col], (d - error)[row, col]))
+
+    first = least.argmin(axis=1)
+    order = np.argsort(first, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+        look(at, boxes[first[at[0]]])
+    held = sum(len(row) for row, *_ in found)
+    for b in range(len(boxes)):
+        at = np.flatnonzero((least[:, b] <= bound) & (first != b))
+        if len(at):
+            look(at, boxes[b])
+            held += len(found[-1][0])
+        if held > PAIRS and len(q) > FEW:
+            return None
+    row, col, d = (np.concatenate(v) for v in zip(*found))
+    kept = d <= bound[row]
+    return row[kept], col[kept]
+
+
+def nearest(rows, tid: np.ndarray, copies: np.ndarray, q: np.ndarray, k: int):
+    """Of every row of ``q`` its nearest rows of the ``index`` until they hold ``k`` copies:
     query number, row number, distance, copies of the nearer rows."""
-    size, width = (x * x).sum(axis=1), x.shape[1]
-    own = (q * q).sum(axis=1)
-    d = own[:, None] + size[None, :] - 2.0 * (q @ x.T)
-    kth = np.partition(d, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-    error = 4 * (width + 4) * np.finfo(float).eps * (own + size.max())
-    row, col = np.nonzero(d <= (kth + 2 * error)[:, None])
-    dist = _exact(x[col], q[row])
+    pairs = _candidates(rows, q, k) if len(q) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    if pairs is None:
+        half = len(q) // 2
+        one, two = nearest(rows, tid, copies, q[:half], k), nearest(rows, tid, copies, q[half:], k)
+        return (np.concatenate([one[0], two[0] + half]), *(np.concatenate(v) for v in zip(one[1:], two[1:])))
+    row, col = pairs
+    dist = _exact(rows[0][col], q[row])
     order = np.lexsort((tid[col], dist, row))
     row, col, dist = row[order], col[order], dist[order]
     before = np.cumsum(copies[col]) - copies[col]
@@ -63,14 +142,14 @@ def _kernel(sent, k: int, width: int):
     """Appends the list of nearest rows; the last ``width`` columns are the query's features."""
 
     def run(batches):
-        x, y, tid, copies = sent.value
+        rows, y, tid, copies = sent.value
         for batch in batches:
             other = batch.num_columns - width
             q = np.stack([np.asarray(c.cast(pa.float64()).fill_null(np.nan)) for c in batch.columns[other:]], axis=1)
             for a in range(0, len(q), QUERIES):
                 part = batch.slice(a, QUERIES)
                 whole = np.flatnonzero(~np.isnan(q[a : a + QUERIES]).any(axis=1))
-                row, col, dist, before = nearest(x, tid, copies, q[a : a + QUERIES][whole], k)
+                row, col, dist, before = nearest(rows, tid, copies, q[a : a + QUERIES][whole], k)
                 counts = np.bincount(whole[row], minlength=part.num_rows)
                 near = pa.StructArray.from_arrays(
                     [pa.array(dist), pa.array(tid[col]), pa.array(y[col]), pa.array(copies[col]), pa.array(before)], names=["d", "tid", "y", "m", "before"]
@@ -98,7 +177,7 @@ def nearest_lists(train: DataFrame, test: DataFrame, features: list[str], k: int
         if not len(part):
             continue
         sent = spark.sparkContext.broadcast(
-            (part[features].to_numpy(dtype=float), part["_y"].to_numpy(dtype=float), part["_tid"].to_numpy(dtype=np.int64), part["_m"].to_numpy(dtype=np.int64))
+            (index(part[features].to_numpy(dtype=float)), part["_y"].to_numpy(dtype=float), part["_tid"].to_numpy(dtype=np.int64), part["_m"].to_numpy(dtype=np.int64))
         )
         near = q.mapInArrow(_kernel(sent, k, len(features)), ddl)
         found = near if found is None else found.unionByName(near)

@@ -58,3 +58,40 @@ def test_nulls_and_empty_sides(spark):
     assert set(out["sa_id"]) == set(range(1, 90)) and len(out) == 89 * 11
     assert knn_classify(rows(train, "row_id").limit(0), rows(test, "sa_id"), cols).count() == 0
     assert knn_classify(rows(train, "row_id"), rows(test, "sa_id").limit(0), cols).count() == 0
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 300])
+@pytest.mark.parametrize("shape", ["clusters", "lattice", "far", "few"])
+def test_boxes_lose_no_neighbour(monkeypatch, shape, pairs):
+    """Against all distances, with ties, copies, a column that dwarfs the rest, and fewer rows than k."""
+    from churnscope.operators import neighbors as N
+
+    monkeypatch.setattr(N, "BOX", 16)
+    monkeypatch.setattr(N, "PAIRS", pairs)
+    rng = np.random.default_rng(3)
+    x = {"clusters": rng.normal(size=(500, 7)) + 50 * rng.integers(0, 5, (500, 1)), "lattice": rng.integers(0, 3, (400, 7)).astype(float),
+         "far": rng.normal(size=(500, 7)) * [1e9, 1, 1, 1, 1, 1, 1], "few": rng.normal(size=(6, 7))}[shape]
+    q = np.concatenate([x[:40], x[:40] + rng.normal(size=(len(x[:40]), 7)), np.full((1, 7), 1e6)] * 2)
+    tid, copies, k = rng.permutation(len(x)), rng.integers(1, 4, len(x)), 11
+    got = list(zip(*(v.tolist() for v in N.nearest(N.index(x), tid, copies, q, k))))
+    want = []
+    for i, one in enumerate(q):
+        dist, before = N._exact(x, np.broadcast_to(one, x.shape)), 0
+        for c in np.lexsort((tid, dist)):
+            if before >= k:
+                break
+            want.append((i, c, dist[c], before))
+            before += copies[c]
+    assert got == want
+
+
+def test_far_boxes_are_not_compared(monkeypatch):
+    """The work for a query grows with its neighbourhood, not with the training rows."""
+    from churnscope.operators import neighbors as N
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20_000, 8)) * [1e4, 1e4, 100, 100, 1, 1, 1, 1]
+    rows, looked = N.index(x), []
+    monkeypatch.setattr(N.np, "partition", lambda a, *r, f=np.partition, **k: (looked.append(a.size), f(a, *r, **k))[1])
+    N.nearest(rows, np.arange(len(x)), np.ones(len(x), dtype=np.int64), x[:512] + 0.5, 11)
+    assert sum(looked) < 0.25 * 512 * len(x)
