@@ -26,8 +26,8 @@ EPSILON = np.finfo(float).eps  # a child of less impurity is a leaf
 MAX_CLASSES = 100
 
 # a row of a grown tree: its number and these arrays
-TYPES = {"feature": np.int16, "child": np.int32, "threshold": np.float64, "stats": np.float64, "raw": np.int64, "importance": np.float64}
-TREE = ", ".join(["tree int", *[f"{k} binary" for k in TYPES]])
+TYPES = {"node": np.int64, "shares": np.float64, "stats": np.float64, "raw": np.int64, "importance": np.float64}
+TREE = ", ".join(["tree int", *[f"{k} binary" for k in TYPES], "cuts array<array<double>>"])
 
 
 def cut_points(values: np.ndarray, weights: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -115,8 +115,8 @@ def _splits(slot, row, kind, drawn, nodes, flat, chosen, classes, bins):
 
 
 def grow(rows, rng: np.random.Generator, depth: int, subset: int, bag: bool = True):
-    """One tree: per node its feature (-1: a leaf) and left child (the right one is next to it), per inner
-    node its threshold, per leaf its weights by class and its drawn rows, and the features' importances."""
+    """One tree: its nodes as ``pack`` numbers them, per leaf its class shares, its weights by class
+    and its drawn rows, and the features' importances."""
     cuts, binned, kind, copies, classes = rows
     width, kinds = binned.shape[1], len(classes)
     flat, bins = binned.ravel(), int(binned.max(initial=0)) + 1
@@ -159,23 +159,23 @@ def grow(rows, rng: np.random.Generator, depth: int, subset: int, bag: bool = Tr
         at = np.flatnonzero(feature[level] >= 0)
         best, leaf, c = (counts[level + 1] @ classes).argmax(axis=1), feature[level + 1] < 0, child[level][at]
         feature[level][at[leaf[c] & leaf[c + 1] & (best[c] == best[c + 1])]] = -1
-    importance, reached, first = np.zeros(width), np.arange(1), 0
-    out = {"feature": [], "child": [], "threshold": [], "stats": [], "raw": []}
+    importance, reached, first, leaf = np.zeros(width), np.arange(1), 0, 0
+    out = {"node": [], "stats": [], "raw": []}
     for level in range(len(counts)):
         f, first = feature[level][reached], first + len(reached)
         inner = f >= 0
         at, leaves = reached[inner], counts[level][reached[~inner]]
-        out["feature"].append(f)
-        out["child"].append(np.where(inner, first + 2 * (np.cumsum(inner) - 1), 0))
-        out["threshold"].append(np.array([cuts[i][j] for i, j in zip(f[inner].tolist(), cut[level][at].tolist())], dtype=float))
-        out["stats"].append((leaves @ classes).ravel())
-        out["raw"].append(leaves.sum(axis=1))
+        node = np.empty(len(reached), dtype=np.int64)
+        node[inner] = (first + 2 * np.arange(len(at)) << 32) | (cut[level][at] << 16) | f[inner]
+        node[~inner] = -1 - leaf - np.arange(len(leaves))
+        out["node"].append(node), out["stats"].append(leaves @ classes), out["raw"].append(leaves.sum(axis=1))
         importance += np.bincount(f[inner], worth[level][at], width)
+        leaf += len(leaves)
         reached = (child[level][at][:, None] + np.arange(2)).ravel()
         if not len(reached):
             break
-    total = importance.sum()
-    return {k: np.concatenate(v).astype(TYPES[k]) for k, v in out.items()} | {"importance": importance / total if total else importance}
+    total, out = importance.sum(), {k: np.concatenate(v) for k, v in out.items()}
+    return out | {"shares": _shares(out["stats"]), "importance": importance / total if total else importance}
 
 
 def grow_batches(sent, seed: int, depth: int, subset: int, bag: bool = True):
@@ -186,15 +186,22 @@ def grow_batches(sent, seed: int, depth: int, subset: int, bag: bool = True):
             for tree in batch.column(0).to_pylist():
                 grown = grow(sent.value, np.random.Generator(np.random.Philox(key=[seed, tree])), depth, subset, bag)
                 columns = [pa.array([tree], pa.int32()), *[pa.array([grown[k].astype(t).tobytes()], pa.binary()) for k, t in TYPES.items()]]
-                yield pa.RecordBatch.from_arrays(columns, names=["tree", *TYPES])
+                cuts = [c.tolist() for c in sent.value[0]] if tree == 0 else None  # those of all trees
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([cuts], pa.list_(pa.list_(pa.float64())))], names=["tree", *TYPES, "cuts"])
 
     return run
 
 
+def _shares(stats: np.ndarray) -> np.ndarray:
+    total = np.cumsum(stats, axis=1)[:, -1:]
+    return np.divide(stats, total, out=np.zeros_like(stats), where=total != 0)
+
+
 def pack(feature: np.ndarray, child: np.ndarray, threshold: np.ndarray, stats: np.ndarray, starts: list[int]):
-    """Trees laid end to end, for ``votes``: where each starts, of every node one number (feature, bin
-    and left child of an inner one, below zero ``-1 - leaf``), class shares of the leaves, thresholds by feature.
-    ``threshold`` is of the inner nodes, ``stats`` (a row each) of the leaves, both in the order of the nodes."""
+    """Trees laid end to end, for ``votes``: where each starts, of every node one number (left child, whose
+    neighbour is the right one, number of the threshold and feature of an inner one, below zero ``-1 - leaf``),
+    class shares of the leaves, thresholds by feature.  ``feature`` is -1 in a leaf; ``threshold`` is of the
+    inner nodes, ``stats`` (a row each) of the leaves, both in the order of the nodes."""
     inner = np.flatnonzero(feature >= 0)
     own = feature[inner].astype(np.int64)
     cuts, at = [], np.zeros(len(inner), dtype=np.int64)
@@ -208,17 +215,28 @@ def pack(feature: np.ndarray, child: np.ndarray, threshold: np.ndarray, stats: n
     node[inner] = (child[inner].astype(np.int64) << 32) | (at << 16) | own
     leaf = feature < 0
     node[leaf] = -np.arange(1, leaf.sum() + 1)
-    total = np.cumsum(stats, axis=1)[:, -1:]
-    return starts, node, np.divide(stats, total, out=np.zeros_like(stats), where=total != 0), cuts
+    return starts, node, _shares(stats), cuts
+
+
+def end_to_end(nodes: list[np.ndarray], shares: list[np.ndarray], cuts: list[np.ndarray]):
+    """``pack`` of grown trees."""
+    starts = np.cumsum([0, *map(len, nodes)])
+    node, leaves, classes = np.concatenate(nodes), 0, 1
+    for start, end in zip(starts, starts[1:]):
+        own = node[start:end]
+        inner = own >= 0
+        own += np.where(inner, start << 32, -leaves)
+        count = len(own) - np.count_nonzero(inner)
+        leaves += count
+        classes = len(shares[0].ravel()) // count if start == 0 else classes
+    return starts[:-1].tolist(), node, np.concatenate([v.ravel() for v in shares]).reshape(leaves, classes), cuts
 
 
 def packed(rows: pa.Table):
-    """``pack`` of grown trees, rows of ``TREE``."""
-    trees = [{k: np.frombuffer(r[k], dtype=t) for k, t in TYPES.items()} for r in rows.sort_by("tree").to_pylist()]
-    starts = np.cumsum([0] + [len(t["feature"]) for t in trees])
-    child = np.concatenate([t["child"].astype(np.int64) + s for t, s in zip(trees, starts)])
-    joined = {k: np.concatenate([t[k] for t in trees]) for k in ("feature", "threshold", "stats", "raw")}
-    return pack(joined["feature"], child, joined["threshold"], joined["stats"].reshape(len(joined["raw"]), -1), starts[:-1].tolist())
+    """``end_to_end`` of rows of ``TREE``."""
+    rows = rows.sort_by("tree")
+    nodes, shares = ([np.frombuffer(v.as_buffer(), dtype=TYPES[k]) for v in rows[k]] for k in ("node", "shares"))
+    return end_to_end(nodes, shares, [np.array(c) for c in rows["cuts"][0].as_py()])
 
 
 def votes(part, x: np.ndarray) -> np.ndarray:

@@ -147,7 +147,7 @@ def _tree_arrays(path: str, spark):
 
 def _part_arrays(path: str, spark):
     try:
-        return packed(spark.read.parquet(f"{path}/trees").toArrow())
+        return packed(spark.read.parquet(f"{path}/trees").select("tree", "node", "shares", "cuts").toArrow())
     except AnalysisException:
         return _tree_arrays(path, spark)
 
@@ -174,21 +174,22 @@ def _learned(path: str) -> tuple[str, int, np.ndarray] | None:
 def _learners_model(path: str, width: int, spark) -> RandomForestClassificationModel:
     """A grown sub-forest as the learner's model: its nodes are written beside the trees in the learner's layout."""
     rows = spark.read.parquet(f"{path}/trees").toArrow().sort_by("tree").to_pylist()
-    nodes, classes = [], 0
+    nodes, classes, cuts = [], 0, rows[0]["cuts"]
     for r in rows:
         t = {k: np.frombuffer(r[k], dtype=v) for k, v in TYPES.items()}
-        leaf, n = t["feature"] < 0, len(t["feature"])
+        node, n = t["node"], len(t["node"])
+        leaf, child, number, feature = node < 0, (node >> 32).tolist(), (node >> 16 & 0xFFFF).tolist(), (node & 0xFFFF).tolist()
         classes = len(t["stats"]) // len(t["raw"])
-        stats, raw, threshold = np.zeros((n, classes)), np.zeros(n, dtype=np.int64), np.zeros(n)
-        stats[leaf], raw[leaf], threshold[~leaf] = t["stats"].reshape(-1, classes), t["raw"], t["threshold"]
+        stats, raw = np.zeros((n, classes)), np.zeros(n, dtype=np.int64)
+        stats[leaf], raw[leaf] = t["stats"].reshape(-1, classes), t["raw"]
         for i in reversed(np.flatnonzero(~leaf).tolist()):  # children come after their parent
-            stats[i], raw[i] = stats[t["child"][i] : t["child"][i] + 2].sum(axis=0), raw[t["child"][i] : t["child"][i] + 2].sum()
+            stats[i], raw[i] = stats[child[i] : child[i] + 2].sum(axis=0), raw[child[i] : child[i] + 2].sum()
         weight = stats.sum(axis=1)
         impurity = 1 - (np.divide(stats, weight[:, None], out=np.zeros_like(stats), where=weight[:, None] != 0) ** 2).sum(axis=1)
         for i in range(n):
-            c = int(t["child"][i])
+            c = child[i]
             gain = -1.0 if leaf[i] else impurity[i] - (weight[c : c + 2] * impurity[c : c + 2]).sum() / weight[i]
-            split = (-1, [], -1) if leaf[i] else (int(t["feature"][i]), [float(threshold[i])], -1)
+            split = (-1, [], -1) if leaf[i] else (feature[i], [cuts[feature[i]][number[i]]], -1)
             kids = (-1, -1) if leaf[i] else (c, c + 1)
             nodes.append((r["tree"], (i, float(stats[i].argmax()), float(impurity[i]), stats[i].tolist(), int(raw[i]), float(gain), *kids, split)))
     split = "struct<featureIndex:int,leftCategoriesOrThreshold:array<double>,numCategories:int>"
@@ -259,7 +260,7 @@ class ForestUnion:
             def send(part):
                 return part[1] / self.trees, spark.sparkContext.broadcast(_part_arrays(part[0], spark))
 
-            with ThreadPoolExecutor(4) as pool:
+            with ThreadPoolExecutor(2) as pool:  # a part at a time each; the driver holds few
                 self._sent = list(pool.map(inheritable_thread_target(spark)(send), self.saved))
         wide = df.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(self.features)])
         # few rows of many trees each: the rows are dealt to all cores

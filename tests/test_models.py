@@ -220,8 +220,9 @@ def test_grown_tree_is_the_learners(spark, tmp_path):
         model = rf.fit(M.assembler(features).transform(train))
         model.write().save(path)
         want = M._tree_arrays(path, spark)
-        grown = G.grow(_gathered(spark, train, features, weight), np.random.default_rng(1), depth, len(features), bag=False)
-        got = G.pack(grown["feature"], grown["child"], grown["threshold"], grown["stats"].reshape(len(grown["raw"]), -1), [0])
+        rows = _gathered(spark, train, features, weight)
+        grown = G.grow(rows, np.random.default_rng(1), depth, len(features), bag=False)
+        got = G.end_to_end([grown["node"]], [grown["shares"]], rows[0])
         assert len(got[1]) == len(want[1]) == model.totalNumNodes > 5
         assert np.allclose(G.votes(got, x), G.votes(want, x), atol=1e-12)
         assert np.allclose(grown["importance"], model.featureImportances.toArray(), atol=1e-9)
